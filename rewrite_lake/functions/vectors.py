@@ -7,7 +7,7 @@ no shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,13 +15,17 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def softmax(col) -> Column:
-    """Numerically stable softmax of a logits array (PRJ-13)."""
-    x = F.transform(_c(col), lambda v: v.cast("double"))
-    m = F.array_max(x)
-    e = F.transform(x, lambda v: F.exp(v - m))
-    total = F.aggregate(e, F.lit(0.0), lambda acc, v: acc + v)
-    return F.transform(e, lambda v: v / total)
+def with_softmax(df: DataFrame, col, out: str) -> DataFrame:
+    """Add ``out``: numerically stable softmax of a logits array (PRJ-13).
+
+    Staged so the max and the sum are computed once per row, not once per
+    element inside the lambda.
+    """
+    m, e, t = f"{out}__m", f"{out}__e", f"{out}__t"
+    df = df.withColumn(m, F.array_max(F.transform(_c(col), lambda v: v.cast("double"))))
+    df = df.withColumn(e, F.transform(_c(col), lambda v: F.exp(v.cast("double") - F.col(m))))
+    df = df.withColumn(t, F.aggregate(F.col(e), F.lit(0.0), lambda acc, v: acc + v))
+    return df.withColumn(out, F.transform(F.col(e), lambda v: v / F.col(t))).drop(m, e, t)
 
 
 def argmax(col) -> Column:
@@ -40,11 +44,12 @@ def l2_norm(col) -> Column:
     return F.sqrt(F.aggregate(_c(col), F.lit(0.0), lambda acc, v: acc + v.cast("double") * v.cast("double")))
 
 
-def l2_normalize(col) -> Column:
-    """Unit vector (PRJ-15); a zero vector stays zero, like ``normalize_embeddings``."""
-    c = _c(col)
-    n = l2_norm(c)
-    return F.transform(c, lambda v: F.when(n > 0, v.cast("double") / n).otherwise(F.lit(0.0)))
+def with_l2_normalize(df: DataFrame, col, out: str) -> DataFrame:
+    """Add ``out``: unit vector (PRJ-15); a zero vector stays zero."""
+    n = f"{out}__n"
+    df = df.withColumn(n, l2_norm(col))
+    return df.withColumn(out, F.transform(_c(col), lambda v: F.when(F.col(n) > 0, v.cast("double") / F.col(n))
+                                           .otherwise(F.lit(0.0)))).drop(n)
 
 
 def cosine(a, b) -> Column:

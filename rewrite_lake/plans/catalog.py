@@ -161,3 +161,6 @@ def rerank_metrics(spark, sf_dir):
     m = RR.corpus_metrics(best)
     return m.select(F.col("n").cast("bigint").alias("n"),
                     *[r6(F.col(c)).alias(c) for c in ("BLEU", "STA", "SIM", "FL", "J")])
+
+
+from . import catalog_more  # noqa: E402,F401  (registers part 2)

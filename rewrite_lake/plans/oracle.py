@@ -187,3 +187,344 @@ from (select cast(count(*) as bigint) as n, sum(c1) as c1, sum(c2) as c2, sum(c3
              sum(t1) as t1, sum(t2) as t2, sum(t3) as t3, sum(t4) as t4, sum(hyp_len) as hyp_len,
              sum(ref_len) as ref_len, avg(round(STA)) as STA, avg(SIM) as SIM, avg(round(FL)) as FL
       from best) m"""
+
+
+# --- part 2: text rules, sampling, bundles, vectors, rewards, logs, reports -------------
+
+from .oracle_sql import ROLLOUTS, RUNS, VEC_PAIRS  # noqa: E402
+
+ORACLE["text_normalize"] = with_(PAIRS_WIDE) + f"""
+select pair_row, {strip('toxic')} as toxic_clean, cast(length({strip('toxic')}) as bigint) as n_chars,
+       cast(len({split_ws('toxic')}) as bigint) as n_tokens
+from pairs_wide"""
+
+ORACLE["blank_placeholder"] = with_(LINE_SAMPLES, SAMPLES, CANDS) + f"""
+select sample_id, cast(model_idx as integer) as model_idx, cast(candidate_rank as integer) as candidate_rank,
+       case when text is null or {strip('text')} = '' then ' ' else {strip('text')} end as model_output
+from cands"""
+
+ORACLE["reference_fallback"] = with_(PAIRS_WIDE) + """
+select pair_row, coalesce(nullif(neutral2, ''), toxic) as reference from pairs_wide"""
+
+ORACLE["truncate_tokens"] = f"""
+select doc_id, cast(len(tk) as bigint) as n_tokens, md5(array_to_string(tk[1:128], ' ')) as truncated_md5
+from (select doc_id, {split_ws('text')} as tk from documents) t"""
+
+ORACLE["eval_dropna"] = with_(PAIRS_WIDE) + """
+select pair_row, toxic, neutral1, neutral2 from pairs_wide
+where toxic is not null and neutral1 is not null and neutral2 is not null"""
+
+TRIPLES = f"""
+triples as (
+  select s.sample_id, s.source as toxic, s.reference as neutral1, {strip(mask_lex('s.source'))} as model_output
+  from samples s)"""
+
+ORACLE["align_predictions"] = with_(LINE_SAMPLES, SAMPLES, TRIPLES) + """
+select sample_id, toxic, neutral1, model_output from triples"""
+
+ORACLE["sample_head"] = with_(PAIRS_WIDE, PAIRS_LONG) + """
+select pair_row, cast(target_no as integer) as target_no, input from pairs_long
+order by pair_row, target_no limit 100"""
+
+ORACLE["sample_random"] = with_(LINE_SAMPLES) + """
+select sample_id, source from line_samples
+order by md5(concat_ws('|', '42', sample_id)), sample_id limit 100"""
+
+
+def _ranked_pairs(seed: int) -> str:
+    return f"""(select pair_row, target_no,
+        cast(row_number() over (order by md5(concat_ws('|', '{seed}', pair_row, target_no)), pair_row, target_no) - 1
+             as bigint) as rank,
+        count(*) over () as total from pairs_long)"""
+
+
+ORACLE["split_exact"] = with_(PAIRS_WIDE, PAIRS_LONG) + f"""
+select pair_row, cast(target_no as integer) as target_no, rank,
+       case when rank < total - ceil(0.2e0 * total) then 'train'
+            when rank < total - ceil(0.2e0 * total) + (ceil(0.2e0 * total) - ceil(0.5e0 * ceil(0.2e0 * total)))
+            then 'validation' else 'test' end as split
+from {_ranked_pairs(42)} r"""
+
+ORACLE["batch_assign"] = with_(PAIRS_WIDE, PAIRS_LONG) + f"""
+select pair_row, cast(target_no as integer) as target_no, cast(rank // 16 as bigint) as batch_id,
+       cast(rank % 16 as integer) as batch_pos
+from {_ranked_pairs(42)} r"""
+
+ORACLE["batch_cycle"] = with_(PAIRS_WIDE, PAIRS_LONG) + " " + " union all ".join(f"""
+select pair_row, cast(target_no as integer) as target_no, {p} as pass_no,
+       cast({p} * ceil(total / 16e0) + rank // 16 + 1 as bigint) as step, cast(rank // 16 as bigint) as batch_id
+from {_ranked_pairs(42 + p)} r{p}""" for p in range(2))
+
+ORACLE["dense_ids"] = with_(PAIRS_WIDE, PAIRS_LONG) + """
+select pair_row, cast(target_no as integer) as target_no,
+       cast(row_number() over (order by pair_row * 10 + target_no) - 1 as bigint) as row_id
+from pairs_long"""
+
+
+def _bundle(src: str, by: str = "") -> str:
+    """Evaluate (toxic, neutral1, model_output) rows of ``src`` keyed by ``k``."""
+    g = f"{by}, " if by else ""
+    return with_(bow_ctes(src, "k", "toxic", "model_output", p="e"),
+                 bleu_stats_ctes(src, "k", "model_output", "neutral1", prefix="eb"))[5:] + f""",
+per_row as (
+  select {('x.' + by + ', ') if by else ''}x.k, cast({_tox('x.model_output')} < 0.5 as double) as nt,
+         cast({_fl_logit('x.model_output')} > 0 as double) as fl, w.sim, b.c1, b.c2, b.c3, b.c4,
+         b.t1, b.t2, b.t3, b.t4, b.hyp_len, b.ref_len
+  from {src} x join e_cos w on w.k = x.k join eb_stats b on b.k = x.k),
+agg as (
+  select {g}cast(count(*) as bigint) as n, sum(c1) as c1, sum(c2) as c2, sum(c3) as c3, sum(c4) as c4,
+         sum(t1) as t1, sum(t2) as t2, sum(t3) as t3, sum(t4) as t4, sum(hyp_len) as hyp_len,
+         sum(ref_len) as ref_len, avg(nt) as STA, avg(sim) as SIM, avg(fl) as FL
+  from per_row {('group by ' + by) if by else ''})
+select {g}n, round({bleu_expr('', effective=False)}, 6) as BLEU, round(STA, 6) as STA, round(SIM, 6) as SIM,
+       round(FL, 6) as FL, round(STA * SIM * FL, 6) as J
+from agg"""
+
+
+ORACLE["metric_bundle"] = with_(LINE_SAMPLES, SAMPLES, TRIPLES,
+                                "tri as (select sample_id as k, * from triples)") + "," + _bundle("tri")
+
+DOC_LINES = """
+doc_lines as (
+  select row_number() over () as k, lang, line from (
+    select d.lang, string_split(d.text, chr(10))[i + 1] as line
+    from documents d, unnest(range(0, len(string_split(d.text, chr(10))))) as r(i)) t
+  where length(trim(line)) >= 5)"""
+
+ORACLE["metric_bundle_by_lang"] = with_(DOC_LINES) + f""",
+lang_rows as (select k, lang, line as toxic, {reference('line')} as neutral1,
+                     {strip(mask_lex('line'))} as model_output from doc_lines),""" + _bundle("lang_rows", "lang")
+
+ORACLE["eval_summary"] = with_(ROLLOUTS) + """
+select epoch, cast(count(*) as bigint) as samples, round(avg(tox), 6) as toxicity_mean,
+       round(stddev_pop(tox), 6) as toxicity_std, round(avg(sim), 6) as similarity_mean,
+       round(avg(reward_raw), 6) as reward_mean, round(stddev_pop(reward_raw), 6) as reward_std
+from rollouts group by epoch"""
+
+ORACLE["logits_softmax_argmax"] = """
+select vec_id, cast(list_position(embedding, list_max(embedding)) - 1 as integer) as top,
+       round(list_max(sm), 6) as p_top, round(list_sum(sm), 6) as p_sum
+from (select vec_id, embedding, list_transform(ex, lambda x: x / list_sum(ex)) as sm
+      from (select vec_id, embedding,
+                   list_transform(embedding, lambda x: exp(cast(x as double) - cast(list_max(embedding) as double))) as ex
+            from embeddings) a) b"""
+
+ORACLE["pair_cosine"] = with_(VEC_PAIRS) + """
+select vec_id, la, lb,
+       round(case when na > 0 and nb > 0 then d / (na * nb) else 0e0 end, 6) as cos,
+       round(sqrt(list_sum(list_transform(va, lambda x: (cast(x as double) / na) * (cast(x as double) / na)))), 6) as norm_a
+from (select *, sqrt(list_sum(list_transform(va, lambda x: cast(x as double) * cast(x as double)))) as na,
+             sqrt(list_sum(list_transform(vb, lambda x: cast(x as double) * cast(x as double)))) as nb,
+             list_sum(list_transform(list_zip(va, vb), lambda p: cast(p[1] as double) * cast(p[2] as double))) as d
+      from vec_pairs) v"""
+
+ORACLE["style_centroid"] = """
+with u as (select vec_id, label, i, cast(embedding[i] as double) as x
+           from embeddings, unnest(range(1, len(embedding) + 1)) as r(i)),
+c as (select label, i, avg(x) as cx from u group by label, i),
+d as (select u.vec_id, u.label, sum(u.x * c.cx) as dd, sum(u.x * u.x) as na, sum(c.cx * c.cx) as nb
+      from u join c on u.label = c.label and u.i = c.i group by u.vec_id, u.label)
+select vec_id, label, round(case when na > 0 and nb > 0 then dd / (sqrt(na) * sqrt(nb)) else 0e0 end, 6) as score
+from d"""
+
+
+def _clip(x: str, lo: float, hi: float) -> str:
+    return f"greatest(cast({lo!r} as double), least(cast({hi!r} as double), {x}))"
+
+
+CAND_BOW = with_(LINE_SAMPLES, SAMPLES, CANDS, bow_ctes("cands", _KEYS, "source", "text"))
+
+ORACLE["reward_base"] = CAND_BOW + f"""
+select c.sample_id, cast(c.model_idx as integer) as model_idx, cast(c.candidate_rank as integer) as candidate_rank,
+       cast(triv as integer) as trivial,
+       round({_clip("(0.7e0 * (1e0 - (1e0 - exp(-2e0 * cast(hits as double)))) + 0.3e0 * " + _clip('w.sim', -1.0, 1.0) + ") - (case when triv then 0.2e0 else 0e0 end)", -1.0, 1.0)}, 6) as reward
+from (select *, {lex_hits('text')} as hits,
+             (len({split_ws('text')}) < 3 or {strip('text')} = {strip('source')}) as triv from cands) c
+     join w_cos w using (sample_id, model_idx, candidate_rank)"""
+
+ORACLE["mini_metrics"] = with_(LINE_SAMPLES, SAMPLES, CANDS, bow_ctes("cands", _KEYS, "source", "text"),
+                               bleu_stats_ctes("cands", _KEYS, "coalesce(text, '')", "coalesce(reference, '')")) + f""",
+mm as (
+  select c.sample_id, c.model_idx, c.candidate_rank,
+         {_clip("1e0 - " + _tox('c.text'), 0.0, 1.0)} as sta,
+         {_clip("1e0 / (1e0 + exp(-" + _fl_logit('c.text') + "))", 0.0, 1.0)} as fl,
+         0.5e0 * ({_clip('w.sim', -1.0, 1.0)} + 1e0) as sim,
+         {_clip(bleu_expr('b.') + " / 100e0", 0.0, 1.0)} as bleu
+  from cands c join w_cos w using (sample_id, model_idx, candidate_rank)
+               join b_stats b using (sample_id, model_idx, candidate_rank))
+select sample_id, cast(model_idx as integer) as model_idx, cast(candidate_rank as integer) as candidate_rank,
+       round(sta, 6) as sta, round(sim, 6) as sim, round(fl, 6) as fl, round(bleu, 6) as bleu,
+       round({_clip('sta * sim * fl', 0.0, 1.0)}, 6) as j
+from mm"""
+
+RO_Z = f"""
+ro_j as (select *, (1e0 - tox) * sim * fl as j_raw from rollouts),
+ro_z as (select *,
+   {_clip("(j_raw - avg(j_raw) over (partition by batch_id)) / (stddev_pop(j_raw) over (partition by batch_id) + 1e-6)", -2.5, 2.5)} as z_j,
+   {_clip("(fl - avg(fl) over (partition by batch_id)) / (stddev_pop(fl) over (partition by batch_id) + 1e-6)", -2.5, 2.5)} as z_bleu
+   from ro_j),
+ro_w as (select *,
+   (0e0 + 0.8e0) + (case when step % 2 = 0 then 0.4e0 else 0e0 end) as tw,
+   (0e0 + 0.8e0 * z_j) + (case when step % 2 = 0 then 0.4e0 * z_bleu else 0e0 end) as contrib from ro_z),
+ro_r as (select *, case when tw > 0 then reward_raw * greatest(0e0, 1e0 - tw) + contrib else reward_raw end as reward
+         from ro_w),
+ro_a as (select *, ((reward - value_est) - avg(reward - value_est) over (partition by step))
+                   / (stddev_samp(reward - value_est) over (partition by step) + 1e-6) as adv from ro_r),
+pol as (select step,
+   -avg(least(adv * exp(policy_logprob - ref_logprob),
+              adv * {_clip('exp(policy_logprob - ref_logprob)', 1 - 0.15, 1 + 0.15)})) as policy_loss,
+   avg(pow(value_est - reward, 2)) as value_loss, avg(ref_logprob - policy_logprob) as kl_div,
+   avg(reward) as reward_mean
+   from ro_a group by step)"""
+
+ORACLE["reward_zscore"] = with_(ROLLOUTS, RO_Z) + """
+select sample_id, batch_id, round(z_j, 6) as z_j from ro_z"""
+
+ORACLE["reward_blend"] = with_(ROLLOUTS, RO_Z) + """
+select sample_id, step, round(reward, 6) as reward from ro_r"""
+
+ORACLE["reward_batch_stats"] = with_(ROLLOUTS, RO_Z) + """
+select step, round(avg(z_j), 6) as metric_reward_mean, round(stddev_samp(z_j), 6) as metric_reward_std,
+       round(avg(j_raw), 6) as metric_j_mean,
+       round(avg(case when step % 2 = 0 then z_bleu end), 6) as bleu_reward_mean,
+       round(stddev_samp(case when step % 2 = 0 then z_bleu end), 6) as bleu_reward_std,
+       round(avg(case when step % 2 = 0 then fl end), 6) as metric_bleu_mean,
+       round(avg(reward), 6) as reward_mean
+from ro_r group by step"""
+
+ORACLE["advantage_norm"] = with_(ROLLOUTS, RO_Z) + """
+select sample_id, step, round(adv, 6) as adv from ro_a"""
+
+ORACLE["policy_diagnostics"] = with_(ROLLOUTS, RO_Z) + """
+select step, round(policy_loss, 6) as policy_loss, round(value_loss, 6) as value_loss,
+       round(kl_div, 6) as kl_div, round(reward_mean, 6) as reward_mean from pol"""
+
+_T = 0.08
+ORACLE["kl_fold"] = "with recursive " + with_(ROLLOUTS, RO_Z)[5:] + f""",
+k(step, coef) as (
+  select 0::bigint, 0.2e0
+  union all
+  select k.step + 1,
+         case when abs(p.kl_div) > {_T * 1.5!r} then least(1e0, k.coef * {1.0 + 0.1!r})
+              when abs(p.kl_div) < {_T * 0.5!r} then greatest(0.02e0, k.coef * {1.0 - 0.1!r})
+              else k.coef end
+  from k join pol p on p.step = k.step + 1)
+select p.step, round(k.coef, 6) as kl_coef,
+       round(p.policy_loss + 0.5e0 * p.value_loss + k.coef * abs(p.kl_div), 6) as loss
+from pol p join k on k.step = p.step"""
+
+ORACLE["seq_logprob"] = with_(LINE_SAMPLES, SAMPLES, CANDS) + f"""
+select sample_id, cast(model_idx as integer) as model_idx, cast(candidate_rank as integer) as candidate_rank,
+       round(coalesce(list_sum(list_transform(list_filter(tk, lambda t: t <> '***'),
+                                              lambda t: -ln(1e0 + cast(length(t) as double)))), 0e0), 6) as seq_logprob,
+       round(coalesce(list_sum(list_transform(list_filter(tk, lambda t: t <> '***'),
+                                              lambda t: 1e0 / (1e0 + cast(length(t) as double)))), 0e0)
+             / cast(greatest(len(list_filter(tk, lambda t: t <> '***')), 1) as double), 6) as value_mean
+from (select *, {split_ws('text')} as tk from cands) c"""
+
+STEP_EPOCH = """
+step_epoch as (select step, max(epoch) as epoch from rollouts group by step)"""
+
+ORACLE["forward_fill"] = with_(ROLLOUTS, STEP_EPOCH) + """
+select step * 2 + 1 as line_no, step, epoch from step_epoch"""
+
+ORACLE["epoch_history"] = with_(ROLLOUTS, RO_Z, STEP_EPOCH) + """
+select e.epoch, cast(count(*) as bigint) as steps, round(avg(p.reward_mean), 6) as reward_mean,
+       round(avg(p.policy_loss + 0.5e0 * p.value_loss), 6) as loss_mean, round(avg(p.kl_div), 6) as kl_mean,
+       cast(max(p.step) as bigint) as last_step
+from pol p join step_epoch e using (step) group by e.epoch"""
+
+ORACLE["best_checkpoint"] = with_(ROLLOUTS) + """
+select cast(arg_min(step, (eval_loss, step)) as bigint) as best_step, round(min(eval_loss), 6) as best_metric,
+       cast(max(step) as bigint) as last_step
+from (select epoch, max(step) as step, avg(pow(value_est - reward_raw, 2)) as eval_loss
+      from rollouts group by epoch) e"""
+
+ORACLE["eval_preview"] = with_(ROLLOUTS) + """
+select epoch, sample_id, round(tox, 6) as toxicity, round(sim, 6) as similarity, round(reward_raw, 6) as reward
+from (select *, row_number() over (partition by epoch order by sample_id) as rn from rollouts) r
+where rn <= 5"""
+
+RUN_ROWS = """
+run_rows as (
+  select model || '-' || variant as Model, 100e0 * STA * FL as BLEU, STA,
+         cast(n as double) / (cast(n as double) + 1e0) as SIM, FL,
+         STA * (cast(n as double) / (cast(n as double) + 1e0)) * FL as J
+  from runs)"""
+
+ORACLE["run_summary"] = with_(RUNS, RUN_ROWS) + """
+select Model, round(BLEU, 4) as BLEU, round(STA, 4) as STA, round(SIM, 4) as SIM, round(FL, 4) as FL,
+       round(J, 4) as J
+from run_rows"""
+
+ORACLE["run_matrix"] = with_(RUNS) + """
+select m.model, v.variant, coalesce(printf('%.4f', r.STA), 'N/A') as STA, coalesce(printf('%.4f', r.FL), 'N/A') as FL
+from (select distinct model from runs) m cross join (values ('de'), ('en'), ('es'), ('fr')) v(variant)
+left join runs r on r.model = m.model and r.variant = v.variant"""
+
+ORACLE["ablation_complete"] = with_(RUNS) + """
+select model from runs where variant in ('de', 'en', 'es', 'fr')
+group by model having count(distinct variant) = 4"""
+
+ORACLE["ablation_pivot"] = with_(RUNS) + """
+select model, round(max(case when variant = 'de' then STA end), 6) as de,
+       round(max(case when variant = 'en' then STA end), 6) as en,
+       round(max(case when variant = 'es' then STA end), 6) as es,
+       round(max(case when variant = 'fr' then STA end), 6) as fr
+from runs group by model"""
+
+ORACLE["ablation_delta"] = with_(RUNS) + """
+select o.model, o.variant, round(o.STA - b.STA, 6) as delta_STA, round(o.FL - b.FL, 6) as delta_FL
+from runs o join runs b on b.model = o.model and b.variant = 'en'
+where o.variant <> 'en'"""
+
+ORACLE["registry_entries"] = """
+with fams as (
+  select distinct 'sft' as family, source as model, 16 as batch_size from documents where lang = 'en'
+  union all select distinct 'rl', source, 8 from documents where lang in ('de', 'fr')
+  union all select distinct 'baseline', source, 16 from documents where lang = 'es'),
+hints as (select source as model, case when avg(n_chars) > 2500 then 4 else 32 end as batch_hint
+          from documents group by source),
+labelled as (select distinct d.source as model from labels l join documents d on d.doc_id = l.doc_id)
+select f.family, f.model, cast(least(f.batch_size, coalesce(h.batch_hint, f.batch_size)) as integer) as batch_size
+from fams f left join hints h on h.model = f.model
+where f.model in (select model from labelled)"""
+
+
+# Rollout statistics average short decimals (values with 2 decimals over
+# batches of 16): their exact results have <= 9 decimals, so they are compared
+# at 9 decimals, where no rounding tie can occur.
+NINE = ("eval_summary", "reward_blend", "reward_batch_stats", "advantage_norm", "policy_diagnostics",
+        "kl_fold", "epoch_history", "reward_zscore")
+for _k in NINE:
+    ORACLE[_k] = ORACLE[_k].replace(", 6)", ", 9)")
+
+
+def _no_negative_zero(sql: str) -> str:
+    """Wrap every ``round(...)`` as ``(round(...) + 0e0)``: IEEE -0.0 + 0.0 is
+    +0.0, and Spark's decimal-based round never yields -0.0."""
+    out, i = [], 0
+    while True:
+        j = sql.find("round(", i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        if j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_"):
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        depth, k = 0, j + 5
+        while True:
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        out.append(sql[i:j] + "(round(" + _no_negative_zero(sql[j + 6:k]) + ") + 0e0)")
+        i = k + 1
+
+
+for _k in list(ORACLE):
+    ORACLE[_k] = _no_negative_zero(ORACLE[_k])
