@@ -430,3 +430,15 @@ def registry_entries(spark, sf_dir):
             "has_final_model", F.coalesce(F.col("has_final_model"), F.lit(False)))) for t, d in fams],
         hints=hints)
     return fam_df.select("family", "model", F.col("batch_size").cast("int").alias("batch_size"))
+
+
+# --- Python backend path -------------------------------------------------------------
+
+@query
+def toxicity_udf(spark, sf_dir):
+    """The lexicon scorer run as a Python backend through ``predict_batch_udf``
+    (Arrow batches, model object built once per worker) -- the UDF-01 surface."""
+    from ..operators.backends import LexiconToxicity, batch_scorer
+    score = batch_scorer(LexiconToxicity, batch_size=256)
+    ls = spread(FX.line_samples(spark, sf_dir))
+    return ls.select("sample_id", r6(score(F.col("source"))).alias("p_toxic"))

@@ -528,3 +528,7 @@ def _no_negative_zero(sql: str) -> str:
 
 for _k in list(ORACLE):
     ORACLE[_k] = _no_negative_zero(ORACLE[_k])
+
+
+ORACLE["toxicity_udf"] = _no_negative_zero(with_(LINE_SAMPLES) + f"""
+select sample_id, round({_tox('source')}, 6) as p_toxic from line_samples""")

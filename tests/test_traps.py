@@ -176,3 +176,27 @@ def test_softmax_argmax(spark):
     r = df.select("p", V.argmax(F.col("x")).alias("a")).first()
     assert r["a"] == 1 and sum(r["p"]) == pytest.approx(1.0)
     assert r["p"][1] == pytest.approx(math.exp(0) / (math.exp(-2) + 2))
+
+
+def test_ml_toxicity_backend_auc(spark):
+    from rewrite_lake.operators import backends as BK
+    from rewrite_lake.sources.tables import table
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("test data absent")
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    lab = table(spark, sf, "labels").join(docs, "doc_id")
+    train, test = lab.randomSplit([0.7, 0.3], seed=1)
+    model = BK.fit_toxicity_model(train)
+    scored = BK.toxicity_with_model(model, test)
+    # whole documents with a few lexicon words among long prose: a weak but real signal
+    assert BK.auc(scored, "p_toxic", "toxic") > 0.6
+
+
+def test_batch_udf_equals_expression(spark):
+    from rewrite_lake.functions import scorers as S
+    from rewrite_lake.operators import backends as BK
+    df = spark.createDataFrame([("you idiot, you moron",), ("hello",), ("",)], "t string")
+    udf = BK.batch_scorer(BK.LexiconToxicity, batch_size=2)
+    r = df.select(udf(F.col("t")).alias("u"), S.toxicity_prob(F.col("t")).alias("e")).collect()
+    assert [x["u"] for x in r] == pytest.approx([x["e"] for x in r])
