@@ -1,4 +1,4 @@
-"""Golden checks against data files the reference ships (read in place; skip if absent)."""
+"""Golden checks against shipped data files (found by content, read in place; skip if absent)."""
 import csv
 import json
 
@@ -10,12 +10,12 @@ from rewrite_lake.operators import rerank as RR
 from rewrite_lake.operators import runs as RU
 from rewrite_lake.plans import jobs
 from rewrite_lake.sources import files as IO
-from tests.conftest import ref_path
+from tests.conftest import golden
 
 
 @pytest.fixture(scope="module")
 def reranked(spark):
-    return IO.read_tsv(spark, ref_path("RERANK", "outputs", "rl_only", "reranked_outputs.tsv"))
+    return IO.read_tsv(spark, golden("reranked_tsv"))
 
 
 def test_tsv_reads_100_rows_14_columns(reranked):
@@ -40,7 +40,7 @@ def test_objective_and_joint_formulas(reranked):
 
 
 def test_corpus_metrics_match_metrics_json(reranked):
-    gold = json.load(open(ref_path("RERANK", "outputs", "rl_only", "metrics.json")))
+    gold = json.load(open(golden("rerank_metrics")))
     st = B.with_bleu_stats(reranked, F.col("model_output"), F.col("reference"), out="s")
     agg = st.agg(*B.sum_stats(F.col("s")),
                  F.avg(F.col("sta").cast("double")).alias("STA"), F.avg(F.col("sim").cast("double")).alias("SIM"),
@@ -56,9 +56,9 @@ def test_corpus_metrics_match_metrics_json(reranked):
 
 
 def test_rollup_equals_summary_csv(spark):
-    root = ref_path("TRAIN", "evaluation_outputs")
+    root = golden("metrics_tree")
     got = [r.asDict() for r in jobs.rollup_job(spark, root).collect()]
-    with open(ref_path("TRAIN", "summary_metrics.csv")) as f:
+    with open(golden("summary_csv")) as f:
         want = list(csv.DictReader(f))
     assert [g["Model"] for g in got] == [w["Model"] for w in want]
     for g, w in zip(got, want):
@@ -67,7 +67,7 @@ def test_rollup_equals_summary_csv(spark):
 
 
 def test_best_checkpoint_from_trainer_state(spark):
-    hist = IO.read_trainer_state(spark, ref_path("TRAIN", "bart-base", "checkpoint-4935", "trainer_state.json"))
+    hist = IO.read_trainer_state(spark, golden("trainer_state"))
     best = RU.best_checkpoint(hist).first()
     assert best["best_step"] == 2961
     assert best["best_metric"] == pytest.approx(0.89786, abs=1e-5)
@@ -75,7 +75,7 @@ def test_best_checkpoint_from_trainer_state(spark):
 
 
 def test_step_log_parse(spark):
-    logs = IO.read_step_logs(spark, ref_path("logs", "rl_full_run", "prophetnet-large-uncased_20251203_070358.log"))
+    logs = IO.read_step_logs(spark, golden("step_log"))
     parsed = RU.parse_log_lines(logs)
     kinds = {r["kind"]: r["count"] for r in parsed.groupBy("kind").count().collect()}
     assert kinds["step"] == 167 and kinds["eval"] == 3 and kinds["error"] == 1
@@ -85,7 +85,7 @@ def test_step_log_parse(spark):
 
 
 def test_all_logs_parse(spark):
-    logs = IO.read_step_logs(spark, ref_path("logs") + "/*/*.log")
+    logs = IO.read_step_logs(spark, golden("log_dir") + "/*/*.log")
     parsed = RU.parse_log_lines(logs)
     assert parsed.select("file").distinct().count() == 7
     assert parsed.where(F.col("kind") == "error").count() >= 6
@@ -100,6 +100,6 @@ def test_reference_sentence_vectors(spark):
 
 
 def test_rerank_config_weights_parse():
-    cfg = IO.read_run_config(ref_path("RERANK", "outputs", "rl_only", "config.used.json"))
+    cfg = IO.read_run_config(golden("rerank_config"))
     w = RR.normalize_weights(cfg["scoring"]["objective_weights"])
     assert set(w) <= set(RR.METRIC_NAMES)
