@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .multiset import sum_of, with_matched_counts, with_run_counts
+from .multiset import with_matched_counts, with_run_counts
 from .text import WS_RUN, urstrip
 
 MAX_ORDER = 4
@@ -60,21 +60,20 @@ def tokenize_13a(col) -> Column:
 
 
 def ngram_bag(tokens: Column, max_order: int = MAX_ORDER) -> Column:
-    """All n-grams of orders 1..max_order as ``array<struct<n:int, g:string>>``.
+    """All n-grams of orders 1..max_order as ``array<string>``, each prefixed
+    by its order digit: ``"1 a"``, ``"2 a b"``.
 
-    Tokens contain no whitespace, so a space-joined n-gram is unambiguous.
+    Tokens contain no whitespace, so a space-joined n-gram is unambiguous, and
+    string keys sort much faster than struct keys.
     """
     size = F.size(tokens)
 
     def order(n: int) -> Column:
         # PySpark reads a lambda's arity, so n is bound by a closure, not a default.
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))),
-                          lambda i: i <= size - n + 1)
+        starts = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>"))
         if n == 1:
-            return F.transform(starts, lambda i: F.struct(
-                F.lit(1).alias("n"), F.element_at(tokens, i).alias("g")))
-        return F.transform(starts, lambda i: F.struct(
-            F.lit(n).alias("n"), F.array_join(F.slice(tokens, i, n), " ").alias("g")))
+            return F.transform(starts, lambda i: F.concat(F.lit("1 "), F.element_at(tokens, i)))
+        return F.transform(starts, lambda i: F.concat(F.lit(f"{n} "), F.array_join(F.slice(tokens, i, n), " ")))
 
     return F.concat(*[order(n) for n in range(1, max_order + 1)])
 
@@ -88,7 +87,7 @@ def with_ref_prepared(df: DataFrame, ref, out: str, max_order: int = MAX_ORDER)
     rt, rb, rr = f"{out}__rt", f"{out}__rb", f"{out}__rr"
     df = df.withColumn(rt, tokenize_13a(ref))
     df = df.withColumn(rb, ngram_bag(F.col(rt), max_order))
-    df = with_run_counts(df, rb, rr)
+    df = with_run_counts(df, rb, rr, side=1)
     return df.withColumn(out, F.struct(F.col(rr).alias("runs"), F.size(F.col(rt)).alias("len"))) \
              .drop(rt, rb, rr)
 
@@ -99,7 +98,8 @@ def with_bleu_stats(df: DataFrame, hyp, ref, out: str = "bleu_stats",
 
     ``hyp`` and ``ref`` are string columns (13a-tokenized here); with
     ``ref_prepared=True`` ``ref`` names a column made by ``with_ref_prepared``.
-    Built in stages so every intermediate array is computed once per row.
+    Built in stages so every intermediate array is computed once per row; the
+    four clipped counts come from one pass over the matched n-grams.
     """
     ht, hb, hr, m, rp = (f"{out}__ht", f"{out}__hb", f"{out}__hr", f"{out}__m", f"{out}__rp")
     if not ref_prepared:
@@ -108,22 +108,26 @@ def with_bleu_stats(df: DataFrame, hyp, ref, out: str = "bleu_stats",
     refc = F.col(ref) if isinstance(ref, str) else ref
     df = df.withColumn(ht, tokenize_13a(hyp))
     df = df.withColumn(hb, ngram_bag(F.col(ht), max_order))
-    df = with_run_counts(df, hb, hr)
+    df = with_run_counts(df, hb, hr, side=0)
     df = df.withColumn(f"{out}__rr", refc["runs"])
     df = with_matched_counts(df, hr, f"{out}__rr", m)
-    mc = F.col(m)
     hyp_len, ref_len = F.size(F.col(ht)), refc["len"]
+    zero = F.lit(0).cast("bigint")
+    init = F.struct(*[zero.alias(f"c{n}") for n in range(1, max_order + 1)])
 
-    def correct(n: int) -> Column:
-        return sum_of(F.filter(mc, lambda x: x["v"]["n"] == n),
-                      lambda x: F.least(x["ca"], x["cb"])).alias(f"c{n}")
+    def add(acc, x):
+        k = F.substring(x["v"], 1, 1)
+        clip_ = F.least(x["ca"], x["cb"]).cast("bigint")
+        return F.struct(*[(acc[f"c{n}"] + F.when(k == F.lit(str(n)), clip_).otherwise(zero)).alias(f"c{n}")
+                          for n in range(1, max_order + 1)])
 
-    fields = [correct(n) for n in range(1, max_order + 1)]
+    df = df.withColumn(f"{out}__c", F.aggregate(F.col(m), init, add))
+    fields = [F.col(f"{out}__c")[f"c{n}"].alias(f"c{n}") for n in range(1, max_order + 1)]
     for n in range(1, max_order + 1):
         fields.append(F.greatest(hyp_len - n + 1, F.lit(0)).cast("bigint").alias(f"t{n}"))
     fields.append(hyp_len.cast("bigint").alias("hyp_len"))
     fields.append(ref_len.cast("bigint").alias("ref_len"))
-    df = df.withColumn(out, F.struct(*fields)).drop(ht, hb, hr, m, f"{out}__rr")
+    df = df.withColumn(out, F.struct(*fields)).drop(ht, hb, hr, m, f"{out}__rr", f"{out}__c")
     return df.drop(rp) if rp in df.columns else df
 
 

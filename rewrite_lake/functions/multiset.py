@@ -21,13 +21,17 @@ from pyspark.sql import functions as F
 
 
 def indices(n: Column) -> Column:
-    """0..n-1 as an array (empty for n <= 0; ``sequence(0,-1)`` would count down)."""
-    return F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: i < n)
+    """0..n-1 as an array (empty for n <= 0; ``sequence(0,-1)`` would count down).
+
+    No lambda: a lambda costs an interpreted evaluation per element.
+    """
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def with_run_counts(df: DataFrame, arr: str, out: str) -> DataFrame:
+def with_run_counts(df: DataFrame, arr: str, out: str, side: int = 0) -> DataFrame:
     """Add ``out``: sorted distinct values of ``arr`` with multiplicities,
-    ``array<struct<v: T, c: int>>``."""
+    ``array<struct<v: T, side: int, c: int>>``; ``side`` tags the encoding for
+    a later merge (0 = hypothesis/left, 1 = reference/right)."""
     s, st = f"{out}__s", f"{out}__st"
     df = df.withColumn(s, F.sort_array(F.col(arr)))
     sc = F.col(s)
@@ -35,20 +39,20 @@ def with_run_counts(df: DataFrame, arr: str, out: str) -> DataFrame:
                                     lambda i: (i == 0) | (F.get(sc, i) != F.get(sc, i - 1))))
     stc = F.col(st)
     df = df.withColumn(out, F.transform(stc, lambda p, k: F.struct(
-        F.get(sc, p).alias("v"), (F.coalesce(F.get(stc, k + 1), F.size(sc)) - p).alias("c"))))
+        F.get(sc, p).alias("v"), F.lit(side).alias("side"),
+        (F.coalesce(F.get(stc, k + 1), F.size(sc)) - p).alias("c"))))
     return df.drop(s, st)
 
 
 def with_matched_counts(df: DataFrame, runs_a: str, runs_b: str, out: str) -> DataFrame:
     """Add ``out``: values present in both run encodings, ``array<struct<v, ca, cb>>``.
 
-    Each side holds distinct values, so after sorting the tagged union by
+    Each side holds distinct values, so after sorting the union by
     (value, side) a shared value occupies two adjacent slots, side 0 first.
+    ``runs_a`` must be tagged side 0 and ``runs_b`` side 1.
     """
     comb = f"{out}__comb"
-    df = df.withColumn(comb, F.sort_array(F.concat(
-        F.transform(F.col(runs_a), lambda x: F.struct(x["v"].alias("v"), F.lit(0).alias("side"), x["c"].alias("c"))),
-        F.transform(F.col(runs_b), lambda x: F.struct(x["v"].alias("v"), F.lit(1).alias("side"), x["c"].alias("c"))))))
+    df = df.withColumn(comb, F.sort_array(F.concat(F.col(runs_a), F.col(runs_b))))
     cc = F.col(comb)
     hits = F.filter(indices(F.size(cc) - 1), lambda i: F.get(cc, i)["v"] == F.get(cc, i + 1)["v"])
     df = df.withColumn(out, F.transform(hits, lambda i: F.struct(

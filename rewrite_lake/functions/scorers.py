@@ -65,13 +65,13 @@ def bow_tokens(col) -> Column:
     return split_ws(F.lower(_c(col)))
 
 
-def with_bow_runs(df: DataFrame, col, out: str) -> DataFrame:
+def with_bow_runs(df: DataFrame, col, out: str, side: int = 1) -> DataFrame:
     """Add ``out``: the token-count "embedding" (sorted (token, count) runs).
 
     Computed on a sample row once and reused by every candidate of the sample.
     """
     tmp = f"{out}__t"
-    return with_run_counts(df.withColumn(tmp, bow_tokens(col)), tmp, out).drop(tmp)
+    return with_run_counts(df.withColumn(tmp, bow_tokens(col)), tmp, out, side=side).drop(tmp)
 
 
 def with_bow_cosine(df: DataFrame, a, b, out: str = "sim", b_runs: bool = False) -> DataFrame:
@@ -81,11 +81,11 @@ def with_bow_cosine(df: DataFrame, a, b, out: str = "sim", b_runs: bool = False)
     side has no tokens.  ``b_runs=True``: ``b`` already holds runs.
     """
     ra, rb, m = f"{out}__ra", f"{out}__rb", f"{out}__m"
-    df = with_bow_runs(df, a, ra)
+    df = with_bow_runs(df, a, ra, side=0)
     if b_runs:
         df = df.withColumn(rb, F.col(b) if isinstance(b, str) else b)
     else:
-        df = with_bow_runs(df, b, rb)
+        df = with_bow_runs(df, b, rb, side=1)
     df = with_matched_counts(df, ra, rb, m)
     dotp = sum_of(F.col(m), lambda x: x["ca"].cast("bigint") * x["cb"]).cast("double")
     na = sum_of(F.col(ra), lambda x: x["c"].cast("bigint") * x["c"]).cast("double")

@@ -164,21 +164,26 @@ GENERATION_DEFAULTS = {"max_new_tokens": 60, "num_beams": 4, "do_sample": False,
                        "top_p": 0.92, "top_k": 50, "num_return_sequences": 1}
 
 
-def effective_generation(model_gen: Column | None, global_gen: dict) -> list[Column]:
+def effective_generation(model_gen_json: Column | None, global_gen: dict) -> list[Column]:
     """Per-model value, else global value, else default; sampling-only keys
-    are NULL when ``do_sample`` is false (PRJ-21)."""
+    are NULL when ``do_sample`` is false (PRJ-21).
+
+    ``model_gen_json`` is the model's own ``generation`` object as JSON text
+    (absent keys read as NULL, so models may override any subset).
+    """
+    types = {bool: "boolean", int: "int", float: "double"}
     out = {}
     for k, default in GENERATION_DEFAULTS.items():
         g = global_gen.get(k, default)
-        own = model_gen[k] if model_gen is not None else None
-        out[k] = F.coalesce(own, F.lit(g)) if own is not None else F.lit(g)
+        typ = types[type(default)]
+        base = F.lit(g).cast(typ)
+        if model_gen_json is not None:
+            own = F.get_json_object(model_gen_json, f"$.{k}").try_cast(typ)
+            out[k] = F.coalesce(own, base)
+        else:
+            out[k] = base
     sample = out["do_sample"]
-    cols = []
-    for k, c in out.items():
-        if k in ("top_p", "top_k"):
-            c = F.when(sample, c)
-        cols.append(c.alias(k))
-    return cols
+    return [(F.when(sample, c) if k in ("top_p", "top_k") else c).alias(k) for k, c in out.items()]
 
 
 def registry(families: Sequence[tuple[str, DataFrame]], hints: DataFrame | None = None,
