@@ -60,22 +60,25 @@ def tokenize_13a(col) -> Column:
 
 
 def ngram_bag(tokens: Column, max_order: int = MAX_ORDER) -> Column:
-    """All n-grams of orders 1..max_order as ``array<string>``, each prefixed
-    by its order digit: ``"1 a"``, ``"2 a b"``.
+    """All n-grams of orders 1..max_order as one ``array<string>``.
 
-    Tokens contain no whitespace, so a space-joined n-gram is unambiguous, and
-    string keys sort much faster than struct keys.
+    Tokens contain no whitespace, so an n-gram is its tokens joined by single
+    spaces and its order is 1 + its number of spaces.  Orders >= 2 come from
+    one native regex pass each over the space-joined tokens: a zero-width
+    match at every token start whose lookahead captures the next n tokens
+    (overlapping matches, no per-position lambda).
     """
-    size = F.size(tokens)
+    joined = F.array_join(tokens, " ")
+    parts = [tokens]
+    for n in range(2, max_order + 1):
+        pattern = r"(?<![^ ])(?=(\S+(?: \S+){%d}))" % (n - 1)
+        parts.append(F.regexp_extract_all(joined, F.lit(pattern), 1))
+    return F.concat(*parts)
 
-    def order(n: int) -> Column:
-        # PySpark reads a lambda's arity, so n is bound by a closure, not a default.
-        starts = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>"))
-        if n == 1:
-            return F.transform(starts, lambda i: F.concat(F.lit("1 "), F.element_at(tokens, i)))
-        return F.transform(starts, lambda i: F.concat(F.lit(f"{n} "), F.array_join(F.slice(tokens, i, n), " ")))
 
-    return F.concat(*[order(n) for n in range(1, max_order + 1)])
+def gram_order(gram: Column) -> Column:
+    """Order of an n-gram string: 1 + number of spaces."""
+    return F.length(gram) - F.length(F.replace(gram, F.lit(" "), F.lit(""))) + 1
 
 
 def with_ref_prepared(df: DataFrame, ref, out: str, max_order: int = MAX_ORDER) -> DataFrame:
@@ -116,9 +119,9 @@ def with_bleu_stats(df: DataFrame, hyp, ref, out: str = "bleu_stats",
     init = F.struct(*[zero.alias(f"c{n}") for n in range(1, max_order + 1)])
 
     def add(acc, x):
-        k = F.substring(x["v"], 1, 1)
+        k = gram_order(x["v"])
         clip_ = F.least(x["ca"], x["cb"]).cast("bigint")
-        return F.struct(*[(acc[f"c{n}"] + F.when(k == F.lit(str(n)), clip_).otherwise(zero)).alias(f"c{n}")
+        return F.struct(*[(acc[f"c{n}"] + F.when(k == F.lit(n), clip_).otherwise(zero)).alias(f"c{n}")
                           for n in range(1, max_order + 1)])
 
     df = df.withColumn(f"{out}__c", F.aggregate(F.col(m), init, add))

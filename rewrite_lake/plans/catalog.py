@@ -25,6 +25,11 @@ def query(fn):
     return fn
 
 
+def _spread(df):
+    from ..session import spread as _sp
+    return _sp(df)
+
+
 def r6(col):
     return F.round(col, 6)
 
@@ -47,7 +52,7 @@ def prepare_audit(spark, sf_dir):
 
 @query
 def bleu_tokens(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     toks = B.tokenize_13a(F.col("text"))
     return docs.select("doc_id", F.size(toks).cast("bigint").alias("n_tokens"),
                        F.md5(F.array_join(toks, " ")).alias("tokens_md5"))
