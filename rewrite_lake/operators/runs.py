@@ -36,6 +36,12 @@ def parse_metric_lines(lines: DataFrame, run: str = "run", line: str = "line",
     return df.where(F.col("key").isin(*SUMMARY_KEYS) & F.col("value").isNotNull())
 
 
+def canonical_order(df: DataFrame, desired: Sequence[str]) -> DataFrame:
+    """Desired columns first (absent ones skipped), every other column after (SRT-03)."""
+    first = [c for c in desired if c in df.columns]
+    return df.select(*first, *[c for c in df.columns if c not in first])
+
+
 def run_summary(metrics: DataFrame, model: str = "run") -> DataFrame:
     """Roll-up (RPT-01): one row per run with BLEU, STA, SIM, FL, J.
 
@@ -46,8 +52,8 @@ def run_summary(metrics: DataFrame, model: str = "run") -> DataFrame:
     """
     wide = metrics.groupBy(F.col(model).alias("Model")).pivot("key", list(SUMMARY_KEYS)).agg(
         F.max_by("value", "line_no"))
-    return wide.select("Model", *[F.round(F.col(k), 4).alias(k) for k in SUMMARY_KEYS]) \
-               .orderBy(F.col("J").desc_nulls_last(), F.col("Model"))
+    rounded = wide.select("Model", *[F.round(F.col(k), 4).alias(k) for k in SUMMARY_KEYS])
+    return canonical_order(rounded, ["Model", *SUMMARY_KEYS]).orderBy(F.col("J").desc_nulls_last(), F.col("Model"))
 
 
 def metric_lines(df: DataFrame, run: str, with_header: bool = True) -> DataFrame:
@@ -69,17 +75,42 @@ def metric_lines(df: DataFrame, run: str, with_header: bool = True) -> DataFrame
 # --- run matrix and ablations ----------------------------------------------------------
 
 def run_matrix(models: DataFrame, variants: Sequence[str], metrics: DataFrame,
-               value_cols: Sequence[str], model: str = "model", variant: str = "variant") -> DataFrame:
+               value_cols: Sequence[str], model: str = "model", variant: str = "variant",
+               failures: DataFrame | None = None) -> DataFrame:
     """Every model x variant with its metrics, ``N/A`` where a run is missing (JN-06).
 
     The variant list is a short config list, expanded per model with
     ``explode`` (no cross join); the metrics join is an equi left join.
+    ``failures`` (model, variant, reason) -- e.g. :func:`log_failures` --
+    adds a ``status`` column: ``ok``, the failure reason, or ``missing``.
     """
     grid = models.select(model).distinct().select(
         model, F.explode(F.array(*[F.lit(v) for v in variants])).alias(variant))
-    joined = grid.join(metrics.select(model, variant, *value_cols), [model, variant], "left")
-    return joined.select(model, variant, *[
-        F.coalesce(F.format_number(F.col(c), 4), F.lit("N/A")).alias(c) for c in value_cols])
+    joined = grid.join(metrics.select(model, variant, *value_cols, F.lit(True).alias("__has")),
+                       [model, variant], "left")
+    cols = [model, variant, *[F.coalesce(F.format_number(F.col(c), 4), F.lit("N/A")).alias(c) for c in value_cols]]
+    if failures is not None:
+        joined = joined.join(failures.select(model, variant, "reason"), [model, variant], "left")
+        cols.append(F.when(F.col("__has"), F.lit("ok")).otherwise(
+            F.coalesce(F.col("reason"), F.lit("missing"))).alias("status"))
+    return joined.select(*cols)
+
+
+def log_failures(parsed: DataFrame, variant_of_dir: dict[str, str] | None = None) -> DataFrame:
+    """Failed runs from parsed logs: (model, variant, reason) -- the last
+    error line of each file.  The model is the file name before its
+    ``_YYYYMMDD_HHMMSS`` stamp; the variant is the parent folder (mapped
+    through ``variant_of_dir`` when given)."""
+    name = F.element_at(F.split(F.col("file"), "/"), -1)
+    folder = F.element_at(F.split(F.col("file"), "/"), -2)
+    errs = parsed.where(F.col("kind") == "error").groupBy("file").agg(
+        F.max_by("error", "line_no").alias("reason"))
+    variant = folder
+    if variant_of_dir:
+        variant = F.coalesce(F.create_map(*[x for kv in variant_of_dir.items() for x in map(F.lit, kv)])[folder],
+                             folder)
+    return errs.select(F.regexp_replace(name, r"_\d{8}_\d{6}\.log$", "").alias("model"),
+                       variant.alias("variant"), "reason")
 
 
 def complete_models(metrics: DataFrame, variants: Sequence[str], model: str = "model",
