@@ -170,8 +170,30 @@ def parse_log_lines(lines: DataFrame, file: str = "file", line: str = "line",
         F.when(F.col("kind") == "step", num(STEP_RE, 4)).alias("kl"),
         F.when(F.col("kind") == "eval", num(EVAL_RE, 2)).alias("toxicity"),
         F.when(F.col("kind") == "error", F.regexp_extract("line", ERROR_RE, 1)).alias("error"))
-    w = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("epoch", F.last("epoch_mark", ignorenulls=True).over(w)).drop("epoch_mark")
+    return forward_fill(df, ["file"], "line_no", "epoch_mark", "epoch").drop("epoch_mark")
+
+
+def forward_fill(df: DataFrame, partition: Sequence[str], order: str, value: str, out: str,
+                 block: int = 4096) -> DataFrame:
+    """``out`` = last non-NULL ``value`` at or before each row, per ``partition``,
+    in ``order`` (numeric) -- WIN-05 without one task per partition.
+
+    Two levels with bounded groups: a running ``last(ignorenulls)`` inside
+    blocks of ``block`` consecutive order values, then the carry from the
+    preceding blocks, computed on a per-block table (``rows / block`` small
+    rows per partition) and joined back on (partition, block).
+    """
+    keys = list(partition)
+    d = df.withColumn("__blk", F.floor(F.col(order) / F.lit(block)).cast("bigint"))
+    w1 = Window.partitionBy(*keys, "__blk").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("__in", F.last(value, ignorenulls=True).over(w1))
+    # every block, with its last non-NULL value (NULL when it has none)
+    blocks = d.groupBy(*keys, "__blk").agg(
+        F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.col(order))).alias("__blast"))
+    w2 = Window.partitionBy(*keys).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(*keys, "__blk", F.last("__blast", ignorenulls=True).over(w2).alias("__prev"))
+    j = d.join(blocks, [*keys, "__blk"], "left")
+    return j.withColumn(out, F.coalesce(F.col("__in"), F.col("__prev"))).drop("__blk", "__in", "__prev")
 
 
 def epoch_history(steps: DataFrame, by: Sequence[str] = ("file",)) -> DataFrame:

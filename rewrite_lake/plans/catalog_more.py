@@ -18,7 +18,7 @@ from ..operators import prepare as P
 from ..operators import rewards as RW
 from ..operators import runs as RU
 from ..operators import sampling as SM
-from ..session import spread
+from ..session import broadcast_if_small, spread
 from ..sources import fixtures as FX
 from ..sources.tables import table
 from .catalog import _pairs, _samples, query, r6
@@ -194,14 +194,16 @@ def style_centroid(spark, sf_dir):
     """Score every vector by cosine to its label's centroid (UDF-06).
 
     The centroid is a mergeable ML ``Summarizer.mean`` per label (partial
-    aggregate, one row per label and task); the small centroid table is joined
-    back on label -- AQE broadcasts it when its measured size allows.
+    aggregate, one row per label and task); the centroid table is broadcast
+    after a row-count check, so no hot label lands in one join task.
     """
     emb = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
     cents = emb.groupBy("label").agg(
         Summarizer.mean(array_to_vector(F.col("embedding"))).alias("c")).select(
         "label", vector_to_array(F.col("c")).alias("centroid"))
-    j = emb.join(cents, "label")
+    # centroids: one row per label; a hot label must not skew a join on a
+    # 10-value key, so the (counted, bounded) centroid table is broadcast
+    j = emb.join(broadcast_if_small(cents, max_rows=100_000), "label")
     return j.select("vec_id", "label", r6(V.cosine(F.col("embedding"), F.col("centroid"))).alias("score"))
 
 

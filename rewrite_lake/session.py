@@ -78,3 +78,12 @@ def spread(df, min_partitions: int | None = None):
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
+
+
+def broadcast_if_small(df, max_rows: int = 100_000):
+    """Broadcast ``df`` only after checking its row count (one small aggregate
+    job); otherwise leave the join to the planner (sort-merge + AQE skew
+    handling)."""
+    from pyspark.sql import functions as F
+    n = df.count()
+    return F.broadcast(df) if n <= max_rows else df

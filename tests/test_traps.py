@@ -200,3 +200,14 @@ def test_batch_udf_equals_expression(spark):
     udf = BK.batch_scorer(BK.LexiconToxicity, batch_size=2)
     r = df.select(udf(F.col("t")).alias("u"), S.toxicity_prob(F.col("t")).alias("e")).collect()
     assert [x["u"] for x in r] == pytest.approx([x["e"] for x in r])
+
+
+def test_forward_fill_blocks(spark):
+    rows = [("f", i, (i // 10) if i % 10 == 0 and i < 45 else None) for i in range(100)]
+    df = spark.createDataFrame(rows, "file string, line_no int, mark int")
+    got = {r["line_no"]: r["e"] for r in RU.forward_fill(df, ["file"], "line_no", "mark", "e", block=7).collect()}
+    want, cur = {}, None
+    for _, i, m in rows:
+        cur = m if m is not None else cur
+        want[i] = cur
+    assert got == want
