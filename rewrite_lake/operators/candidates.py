@@ -45,13 +45,10 @@ RULE_MODELS: dict[str, RuleModel] = {
 DEFAULT_MODELS = ("identity", "drop", "mask", "half")
 
 
-def candidates(samples: DataFrame, models: Sequence[str] = DEFAULT_MODELS,
-               source: str = "source", keep: Sequence[str] = ("sample_id",)) -> DataFrame:
-    """Explode every sample into its candidates.
-
-    Output: ``*keep, model_idx, model, candidate_rank, text``.  ``text`` is
-    the rewrite stripped of surrounding whitespace, like decoded model output.
-    """
+def candidate_array(models: Sequence[str] = DEFAULT_MODELS, source: str = "source") -> Column:
+    """All candidates of a sample as one ``array<struct<model_idx, model,
+    candidate_rank, text>>`` in generation order.  ``text`` is the rewrite
+    stripped of surrounding whitespace, like decoded model output."""
     if not models:
         raise ValueError("At least one model must be specified for candidate generation.")
     src = F.col(source)
@@ -62,7 +59,16 @@ def candidates(samples: DataFrame, models: Sequence[str] = DEFAULT_MODELS,
         for rank, expr in enumerate(RULE_MODELS[name](src)):
             structs.append(F.struct(F.lit(idx).alias("model_idx"), F.lit(name).alias("model"),
                                     F.lit(rank).alias("candidate_rank"), ustrip(expr).alias("text")))
-    return samples.select(*keep, F.inline(F.array(*structs)))
+    return F.array(*structs)
+
+
+def candidates(samples: DataFrame, models: Sequence[str] = DEFAULT_MODELS,
+               source: str = "source", keep: Sequence[str] = ("sample_id",)) -> DataFrame:
+    """Explode every sample into its candidates.
+
+    Output: ``*keep, model_idx, model, candidate_rank, text``.
+    """
+    return samples.select(*keep, F.inline(candidate_array(models, source)))
 
 
 def python_candidates(samples: DataFrame, generator_factory, model_idx: int, model: str,
