@@ -167,3 +167,18 @@ def config_frame(spark: SparkSession, cfg: dict) -> DataFrame:
 def numbered(df: DataFrame, order: str) -> DataFrame:
     """Row numbers within a file (line order) -- a window per file, a bounded unit."""
     return df.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy(order)))
+
+
+def write_bucketed(df: DataFrame, table_name: str, key: str, buckets: int, sort: bool = True,
+                   mode: str = "overwrite") -> None:
+    """Persist a table bucketed (and sorted) by ``key``.
+
+    Documents and labels joined on ``doc_id`` would otherwise shuffle every
+    document's text at each join; written with the same bucket count on the
+    same key, the sort-merge join reads matching buckets side by side with no
+    exchange.
+    """
+    w = df.write.mode(mode).format("parquet").bucketBy(buckets, key)
+    if sort:
+        w = w.sortBy(key)
+    w.saveAsTable(table_name)

@@ -99,3 +99,20 @@ def test_config_models_and_generation(spark, tmpdir_path):
     assert [r["name"] for r in rows] == ["a", "b"]
     assert [r["num_beams"] for r in rows] == [6, 2]
     assert all(r["top_p"] is None for r in rows)   # sampling-only keys dropped without do_sample
+
+
+def test_bucketed_join_has_no_exchange(spark):
+    from rewrite_lake.sources.files import write_bucketed
+    docs = spark.range(0, 200).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    labels = spark.range(0, 200, 3).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("toxic"))
+    write_bucketed(docs, "t_docs_bkt", "doc_id", 4)
+    write_bucketed(labels, "t_labels_bkt", "doc_id", 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        j = spark.table("t_docs_bkt").join(spark.table("t_labels_bkt"), "doc_id")
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and j.count() == 67
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("drop table if exists t_docs_bkt")
+        spark.sql("drop table if exists t_labels_bkt")
