@@ -21,6 +21,7 @@ from ..sources.fixtures import LEXICON_RE
 from .multiset import sum_of, with_matched_counts, with_run_counts
 from .text import split_ws
 
+# Own parameters of the offline default scorers (not reference values).
 TOX_K = 1.0
 # A "word-like" token: letters, optionally followed by closing punctuation.
 WORD_RE = r"^[A-Za-z]+[.,!?;:'\"]*$"

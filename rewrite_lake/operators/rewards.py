@@ -18,6 +18,9 @@ from ..functions import scorers as S
 from ..functions.text import clip, token_count, ustrip
 from ..functions.vectors import cosine_to_unit
 
+# Fixed values that must equal the reference's for equal results: the
+# z-score epsilon (added to the std) and clip, the trivial-output penalty,
+# and the KL coefficient bounds (below).
 EPS = 1e-6
 Z_CLIP = 2.5
 TRIVIAL_PENALTY = 0.2
@@ -126,7 +129,7 @@ def masked_mean(values, mask) -> Column:
 
 # --- adaptive KL controller as an associative scan -------------------------------
 
-KL_MIN, KL_MAX = 0.02, 1.0
+KL_MIN, KL_MAX = 0.02, 1.0  # fixed values (controller bounds)
 INF = float("inf")
 
 
