@@ -137,13 +137,13 @@ def dense_ids(spark, sf_dir):
 
 # --- metric bundles ----------------------------------------------------------------------
 
-def _bundle_cols(df):
+def _bundle_cols():
     return [F.col("n").cast("bigint").alias("n"), *[r6(F.col(k)).alias(k) for k in M.METRIC_KEYS]]
 
 
 @query
 def metric_bundle(spark, sf_dir):
-    return M.evaluate_pairs(_triples(spark, sf_dir)).select(*_bundle_cols(None))
+    return M.evaluate_pairs(_triples(spark, sf_dir)).select(*_bundle_cols())
 
 
 def doc_lines(spark, sf_dir) -> DataFrame:
@@ -158,7 +158,7 @@ def metric_bundle_by_lang(spark, sf_dir):
     lines = doc_lines(spark, sf_dir).select(
         "lang", F.col("line").alias("toxic"), FX.synthetic_reference(F.col("line")).alias("neutral1"),
         F.regexp_replace(FX.mask_lexicon(F.col("line")), r"(?U)\A\s+|\s+\z", "").alias("model_output"))
-    return M.evaluate_pairs(lines, by=["lang"]).select("lang", *_bundle_cols(None))
+    return M.evaluate_pairs(lines, by=["lang"]).select("lang", *_bundle_cols())
 
 
 @query

@@ -5,7 +5,8 @@ operators consume are derived from the driver tables:
 
 * ``pairs_wide``   -- (toxic, neutral1..3) pairs from user turns and later turns
 * ``line_samples`` -- English labelled document lines, the rerank samples
-* ``candidates``   -- rule-"model" rewrites of every line sample
+* rule samples     -- line samples with a synthetic reference (candidates
+                      are generated by ``operators.candidates``)
 * ``rollouts``     -- rollout-shaped numbers from ``events``
 * ``runs``         -- (model, variant) metric rows from documents x labels
 * ``vec_pairs``    -- consecutive embedding pairs

@@ -116,3 +116,23 @@ def test_bucketed_join_has_no_exchange(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("drop table if exists t_docs_bkt")
         spark.sql("drop table if exists t_labels_bkt")
+
+
+def test_read_lines_and_require_columns(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "lines.txt")
+    with open(path, "w") as f:
+        f.write("  first line \n\n\tsecond \n   \nthird\n")
+    got = [(r["line_no"], r["text"]) for r in IO.read_lines(spark, path).orderBy("line_no").collect()]
+    assert got == [(0, "first line"), (2, "second"), (4, "third")]   # blank lines dropped, order kept
+    df = spark.createDataFrame([("a", "b")], "toxic string, neutral1 string")
+    assert IO.require_columns(df, ["toxic"], optional=["neutral1", "neutral2"]) == ["neutral2"]
+    with pytest.raises(ValueError):
+        IO.require_columns(df, ["model_output"])
+
+
+def test_write_csv_round_trip(spark, tmpdir_path):
+    df = spark.createDataFrame([("m1", 0.5), ("m2", None)], "Model string, J double")
+    path = os.path.join(tmpdir_path, "summary.csv")
+    IO.write_csv(df, path, single_file=True)
+    back = spark.read.option("header", "true").csv(path).orderBy("Model").collect()
+    assert [(r["Model"], r["J"]) for r in back] == [("m1", "0.5"), ("m2", None)]
