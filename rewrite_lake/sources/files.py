@@ -26,7 +26,9 @@ def read_tsv(spark: SparkSession, path: str, columns: Sequence[str] | None = Non
     """Header TSV with quoted fields; pandas' NA words and empty fields -> NULL (SRC-01, T6).
 
     All columns are read as strings (no schema inference pass over the data);
-    ``columns`` selects and orders them.
+    ``columns`` selects and orders them.  ``multiline`` honours quoted
+    newlines like pandas but makes each file one split; for large single
+    files without embedded newlines pass ``multiline=False`` to split them.
     """
     opts = dict(_CSV_IO, multiLine=str(multiline).lower(), inferSchema="false")
     df = spark.read.options(**opts).csv(path)
@@ -46,8 +48,8 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Text file -> (line_no, text): each line stripped, blank lines dropped,
     original order kept in ``line_no`` (SRC-02).  ``wholetext`` keeps one file
     per row so line numbers are exact; for many files each is its own row."""
-    raw = spark.read.option("wholetext", "true").text(path).select(
-        F.col("_metadata.file_path").alias("file"), "value")
+    # text()'s own wholetext argument overrides .option(), so pass it here
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     lines = raw.select("file", F.posexplode(F.split(F.col("value"), "\r?\n", -1)).alias("line_no", "text"))
     lines = lines.select("file", "line_no", ustrip(F.col("text")).alias("text"))
     return lines.where(F.col("text") != "")
@@ -59,7 +61,7 @@ def read_metrics_tree(spark: SparkSession, root: str, file_name: str = "metrics.
     The run name is the parent directory's basename (PRJ-20).
     """
     raw = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", file_name)
-           .option("wholetext", "true").text(root)
+           .text(root, wholetext=True)
            .select(F.col("_metadata.file_path").alias("path"), "value"))
     run = F.element_at(F.split(F.col("path"), "/"), -2)
     return raw.select(run.alias("run"), F.posexplode(F.split(F.col("value"), "\r?\n", -1)).alias("line_no", "line"))
@@ -95,8 +97,7 @@ def read_trainer_state(spark: SparkSession, path: str) -> DataFrame:
 
 def read_step_logs(spark: SparkSession, path: str) -> DataFrame:
     """Run logs -> (file, line_no, line), ready for ``runs.parse_log_lines`` (SRC-05)."""
-    raw = spark.read.option("wholetext", "true").text(path).select(
-        F.col("_metadata.file_path").alias("file"), "value")
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     return raw.select("file", F.posexplode(F.split(F.col("value"), "\r?\n", -1)).alias("line_no", "line"))
 
 

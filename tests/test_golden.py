@@ -80,8 +80,10 @@ def test_step_log_parse(spark):
     kinds = {r["kind"]: r["count"] for r in parsed.groupBy("kind").count().collect()}
     assert kinds["step"] == 167 and kinds["eval"] == 3 and kinds["error"] == 1
     assert parsed.where((F.col("kind") == "step") & F.col("epoch").isNull()).count() == 0
-    hist = RU.epoch_history(parsed)
-    assert hist.count() >= 3
+    assert parsed.select("line_no").distinct().count() == parsed.count()   # one row per line, numbered
+    hist = {r["epoch"]: r["steps"] for r in RU.epoch_history(parsed).collect()}
+    assert sorted(hist) == [1, 2, 3, 4] and sum(hist.values()) == 167
+    assert all(hist[e] == 50 for e in (1, 2, 3))                         # 50 steps per full epoch
 
 
 def test_all_logs_parse(spark):

@@ -66,7 +66,7 @@ def test_metrics_text_round_trip(spark, tmpdir_path):
     root = os.path.join(tmpdir_path, "metrics")
     IO.write_metrics_text(df, root, ["BLEU", "STA", "SIM", "FL", "J"], run="run")
     # one folder per run (run=runA/part-*.txt): rename-free read via the tree reader
-    lines = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(root).select(
+    lines = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True).select(
         F.regexp_extract(F.col("_metadata.file_path"), r"run=([^/]+)", 1).alias("run"),
         F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
     got = {r["Model"]: r["J"] for r in RU.run_summary(RU.parse_metric_lines(lines)).collect()}
