@@ -96,7 +96,8 @@ def _samples(spark, sf_dir):
 
 
 def _scored(spark, sf_dir):
-    return RR.rerank(_samples(spark, sf_dir), weights=RERANK_WEIGHTS)
+    # rerank hash-partitions the samples by id itself (no round-robin spread)
+    return RR.rerank(FX.rule_samples(spark, sf_dir), weights=RERANK_WEIGHTS)
 
 
 @query

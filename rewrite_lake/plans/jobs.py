@@ -74,7 +74,7 @@ def rerank_job(spark: SparkSession, cfg: dict, samples: DataFrame | None = None,
                            name="row_id").drop("__line")
         samples = select_samples(raw, cfg.get("source_column", "toxic"), cfg.get("reference_column", "neutral1"),
                                  cfg.get("max_samples"), cfg.get("sample_strategy", "head"), cfg.get("sample_seed"))
-    scored, _ = RR.rerank(spread(samples), models=models, weights=scoring.get("objective_weights"),
+    scored, _ = RR.rerank(samples, models=models, weights=scoring.get("objective_weights"),
                           threshold=float(scoring.get("toxicity_threshold", 0.5)))
     # both outputs read the scored candidates: cut the lineage once, reliably
     ensure_checkpoint_dir(spark)
