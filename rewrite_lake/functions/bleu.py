@@ -96,25 +96,40 @@ def with_ref_prepared(df: DataFrame, ref, out: str, max_order: int = MAX_ORDER)
 
 
 def with_bleu_stats(df: DataFrame, hyp, ref, out: str = "bleu_stats",
-                    ref_prepared: bool = False, max_order: int = MAX_ORDER) -> DataFrame:
+                    ref_prepared: bool = False, max_order: int = MAX_ORDER,
+                    ref_text=None) -> DataFrame:
     """Add ``out``: the 10 sufficient statistics of BLEU per row (a struct).
 
     ``hyp`` and ``ref`` are string columns (13a-tokenized here); with
-    ``ref_prepared=True`` ``ref`` names a column made by ``with_ref_prepared``.
-    Built in stages so every intermediate array is computed once per row; the
-    four clipped counts come from one pass over the matched n-grams.
+    ``ref_prepared=True`` ``ref`` names a column made by ``with_ref_prepared``
+    and ``ref_text`` may give the reference string.  Built in stages so every
+    intermediate array is computed once per row; the four clipped counts come
+    from one pass over the matched n-grams.
+
+    Identity fast path: when the hypothesis equals the reference string, every
+    n-gram matches (``correct[n] = total[n]``), so those rows skip n-gram
+    building and matching.
     """
     ht, hb, hr, m, rp = (f"{out}__ht", f"{out}__hb", f"{out}__hr", f"{out}__m", f"{out}__rp")
+    hyp_c = F.col(hyp) if isinstance(hyp, str) else hyp
     if not ref_prepared:
-        df = with_ref_prepared(df, ref, rp, max_order)
+        ref_text = F.col(ref) if isinstance(ref, str) else ref
+    same_col = f"{out}__same"
+    df = df.withColumn(same_col, hyp_c.eqNullSafe(ref_text) if ref_text is not None else F.lit(False))
+    same = F.col(same_col)
+    if not ref_prepared:
+        df = with_ref_prepared(df, F.when(same, F.lit("")).otherwise(ref_text), rp, max_order)
         ref = rp
     refc = F.col(ref) if isinstance(ref, str) else ref
-    df = df.withColumn(ht, tokenize_13a(hyp))
-    df = df.withColumn(hb, ngram_bag(F.col(ht), max_order))
+    empty = F.array().cast("array<string>")
+    df = df.withColumn(ht, tokenize_13a(hyp_c))
+    df = df.withColumn(hb, F.when(same, empty).otherwise(ngram_bag(F.col(ht), max_order)))
     df = with_run_counts(df, hb, hr, side=0)
-    df = df.withColumn(f"{out}__rr", refc["runs"])
+    df = df.withColumn(f"{out}__rr", F.when(same, F.array().cast("array<struct<v:string,side:int,c:int>>"))
+                       .otherwise(refc["runs"]))
     df = with_matched_counts(df, hr, f"{out}__rr", m)
-    hyp_len, ref_len = F.size(F.col(ht)), refc["len"]
+    hyp_len = F.size(F.col(ht))
+    ref_len = F.when(same, hyp_len).otherwise(refc["len"])
     zero = F.lit(0).cast("bigint")
     init = F.struct(*[zero.alias(f"c{n}") for n in range(1, max_order + 1)])
 
@@ -125,12 +140,13 @@ def with_bleu_stats(df: DataFrame, hyp, ref, out: str = "bleu_stats",
                           for n in range(1, max_order + 1)])
 
     df = df.withColumn(f"{out}__c", F.aggregate(F.col(m), init, add))
-    fields = [F.col(f"{out}__c")[f"c{n}"].alias(f"c{n}") for n in range(1, max_order + 1)]
-    for n in range(1, max_order + 1):
-        fields.append(F.greatest(hyp_len - n + 1, F.lit(0)).cast("bigint").alias(f"t{n}"))
+    totals = [F.greatest(hyp_len - n + 1, F.lit(0)).cast("bigint") for n in range(1, max_order + 1)]
+    fields = [F.when(same, totals[n - 1]).otherwise(F.col(f"{out}__c")[f"c{n}"]).alias(f"c{n}")
+              for n in range(1, max_order + 1)]
+    fields += [totals[n - 1].alias(f"t{n}") for n in range(1, max_order + 1)]
     fields.append(hyp_len.cast("bigint").alias("hyp_len"))
     fields.append(ref_len.cast("bigint").alias("ref_len"))
-    df = df.withColumn(out, F.struct(*fields)).drop(ht, hb, hr, m, f"{out}__rr", f"{out}__c")
+    df = df.withColumn(out, F.struct(*fields)).drop(ht, hb, hr, m, f"{out}__rr", f"{out}__c", same_col)
     return df.drop(rp) if rp in df.columns else df
 
 

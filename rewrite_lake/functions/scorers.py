@@ -75,21 +75,29 @@ def with_bow_runs(df: DataFrame, col, out: str, side: int = 1) -> DataFrame:
     return with_run_counts(df.withColumn(tmp, bow_tokens(col)), tmp, out, side=side).drop(tmp)
 
 
-def with_bow_cosine(df: DataFrame, a, b, out: str = "sim", b_runs: bool = False) -> DataFrame:
+def with_bow_cosine(df: DataFrame, a, b, out: str = "sim", b_runs: bool = False, b_text=None) -> DataFrame:
     """Add ``out``: cosine of the token-count vectors of columns ``a`` and ``b``.
 
     Exact bag-of-words cosine with O(n log n) sorted-run matching; 0 when a
-    side has no tokens.  ``b_runs=True``: ``b`` already holds runs.
+    side has no tokens.  ``b_runs=True``: ``b`` already holds runs, and
+    ``b_text`` may give its string.  Identity fast path: equal strings have
+    cosine 1 (0 without tokens) and skip the run matching.
     """
-    ra, rb, m = f"{out}__ra", f"{out}__rb", f"{out}__m"
-    df = with_bow_runs(df, a, ra, side=0)
+    ra, rb, m, same_col = f"{out}__ra", f"{out}__rb", f"{out}__m", f"{out}__same"
+    a_c = F.col(a) if isinstance(a, str) else a
+    other = b_text if b_runs else (F.col(b) if isinstance(b, str) else b)
+    df = df.withColumn(same_col, a_c.eqNullSafe(other) if other is not None else F.lit(False))
+    same = F.col(same_col)
+    df = with_bow_runs(df, F.when(same, F.lit("")).otherwise(a_c), ra, side=0)
     if b_runs:
-        df = df.withColumn(rb, F.col(b) if isinstance(b, str) else b)
+        runs_t = "array<struct<v:string,side:int,c:int>>"
+        df = df.withColumn(rb, F.when(same, F.array().cast(runs_t)).otherwise(F.col(b) if isinstance(b, str) else b))
     else:
-        df = with_bow_runs(df, b, rb, side=1)
+        df = with_bow_runs(df, F.when(same, F.lit("")).otherwise(other), rb, side=1)
     df = with_matched_counts(df, ra, rb, m)
     dotp = sum_of(F.col(m), lambda x: x["ca"].cast("bigint") * x["cb"]).cast("double")
     na = sum_of(F.col(ra), lambda x: x["c"].cast("bigint") * x["c"]).cast("double")
     nb = sum_of(F.col(rb), lambda x: x["c"].cast("bigint") * x["c"]).cast("double")
     cos = F.when((na > 0) & (nb > 0), dotp / F.sqrt(na * nb)).otherwise(F.lit(0.0))
-    return df.withColumn(out, cos).drop(ra, rb, m)
+    ident = F.when(F.size(bow_tokens(a_c)) > 0, F.lit(1.0)).otherwise(F.lit(0.0))
+    return df.withColumn(out, F.when(same, ident).otherwise(cos)).drop(ra, rb, m, same_col)
