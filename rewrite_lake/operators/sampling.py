@@ -163,3 +163,26 @@ def batch_cycle(df: DataFrame, batch_size: int, seed: int, ids, passes: int,
 def dense_ids(df: DataFrame, order: Column, buckets: int | None = None, name: str = "row_id") -> DataFrame:
     """0..n-1 in ``order`` (numeric, unique) after filtering (SMP-08)."""
     return global_rank(df, order, buckets=buckets, uniform=False, rank_col=name, total_col=None)
+
+
+def lead_by_rank(df: DataFrame, partition: str, order: str, value: str, offsets: dict[int, str],
+                 buckets: int | None = None) -> DataFrame:
+    """``lead(value, k) over (partition by p order by o)`` for each ``k -> name``,
+    without a window partitioned by ``p``.
+
+    Every row gets a global dense rank over the composite key (p, o); the
+    bucket bounds come from quantiles of that key, so one huge partition
+    value spreads over many buckets.  ``lead(k)`` is then an equi-join on
+    (p, rank + k) -- unique keys, no hot join task.  ``p`` and ``o`` must be
+    non-negative integers and (p, o) unique.
+    """
+    span = (df.agg(F.max(order)).first()[0] or 0) + 1           # one small aggregate
+    key = F.col(partition).cast("bigint") * F.lit(int(span)) + F.col(order).cast("bigint")
+    ranked = dense_ids(df, key, buckets=buckets, name="__r")
+    out = ranked
+    for k, name in offsets.items():
+        nxt = ranked.select(F.col(partition).alias("__p2"), (F.col("__r") - F.lit(k)).alias("__r2"),
+                            F.col(value).alias(name))
+        out = out.join(nxt, (F.col(partition) == F.col("__p2")) & (F.col("__r") == F.col("__r2")), "left") \
+                 .drop("__p2", "__r2")
+    return out.drop("__r")

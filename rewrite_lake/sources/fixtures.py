@@ -16,7 +16,7 @@ All are plain DataFrame plans: their work grows with the tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import split_ws
@@ -33,17 +33,14 @@ def pairs_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turn as ``toxic``; the turns 1, 3 and 5 later as neutral1..3.
 
     ``neutral2`` is blanked for every third pair so absent targets occur.
-    The lead() window is partitioned by conversation, which is a natural,
-    small group (tens of turns).
+    The view is defined with ``lead()`` over each conversation; it is
+    computed with :func:`~rewrite_lake.operators.sampling.lead_by_rank`
+    (global ranks + equi-joins), so one huge conversation is not one task.
     """
-    conv = table(spark, sf_dir, "conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    t = conv.select(
-        "conv_id", "turn", "role", "text",
-        (F.col("conv_id") + F.col("turn")).alias("pair_no"),
-        F.lead("text", 1).over(w).alias("n1"),
-        F.lead("text", 3).over(w).alias("n2"),
-        F.lead("text", 5).over(w).alias("n3"))
+    from ..operators.sampling import lead_by_rank
+    conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    t = lead_by_rank(conv, "conv_id", "turn", "text", {1: "n1", 3: "n2", 5: "n3"})
+    t = t.withColumn("pair_no", F.col("conv_id") + F.col("turn"))
     return t.where(F.col("role") == "user").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("pair_row"),
         "conv_id",

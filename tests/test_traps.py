@@ -211,3 +211,14 @@ def test_forward_fill_blocks(spark):
         cur = m if m is not None else cur
         want[i] = cur
     assert got == want
+
+
+def test_lead_by_rank_equals_window(spark):
+    from pyspark.sql import Window
+    rows = [(0, t, f"a{t}") for t in range(0, 300, 3)] + [(1, t, f"b{t}") for t in (0, 5, 6)] + [(2, 0, "c0")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, text string")
+    got = SM.lead_by_rank(df, "conv_id", "turn", "text", {1: "n1", 3: "n3"}, buckets=8)
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    want = df.select("conv_id", "turn", "text", F.lead("text", 1).over(w).alias("n1"),
+                     F.lead("text", 3).over(w).alias("n3"))
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
