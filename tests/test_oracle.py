@@ -40,3 +40,9 @@ def test_query_matches_oracle(spark, con, name):
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
+
+
+def test_no_cartesian_or_nested_loop_plans(spark):
+    from tools.plan_audit import FORBIDDEN, audit
+    for name, info in audit(spark, SF).items():
+        assert not any(info.get(f) for f in FORBIDDEN), name
