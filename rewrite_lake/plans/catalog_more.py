@@ -8,7 +8,6 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import bleu as B
 from ..functions import scorers as S
 from ..functions import text as T
 from ..functions import vectors as V
