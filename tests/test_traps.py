@@ -222,3 +222,33 @@ def test_lead_by_rank_equals_window(spark):
     want = df.select("conv_id", "turn", "text", F.lead("text", 1).over(w).alias("n1"),
                      F.lead("text", 3).over(w).alias("n3"))
     assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_13a_whitespace_matches_python_split(spark):
+    texts = ["a b", "a\x1cb c", "x y\tz", "  lead and trail 　", "tab\there", "", "ok."]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r["n"] for r in df.select(F.size(B.tokenize_13a(F.col("t"))).alias("n")).collect()]
+    # Python's str.split() treats these code points as whitespace too
+    want = [len((" " + t.rstrip().replace(".", " .") + " ").split()) for t in texts]
+    assert got == want
+
+
+def test_t12_population_vs_sample_std(spark):
+    import statistics
+    vals = [0.1, 0.4, 0.4, 0.9]
+    df = spark.createDataFrame([(1, 1, v, 0.0) for v in vals], "batch_id int, step int, x double, v double")
+    z = [r["z"] for r in df.select(RW.zscore(F.col("x"), "batch_id").alias("z")).collect()]
+    mu, sd = statistics.fmean(vals), statistics.pstdev(vals)
+    assert z == pytest.approx([max(-2.5, min(2.5, (x - mu) / (sd + 1e-6))) for x in vals])
+    a = [r["a"] for r in df.select(RW.advantage(F.col("x"), F.col("v"), F.col("step")).alias("a")).collect()]
+    assert a == pytest.approx([(x - mu) / (statistics.stdev(vals) + 1e-6) for x in vals])
+
+
+def test_t3_three_sims(spark):
+    from rewrite_lake.functions import vectors as V
+    df = spark.createDataFrame([([1.0, 0.0], [-1.0, 0.0]), ([3.0, 4.0], [3.0, 4.0])], "a array<double>, b array<double>")
+    r = df.select(V.cosine("a", "b").alias("raw"), V.cosine_to_unit(V.cosine("a", "b")).alias("unit"),
+                  T.clip(V.cosine("a", "b"), -1.0, 1.0).alias("clipped")).collect()
+    assert [x["raw"] for x in r] == pytest.approx([-1.0, 1.0])
+    assert [x["unit"] for x in r] == pytest.approx([0.0, 1.0])
+    assert [x["clipped"] for x in r] == pytest.approx([-1.0, 1.0])
