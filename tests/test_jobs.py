@@ -136,3 +136,20 @@ def test_write_csv_round_trip(spark, tmpdir_path):
     IO.write_csv(df, path, single_file=True)
     back = spark.read.option("header", "true").csv(path).orderBy("Model").collect()
     assert [(r["Model"], r["J"]) for r in back] == [("m1", "0.5"), ("m2", None)]
+
+
+def test_rerank_with_python_generator_candidates(spark):
+    from rewrite_lake.operators import rerank as RR
+
+    class Polite:
+        def generate(self, prompts):
+            return [["please " + p.replace("idiot", "friend"), p] for p in prompts]
+
+    samples = spark.createDataFrame([(0, "you idiot go away", "you go away"), (1, "hello there", "hello there")],
+                                    "sample_id bigint, source string, reference string")
+    extra = C.python_candidates(samples, Polite, model_idx=1, model="polite", num_return=2)
+    scored, best = RR.rerank(samples, models=["identity"], extra_candidates=extra)
+    assert scored.count() == 2 * 3
+    got = {r["sample_id"]: (r["model"], r["candidate_rank"]) for r in best.collect()}
+    assert got[1] == ("identity", 0)          # tie with polite rank 1 -> config order wins (T10)
+    assert got[0][0] == "polite"              # the non-toxic rewrite wins
