@@ -57,25 +57,62 @@ def select_samples(df: DataFrame, source: str, reference: str, max_samples: int
 
 
 def rerank_job(spark: SparkSession, cfg: dict, samples: DataFrame | None = None,
-               output_dir: str | None = None) -> dict[str, DataFrame]:
+               output_dir: str | None = None, generators: dict | None = None) -> dict[str, DataFrame]:
     """The rerank job (RPT-05/06): samples -> candidates -> scores -> top-1 ->
     corpus metrics; writes the four outputs when ``output_dir`` is given.
 
     ``samples`` (sample_id, source, reference) may be any DataFrame -- one
     row, a TSV, a table -- otherwise the config's dataset TSV is read.
+    ``generators`` maps a config model name to a Python generator factory
+    (``mapInPandas`` backend, ``num_return_sequences`` from the effective
+    generation config); every other model must be a rule model.  Config
+    order defines ``model_idx`` for both kinds, so ties follow it (T10).
     """
+    from ..operators.candidates import RULE_MODELS, python_candidates
     scoring = cfg.get("scoring") or {}
-    models = [m.get("name") for m in cfg.get("models") or []]
-    if not models:
+    model_cfgs = cfg.get("models") or []
+    if not model_cfgs:
         raise ValueError("At least one model must be specified for candidate generation.")
+    generators = generators or {}
+    names = [m.get("name") or str(m.get("path", "")).rstrip("/").split("/")[-1] for m in model_cfgs]
     if samples is None:
         raw = IO.read_tsv(spark, cfg.get("dataset_path"))
         raw = SM.dense_ids(raw.withColumn("__line", F.monotonically_increasing_id()), F.col("__line"),
                            name="row_id").drop("__line")
         samples = select_samples(raw, cfg.get("source_column", "toxic"), cfg.get("reference_column", "neutral1"),
                                  cfg.get("max_samples"), cfg.get("sample_strategy", "head"), cfg.get("sample_seed"))
-    scored, _ = RR.rerank(samples, models=models, weights=scoring.get("objective_weights"),
-                          threshold=float(scoring.get("toxicity_threshold", 0.5)))
+    if not any(n in generators for n in names):
+        unknown = [n for n in names if n not in RULE_MODELS]
+        if unknown:
+            raise ValueError(f"model {unknown[0]!r} is neither a rule model nor given a generator")
+        scored, _ = RR.rerank(samples, models=names, weights=scoring.get("objective_weights"),
+                              threshold=float(scoring.get("toxicity_threshold", 0.5)))
+        return _finish_rerank(spark, cfg, scored, output_dir)
+    rule_models = [n if n in RULE_MODELS else None for n in names]
+    extra = None
+    for idx, (name, mcfg) in enumerate(zip(names, model_cfgs)):
+        if name in generators:
+            gen = {**(cfg.get("generation") or {}), **(mcfg.get("generation") or {})}
+            part = python_candidates(samples, generators[name], idx, name,
+                                     int(gen.get("num_return_sequences", 1)))
+            extra = part if extra is None else extra.unionByName(part)
+        elif name not in RULE_MODELS:
+            raise ValueError(f"model {name!r} is neither a rule model nor given a generator")
+    # rule models keep their config position: build them with their own indices
+    rule_df = None
+    if any(rule_models):
+        from ..operators.candidates import candidates
+        for idx, name in enumerate(rule_models):
+            if name:
+                part = candidates(samples, [name]).withColumn("model_idx", F.lit(idx))
+                rule_df = part if rule_df is None else rule_df.unionByName(part)
+    allc = extra if rule_df is None else rule_df.unionByName(extra)   # extra is set in this branch
+    scored, _ = RR.rerank(samples, models=[], weights=scoring.get("objective_weights"),
+                          threshold=float(scoring.get("toxicity_threshold", 0.5)), extra_candidates=allc)
+    return _finish_rerank(spark, cfg, scored, output_dir)
+
+
+def _finish_rerank(spark: SparkSession, cfg: dict, scored: DataFrame, output_dir: str | None) -> dict:
     # both outputs read the scored candidates: cut the lineage once, reliably
     ensure_checkpoint_dir(spark)
     scored = scored.checkpoint(eager=True)

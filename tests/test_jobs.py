@@ -153,3 +153,19 @@ def test_rerank_with_python_generator_candidates(spark):
     got = {r["sample_id"]: (r["model"], r["candidate_rank"]) for r in best.collect()}
     assert got[1] == ("identity", 0)          # tie with polite rank 1 -> config order wins (T10)
     assert got[0][0] == "polite"              # the non-toxic rewrite wins
+
+
+def test_rerank_job_with_generator_backend(spark):
+    class Echo:
+        def generate(self, prompts):
+            return [[p.replace("idiot", "friend"), p + "!"] for p in prompts]
+
+    one = spark.createDataFrame([(0, "you idiot", "you friend")], "sample_id bigint, source string, reference string")
+    cfg = {"generation": {"num_return_sequences": 2},
+           "models": [{"name": "identity"}, {"name": "echo", "path": "/models/echo"}]}
+    res = jobs.rerank_job(spark, cfg, samples=one, generators={"echo": Echo})
+    allc = res["all_candidates"].orderBy("model", "candidate_rank").collect()
+    assert [(r["model"], r["candidate_rank"]) for r in allc] == [("echo", 0), ("echo", 1), ("identity", 0)]
+    assert res["selected"].first()["model_output"] == "you friend"
+    with pytest.raises(ValueError):
+        jobs.rerank_job(spark, {"models": [{"name": "unknown-model"}]}, samples=one)
