@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, secrets
+from . import decontaminate, mixing, quality_rules, secrets, token_counts
 
-MODULES = [quality_rules, secrets, mixing]
+MODULES = [token_counts, quality_rules, secrets, decontaminate, mixing]
 QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
