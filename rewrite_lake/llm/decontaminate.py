@@ -50,8 +50,8 @@ class Index:
 
     def __init__(self, items: list[tuple[int, list[bytes], list[bytes]]]):
         self.ids = [i for i, _, _ in items]
-        # parts shorter than a shingle are held by their single words
-        self.question, self.answer = ([shingles(x, SHINGLE if len(x) >= SHINGLE else 1) for x in part]
+        # short parts, where one changed word breaks most shingles, go by their single words
+        self.question, self.answer = ([shingles(x, SHINGLE if len(x) >= 3 * SHINGLE else 1) for x in part]
                                       for part in zip(*[(q, a) for _, q, a in items], strict=True))
         texts = [q + a for _, q, a in items]
         self.whole = [shingles(t) for t in texts]

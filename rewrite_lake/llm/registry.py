@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, quality_rules, secrets, token_counts
+from . import decontaminate, minhash_join, mixing, quality_rules, secrets, token_counts
 
-MODULES = [token_counts, quality_rules, secrets, decontaminate, mixing]
+MODULES = [token_counts, quality_rules, secrets, decontaminate, minhash_join, mixing]
 QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
