@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, repeats, minhash_join, mixing, quality_rules, repeats, secrets, token_counts
+from . import decontaminate, warc, repeats, minhash_join, mixing, quality_rules, repeats, secret_scan, token_counts, warc
 
-MODULES = [token_counts, quality_rules, secrets, decontaminate, repeats, minhash_join, mixing]
+MODULES = [token_counts, quality_rules, secret_scan, decontaminate, warc, repeats, minhash_join, mixing]
 QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
