@@ -27,6 +27,8 @@ CAP = 3
 SEED = "mix-1"
 #: Buckets of the rank key; a bucket holds this share of a source's documents.
 BUCKETS = 4096
+#: A source's rows are dealt over so many tasks where they meet its plan.
+SALTS = 64
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -55,6 +57,16 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFra
                       F.least(F.col("limit").cast("double"), F.col("final") * F.col("w")).alias("target"))
 
 
+def with_source(rows: DataFrame, plan: DataFrame, source: str, salt: str) -> DataFrame:
+    """``rows`` with the columns of their source's plan row (key column ``s``).
+
+    A hot source is dealt over SALTS tasks: the plan's row is there in each.
+    """
+    dealt = plan.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
+    return rows.join(dealt, (F.col("_salt") == F.col("salt_")) & F.col(source).eqNullSafe(F.col("s"))).drop("s", "_salt", "salt_")
+
+
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weight_col: str | None = None, weights=WEIGHTS, cap: int = CAP, seed: str = SEED,
         buckets: int = BUCKETS) -> DataFrame:
@@ -88,7 +100,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
         return (u / (1 - u)) / (F.col("p_") / (1 - F.col("p_")))
 
     rates = plan.select(F.col("source").alias("s"), "rate")
-    ranked = expected(slim.join(rates, F.col("source").eqNullSafe(F.col("s"))).drop("s"), "rel")
+    ranked = expected(with_source(slim, rates, "source", "key"), "rel")
     certain = ranked.groupBy(F.col("source").alias("s")).agg(F.sum(F.col("whole_") * F.col("size")).alias("certain"))
     wanted = plan.join(certain, F.col("source").eqNullSafe(F.col("s"))).select(
         "s", (F.col("target") - F.col("certain")).alias("rest"))
@@ -106,8 +118,8 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     last = chosen.where(F.col("upto") - F.col("size") / 2 <= F.col("rest")).groupBy(F.col("source").alias("s")).agg(
         F.max(F.struct("q", "key")).alias("last"))
     rules = plan.join(last, F.col("source").eqNullSafe(F.col("s")), "left").select(
-        F.col("source").alias("s_"), F.col("source_size").alias("source_size_"), F.col("target").alias("target_"), F.col("rate"), "last")
-    out = expected(full.join(rules, F.col(src_c).eqNullSafe(F.col("s_"))), rel_c)
+        "s", F.col("source_size").alias("source_size_"), F.col("target").alias("target_"), F.col("rate"), "last")
+    out = expected(with_source(full, rules, src_c, key_c), rel_c)
     one_more = (F.col("p_") > 0) & F.coalesce(F.struct(odds(F.col(key_c)).alias("q"), F.col(key_c).alias("key")) <= F.col("last"), F.lit(False))
     n = (F.col("whole_") + one_more.cast("long")).cast("long")
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(size), F.col("source_size_").alias(src_size),
