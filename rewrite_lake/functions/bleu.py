@@ -10,8 +10,9 @@ Spark Column expressions (BLEU-01..05).
 * ``corpus_bleu``: sum the statistics (a partial + final aggregate, so it merges
   across partitions and groups) and score once.
 
-Scale: n-gram matching is O(L log L) per row via sorted run-length encodings
-(see ``multiset``), so whole documents are fine and nothing is shuffled.
+Scale: n-gram matching is a native set intersection, or O(L log L) per row via
+sorted run-length encodings (see ``multiset``) where both sides repeat, so whole
+documents are fine and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -59,21 +60,20 @@ def tokenize_13a(col) -> Column:
     return F.filter(F.split(s, WS_RUN), lambda t: t != F.lit(""))
 
 
-def ngram_bag(tokens: Column, max_order: int = MAX_ORDER) -> Column:
-    """All n-grams of orders 1..max_order as one ``array<string>``.
+def ngram_lists(tokens: Column, max_order: int = MAX_ORDER) -> Column:
+    """The n-grams of orders 1..max_order: a struct ``g1..gN`` of ``array<string>``.
 
     Tokens contain no whitespace, so an n-gram is its tokens joined by single
-    spaces and its order is 1 + its number of spaces.  Orders >= 2 come from
-    one native regex pass each over the space-joined tokens: a zero-width
-    match at every token start whose lookahead captures the next n tokens
-    (overlapping matches, no per-position lambda).
+    spaces.  Orders >= 2 come from one native regex pass each over the
+    space-joined tokens: a zero-width match at every token start whose lookahead
+    captures the next n tokens (overlapping matches, no per-position lambda).
     """
     joined = F.array_join(tokens, " ")
-    parts = [tokens]
+    parts = [tokens.alias("g1")]
     for n in range(2, max_order + 1):
         pattern = r"(?<![^ ])(?=(\S+(?: \S+){%d}))" % (n - 1)
-        parts.append(F.regexp_extract_all(joined, F.lit(pattern), 1))
-    return F.concat(*parts)
+        parts.append(F.regexp_extract_all(joined, F.lit(pattern), 1).alias(f"g{n}"))
+    return F.struct(*parts)
 
 
 def gram_order(gram: Column) -> Column:
@@ -81,18 +81,23 @@ def gram_order(gram: Column) -> Column:
     return F.length(gram) - F.length(F.replace(gram, F.lit(" "), F.lit(""))) + 1
 
 
+def _all_differ(grams: Column) -> Column:
+    return F.size(F.array_distinct(grams)) == F.size(grams)
+
+
 def with_ref_prepared(df: DataFrame, ref, out: str, max_order: int = MAX_ORDER) -> DataFrame:
-    """Add ``out``: a reference prepared once -- ``struct<runs, len>``.
+    """Add ``out``: a reference prepared once: its n-grams by order, whether an
+    order's are all different, and its length.
 
     When one reference serves many candidates (rerank), preparing it on the
-    sample row before the candidates are exploded tokenizes and counts it once.
+    sample row before the candidates are exploded tokenizes it once.
     """
-    rt, rb, rr = f"{out}__rt", f"{out}__rb", f"{out}__rr"
+    rt, rg = f"{out}__rt", f"{out}__rg"
     df = df.withColumn(rt, tokenize_13a(ref))
-    df = df.withColumn(rb, ngram_bag(F.col(rt), max_order))
-    df = with_run_counts(df, rb, rr, side=1)
-    return df.withColumn(out, F.struct(F.col(rr).alias("runs"), F.size(F.col(rt)).alias("len"))) \
-             .drop(rt, rb, rr)
+    df = df.withColumn(rg, ngram_lists(F.col(rt), max_order))
+    grams = [F.col(rg)[f"g{n}"].alias(f"g{n}") for n in range(1, max_order + 1)]
+    differ = [_all_differ(F.col(rg)[f"g{n}"]).alias(f"d{n}") for n in range(1, max_order + 1)]
+    return df.withColumn(out, F.struct(*grams, *differ, F.size(F.col(rt)).alias("len"))).drop(rt, rg)
 
 
 def with_bleu_stats(df: DataFrame, hyp, ref, out: str = "bleu_stats",
@@ -102,15 +107,17 @@ def with_bleu_stats(df: DataFrame, hyp, ref, out: str = "bleu_stats",
 
     ``hyp`` and ``ref`` are string columns (13a-tokenized here); with
     ``ref_prepared=True`` ``ref`` names a column made by ``with_ref_prepared``
-    and ``ref_text`` may give the reference string.  Built in stages so every
-    intermediate array is computed once per row; the four clipped counts come
-    from one pass over the matched n-grams.
-
-    Identity fast path: when the hypothesis equals the reference string, every
-    n-gram matches (``correct[n] = total[n]``), so those rows skip n-gram
-    building and matching.
+    and ``ref_text`` may give the reference string.
+
+    The clipped matches of an order are ``sum(min(count, count))``.  Where either
+    side's n-grams are all different every minimum is 0 or 1, so they are the
+    size of ``array_intersect``, one native hash pass; that is the rule for
+    orders 2 to 4.  Orders with repeats on both sides go through sorted run
+    lengths, all such orders of a row in one merge.  A hypothesis equal to the
+    reference string matches in full and skips both.
     """
-    ht, hb, hr, m, rp = (f"{out}__ht", f"{out}__hb", f"{out}__hr", f"{out}__m", f"{out}__rp")
+    orders = range(1, max_order + 1)
+    ht, hg, fast, hb, rb, hr, rr, m, rp = (f"{out}__{x}" for x in ("ht", "hg", "fast", "hb", "rb", "hr", "rr", "m", "rp"))
     hyp_c = F.col(hyp) if isinstance(hyp, str) else hyp
     if not ref_prepared:
         ref_text = F.col(ref) if isinstance(ref, str) else ref
@@ -123,30 +130,33 @@ def with_bleu_stats(df: DataFrame, hyp, ref, out: str = "bleu_stats",
     refc = F.col(ref) if isinstance(ref, str) else ref
     empty = F.array().cast("array<string>")
     df = df.withColumn(ht, tokenize_13a(hyp_c))
-    df = df.withColumn(hb, F.when(same, empty).otherwise(ngram_bag(F.col(ht), max_order)))
-    df = with_run_counts(df, hb, hr, side=0)
-    df = df.withColumn(f"{out}__rr", F.when(same, F.array().cast("array<struct<v:string,side:int,c:int>>"))
-                       .otherwise(refc["runs"]))
-    df = with_matched_counts(df, hr, f"{out}__rr", m)
+    df = df.withColumn(hg, F.when(same, F.struct(*[empty.alias(f"g{n}") for n in orders])).otherwise(
+        ngram_lists(F.col(ht), max_order)))
+    g = {n: F.col(hg)[f"g{n}"] for n in orders}
+    df = df.withColumn(fast, F.struct(*[(same | refc[f"d{n}"] | _all_differ(g[n])).alias(f"f{n}") for n in orders]))
+    quick = {n: F.col(fast)[f"f{n}"] for n in orders}
+    df = df.withColumn(hb, F.concat(*[F.when(quick[n], empty).otherwise(g[n]) for n in orders]))
+    df = df.withColumn(rb, F.concat(*[F.when(quick[n], empty).otherwise(refc[f"g{n}"]) for n in orders]))
+    df = with_run_counts(with_run_counts(df, hb, hr, side=0), rb, rr, side=1)
+    df = with_matched_counts(df, hr, rr, m)
     hyp_len = F.size(F.col(ht))
     ref_len = F.when(same, hyp_len).otherwise(refc["len"])
     zero = F.lit(0).cast("bigint")
-    init = F.struct(*[zero.alias(f"c{n}") for n in range(1, max_order + 1)])
+    init = F.struct(*[zero.alias(f"c{n}") for n in orders])
 
     def add(acc, x):
         k = gram_order(x["v"])
         clip_ = F.least(x["ca"], x["cb"]).cast("bigint")
-        return F.struct(*[(acc[f"c{n}"] + F.when(k == F.lit(n), clip_).otherwise(zero)).alias(f"c{n}")
-                          for n in range(1, max_order + 1)])
+        return F.struct(*[(acc[f"c{n}"] + F.when(k == F.lit(n), clip_).otherwise(zero)).alias(f"c{n}") for n in orders])
 
     df = df.withColumn(f"{out}__c", F.aggregate(F.col(m), init, add))
-    totals = [F.greatest(hyp_len - n + 1, F.lit(0)).cast("bigint") for n in range(1, max_order + 1)]
-    fields = [F.when(same, totals[n - 1]).otherwise(F.col(f"{out}__c")[f"c{n}"]).alias(f"c{n}")
-              for n in range(1, max_order + 1)]
-    fields += [totals[n - 1].alias(f"t{n}") for n in range(1, max_order + 1)]
+    totals = {n: F.greatest(hyp_len - n + 1, F.lit(0)).cast("bigint") for n in orders}
+    fields = [F.when(same, totals[n]).when(quick[n], F.size(F.array_intersect(g[n], refc[f"g{n}"])).cast("bigint"))
+              .otherwise(F.col(f"{out}__c")[f"c{n}"]).alias(f"c{n}") for n in orders]
+    fields += [totals[n].alias(f"t{n}") for n in orders]
     fields.append(hyp_len.cast("bigint").alias("hyp_len"))
     fields.append(ref_len.cast("bigint").alias("ref_len"))
-    df = df.withColumn(out, F.struct(*fields)).drop(ht, hb, hr, m, f"{out}__rr", f"{out}__c", same_col)
+    df = df.withColumn(out, F.struct(*fields)).drop(ht, hg, fast, hb, rb, hr, rr, m, f"{out}__c", same_col)
     return df.drop(rp) if rp in df.columns else df
 
 

@@ -7,8 +7,8 @@ with ``pyspark.ml.functions.predict_batch_udf``: Arrow batches of
 ``batch_size`` rows, the model loaded once per Python worker and cached.
 
 Defaults that need no Python at all live in ``functions.scorers`` (expression
-backends).  A supervised default is :func:`fit_toxicity_model`, a Spark ML
-pipeline trained on the ``labels`` table.
+backends).  Supervised defaults, for toxicity and acceptability, are
+:func:`fit_text_model`, a Spark ML pipeline trained on the ``labels`` table.
 
 Backends are marked non-deterministic: a filter on a deterministic Python
 UDF's output makes Spark evaluate the UDF twice, and sampling generators
@@ -21,7 +21,7 @@ from collections.abc import Callable
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
+from pyspark.ml.feature import HashingTF, IDF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,11 +62,23 @@ class LexiconToxicity:
         return [1.0 - math.exp(-self.k * len(self.pattern.findall(t))) for t in texts]
 
 
-def fit_toxicity_model(train: DataFrame, text: str = "text", label: str = "toxic",
-                       num_features: int = 1 << 18, max_iter: int = 30) -> PipelineModel:
-    """Supervised toxicity backend (UDF-01b): tokens -> hashed TF -> IDF -> LR.
+#: Labelled documents that a model is fitted on, at most.
+FIT_ROWS = 20_000
 
-    Every stage is a distributed Spark ML estimator; nothing is collected.
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = FIT_ROWS, key: str = "doc_id") -> DataFrame:
+    """(text, label) of at most ``rows`` labelled documents, those with the least
+    hash of their key: a reproducible sample of bounded size, broadcast to the scan."""
+    some = labels.where(F.col(label).isNotNull()).select(key, label).orderBy(F.xxhash64(key), key).limit(rows)
+    return docs.join(F.broadcast(some), key).select("text", label)
+
+
+def fit_text_model(train: DataFrame, text: str = "text", label: str = "toxic",
+                   num_features: int = 1 << 18, max_iter: int = 30) -> PipelineModel:
+    """Supervised backend (UDF-01b, UDF-02): tokens -> hashed TF -> IDF -> LR.
+
+    Every stage is a distributed Spark ML estimator; nothing is collected.  NULL
+    texts count as empty.
     """
     pipe = Pipeline(stages=[
         RegexTokenizer(inputCol=text, outputCol="__tok", pattern=r"\W+", toLowercase=True),
@@ -75,15 +87,36 @@ def fit_toxicity_model(train: DataFrame, text: str = "text", label: str = "toxic
         LogisticRegression(featuresCol="__feat", labelCol=label, maxIter=max_iter, regParam=0.01,
                            probabilityCol="__prob", rawPredictionCol="__raw", predictionCol="__pred"),
     ])
-    return pipe.fit(train.select(text, F.col(label).cast("double").alias(label)))
+    return pipe.fit(train.select(F.coalesce(F.col(text), F.lit("")).alias(text), F.col(label).cast("double").alias(label)))
 
 
-def toxicity_with_model(model: PipelineModel, df: DataFrame, text: str = "text", out: str = "p_toxic") -> DataFrame:
-    """Apply a fitted toxicity pipeline: ``p(class 1)`` as a DOUBLE column."""
-    scored = model.transform(df)
+def score_with_model(model: PipelineModel, df: DataFrame, text: str = "text", out: str = "p_toxic") -> DataFrame:
+    """Apply a fitted pipeline: ``p(class 1)`` as a DOUBLE column."""
+    scored = model.transform(df.withColumn(text, F.coalesce(F.col(text), F.lit(""))))
     return scored.select(*df.columns, vector_to_array(F.col("__prob"))[1].alias(out))
 
 
+def with_hashed_cosine(df: DataFrame, a: str, b: str, out: str = "sim", num_features: int = 1 << 18) -> DataFrame:
+    """Vector-valued similarity backend (UDF-03): tokens -> HashingTF ->
+    Normalizer, then the dot product of the two unit vectors (0 without tokens)."""
+    cols = []
+    for side, name in (("a", a), ("b", b)):
+        raw, t, f, u = f"__{side}", f"__{side}t", f"__{side}f", f"__{side}u"
+        df = df.withColumn(raw, F.coalesce(F.col(name), F.lit("")))
+        for stage in (RegexTokenizer(inputCol=raw, outputCol=t, pattern=r"\s+", toLowercase=True),
+                      HashingTF(inputCol=t, outputCol=f, numFeatures=num_features),
+                      Normalizer(inputCol=f, outputCol=u, p=2.0)):
+            df = stage.transform(df)
+        # the sparse vector's own indices and values: the dot product stays in the plan
+        df = df.withColumn(u, F.unwrap_udt(F.col(u))).drop(raw, t, f)
+        cols.append(u)
+    left, right = F.col(cols[0]), F.col(cols[1])
+    shared = F.array_intersect(left["indices"], right["indices"])
+    value = lambda v, i: F.element_at(v["values"], F.array_position(v["indices"], i).cast("int"))
+    dot = F.aggregate(shared, F.lit(0.0), lambda acc, i: acc + value(left, i) * value(right, i))
+    return df.withColumn(out, dot).drop(*cols)
+
+
 def auc(df: DataFrame, score: str, label: str) -> float:
     """Area under ROC via the rank-sum formula, computed by Spark (one small action)."""
     from pyspark.ml.evaluation import BinaryClassificationEvaluator

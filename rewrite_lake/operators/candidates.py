@@ -50,7 +50,7 @@ def candidate_array(models: Sequence[str] = DEFAULT_MODELS, source: str = "sourc
     candidate_rank, text>>`` in generation order.  ``text`` is the rewrite
     stripped of surrounding whitespace, like decoded model output."""
     if not models:
-        raise ValueError("At least one model must be specified for candidate generation.")
+        raise ValueError("no models given: nothing would propose candidates")
     src = F.col(source)
     structs = []
     for idx, name in enumerate(models):
@@ -72,26 +72,34 @@ def candidates(samples: DataFrame, models: Sequence[str] = DEFAULT_MODELS,
 
 
 def python_candidates(samples: DataFrame, generator_factory, model_idx: int, model: str,
-                      num_return: int, source: str = "source", key: str = "sample_id") -> DataFrame:
+                      num_return: int, source: str = "source", key: str = "sample_id",
+                      params: dict | None = None) -> DataFrame:
     """Candidates from a Python generator backend via ``mapInPandas``.
 
     ``generator_factory()`` returns an object with ``generate(list[str]) ->
-    list[list[str]]`` (``num_return`` rewrites per prompt).  It is built once
-    per Python worker; rows arrive in Arrow batches
-    (``spark.sql.execution.arrow.maxRecordsPerBatch``), the contiguous
-    inference batches of the reference.
+    list[list[str]]`` (``num_return`` rewrites per prompt); with ``params`` it is
+    called as ``generator_factory(params)``, the effective generation settings.
+    It is built once per Python worker; rows arrive in Arrow batches.  A NULL
+    source is prompted as ''.  A generator that answers for fewer prompts, or
+    with another number of rewrites than promised, is an error: no sample and no
+    rewrite is dropped.
     """
     import pandas as pd
 
     schema = (f"{key} bigint, model_idx int, model string, candidate_rank int, text string")
 
     def run(batches):
-        gen = generator_factory()
+        gen = generator_factory(params) if params is not None else generator_factory()
         for pdf in batches:
-            outs = gen.generate(pdf[source].astype(str).tolist())
+            prompts = ["" if s is None else s for s in pdf[source].tolist()]
+            outs = list(gen.generate(prompts))
+            if len(outs) != len(prompts):
+                raise ValueError(f"{model}: {len(outs)} answers for {len(prompts)} prompts")
             rows = []
-            for sid, texts in zip(pdf[key].tolist(), outs):
-                for rank, text in enumerate(texts[:num_return]):
+            for sid, texts in zip(pdf[key].tolist(), outs, strict=True):
+                if len(texts) != num_return:
+                    raise ValueError(f"{model}: {len(texts)} rewrites of {key} {sid}, not {num_return}")
+                for rank, text in enumerate(texts):
                     rows.append((sid, model_idx, model, rank, (text or "").strip()))
             yield pd.DataFrame(rows, columns=[key, "model_idx", "model", "candidate_rank", "text"])
 

@@ -1,9 +1,7 @@
-"""Rewards and rollout statistics (RWD-01..07, WIN-02/03, AGG-08/09).
+"""Rewards and their batch statistics (RWD-01..04, WIN-02, AGG-08).
 
 Per-row rewards are expressions; batch statistics are window aggregates
-partitioned by batch/step (a batch is a bounded unit: ``batch_size`` rows);
-the KL controller -- an ordered fold in the reference -- is rewritten as an
-associative scan so no run is ever collected into one task.
+partitioned by batch (a bounded unit: ``batch_size`` rows).
 """
 
 from __future__ import annotations
@@ -15,15 +13,16 @@ from pyspark.sql import functions as F
 
 from ..functions import bleu as B
 from ..functions import scorers as S
-from ..functions.text import clip, token_count, ustrip
+from ..functions.text import clip, empty_if_null, token_count, ustrip
 from ..functions.vectors import cosine_to_unit
 
-# Fixed values that must equal the reference's for equal results: the
-# z-score epsilon (added to the std) and clip, the trivial-output penalty,
-# and the KL coefficient bounds (below).
+# Fixed values, needed for equal results: the z-score epsilon (added to the
+# std) and clip, the weights and penalty of the base reward, and the tokens
+# under which an output is trivial.
 EPS = 1e-6
 Z_CLIP = 2.5
-TRIVIAL_PENALTY = 0.2
+REWARD_ALPHA, REWARD_BETA, TRIVIAL_PENALTY = 0.7, 0.3, 0.2
+TRIVIAL_TOKENS = 3
 
 
 def _c(col) -> Column:
@@ -32,34 +31,31 @@ def _c(col) -> Column:
 
 # --- per-row rewards -------------------------------------------------------------
 
-def trivial_output(prompt, output, min_len: int = 3) -> Column:
+def trivial_output(prompt, output, min_len: int = TRIVIAL_TOKENS) -> Column:
     """Too short (< ``min_len`` tokens) OR a copy of the prompt after strip (FLT-06)."""
     return (token_count(output) < min_len) | (ustrip(output) == ustrip(prompt))
 
 
-def base_reward(tox, sim, trivial, alpha: float = 0.7, beta: float = 0.3) -> Column:
+def base_reward(tox, sim, trivial, alpha: float = REWARD_ALPHA, beta: float = REWARD_BETA) -> Column:
     """``clip(alpha*(1-tox) + beta*sim - 0.2*trivial, -1, 1)`` (RWD-01, T14)."""
     r = F.lit(alpha) * (F.lit(1.0) - _c(tox)) + F.lit(beta) * _c(sim)
     r = r - F.when(_c(trivial), F.lit(TRIVIAL_PENALTY)).otherwise(F.lit(0.0))
     return clip(r, -1.0, 1.0)
 
 
-def with_mini_metrics(df: DataFrame, source: str, reference: str, output: str) -> DataFrame:
-    """Per-row sta, sim in [0,1], fl, bleu in [0,1], j -- all clipped (RWD-02)."""
+def with_mini_metrics(df: DataFrame, source: str, reference: str, output: str, cosine: str | None = None) -> DataFrame:
+    """Per-row sta, sim in [0,1], fl, bleu in [0,1], j -- all clipped (RWD-02);
+    ``cosine`` names a column to keep the raw cosine in."""
     out = F.col(output)
     df = df.withColumn("sta", clip(F.lit(1.0) - S.toxicity_prob(out), 0.0, 1.0))
     df = df.withColumn("fl", clip(S.fluency_prob(out), 0.0, 1.0))
-    df = S.with_bow_cosine(df, F.col(source), out, out="__cos")
-    df = df.withColumn("sim", cosine_to_unit(F.col("__cos"))).drop("__cos")
-    df = B.with_sentence_bleu(df, S_empty(output), S_empty(reference), out="__bleu")
+    df = S.with_bow_cosine(df, F.col(source), out, out=cosine or "__cos")
+    df = df.withColumn("sim", cosine_to_unit(F.col(cosine or "__cos"))).drop("__cos")
+    df = B.with_sentence_bleu(df, empty_if_null(output), empty_if_null(reference), out="__bleu")
     df = df.withColumn("bleu", clip(F.col("__bleu") / F.lit(100.0), 0.0, 1.0)).drop("__bleu")
     return df.withColumn("j", clip(F.col("sta") * F.col("sim") * F.col("fl"), 0.0, 1.0))
 
 
-def S_empty(col: str) -> Column:  # noqa: N802 - PRJ-05: null text scores as ''
-    return F.coalesce(F.col(col).cast("string"), F.lit(""))
-
-
 # --- batch statistics ------------------------------------------------------------
 
 def zscore(x, batch, clip_at: float = Z_CLIP) -> Column:
@@ -91,126 +87,3 @@ def blend(base, step, parts: Mapping[str, tuple[Column, float, int]]) -> Column:
         contrib = contrib + F.when(on, F.lit(w) * z).otherwise(F.lit(0.0))
     return F.when(total > 0, _c(base) * F.greatest(F.lit(0.0), F.lit(1.0) - total) + contrib) \
             .otherwise(_c(base))
-
-
-def advantage(reward, value, step) -> Column:
-    """``a = reward - value``, normalised per step with the *sample* std (WIN-03)."""
-    w = Window.partitionBy(_c(step))
-    a = _c(reward) - _c(value)
-    return (a - F.avg(a).over(w)) / (F.stddev_samp(a).over(w) + F.lit(EPS))
-
-
-def policy_step_stats(df: DataFrame, step: str = "step", clip_range: float = 0.15) -> DataFrame:
-    """Per-step PPO diagnostics (RWD-06): needs ``adv, policy_logprob,
-    ref_logprob, value_est, reward``.  Loss terms are means over the batch."""
-    ratio = F.exp(F.col("policy_logprob") - F.col("ref_logprob"))
-    unclipped = F.col("adv") * ratio
-    clipped = F.col("adv") * clip(ratio, 1 - clip_range, 1 + clip_range)
-    return df.groupBy(step).agg(
-        (-F.avg(F.least(unclipped, clipped))).alias("policy_loss"),
-        F.avg(F.pow(F.col("value_est") - F.col("reward"), 2)).alias("value_loss"),
-        F.avg(F.col("ref_logprob") - F.col("policy_logprob")).alias("kl_div"),
-        F.avg("reward").alias("reward_mean"))
-
-
-# --- sequence log-probabilities ---------------------------------------------------
-
-def masked_sum(values, mask) -> Column:
-    """``sum(v * mask)`` over aligned arrays (RWD-05)."""
-    return F.aggregate(F.zip_with(_c(values), _c(mask), lambda v, m: F.when(m, v).otherwise(F.lit(0.0))),
-                       F.lit(0.0), lambda acc, x: acc + x)
-
-
-def masked_mean(values, mask) -> Column:
-    """``sum(v * mask) / max(1, sum(mask))`` (RWD-05)."""
-    n = F.aggregate(_c(mask), F.lit(0), lambda acc, m: acc + m.cast("int"))
-    return masked_sum(values, mask) / F.greatest(n, F.lit(1)).cast("double")
-
-
-# --- adaptive KL controller as an associative scan -------------------------------
-
-KL_MIN, KL_MAX = 0.02, 1.0  # fixed values (controller bounds)
-INF = float("inf")
-
-
-def kl_step_map(kl, target: float, rate: float) -> Column:
-    """One controller update as a clamp-linear map ``x -> clamp(a*x, lo, hi)``.
-
-    grow (|kl| > 1.5 target): ``min(1, x(1+rate))``; shrink (|kl| < 0.5
-    target): ``max(0.02, x(1-rate))``; otherwise identity (T16, strict).
-    """
-    k = F.abs(_c(kl))
-    grow, shrink = k > F.lit(target * 1.5), k < F.lit(target * 0.5)
-    a = F.when(grow, F.lit(1.0 + rate)).when(shrink, F.lit(1.0 - rate)).otherwise(F.lit(1.0))
-    lo = F.when(shrink, F.lit(KL_MIN)).otherwise(F.lit(-INF))
-    hi = F.when(grow, F.lit(KL_MAX)).otherwise(F.lit(INF))
-    return F.struct(a.alias("a"), lo.alias("lo"), hi.alias("hi"))
-
-
-def _clamp(x, lo, hi):
-    return F.least(hi, F.greatest(lo, x))
-
-
-def _compose(f, g):
-    """``g o f`` for clamp-linear maps: clamp(clamp(z,l1,h1),l2,h2) =
-    clamp(z, clamp(l1,l2,h2), clamp(h1,l2,h2)) with z scaled by g's slope."""
-    return F.struct((f["a"] * g["a"]).alias("a"),
-                    _clamp(f["lo"] * g["a"], g["lo"], g["hi"]).alias("lo"),
-                    _clamp(f["hi"] * g["a"], g["lo"], g["hi"]).alias("hi"))
-
-
-def _apply(f, x):
-    return _clamp(f["a"] * x, f["lo"], f["hi"])
-
-
-def identity_map() -> Column:
-    return F.struct(F.lit(1.0).alias("a"), F.lit(-INF).alias("lo"), F.lit(INF).alias("hi"))
-_MAP_T = "struct<a:double,lo:double,hi:double>"
-_ITEMS_T = f"array<struct<s:bigint,f:{_MAP_T}>>"
-
-
-def _inclusive_prefix(items: Column) -> Column:
-    """Inclusive prefix compositions of ``items`` (array of (s, f), sorted by s)."""
-    init = F.struct(identity_map().alias("last"), F.array().cast(_ITEMS_T).alias("out"))
-    return F.aggregate(
-        items, init,
-        lambda acc, it: F.struct(
-            _compose(acc["last"], it["f"]).alias("last"),
-            F.concat(acc["out"], F.array(F.struct(it["s"].cast("bigint").alias("s"),
-                                                  _compose(acc["last"], it["f"]).alias("f")))).alias("out")),
-        lambda acc: acc["out"])
-
-
-def kl_coefficients(steps: DataFrame, init: float = 0.2, target: float = 0.3, rate: float = 0.1,
-                    run: str | None = None, step: str = "step", kl: str = "kl_div",
-                    block: int = 256) -> DataFrame:
-    """Adaptive KL coefficient after each step (RWD-07), per ``run``.
-
-    The update is a clamp-linear map and such maps compose associatively, so
-    the sequential fold becomes a two-level scan with bounded groups: steps
-    are grouped into blocks of ``block``; each block composes its maps in step
-    order (inclusive prefixes); block totals are composed per run (``steps /
-    block`` small structs); every step applies its block's exclusive prefix
-    and then its in-block prefix to ``init``.  A third level is the same
-    construction again.  Output: ``run?, step, kl_coef``.
-    """
-    keys = [run] if run else []
-    s = steps.select(*keys, F.col(step).cast("bigint").alias("__s"),
-                     kl_step_map(F.col(kl), target, rate).alias("f"))
-    s = s.withColumn("__blk", F.floor((F.col("__s") - 1) / F.lit(block)).cast("bigint"))
-    lvl1 = s.groupBy(*keys, "__blk").agg(F.sort_array(F.collect_list(
-        F.struct(F.col("__s").alias("s"), F.col("f").alias("f")))).alias("items"))
-    lvl1 = lvl1.withColumn("prefix", _inclusive_prefix(F.col("items"))).drop("items")
-    lvl1 = lvl1.withColumn("total", F.element_at(F.col("prefix"), -1)["f"])
-    lvl2 = lvl1.groupBy(*keys).agg(F.sort_array(F.collect_list(
-        F.struct(F.col("__blk").alias("s"), F.col("total").alias("f")))).alias("items"))
-    lvl2 = lvl2.withColumn("incl", _inclusive_prefix(F.col("items")))
-    lvl2 = lvl2.select(*keys, F.posexplode("incl").alias("i", "x")).select(
-        *keys, F.col("x")["s"].alias("__blk"), F.col("i"), F.col("x")["f"].alias("incl_f"))
-    wb = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    # exclusive prefix = inclusive prefix of the previous block (identity for the first)
-    before = lvl2.withColumn("before", F.coalesce(
-        F.lag("incl_f").over(wb.orderBy("i")), identity_map())).select(*keys, "__blk", "before")
-    out = lvl1.join(before, [*keys, "__blk"]).select(*keys, "before", F.explode("prefix").alias("p"))
-    return out.select(*keys, F.col("p")["s"].alias(step),
-                      _apply(F.col("p")["f"], _apply(F.col("before"), F.lit(float(init)))).alias("kl_coef"))

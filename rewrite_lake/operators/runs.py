@@ -9,51 +9,54 @@ extra job to discover them.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import ustrip
+
 SUMMARY_KEYS = ("BLEU", "STA", "SIM", "FL", "J")  # fixed values: roll-up keys, in output order
 
 
 # --- metric text lines ------------------------------------------------------------
 
 def parse_metric_lines(lines: DataFrame, run: str = "run", line: str = "line",
-                       line_no: str = "line_no") -> DataFrame:
-    """``KEY: value`` lines -> (run, key, value, line_no) (PRJ-19, FLT-04).
+                       line_no: str = "line_no", by: Sequence[str] = ()) -> DataFrame:
+    """``KEY: value`` lines -> (*by, run, key, value, line_no) (PRJ-19, FLT-04).
 
-    Split once on ':' and strip both sides; keep the 5 summary keys; a
-    non-numeric value is skipped (``try_cast``; Spark 4 casts are ANSI).
+    Split once on ':' and strip both sides of all Unicode whitespace; keep the 5
+    summary keys; a non-numeric value is skipped (``try_cast``; Spark 4 casts
+    are ANSI).  ``by`` names further key columns, such as the file's path.
     """
-    text = F.regexp_replace(F.col(line), r"(?U)\A[\s\x{1c}-\x{1f}]+|[\s\x{1c}-\x{1f}]+\z", "")
-    parts = F.split(text, ":", 2)
-    key = F.trim(F.element_at(parts, 1))
-    raw = F.regexp_replace(F.element_at(parts, 2), r"(?U)\A\s+|\s+\z", "")
-    df = lines.where(F.instr(text, ":") > 0).select(
-        F.col(run).alias("run"), F.col(line_no).alias("line_no"), key.alias("key"), raw.alias("__raw"))
-    df = df.withColumn("value", F.col("__raw").try_cast("double")).drop("__raw")
+    parts = F.split(ustrip(F.col(line)), ":", 2)
+    df = lines.where(F.instr(F.col(line), ":") > 0).select(
+        *by, F.col(run).alias("run"), F.col(line_no).alias("line_no"), ustrip(F.element_at(parts, 1)).alias("key"),
+        ustrip(F.element_at(parts, 2)).try_cast("double").alias("value"))
     return df.where(F.col("key").isin(*SUMMARY_KEYS) & F.col("value").isNotNull())
 
 
 def canonical_order(df: DataFrame, desired: Sequence[str]) -> DataFrame:
-    """Desired columns first (absent ones skipped), every other column after (SRT-03)."""
-    first = [c for c in desired if c in df.columns]
-    return df.select(*first, *[c for c in df.columns if c not in first])
+    """``df`` with its columns sorted by their place in ``desired``; the rest
+    keep their order behind those (SRT-03)."""
+    place = {name: i for i, name in enumerate(desired)}
+    return df.select(*sorted(df.columns, key=lambda name: place.get(name, len(place))))
 
 
-def run_summary(metrics: DataFrame, model: str = "run") -> DataFrame:
+def run_summary(metrics: DataFrame, model: str = "run", by: Sequence[str] = ()) -> DataFrame:
     """Roll-up (RPT-01): one row per run with BLEU, STA, SIM, FL, J.
 
-    The last occurrence of a duplicated key wins (``max_by(value, line_no)``),
-    values are rounded to 4 decimals, runs with no metric drop out (inner
-    pivot), rows sort by J descending with NULL last and the name as a
-    tie-break (the reference's directory order is unspecified).
+    Runs are told apart by ``model`` and the columns ``by`` (the file's path:
+    two folders of one name are two rows).  The last occurrence of a duplicated
+    key wins (``max_by(value, line_no)``), values are rounded to 4 decimals,
+    runs with no metric drop out (inner pivot), rows sort by J descending with
+    NULL last, then by name.
     """
-    wide = metrics.groupBy(F.col(model).alias("Model")).pivot("key", list(SUMMARY_KEYS)).agg(
+    wide = metrics.groupBy(*by, F.col(model).alias("Model")).pivot("key", list(SUMMARY_KEYS)).agg(
         F.max_by("value", "line_no"))
-    rounded = wide.select("Model", *[F.round(F.col(k), 4).alias(k) for k in SUMMARY_KEYS])
-    return canonical_order(rounded, ["Model", *SUMMARY_KEYS]).orderBy(F.col("J").desc_nulls_last(), F.col("Model"))
+    rounded = wide.select(*by, "Model", *[F.round(F.col(k), 4).alias(k) for k in SUMMARY_KEYS])
+    return canonical_order(rounded, ["Model", *SUMMARY_KEYS]).orderBy(F.col("J").desc_nulls_last(), F.col("Model"), *by)
 
 
 def metric_lines(df: DataFrame, run: str, with_header: bool = True) -> DataFrame:
@@ -88,7 +91,9 @@ def run_matrix(models: DataFrame, variants: Sequence[str], metrics: DataFrame,
         model, F.explode(F.array(*[F.lit(v) for v in variants])).alias(variant))
     joined = grid.join(metrics.select(model, variant, *value_cols, F.lit(True).alias("__has")),
                        [model, variant], "left")
-    cols = [model, variant, *[F.coalesce(F.format_number(F.col(c), 4), F.lit("N/A")).alias(c) for c in value_cols]]
+    # four decimals, no thousands separators
+    cols = [model, variant, *[F.when(F.col(c).isNull(), F.lit("N/A")).otherwise(F.format_string("%.4f", F.col(c))).alias(c)
+                              for c in value_cols]]
     if failures is not None:
         joined = joined.join(failures.select(model, variant, "reason"), [model, variant], "left")
         cols.append(F.when(F.col("__has"), F.lit("ok")).otherwise(
@@ -97,14 +102,14 @@ def run_matrix(models: DataFrame, variants: Sequence[str], metrics: DataFrame,
 
 
 def log_failures(parsed: DataFrame, variant_of_dir: dict[str, str] | None = None) -> DataFrame:
-    """Failed runs from parsed logs: (model, variant, reason) -- the last
-    error line of each file.  The model is the file name before its
-    ``_YYYYMMDD_HHMMSS`` stamp; the variant is the parent folder (mapped
-    through ``variant_of_dir`` when given)."""
-    name = F.element_at(F.split(F.col("file"), "/"), -1)
-    folder = F.element_at(F.split(F.col("file"), "/"), -2)
+    """Failed runs from parsed logs: (model, variant, reason): the last error
+    line of each file, class and message.  The model is the file name before its
+    ``_YYYYMMDD_HHMMSS`` stamp; the variant is the parent folder (mapped through
+    ``variant_of_dir`` when given; '' for a file without a folder)."""
+    parts = F.split(F.col("file"), "/")
+    name, folder = F.try_element_at(parts, F.lit(-1)), F.coalesce(F.try_element_at(parts, F.lit(-2)), F.lit(""))
     errs = parsed.where(F.col("kind") == "error").groupBy("file").agg(
-        F.max_by("error", "line_no").alias("reason"))
+        F.max_by(F.concat_ws(": ", "error", F.nullif(F.col("message"), F.lit(""))), "line_no").alias("reason"))
     variant = folder
     if variant_of_dir:
         variant = F.coalesce(F.create_map(*[x for kv in variant_of_dir.items() for x in map(F.lit, kv)])[folder],
@@ -120,6 +125,14 @@ def complete_models(metrics: DataFrame, variants: Sequence[str], model: str = "m
         F.countDistinct(variant).alias("__k")).where(F.col("__k") == len(variants)).select(model)
 
 
+def ablation(metrics: DataFrame, variants: Sequence[str], baseline: str, value_cols: Sequence[str],
+             model: str = "model", variant: str = "variant") -> DataFrame:
+    """The ablation of models that have every variant (FLT-09 -> JN-07): each
+    other variant minus the baseline, incomplete models left out."""
+    full = metrics.join(complete_models(metrics, variants, model, variant), model, "left_semi")
+    return ablation_delta(full.where(F.col(variant).isin(*variants)), baseline, value_cols, model, variant)
+
+
 def ablation_pivot(metrics: DataFrame, variants: Sequence[str], value: str,
                    model: str = "model", variant: str = "variant") -> DataFrame:
     """Model x variant table of one metric (RSH-04)."""
@@ -170,7 +183,8 @@ def parse_log_lines(lines: DataFrame, file: str = "file", line: str = "line",
         F.when(F.col("kind") == "step", num(STEP_RE, 3)).alias("loss"),
         F.when(F.col("kind") == "step", num(STEP_RE, 4)).alias("kl"),
         F.when(F.col("kind") == "eval", num(EVAL_RE, 2)).alias("toxicity"),
-        F.when(F.col("kind") == "error", F.regexp_extract("line", ERROR_RE, 1)).alias("error"))
+        F.when(F.col("kind") == "error", F.regexp_extract("line", ERROR_RE, 1)).alias("error"),
+        F.when(F.col("kind") == "error", F.regexp_extract("line", ERROR_RE, 2)).alias("message"))
     return forward_fill(df, ["file"], "line_no", "epoch_mark", "epoch").drop("epoch_mark")
 
 
@@ -198,10 +212,16 @@ def forward_fill(df: DataFrame, partition: Sequence[str], order: str, value: str
 
 
 def epoch_history(steps: DataFrame, by: Sequence[str] = ("file",)) -> DataFrame:
-    """Step rows -> per-epoch summary with the last global step (AGG-09)."""
-    return steps.where(F.col("kind") == "step").groupBy(*by, "epoch").agg(
+    """Step rows -> per-epoch summary with the last global step (AGG-09).
+
+    A log's step number restarts in each epoch; the global step adds the steps
+    of the epochs before (a window over one row per epoch of a run).
+    """
+    each = steps.where(F.col("kind") == "step").groupBy(*by, "epoch").agg(
         F.count(F.lit(1)).alias("steps"), F.avg("reward").alias("reward_mean"),
-        F.avg("loss").alias("loss_mean"), F.avg("kl").alias("kl_mean"), F.max("step").alias("last_step"))
+        F.avg("loss").alias("loss_mean"), F.avg("kl").alias("kl_mean"), F.max("step").alias("__last"))
+    upto = Window.partitionBy(*by).orderBy("epoch").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return each.withColumn("last_step", F.sum("__last").over(upto)).drop("__last")
 
 
 def best_checkpoint(evals: DataFrame, step: str = "step", loss: str = "eval_loss",
@@ -214,50 +234,62 @@ def best_checkpoint(evals: DataFrame, step: str = "step", loss: str = "eval_loss
 
 # --- model registry ----------------------------------------------------------------------
 
-# Generation defaults used when neither the model nor the
-# global config sets a key (must equal the reference's defaults).
+# Generation defaults used when neither the model nor the global
+# config sets a key; a None stays unset.
 GENERATION_DEFAULTS = {"max_new_tokens": 60, "num_beams": 4, "do_sample": False, "temperature": 1.0,
-                       "top_p": 0.92, "top_k": 50, "num_return_sequences": 1}
+                       "top_p": 0.92, "top_k": 50, "num_return_sequences": 1,
+                       "early_stopping": None, "length_penalty": None}
+_GENERATION_TYPES = {"max_new_tokens": "int", "num_beams": "int", "do_sample": "boolean", "temperature": "double",
+                     "top_p": "double", "top_k": "int", "num_return_sequences": "int",
+                     "early_stopping": "boolean", "length_penalty": "double"}
+_SAMPLING_ONLY = ("top_p", "top_k")
 
 
-def effective_generation(model_gen_json: Column | None, global_gen: dict) -> list[Column]:
-    """Per-model value, else global value, else default; sampling-only keys
-    are NULL when ``do_sample`` is false (PRJ-21).
+def generation_settings(own: dict | None, shared: dict | None) -> dict:
+    """Effective settings of one model (PRJ-21) as a dict: its own value, else
+    the shared one, else the default; unset keys, and sampling keys without
+    sampling, are left out."""
+    out = {k: (own or {}).get(k, (shared or {}).get(k, d)) for k, d in GENERATION_DEFAULTS.items()}
+    return {k: v for k, v in out.items() if v is not None and (out["do_sample"] or k not in _SAMPLING_ONLY)}
 
-    ``model_gen_json`` is the model's own ``generation`` object as JSON text
-    (absent keys read as NULL, so models may override any subset).
-    """
-    types = {bool: "boolean", int: "int", float: "double"}
+
+def effective_generation(model_gen_json: Column | None, global_gen: dict) -> list[Column]:
+    """The same per row: ``model_gen_json`` is a model's own ``generation``
+    object as JSON text (absent keys read as NULL, so models may override any
+    subset)."""
     out = {}
     for k, default in GENERATION_DEFAULTS.items():
-        g = global_gen.get(k, default)
-        typ = types[type(default)]
-        base = F.lit(g).cast(typ)
+        out[k] = F.lit(global_gen.get(k, default)).cast(_GENERATION_TYPES[k])
         if model_gen_json is not None:
-            own = F.get_json_object(model_gen_json, f"$.{k}").try_cast(typ)
-            out[k] = F.coalesce(own, base)
-        else:
-            out[k] = base
-    sample = out["do_sample"]
-    return [(F.when(sample, c) if k in ("top_p", "top_k") else c).alias(k) for k, c in out.items()]
+            out[k] = F.coalesce(F.get_json_object(model_gen_json, f"$.{k}").try_cast(_GENERATION_TYPES[k]), out[k])
+    return [(F.when(out["do_sample"], c) if k in _SAMPLING_ONLY else c).alias(k) for k, c in out.items()]
 
 
 def registry(families: Sequence[tuple[str, DataFrame]], hints: DataFrame | None = None,
-             default_batch: int = 16, eligible: str = "has_final_model") -> DataFrame:
+             eligible: str = "has_final_model", root: str = "models", generation: dict | None = None) -> DataFrame:
     """Union model families (tagged) -> batch size capped by per-model hints
     -> only eligible models (SET-01, JN-05, FLT-08).
 
-    ``hints`` is a small per-model table joined with a broadcast left join
-    (it holds one row per configured model, a config-sized bound).
+    A row's ``name`` is tagged with its family, its ``path`` lies under ``root``
+    and the family, and ``generation`` (family -> settings) gives the family's
+    overrides as JSON.  ``batch_size`` is the lesser of the model's own and its
+    hint; either may be unset, and without both it stays unset.  The join is
+    left to the planner, which knows the size of ``hints``.
     """
-    parts = [df.withColumn("family", F.lit(tag)) for tag, df in families]
+    generation = generation or {}
+    parts = []
+    for tag, df in families:
+        if "batch_size" not in df.columns:
+            df = df.withColumn("batch_size", F.lit(None).cast("int"))
+        parts.append(df.select("*", F.lit(tag).alias("family"), F.concat_ws("-", F.col("model"), F.lit(tag)).alias("name"),
+                               F.concat_ws("/", F.lit(root), F.lit(tag), F.col("model")).alias("path"),
+                               F.lit(json.dumps(generation.get(tag) or {}, sort_keys=True)).alias("generation")))
     allm = parts[0]
     for p in parts[1:]:
         allm = allm.unionByName(p, allowMissingColumns=True)
-    if "batch_size" not in allm.columns:
-        allm = allm.withColumn("batch_size", F.lit(default_batch))
-    allm = allm.withColumn("batch_size", F.coalesce(F.col("batch_size"), F.lit(default_batch)))
+    allm = allm.where(F.col(eligible))
     if hints is not None:
-        allm = allm.join(F.broadcast(hints.select("model", F.col("batch_hint"))), "model", "left")
+        allm = allm.join(hints.select("model", "batch_hint"), "model", "left")
+        # least() skips NULLs: an unset side leaves the other
         allm = allm.withColumn("batch_size", F.least(F.col("batch_size"), F.col("batch_hint"))).drop("batch_hint")
-    return allm.where(F.col(eligible))
+    return allm

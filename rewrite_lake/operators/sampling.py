@@ -4,8 +4,8 @@ No Spark sampler reproduces numpy's Mersenne draws; the contract is *exact
 sizes, reproducible by seed*: a row's random key is ``md5(seed|id...)``, which
 DuckDB can compute too.
 
-Exact global ranks (split sizes, batches, dense ids) never use an
-unpartitioned window.  :func:`global_rank` cuts the key space into ``P``
+Exact global ranks (split sizes, batches, dense ids) never rank all rows in
+one window.  :func:`global_rank` cuts the key space into ``P``
 deterministic buckets, counts rows per bucket (a partial aggregate -> P rows),
 turns the counts into offsets (P rows, broadcast: bounded by P, not by the
 data) and ranks inside each bucket with a window partitioned by bucket.
@@ -63,37 +63,27 @@ def _bucket_count(df: DataFrame, buckets: int | None) -> int:
 
 
 def global_rank(df: DataFrame, key: Column, tie: Sequence[Column] = (), buckets: int | None = None,
-                uniform: bool = True, rank_col: str = "rank", total_col: str | None = "total") -> DataFrame:
-    """0-based global rank of every row by ``(key, *tie)``, plus the row count.
+                rank_col: str = "rank", total_col: str | None = "total", by: Sequence[str] = ()) -> DataFrame:
+    """0-based rank of every row by ``(key, *tie)``, plus the row count, over all
+    rows or per ``by`` (few values).
 
-    ``uniform=True``: ``key`` is a lower-case hex digest (md5), bucketed by its
-    leading 32 bits.  ``uniform=False``: ``key`` is numeric; bucket bounds are
-    approximate quantiles (one small driver action, P numbers) and the bucket
-    is found by binary search (ML ``Bucketizer``).
+    ``key`` is a lower-case hex digest (md5); rows are bucketed by its leading 32
+    bits and ranked inside their bucket.
     """
     p = _bucket_count(df, buckets)
-    tmp = df.withColumn("__k", key)
-    if uniform:
-        prefix = F.conv(F.substring(F.col("__k"), 1, HEX_DIGITS), 16, 10).cast("bigint")
-        tmp = tmp.withColumn("__b", F.floor(prefix * F.lit(p) / F.lit(float(16 ** HEX_DIGITS))).cast("int"))
-    else:
-        from pyspark.ml.feature import Bucketizer
-        probs = [i / p for i in range(1, p)]
-        qs = tmp.approxQuantile("__k", probs, 0.0 if p <= 1 else 1.0 / (10 * p)) if p > 1 else []
-        splits = sorted(set(float(q) for q in qs if q is not None and not math.isnan(q)))
-        splits = [-math.inf] + splits + [math.inf]
-        tmp = tmp.withColumn("__kd", F.col("__k").cast("double"))
-        tmp = Bucketizer(splits=splits, inputCol="__kd", outputCol="__bd", handleInvalid="keep").transform(tmp)
-        tmp = tmp.withColumn("__b", F.col("__bd").cast("int")).drop("__kd", "__bd")
-
-    counts = tmp.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
-    w_all = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = counts.select(
-        "__b", (F.sum("__n").over(w_all) - F.col("__n")).alias("__off"),
-        F.sum("__n").over(Window.partitionBy(F.lit(0))).alias("__total"))
-    w = Window.partitionBy("__b").orderBy(F.col("__k"), *tie)
+    by = list(by)
+    prefix = F.conv(F.substring(F.col("__k"), 1, HEX_DIGITS), 16, 10).cast("bigint")
+    tmp = df.withColumn("__k", key).withColumn(
+        "__b", F.floor(prefix * F.lit(p) / F.lit(float(16 ** HEX_DIGITS))).cast("int"))
+    counts = tmp.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    every = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    upto = every.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = counts.select(*by, "__b", (F.sum("__n").over(upto) - F.col("__n")).alias("__off"),
+                            F.sum("__n").over(every).alias("__total"))
+    w = Window.partitionBy(*by, "__b").orderBy(F.col("__k"), *tie)
     ranked = tmp.withColumn("__rn", F.row_number().over(w))
-    out = ranked.join(F.broadcast(offsets), "__b").withColumn(
+    # offsets: a row per bucket (and value of ``by``), a bound set by the bucket count
+    out = ranked.join(F.broadcast(offsets), [*by, "__b"]).withColumn(
         rank_col, (F.col("__off") + F.col("__rn") - 1).cast("bigint"))
     if total_col:
         out = out.withColumn(total_col, F.col("__total").cast("bigint"))
@@ -140,49 +130,75 @@ def batch_assign(df: DataFrame, batch_size: int, seed: int, ids, buckets: int |
                  .withColumn("batch_pos", (F.col("rank") % F.lit(batch_size)).cast("int"))
 
 
-def batch_cycle(df: DataFrame, batch_size: int, seed: int, ids, passes: int,
-                buckets: int | None = None) -> DataFrame:
+def batch_cycle(df: DataFrame, batch_size: int, seed: int, ids, passes: int | None = None,
+                steps: int | None = None, buckets: int | None = None) -> DataFrame:
     """Cyclic step schedule (SMP-06): the loader restarts when exhausted.
 
     Pass ``p`` reshuffles with seed ``seed + p``; step ``s`` (1-based) of the
-    whole run is batch ``(s - 1) mod n_batches`` of its pass.  Each pass is its
-    own exact ranking; rows are emitted once per pass (a union, no join).
+    whole run is batch ``(s - 1) mod n_batches`` of its pass.  ``passes`` says how
+    many whole passes, or ``steps`` how many steps (the last pass may be cut; this
+    counts the rows first).  Rows are ranked once for all passes, on the ids and
+    the pass; pass only ids, and join texts to the schedule.
+    """
+    if (passes is None) == (steps is None):
+        raise ValueError("give either passes or steps")
+    if passes is None:
+        per_pass = math.ceil(df.count() / batch_size)
+        passes = math.ceil(steps / per_pass) if per_pass else 0
+    each = df.withColumn("pass_no", F.explode(F.sequence(F.lit(0), F.lit(passes - 1)) if passes else F.array().cast("array<int>")))
+    key = F.md5(F.concat_ws("|", (F.lit(seed) + F.col("pass_no")).cast("string"), *[c.cast("string") for c in _cols(ids)]))
+    b = global_rank(each, key, tie=_cols(ids), buckets=buckets, total_col="n_rows", by=["pass_no"])
+    b = b.withColumn("batch_id", F.floor(F.col("rank") / F.lit(batch_size)).cast("bigint")) \
+         .withColumn("batch_pos", (F.col("rank") % F.lit(batch_size)).cast("int"))
+    n_batches = F.ceil(F.col("n_rows") / F.lit(batch_size)).cast("bigint")
+    b = b.withColumn("step", (F.col("pass_no") * n_batches + F.col("batch_id") + 1).cast("bigint"))
+    return b.where(F.col("step") <= steps) if steps is not None else b
+
+
+def dense_ids(df: DataFrame, major: Column, minor: Column, tie: Sequence[Column] = (),
+              name: str = "row_id", span: int = 4096, block: int = 65536) -> DataFrame:
+    """0..n-1 in the order of (major, minor, *tie), whole numbers (SMP-08).
+
+    No window and no action sees all rows: rows are counted per block of one
+    ``major`` and ``block`` consecutive ``minor``, block offsets are added up
+    inside a run of ``span`` majors, and only the runs' totals (one row for each
+    ``span`` majors) are added up in one task.  Three joins put the offsets back
+    on the rows, which are ranked inside their block.
     """
-    outs = []
-    for p in range(passes):
-        b = batch_assign(df, batch_size, seed + p, ids, buckets)
-        n_batches = F.ceil(F.col("n_rows") / F.lit(batch_size)).cast("bigint")
-        outs.append(b.withColumn("pass_no", F.lit(p))
-                     .withColumn("step", (F.lit(p) * n_batches + F.col("batch_id") + 1).cast("bigint")))
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
-
-
-def dense_ids(df: DataFrame, order: Column, buckets: int | None = None, name: str = "row_id") -> DataFrame:
-    """0..n-1 in ``order`` (numeric, unique) after filtering (SMP-08)."""
-    return global_rank(df, order, buckets=buckets, uniform=False, rank_col=name, total_col=None)
-
-
-def lead_by_rank(df: DataFrame, partition: str, order: str, value: str, offsets: dict[int, str],
-                 buckets: int | None = None) -> DataFrame:
-    """``lead(value, k) over (partition by p order by o)`` for each ``k -> name``,
-    without a window partitioned by ``p``.
-
-    Every row gets a global dense rank over the composite key (p, o); the
-    bucket bounds come from quantiles of that key, so one huge partition
-    value spreads over many buckets.  ``lead(k)`` is then an equi-join on
-    (p, rank + k) -- unique keys, no hot join task.  ``p`` and ``o`` must be
-    non-negative integers and (p, o) unique.
+    tmp = df.withColumn("__a", major.cast("bigint")).withColumn("__m", minor.cast("bigint"))
+    tmp = tmp.withColumn("__b", F.floor(F.col("__m") / block)).withColumn("__s", F.floor(F.col("__a") / span))
+    blocks = tmp.groupBy("__s", "__a", "__b").agg(F.count(F.lit(1)).alias("__n"))
+    upto = [Window.unboundedPreceding, -1]
+    runs = blocks.groupBy("__s").agg(F.sum("__n").alias("__t")).select(
+        "__s", F.coalesce(F.sum("__t").over(Window.orderBy("__s").rowsBetween(*upto)), F.lit(0)).alias("__base"))
+    inside = Window.partitionBy("__s").orderBy("__a", "__b").rowsBetween(*upto)
+    offsets = blocks.select("__s", "__a", "__b", F.coalesce(F.sum("__n").over(inside), F.lit(0)).alias("__off"))
+    offsets = offsets.join(runs, "__s").select("__a", "__b", (F.col("__base") + F.col("__off")).alias("__off"))
+    rank = F.row_number().over(Window.partitionBy("__a", "__b").orderBy("__m", *tie))
+    out = tmp.withColumn("__r", rank).join(offsets, ["__a", "__b"])
+    return out.withColumn(name, (F.col("__off") + F.col("__r") - 1).cast("bigint")).drop("__a", "__m", "__b", "__s", "__r", "__off")
+
+
+def line_ids(df: DataFrame, name: str = "row_id") -> DataFrame:
+    """0..n-1 in the order the rows were read: partition, then place in it."""
+    tmp = df.withColumn("__id", F.monotonically_increasing_id())
+    return dense_ids(tmp, F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)), name=name).drop("__id")
+
+
+def lead_in_blocks(df: DataFrame, partition: str, order: str, value: str, offsets: dict[int, str],
+                   block: int = 4096, reach: int = 64) -> DataFrame:
+    """``lead(value, k) over (partition by p order by o)`` for each ``k -> name``, in one shuffle.
+
+    Rows are dealt by (p, floor(o / block)), so a huge ``p`` is many tasks.  The
+    rows of a block's first ``reach`` orders are dealt to the block before it as
+    well, where they are only looked at, not returned.  ``o`` is a whole number
+    whose gaps are small: ``max(k)`` successive rows lie within ``reach`` orders
+    (turn numbers count up by one).
     """
-    span = (df.agg(F.max(order)).first()[0] or 0) + 1           # one small aggregate
-    key = F.col(partition).cast("bigint") * F.lit(int(span)) + F.col(order).cast("bigint")
-    ranked = dense_ids(df, key, buckets=buckets, name="__r")
-    out = ranked
-    for k, name in offsets.items():
-        nxt = ranked.select(F.col(partition).alias("__p2"), (F.col("__r") - F.lit(k)).alias("__r2"),
-                            F.col(value).alias(name))
-        out = out.join(nxt, (F.col(partition) == F.col("__p2")) & (F.col("__r") == F.col("__r2")), "left") \
-                 .drop("__p2", "__r2")
-    return out.drop("__r")
+    at = F.floor(F.col(order) / block).cast("bigint")
+    head = F.pmod(F.col(order), F.lit(block)) < reach
+    dealt = df.withColumn("__own", at).withColumn(
+        "__blk", F.explode(F.when(head, F.array(at, at - 1)).otherwise(F.array(at))))
+    w = Window.partitionBy(partition, "__blk").orderBy(order)
+    out = dealt.select("*", *[F.lead(value, k).over(w).alias(name) for k, name in offsets.items()])
+    return out.where(F.col("__blk") == F.col("__own")).drop("__own", "__blk")

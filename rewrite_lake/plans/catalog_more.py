@@ -1,5 +1,5 @@
 """Catalog, part 2: text rules, sampling, metric bundles, vectors, rewards,
-training-log analytics and run reports.  Registered into ``catalog.QUERIES``."""
+backends and run reports.  Registered into ``catalog.QUERIES``."""
 
 from __future__ import annotations
 
@@ -17,22 +17,16 @@ from ..operators import prepare as P
 from ..operators import rewards as RW
 from ..operators import runs as RU
 from ..operators import sampling as SM
-from ..session import broadcast_if_small, spread
+from ..session import spread
 from ..sources import fixtures as FX
 from ..sources.tables import table
-from .catalog import _pairs, _samples, query, r6
-
-
-def r9(col):
-    """Rollout statistics average short decimals; compare them at 9 places."""
-    return F.round(col, 9)
+from .catalog import LINE_KEYS, PAIR_KEYS, _pairs, _samples, query, r6
 
 
 SEED = 42
 BATCH = 16
-KL_INIT, KL_TARGET, KL_RATE, CLIP_RANGE = 0.2, 0.08, 0.1, 0.15
 VARIANTS = ("de", "en", "es", "fr")
-PAIR_IDS = ["pair_row", "target_no"]
+PAIR_IDS = [*PAIR_KEYS, "target_no"]
 
 
 # --- text rules --------------------------------------------------------------------
@@ -41,22 +35,22 @@ PAIR_IDS = ["pair_row", "target_no"]
 def text_normalize(spark, sf_dir):
     pw = FX.pairs_wide(spark, sf_dir)
     clean = T.ustrip(F.col("toxic"))
-    return pw.select("pair_row", clean.alias("toxic_clean"),
+    return pw.select(*PAIR_KEYS, clean.alias("toxic_clean"),
                      T.char_len(clean).cast("bigint").alias("n_chars"),
                      T.token_count(F.col("toxic")).cast("bigint").alias("n_tokens"))
 
 
 @query
 def blank_placeholder(spark, sf_dir):
-    c = C.candidates(_samples(spark, sf_dir))
-    return c.select("sample_id", "model_idx", "candidate_rank",
+    c = C.candidates(_samples(spark, sf_dir), keep=LINE_KEYS)
+    return c.select(*LINE_KEYS, "model_idx", "candidate_rank",
                     T.blank_placeholder(F.col("text")).alias("model_output"))
 
 
 @query
 def reference_fallback(spark, sf_dir):
     pw = FX.pairs_wide(spark, sf_dir)
-    return pw.select("pair_row", T.reference_fallback(F.col("neutral2"), F.col("toxic")).alias("reference"))
+    return pw.select(*PAIR_KEYS, T.reference_fallback(F.col("neutral2"), F.col("toxic")).alias("reference"))
 
 
 @query
@@ -70,68 +64,73 @@ def truncate_tokens(spark, sf_dir):
 def eval_dropna(spark, sf_dir):
     pw = FX.pairs_wide(spark, sf_dir)
     return P.drop_incomplete(pw, ["toxic", "neutral1", "neutral2"]).select(
-        "pair_row", "toxic", "neutral1", "neutral2")
-
+        *PAIR_KEYS, "toxic", "neutral1", "neutral2")
 
-def _predictions(spark, sf_dir) -> DataFrame:
-    """An external prediction table keyed by sample id (the ``mask`` rewrites)."""
-    return C.candidates(_samples(spark, sf_dir), models=["mask"]).select(
-        "sample_id", F.col("text").alias("model_output"))
 
-
-def _align(inputs: DataFrame, predictions: DataFrame, key: str = "sample_id") -> DataFrame:
+def align(inputs: DataFrame, predictions: DataFrame, keys) -> DataFrame:
     """Align predictions to inputs on an explicit row key (JN-03, T25): an equi
-    join instead of positional zipping, so blank lines cannot shift rows."""
-    return inputs.join(predictions, key)
+    join instead of positional zipping, so blank lines cannot shift rows.  Every
+    input stays; ``matched`` says whether it has a prediction
+    (:func:`jobs.checked_align` raises when one has none)."""
+    found = predictions.withColumn("matched", F.lit(True))
+    return inputs.join(found, list(keys), "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
 
 
 def _triples(spark, sf_dir) -> DataFrame:
-    inputs = _samples(spark, sf_dir).select(
-        "sample_id", F.col("source").alias("toxic"), F.col("reference").alias("neutral1"))
-    return _align(inputs, _predictions(spark, sf_dir))
+    """Lines with their reference and the ``mask`` rewrite, a column of the same row."""
+    return _samples(spark, sf_dir).select(
+        *LINE_KEYS, F.col("source").alias("toxic"), F.col("reference").alias("neutral1"),
+        T.ustrip(FX.mask_lexicon(F.col("source"))).alias("model_output"))
 
 
 @query
 def align_predictions(spark, sf_dir):
-    return _triples(spark, sf_dir).select("sample_id", "toxic", "neutral1", "model_output")
+    """Predictions exist for labelled documents only: an external table to align,
+    and to say which inputs it misses."""
+    inputs = _samples(spark, sf_dir).select(*LINE_KEYS, F.col("source").alias("toxic"), F.col("reference").alias("neutral1"))
+    labelled = table(spark, sf_dir, "labels").select("doc_id").distinct()
+    predictions = FX.line_samples(spark, sf_dir).join(labelled, "doc_id", "left_semi").select(
+        *LINE_KEYS, T.ustrip(FX.mask_lexicon(F.col("source"))).alias("model_output"))
+    return align(inputs, predictions, LINE_KEYS)
 
 
 # --- sampling ------------------------------------------------------------------------
 
 @query
 def sample_head(spark, sf_dir):
-    return SM.head(_pairs(spark, sf_dir), 100, PAIR_IDS).select("pair_row", "target_no", "input")
+    return SM.head(_pairs(spark, sf_dir), 100, PAIR_IDS).select(*PAIR_IDS, "input")
 
 
 @query
 def sample_random(spark, sf_dir):
-    return SM.sample_capped(FX.line_samples(spark, sf_dir), 100, SEED, ["sample_id"]).select(
-        "sample_id", "source")
+    return SM.sample_capped(FX.line_samples(spark, sf_dir), 100, SEED, LINE_KEYS).select(*LINE_KEYS, "source")
+
+
+def _pair_ids(spark, sf_dir) -> DataFrame:
+    """Ranks and batches are made of ids; texts join the schedule where they are used."""
+    return _pairs(spark, sf_dir).select(*PAIR_IDS)
 
 
 @query
 def split_exact(spark, sf_dir):
-    return SM.split_exact(_pairs(spark, sf_dir), SEED, PAIR_IDS).select(
-        "pair_row", "target_no", "rank", "split")
+    return SM.split_exact(_pair_ids(spark, sf_dir), SEED, PAIR_IDS).select(*PAIR_IDS, "rank", "split")
 
 
 @query
 def batch_assign(spark, sf_dir):
-    return SM.batch_assign(_pairs(spark, sf_dir), BATCH, SEED, PAIR_IDS).select(
-        "pair_row", "target_no", "batch_id", "batch_pos")
+    return SM.batch_assign(_pair_ids(spark, sf_dir), BATCH, SEED, PAIR_IDS).select(*PAIR_IDS, "batch_id", "batch_pos")
 
 
 @query
 def batch_cycle(spark, sf_dir):
-    return SM.batch_cycle(_pairs(spark, sf_dir), BATCH, SEED, PAIR_IDS, passes=2).select(
-        "pair_row", "target_no", "pass_no", "step", "batch_id")
+    return SM.batch_cycle(_pair_ids(spark, sf_dir), BATCH, SEED, PAIR_IDS, passes=2).select(
+        *PAIR_IDS, "pass_no", "step", "batch_id")
 
 
 @query
 def dense_ids(spark, sf_dir):
-    pairs = _pairs(spark, sf_dir)
-    return SM.dense_ids(pairs, F.col("pair_row") * 10 + F.col("target_no")).select(
-        "pair_row", "target_no", "row_id")
+    return SM.dense_ids(_pair_ids(spark, sf_dir), F.col("conv_id"), F.col("turn"), [F.col("target_no")]).select(
+        *PAIR_IDS, "row_id")
 
 
 # --- metric bundles ----------------------------------------------------------------------
@@ -146,29 +145,19 @@ def metric_bundle(spark, sf_dir):
 
 
 def doc_lines(spark, sf_dir) -> DataFrame:
-    """Every document line (all languages) with >= 5 trimmed characters."""
+    """Every document line, with its language."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
-    lines = docs.select("doc_id", "lang", F.posexplode(F.split(F.col("text"), "\n", -1)).alias("line_no", "line"))
-    return lines.where(F.char_length(F.trim(F.col("line"))) >= 5)
+    return docs.select("doc_id", "lang", F.posexplode(F.split(F.col("text"), "\n", -1)).alias("line_no", "line"))
 
 
 @query
 def metric_bundle_by_lang(spark, sf_dir):
     lines = doc_lines(spark, sf_dir).select(
         "lang", F.col("line").alias("toxic"), FX.synthetic_reference(F.col("line")).alias("neutral1"),
-        F.regexp_replace(FX.mask_lexicon(F.col("line")), r"(?U)\A\s+|\s+\z", "").alias("model_output"))
+        T.ustrip(FX.mask_lexicon(F.col("line"))).alias("model_output"))
     return M.evaluate_pairs(lines, by=["lang"]).select("lang", *_bundle_cols())
 
 
-@query
-def eval_summary(spark, sf_dir):
-    ro = FX.rollouts(spark, sf_dir)
-    s = M.eval_summary(ro, by=["epoch"], toxicity="tox", similarity="sim", reward="reward_raw")
-    return s.select("epoch", F.col("samples").cast("bigint").alias("samples"),
-                    *[r9(F.col(c)).alias(c) for c in
-                      ("toxicity_mean", "toxicity_std", "similarity_mean", "reward_mean", "reward_std")])
-
-
 # --- vectors ---------------------------------------------------------------------------------
 
 @query
@@ -193,182 +182,165 @@ def style_centroid(spark, sf_dir):
     """Score every vector by cosine to its label's centroid (UDF-06).
 
     The centroid is a mergeable ML ``Summarizer.mean`` per label (partial
-    aggregate, one row per label and task); the centroid table is broadcast
-    after a row-count check, so no hot label lands in one join task.
+    aggregate, one row per label and task); the join is the planner's: adaptive
+    execution broadcasts the centroids when their bytes are few, and splits a
+    hot label when they are not.
     """
     emb = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
     cents = emb.groupBy("label").agg(
         Summarizer.mean(array_to_vector(F.col("embedding"))).alias("c")).select(
         "label", vector_to_array(F.col("c")).alias("centroid"))
-    # centroids: one row per label; a hot label must not skew a join on a
-    # 10-value key, so the (counted, bounded) centroid table is broadcast
-    j = emb.join(broadcast_if_small(cents, max_rows=100_000), "label")
+    j = emb.join(cents, "label")
     return j.select("vec_id", "label", r6(V.cosine(F.col("embedding"), F.col("centroid"))).alias("score"))
 
 
 # --- rewards ---------------------------------------------------------------------------------
 
+CAND_KEYS = [*LINE_KEYS, "model_idx", "candidate_rank"]
+BATCH_KEYS = ["doc_id", "step"]
+
+
 def _cand_text(spark, sf_dir) -> DataFrame:
-    return C.candidates(_samples(spark, sf_dir), keep=("sample_id", "source", "reference"))
+    return C.candidates(_samples(spark, sf_dir), keep=(*LINE_KEYS, "source", "reference"))
+
+
+def _base_reward(c: DataFrame) -> tuple[DataFrame, F.Column]:
+    """Base reward of candidate rows (RWD-01); the second toxicity scorer is the
+    same backend with another slope."""
+    if "cos" not in c.columns:
+        c = S.with_bow_cosine(c, F.col("source"), F.col("text"), out="cos")
+    c = c.withColumn("trivial", RW.trivial_output(F.col("source"), F.col("text")))
+    return c, RW.base_reward(S.toxicity_prob(F.col("text"), k=2.0), T.clip(F.col("cos"), -1.0, 1.0), F.col("trivial"))
 
 
 @query
 def reward_base(spark, sf_dir):
-    c = _cand_text(spark, sf_dir)
-    c = S.with_bow_cosine(c, F.col("source"), F.col("text"), out="cos")
-    triv = RW.trivial_output(F.col("source"), F.col("text"), 3)
-    # the base reward uses a second toxicity scorer: same backend, other slope
-    r = RW.base_reward(S.toxicity_prob(F.col("text"), k=2.0), T.clip(F.col("cos"), -1.0, 1.0), triv)
-    return c.select("sample_id", "model_idx", "candidate_rank", triv.cast("int").alias("trivial"),
-                    r6(r).alias("reward"))
+    c, reward = _base_reward(_cand_text(spark, sf_dir))
+    return c.select(*CAND_KEYS, F.col("trivial").cast("int").alias("trivial"), r6(reward).alias("reward"))
 
 
 @query
 def mini_metrics(spark, sf_dir):
     c = RW.with_mini_metrics(_cand_text(spark, sf_dir), "source", "reference", "text")
-    return c.select("sample_id", "model_idx", "candidate_rank",
-                    *[r6(F.col(k)).alias(k) for k in ("sta", "sim", "fl", "bleu", "j")])
+    return c.select(*CAND_KEYS, *[r6(F.col(k)).alias(k) for k in ("sta", "sim", "fl", "bleu", "j")])
+
+
+def _rewarded(spark, sf_dir) -> DataFrame:
+    """Candidate rows with mini metrics and base reward, in steps of ``BATCH``
+    successive lines of a document (a batch is those lines' candidates)."""
+    c, reward = _base_reward(RW.with_mini_metrics(_cand_text(spark, sf_dir), "source", "reference", "text", "cos"))
+    return c.select(*CAND_KEYS, "model", "source", "reference", "text", "sta", "sim", "fl", "bleu", "j", reward.alias("reward_raw"),
+                    (F.floor(F.col("line_no") / BATCH) + 1).cast("bigint").alias("step"))
+
 
+PARTS = {"metric": ("z_j", 0.8, 1), "bleu": ("z_bleu", 0.4, 2)}
 
-def _rollout_rewards(spark, sf_dir) -> DataFrame:
-    ro = FX.rollouts(spark, sf_dir)
-    ro = ro.withColumn("j_raw", (F.lit(1.0) - F.col("tox")) * F.col("sim") * F.col("fl"))
-    ro = ro.withColumn("z_j", RW.zscore(F.col("j_raw"), "batch_id"))
-    ro = ro.withColumn("z_bleu", RW.zscore(F.col("fl"), "batch_id"))
-    parts = {"metric": (F.col("z_j"), 0.8, 1), "bleu": (F.col("z_bleu"), 0.4, 2)}
+
+def _blended(spark, sf_dir) -> DataFrame:
+    ro = _rewarded(spark, sf_dir).withColumn("z_j", RW.zscore(F.col("j"), BATCH_KEYS)).withColumn(
+        "z_bleu", RW.zscore(F.col("bleu"), BATCH_KEYS))
+    parts = {k: (F.col(z), w, stride) for k, (z, w, stride) in PARTS.items()}
     return ro.withColumn("reward", RW.blend(F.col("reward_raw"), F.col("step"), parts))
 
 
 @query
 def reward_zscore(spark, sf_dir):
-    ro = FX.rollouts(spark, sf_dir)
-    ro = ro.withColumn("j_raw", (F.lit(1.0) - F.col("tox")) * F.col("sim") * F.col("fl"))
-    return ro.select("sample_id", "batch_id", r9(RW.zscore(F.col("j_raw"), "batch_id")).alias("z_j"))
+    ro = _rewarded(spark, sf_dir)
+    return ro.select(*CAND_KEYS, "step", r6(RW.zscore(F.col("j"), BATCH_KEYS)).alias("z_j"))
 
 
 @query
 def reward_blend(spark, sf_dir):
-    return _rollout_rewards(spark, sf_dir).select("sample_id", "step", r9(F.col("reward")).alias("reward"))
+    return _blended(spark, sf_dir).select(*CAND_KEYS, "step", r6(F.col("reward")).alias("reward"))
 
 
 @query
 def reward_batch_stats(spark, sf_dir):
-    ro = _rollout_rewards(spark, sf_dir)
-    on_m = RW.stride_active(F.col("step"), 0.8, 1)
-    on_b = RW.stride_active(F.col("step"), 0.4, 2)
-    g = ro.groupBy("step").agg(
+    """Batch means and deviations of the rewards and of every metric (AGG-08)."""
+    on_m = RW.stride_active(F.col("step"), *PARTS["metric"][1:])
+    on_b = RW.stride_active(F.col("step"), *PARTS["bleu"][1:])
+    g = _blended(spark, sf_dir).groupBy(*BATCH_KEYS).agg(
         F.avg(F.when(on_m, F.col("z_j"))).alias("metric_reward_mean"),
         F.stddev_samp(F.when(on_m, F.col("z_j"))).alias("metric_reward_std"),
-        F.avg(F.when(on_m, F.col("j_raw"))).alias("metric_j_mean"),
+        *[F.avg(F.when(on_m, F.col(k))).alias(f"metric_{k}_mean") for k in ("sta", "sim", "fl", "j")],
         F.avg(F.when(on_b, F.col("z_bleu"))).alias("bleu_reward_mean"),
         F.stddev_samp(F.when(on_b, F.col("z_bleu"))).alias("bleu_reward_std"),
-        F.avg(F.when(on_b, F.col("fl"))).alias("metric_bleu_mean"),
+        F.avg(F.when(on_b, F.col("bleu"))).alias("metric_bleu_mean"),
         F.avg("reward").alias("reward_mean"))
-    return g.select("step", *[r9(F.col(c)).alias(c) for c in g.columns if c != "step"])
-
-
-def _with_adv(spark, sf_dir) -> DataFrame:
-    ro = _rollout_rewards(spark, sf_dir)
-    return ro.withColumn("adv", RW.advantage(F.col("reward"), F.col("value_est"), F.col("step")))
+    return g.select(*BATCH_KEYS, *[r6(F.col(c)).alias(c) for c in g.columns if c not in BATCH_KEYS])
 
 
 @query
-def advantage_norm(spark, sf_dir):
-    return _with_adv(spark, sf_dir).select("sample_id", "step", r9(F.col("adv")).alias("adv"))
-
-
-def _policy(spark, sf_dir) -> DataFrame:
-    return RW.policy_step_stats(_with_adv(spark, sf_dir), clip_range=CLIP_RANGE)
+def eval_summary(spark, sf_dir):
+    ro = _rewarded(spark, sf_dir).withColumn("toxicity", F.lit(1.0) - F.col("sta"))
+    s = M.eval_summary(ro, by=["model"], similarity="sim", reward="reward_raw")
+    return s.select("model", F.col("samples").cast("bigint").alias("samples"),
+                    *[r6(F.col(c)).alias(c) for c in
+                      ("toxicity_mean", "toxicity_std", "similarity_mean", "reward_mean", "reward_std")])
 
 
 @query
-def policy_diagnostics(spark, sf_dir):
-    p = _policy(spark, sf_dir)
-    return p.select("step", *[r9(F.col(c)).alias(c) for c in ("policy_loss", "value_loss", "kl_div", "reward_mean")])
+def eval_preview(spark, sf_dir):
+    """First 5 evaluation rows per model with their texts (WIN-04):
+    ``row_number() <= 5`` plans a partial WindowGroupLimit before the shuffle, so
+    a model ships at most 5 rows per map task."""
+    w = Window.partitionBy("model").orderBy(*LINE_KEYS, "candidate_rank")
+    top = _cand_text(spark, sf_dir).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= 5)
+    c, reward = _base_reward(RW.with_mini_metrics(top, "source", "reference", "text", "cos"))
+    return c.select("model", *LINE_KEYS, "candidate_rank", F.col("source").alias("prompt"), "reference",
+                    F.col("text").alias("prediction"), r6(F.lit(1.0) - F.col("sta")).alias("toxicity"),
+                    r6(F.col("sim")).alias("similarity"), r6(reward).alias("reward"))
 
 
+# --- fill and backends ---------------------------------------------------------------------
+
 @query
-def kl_fold(spark, sf_dir):
-    p = _policy(spark, sf_dir)
-    k = RW.kl_coefficients(p, init=KL_INIT, target=KL_TARGET, rate=KL_RATE)
-    j = p.join(k, "step")
-    total = F.col("policy_loss") + F.lit(0.5) * F.col("value_loss") + F.col("kl_coef") * F.abs(F.col("kl_div"))
-    return j.select("step", r9(F.col("kl_coef")).alias("kl_coef"), r9(total).alias("loss"))
+def forward_fill(spark, sf_dir):
+    """The last user turn at or before every turn of a conversation (WIN-05)."""
+    conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    marked = conv.withColumn("mark", F.when(F.col("role") == "user", F.col("turn")))
+    return RU.forward_fill(marked, ["conv_id"], "turn", "mark", "last_user_turn").select(
+        "conv_id", "turn", "last_user_turn")
 
 
 @query
-def seq_logprob(spark, sf_dir):
-    c = _cand_text(spark, sf_dir)
-    toks = T.split_ws(F.col("text"))
-    c = c.withColumn("__t", toks)
-    lp = F.transform(F.col("__t"), lambda t: -F.log(F.lit(1.0) + F.char_length(t).cast("double")))
-    val = F.transform(F.col("__t"), lambda t: F.lit(1.0) / (F.lit(1.0) + F.char_length(t).cast("double")))
-    mask = F.transform(F.col("__t"), lambda t: t != F.lit("***"))
-    return c.select("sample_id", "model_idx", "candidate_rank",
-                    r6(RW.masked_sum(lp, mask)).alias("seq_logprob"),
-                    r6(RW.masked_mean(val, mask)).alias("value_mean"))
-
+def toxicity_udf(spark, sf_dir):
+    """The lexicon scorer run as a Python backend through ``predict_batch_udf``
+    (Arrow batches, model object built once per worker): the UDF-01 surface."""
+    from ..operators.backends import LexiconToxicity, batch_scorer
+    score = batch_scorer(LexiconToxicity, batch_size=256)
+    ls = FX.line_samples(spark, sf_dir)
+    return ls.select(*LINE_KEYS, r6(score(F.col("source"))).alias("p_toxic"))
 
-# --- training-log analytics ----------------------------------------------------------------
 
-def _log_lines(spark, sf_dir) -> DataFrame:
-    """Run-log text rendered from the per-step statistics (one file, one run):
-    an ``Epoch k/n`` line opens each epoch, then one ``Step`` line per step."""
-    p = _policy(spark, sf_dir)
-    ep = FX.rollouts(spark, sf_dir).groupBy("step").agg(F.max("epoch").alias("epoch"))
-    s = p.join(ep, "step")
-    loss = F.col("policy_loss") + F.lit(0.5) * F.col("value_loss")
-    first = s.groupBy("epoch").agg(F.min("step").alias("first_step"))
-    # one row per epoch: the run's epoch count is a tiny unpartitioned max
-    first = first.withColumn("n_epochs", F.max("epoch").over(Window.partitionBy(F.lit(0))))
-    n_epochs = F.col("n_epochs").cast("string")
-    step_lines = s.select(
-        F.lit("rollouts.log").alias("file"), (F.col("step") * 2 + 1).alias("line_no"),
-        F.concat(F.lit("  Step "), F.format_string("%02d", F.col("step")), F.lit(": reward="),
-                 F.col("reward_mean").cast("string"), F.lit(" loss="), loss.cast("string"),
-                 F.lit(" kl="), F.col("kl_div").cast("string")).alias("line"))
-    head_lines = first.select(
-        F.lit("rollouts.log").alias("file"), (F.col("first_step") * 2).alias("line_no"),
-        F.concat(F.lit("Epoch "), F.col("epoch").cast("string"), F.lit("/"), n_epochs).alias("line"))
-    return step_lines.unionByName(head_lines)
+def _fitted(spark, sf_dir, label, out):
+    """Every document scored by a model fitted on at most ``FIT_ROWS`` labelled ones."""
+    from ..operators import backends as BK
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = BK.fit_text_model(BK.labelled_sample(docs, table(spark, sf_dir, "labels"), label), label=label)
+    return BK.score_with_model(model, docs, out=out).select("doc_id", r6(F.col(out)).alias(out), (F.col(out) > 0.5).cast("int").alias("label"))
 
 
 @query
-def forward_fill(spark, sf_dir):
-    parsed = RU.parse_log_lines(_log_lines(spark, sf_dir))
-    return parsed.where(F.col("kind") == "step").select(
-        "line_no", F.col("step").cast("bigint").alias("step"), F.col("epoch").cast("bigint").alias("epoch"))
+def toxicity_fitted(spark, sf_dir):
+    return _fitted(spark, sf_dir, "toxic", "p_toxic")
 
 
 @query
-def epoch_history(spark, sf_dir):
-    h = RU.epoch_history(RU.parse_log_lines(_log_lines(spark, sf_dir)), by=())
-    return h.select(F.col("epoch").cast("bigint").alias("epoch"), F.col("steps").cast("bigint").alias("steps"),
-                    r9(F.col("reward_mean")).alias("reward_mean"), r9(F.col("loss_mean")).alias("loss_mean"),
-                    r9(F.col("kl_mean")).alias("kl_mean"), F.col("last_step").cast("bigint").alias("last_step"))
+def acceptability_fitted(spark, sf_dir):
+    return _fitted(spark, sf_dir, "quality", "p_accept")
 
 
 @query
-def best_checkpoint(spark, sf_dir):
-    ro = FX.rollouts(spark, sf_dir)
-    evals = ro.groupBy("epoch").agg(
-        F.max("step").alias("step"),
-        F.avg(F.pow(F.col("value_est") - F.col("reward_raw"), 2)).alias("eval_loss"))
-    b = RU.best_checkpoint(evals)
-    return b.select(F.col("best_step").cast("bigint").alias("best_step"), r6(F.col("best_metric")).alias("best_metric"),
-                    F.col("last_step").cast("bigint").alias("last_step"))
+def hashed_similarity(spark, sf_dir):
+    """Similarity of source and reference by hashed, normalised vectors (UDF-03)."""
+    from ..operators import backends as BK
+    s = BK.with_hashed_cosine(_samples(spark, sf_dir), "source", "reference", "sim")
+    return s.select(*LINE_KEYS, r6(F.col("sim")).alias("sim"))
 
 
-@query
-def eval_preview(spark, sf_dir):
-    """First 5 evaluation rows per epoch (WIN-04): ``row_number() <= 5`` plans
-    a partial WindowGroupLimit before the shuffle, so a large epoch ships at
-    most 5 rows per map task."""
-    ro = FX.rollouts(spark, sf_dir)
-    w = Window.partitionBy("epoch").orderBy("sample_id")
-    top = ro.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= 5)
-    return top.select("epoch", "sample_id", r6(F.col("tox")).alias("toxicity"),
-                      r6(F.col("sim")).alias("similarity"), r6(F.col("reward_raw")).alias("reward"))
+#: Queries over fitted or hashed vectors: pytest compares them, SQL can't.
+NO_SQL = ("toxicity_fitted", "acceptability_fitted", "hashed_similarity")
 
 
 # --- run reports ----------------------------------------------------------------------------
@@ -390,8 +362,14 @@ def run_summary(spark, sf_dir):
 
 @query
 def run_matrix(spark, sf_dir):
+    """Model x variant with status: runs of a model without toxic documents count
+    as failed, with the log's error text as the reason."""
     r = FX.runs(spark, sf_dir)
-    return RU.run_matrix(r, VARIANTS, r, ["STA", "FL"])
+    failed = r.where(F.col("STA") == 1.0).select(
+        F.concat_ws("/", F.lit("logs"), "variant", F.concat("model", F.lit("_20250101_000000.log"))).alias("file"),
+        F.lit(0).alias("line_no"), F.concat(F.lit("ValueError: no toxic rows among "), F.col("n").cast("string")).alias("line"))
+    fails = RU.log_failures(RU.parse_log_lines(failed))
+    return RU.run_matrix(r, VARIANTS, r.where(F.col("STA") < 1.0), ["STA", "FL"], failures=fails)
 
 
 @query
@@ -407,39 +385,25 @@ def ablation_pivot(spark, sf_dir):
 
 @query
 def ablation_delta(spark, sf_dir):
-    d = RU.ablation_delta(FX.runs(spark, sf_dir), "en", ["STA", "FL"])
+    d = RU.ablation(FX.runs(spark, sf_dir), VARIANTS, "en", ["STA", "FL"])
     return d.select("model", "variant", r6(F.col("delta_STA")).alias("delta_STA"),
                     r6(F.col("delta_FL")).alias("delta_FL"))
 
 
 @query
 def registry_entries(spark, sf_dir):
+    """Sources as models: one pass over ``documents`` says which languages
+    (families) a source has, its hint and whether a label names it."""
+    labelled = table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("has", F.lit(1))
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
-    labelled = table(spark, sf_dir, "labels").select("doc_id").join(docs, "doc_id").select(
-        F.col("source").alias("model")).distinct().withColumn("has_final_model", F.lit(True))
-
-    def family(langs, batch):
-        fam = docs.where(F.col("lang").isin(*langs)).select(F.col("source").alias("model")).distinct()
-        return fam.withColumn("batch_size", F.lit(batch).cast("int"))
-
-    hints = docs.groupBy(F.col("source").alias("model")).agg(
-        F.when(F.avg("n_chars") > 2500, F.lit(4)).otherwise(F.lit(32)).alias("batch_hint"))
-    fams = [("sft", family(["en"], 16)), ("rl", family(["de", "fr"], 8)),
-            ("baseline", family(["es"], None))]
-    fam_df = RU.registry(
-        [(t, d.join(labelled, "model", "left").withColumn(
-            "has_final_model", F.coalesce(F.col("has_final_model"), F.lit(False)))) for t, d in fams],
-        hints=hints)
-    return fam_df.select("family", "model", F.col("batch_size").cast("int").alias("batch_size"))
-
-
-# --- Python backend path -------------------------------------------------------------
-
-@query
-def toxicity_udf(spark, sf_dir):
-    """The lexicon scorer run as a Python backend through ``predict_batch_udf``
-    (Arrow batches, model object built once per worker) -- the UDF-01 surface."""
-    from ..operators.backends import LexiconToxicity, batch_scorer
-    score = batch_scorer(LexiconToxicity, batch_size=256)
-    ls = spread(FX.line_samples(spark, sf_dir))
-    return ls.select("sample_id", r6(score(F.col("source"))).alias("p_toxic"))
+    langs = {"sft": ["en"], "rl": ["de", "fr"], "baseline": ["es"]}
+    models = docs.join(labelled, "doc_id", "left").groupBy(F.col("source").alias("model")).agg(
+        *[F.max(F.col("lang").isin(*v).cast("int")).alias(k) for k, v in langs.items()],
+        F.when(F.avg("n_chars") > 2500, F.lit(4)).when(F.avg("n_chars") > 1500, F.lit(32)).alias("batch_hint"),
+        (F.max("has") == 1).alias("has_final_model"))
+    batch = {"sft": 16, "rl": 8, "baseline": None}
+    families = [(k, models.where(F.col(k) == 1).select("model", "has_final_model", "batch_hint",
+                                                       F.lit(batch[k]).cast("int").alias("own"))) for k in langs]
+    rows = RU.registry([(k, d.withColumn("batch_size", F.least("own", "batch_hint"))) for k, d in families],
+                       generation={"rl": {"do_sample": True, "early_stopping": False}})
+    return rows.select("family", "model", "name", "path", "generation", F.col("batch_size").cast("int").alias("batch_size"))

@@ -9,13 +9,13 @@ ORACLE: dict[str, str] = {}
 PAIRS_LONG = f"""
 pairs_long as (
   select * from (
-    select pair_row, {strip('toxic')} as input, 1 as target_no, {strip('neutral1')} as target from pairs_wide
-    union all select pair_row, {strip('toxic')}, 2, {strip('neutral2')} from pairs_wide
-    union all select pair_row, {strip('toxic')}, 3, {strip('neutral3')} from pairs_wide) u
+    select conv_id, turn, {strip('toxic')} as input, 1 as target_no, {strip('neutral1')} as target from pairs_wide
+    union all select conv_id, turn, {strip('toxic')}, 2, {strip('neutral2')} from pairs_wide
+    union all select conv_id, turn, {strip('toxic')}, 3, {strip('neutral3')} from pairs_wide) u
   where length(input) >= 5 and target is not null and length(target) >= 5)"""
 
 ORACLE["prepare_pairs"] = with_(PAIRS_WIDE, PAIRS_LONG) + """
-select pair_row, cast(target_no as integer) as target_no, input, target from pairs_long"""
+select conv_id, turn, cast(target_no as integer) as target_no, input, target from pairs_long"""
 
 ORACLE["prepare_audit"] = with_(PAIRS_WIDE) + f"""
 select cast(count(*) as bigint) as rows_in,
@@ -32,18 +32,18 @@ select doc_id, cast(len(tk) as bigint) as n_tokens, md5(array_to_string(tk, ' ')
 from (select doc_id, {tok13a('text')} as tk from documents) t"""
 
 ORACLE["bleu_stats"] = with_(PAIRS_WIDE, PAIRS_LONG,
-                             bleu_stats_ctes("pairs_long", "pair_row, target_no", "input", "target")) + """
-select pair_row, cast(target_no as integer) as target_no, c1, c2, c3, c4, t1, t2, t3, t4, hyp_len, ref_len
+                             bleu_stats_ctes("pairs_long", "conv_id, turn, target_no", "input", "target")) + """
+select conv_id, turn, cast(target_no as integer) as target_no, c1, c2, c3, c4, t1, t2, t3, t4, hyp_len, ref_len
 from b_stats"""
 
 ORACLE["sentence_bleu"] = with_(PAIRS_WIDE, PAIRS_LONG,
-                                bleu_stats_ctes("pairs_long", "pair_row, target_no", "input", "target")) + f"""
-select pair_row, cast(target_no as integer) as target_no, round({bleu_expr()}, 6) as bleu,
+                                bleu_stats_ctes("pairs_long", "conv_id, turn, target_no", "input", "target")) + f"""
+select conv_id, turn, cast(target_no as integer) as target_no, round({bleu_expr()}, 6) as bleu,
        round({bleu_expr()} / 100e0, 6) as bleu_norm
 from b_stats"""
 
 ORACLE["corpus_bleu"] = with_(PAIRS_WIDE, PAIRS_LONG,
-                              bleu_stats_ctes("pairs_long", "pair_row, target_no", "input", "target")) + f"""
+                              bleu_stats_ctes("pairs_long", "conv_id, turn, target_no", "input", "target")) + f"""
 select cast(target_no as integer) as target_no, n_pairs, c1, c2, c3, c4, t1, t2, t3, t4, hyp_len, ref_len,
        round({bleu_expr(effective=False)}, 6) as bleu
 from (select target_no, cast(count(*) as bigint) as n_pairs,
@@ -59,18 +59,18 @@ from (select target_no, cast(count(*) as bigint) as n_pairs,
 from .oracle_sql import LINE_SAMPLES, drop_lex, lex_hits, mask_lex, reference, split_ws  # noqa: E402
 
 SAMPLES = f"""
-samples as (select sample_id, source, {reference('source')} as reference from line_samples)"""
+samples as (select doc_id, line_no, source, {reference('source')} as reference from line_samples)"""
 
 CANDS = f"""
 cands as (
-  select sample_id, source, reference, 0 as model_idx, 'identity' as model, 0 as candidate_rank,
+  select doc_id, line_no, source, reference, 0 as model_idx, 'identity' as model, 0 as candidate_rank,
          {strip('source')} as text from samples
-  union all select sample_id, source, reference, 1, 'drop', 0, {strip(drop_lex('source'))} from samples
-  union all select sample_id, source, reference, 2, 'mask', 0, {strip(mask_lex('source'))} from samples
-  union all select sample_id, source, reference, 3, 'half', 0,
+  union all select doc_id, line_no, source, reference, 1, 'drop', 0, {strip(drop_lex('source'))} from samples
+  union all select doc_id, line_no, source, reference, 2, 'mask', 0, {strip(mask_lex('source'))} from samples
+  union all select doc_id, line_no, source, reference, 3, 'half', 0,
          array_to_string(tk[1:cast(ceil(len(tk) / 2) as integer)], ' ')
          from (select *, {split_ws('source')} as tk from samples) h
-  union all select sample_id, source, reference, 3, 'half', 1,
+  union all select doc_id, line_no, source, reference, 3, 'half', 1,
          array_to_string(tk[cast(ceil(len(tk) / 2) as integer) + 1:len(tk)], ' ')
          from (select *, {split_ws('source')} as tk from samples) h)"""
 
@@ -109,19 +109,19 @@ def bow_ctes(src: str, id_cols: str, a: str, b: str, p: str = "w") -> str:
                          left join {p}_dot d on {_on(id_cols, 's', 'd')})"""
 
 
-_KEYS = "sample_id, model_idx, candidate_rank"
+_KEYS = "doc_id, line_no, model_idx, candidate_rank"
 SCORED = with_(LINE_SAMPLES, SAMPLES, CANDS,
                bow_ctes("cands", _KEYS, "text", "source"),
                bleu_stats_ctes("cands", _KEYS, "text", "reference")) + f""",
 scored0 as (
-  select c.sample_id, c.model_idx, c.model, c.candidate_rank, c.text, c.source, c.reference,
+  select c.doc_id, c.line_no, c.model_idx, c.model, c.candidate_rank, c.text, c.source, c.reference,
          1e0 - {_tox('c.text')} as STA_PROB,
          1e0 / (1e0 + exp(-{_fl_logit('c.text')})) as FL_PROB,
          case when {_fl_logit('c.text')} > 0 then 1e0 else 0e0 end as FL,
          w.sim as SIM, {bleu_expr('b.')} as BLEU,
          b.c1, b.c2, b.c3, b.c4, b.t1, b.t2, b.t3, b.t4, b.hyp_len, b.ref_len
-  from cands c join w_cos w using (sample_id, model_idx, candidate_rank)
-               join b_stats b using (sample_id, model_idx, candidate_rank)),
+  from cands c join w_cos w using (doc_id, line_no, model_idx, candidate_rank)
+               join b_stats b using (doc_id, line_no, model_idx, candidate_rank)),
 scored1 as (
   select *, case when STA_PROB >= 0.5e0 then 1e0 else 0e0 end as STA, BLEU / 100e0 as BLEU_NORM,
          STA_PROB * SIM * FL_PROB as J
@@ -131,7 +131,7 @@ scored as (
          0e0 + 1e0 * J + 0.25e0 * BLEU_NORM + 0.1e0 * SIM + 0.2e0 * FL_PROB as objective
   from scored1),
 best as (
-  select * from (select *, row_number() over (partition by sample_id order by
+  select * from (select *, row_number() over (partition by doc_id, line_no order by
                    (case when objective is null or isnan(objective) then 1 else 0 end),
                    objective desc, model_idx, candidate_rank) as rn from scored) r
   where rn = 1)"""
@@ -139,42 +139,42 @@ best as (
 _SC = ["STA_PROB", "STA", "FL_PROB", "FL", "SIM", "BLEU", "BLEU_NORM", "J", "J_BINARY"]
 
 ORACLE["candidate_explode"] = with_(LINE_SAMPLES, SAMPLES, CANDS) + """
-select sample_id, cast(model_idx as integer) as model_idx, model,
+select doc_id, line_no, cast(model_idx as integer) as model_idx, model,
        cast(candidate_rank as integer) as candidate_rank, text from cands"""
 
 ORACLE["toxicity_lexicon"] = with_(LINE_SAMPLES) + f"""
-select sample_id, toxic, cast({lex_hits('source')} as bigint) as hits, round({_tox('source')}, 6) as p_toxic,
+select line_samples.doc_id, line_no, toxic, cast({lex_hits('source')} as bigint) as hits, round({_tox('source')}, 6) as p_toxic,
        cast({_tox('source')} < 0.5 as integer) as non_toxic
-from line_samples"""
+from line_samples left join labels on labels.doc_id = line_samples.doc_id"""
 
 ORACLE["fluency_features"] = with_(LINE_SAMPLES) + f"""
-select sample_id, round(1e0 / (1e0 + exp(-{_fl_logit('source')})), 6) as fl_prob,
+select doc_id, line_no, round(1e0 / (1e0 + exp(-{_fl_logit('source')})), 6) as fl_prob,
        cast({_fl_logit('source')} > 0 as integer) as fl_label
 from line_samples"""
 
-ORACLE["bow_cosine"] = with_(LINE_SAMPLES, SAMPLES, bow_ctes("samples", "sample_id", "source", "reference")) + """
-select sample_id, round(sim, 6) as sim from w_cos"""
+ORACLE["bow_cosine"] = with_(LINE_SAMPLES, SAMPLES, bow_ctes("samples", "doc_id, line_no", "source", "reference")) + """
+select doc_id, line_no, round(sim, 6) as sim from w_cos"""
 
 ORACLE["score_candidates"] = SCORED + f"""
-select sample_id, cast(model_idx as integer) as model_idx, cast(candidate_rank as integer) as candidate_rank,
+select doc_id, line_no, cast(model_idx as integer) as model_idx, cast(candidate_rank as integer) as candidate_rank,
        {', '.join(f'round({c}, 6) as {c}' for c in _SC)}
 from scored"""
 
 ORACLE["objective_score"] = SCORED + """
-select sample_id, cast(model_idx as integer) as model_idx, cast(candidate_rank as integer) as candidate_rank,
+select doc_id, line_no, cast(model_idx as integer) as model_idx, cast(candidate_rank as integer) as candidate_rank,
        round(objective, 6) as objective from scored"""
 
 ORACLE["rerank_top1"] = SCORED + """
-select sample_id, cast(model_idx as integer) as model_idx, model,
+select doc_id, line_no, cast(model_idx as integer) as model_idx, model,
        cast(candidate_rank as integer) as candidate_rank, round(objective, 6) as objective from best"""
 
 ORACLE["rerank_all_candidates"] = SCORED + f"""
-select sample_id, model, cast(candidate_rank as integer) as candidate_rank, text, round(objective, 6) as objective,
+select doc_id, line_no, model, cast(candidate_rank as integer) as candidate_rank, text, round(objective, 6) as objective,
        {', '.join(f'round({c}, 6) as {c}' for c in ["STA", "STA_PROB", "FL", "FL_PROB", "SIM", "BLEU", "BLEU_NORM", "J", "J_BINARY"])}
 from scored"""
 
 ORACLE["rerank_selected"] = SCORED + """
-select sample_id, source as toxic, reference, text as model_output, model as chosen_model,
+select doc_id, line_no, source as toxic, reference, text as model_output, model as chosen_model,
        cast(candidate_rank as integer) as candidate_rank, round(objective, 6) as objective,
        round(STA_PROB, 6) as sta_prob, round(STA, 6) as sta, round(SIM, 6) as sim,
        round(FL_PROB, 6) as fl_prob, round(FL, 6) as fl, round(BLEU, 6) as bleu, round(J, 6) as j_prob
@@ -191,73 +191,74 @@ from (select cast(count(*) as bigint) as n, sum(c1) as c1, sum(c2) as c2, sum(c3
 
 # --- part 2: text rules, sampling, bundles, vectors, rewards, logs, reports -------------
 
-from .oracle_sql import ROLLOUTS, RUNS, VEC_PAIRS  # noqa: E402
+from .oracle_sql import RUNS, VEC_PAIRS  # noqa: E402
 
 ORACLE["text_normalize"] = with_(PAIRS_WIDE) + f"""
-select pair_row, {strip('toxic')} as toxic_clean, cast(length({strip('toxic')}) as bigint) as n_chars,
+select conv_id, turn, {strip('toxic')} as toxic_clean, cast(length({strip('toxic')}) as bigint) as n_chars,
        cast(len({split_ws('toxic')}) as bigint) as n_tokens
 from pairs_wide"""
 
 ORACLE["blank_placeholder"] = with_(LINE_SAMPLES, SAMPLES, CANDS) + f"""
-select sample_id, cast(model_idx as integer) as model_idx, cast(candidate_rank as integer) as candidate_rank,
+select doc_id, line_no, cast(model_idx as integer) as model_idx, cast(candidate_rank as integer) as candidate_rank,
        case when text is null or {strip('text')} = '' then ' ' else {strip('text')} end as model_output
 from cands"""
 
 ORACLE["reference_fallback"] = with_(PAIRS_WIDE) + """
-select pair_row, coalesce(nullif(neutral2, ''), toxic) as reference from pairs_wide"""
+select conv_id, turn, coalesce(nullif(neutral2, ''), toxic) as reference from pairs_wide"""
 
 ORACLE["truncate_tokens"] = f"""
 select doc_id, cast(len(tk) as bigint) as n_tokens, md5(array_to_string(tk[1:128], ' ')) as truncated_md5
 from (select doc_id, {split_ws('text')} as tk from documents) t"""
 
 ORACLE["eval_dropna"] = with_(PAIRS_WIDE) + """
-select pair_row, toxic, neutral1, neutral2 from pairs_wide
+select conv_id, turn, toxic, neutral1, neutral2 from pairs_wide
 where toxic is not null and neutral1 is not null and neutral2 is not null"""
 
 TRIPLES = f"""
 triples as (
-  select s.sample_id, s.source as toxic, s.reference as neutral1, {strip(mask_lex('s.source'))} as model_output
+  select s.doc_id, s.line_no, s.source as toxic, s.reference as neutral1, {strip(mask_lex('s.source'))} as model_output
   from samples s)"""
 
 ORACLE["align_predictions"] = with_(LINE_SAMPLES, SAMPLES, TRIPLES) + """
-select sample_id, toxic, neutral1, model_output from triples"""
+select doc_id, line_no, toxic, neutral1, case when known then model_output end as model_output, known as matched
+from (select *, doc_id in (select doc_id from labels) as known from triples) t"""
 
 ORACLE["sample_head"] = with_(PAIRS_WIDE, PAIRS_LONG) + """
-select pair_row, cast(target_no as integer) as target_no, input from pairs_long
-order by pair_row, target_no limit 100"""
+select conv_id, turn, cast(target_no as integer) as target_no, input from pairs_long
+order by conv_id, turn, target_no limit 100"""
 
 ORACLE["sample_random"] = with_(LINE_SAMPLES) + """
-select sample_id, source from line_samples
-order by md5(concat_ws('|', '42', sample_id)), sample_id limit 100"""
+select doc_id, line_no, source from line_samples
+order by md5(concat_ws('|', '42', doc_id, line_no)), doc_id, line_no limit 100"""
 
 
 def _ranked_pairs(seed: int) -> str:
-    return f"""(select pair_row, target_no,
-        cast(row_number() over (order by md5(concat_ws('|', '{seed}', pair_row, target_no)), pair_row, target_no) - 1
+    return f"""(select conv_id, turn, target_no,
+        cast(row_number() over (order by md5(concat_ws('|', '{seed}', conv_id, turn, target_no)), conv_id, turn, target_no) - 1
              as bigint) as rank,
         count(*) over () as total from pairs_long)"""
 
 
 ORACLE["split_exact"] = with_(PAIRS_WIDE, PAIRS_LONG) + f"""
-select pair_row, cast(target_no as integer) as target_no, rank,
+select conv_id, turn, cast(target_no as integer) as target_no, rank,
        case when rank < total - ceil(0.2e0 * total) then 'train'
             when rank < total - ceil(0.2e0 * total) + (ceil(0.2e0 * total) - ceil(0.5e0 * ceil(0.2e0 * total)))
             then 'validation' else 'test' end as split
 from {_ranked_pairs(42)} r"""
 
 ORACLE["batch_assign"] = with_(PAIRS_WIDE, PAIRS_LONG) + f"""
-select pair_row, cast(target_no as integer) as target_no, cast(rank // 16 as bigint) as batch_id,
+select conv_id, turn, cast(target_no as integer) as target_no, cast(rank // 16 as bigint) as batch_id,
        cast(rank % 16 as integer) as batch_pos
 from {_ranked_pairs(42)} r"""
 
 ORACLE["batch_cycle"] = with_(PAIRS_WIDE, PAIRS_LONG) + " " + " union all ".join(f"""
-select pair_row, cast(target_no as integer) as target_no, {p} as pass_no,
+select conv_id, turn, cast(target_no as integer) as target_no, {p} as pass_no,
        cast({p} * ceil(total / 16e0) + rank // 16 + 1 as bigint) as step, cast(rank // 16 as bigint) as batch_id
 from {_ranked_pairs(42 + p)} r{p}""" for p in range(2))
 
 ORACLE["dense_ids"] = with_(PAIRS_WIDE, PAIRS_LONG) + """
-select pair_row, cast(target_no as integer) as target_no,
-       cast(row_number() over (order by pair_row * 10 + target_no) - 1 as bigint) as row_id
+select conv_id, turn, cast(target_no as integer) as target_no,
+       cast(row_number() over (order by conv_id, turn, target_no) - 1 as bigint) as row_id
 from pairs_long"""
 
 
@@ -282,25 +283,18 @@ from agg"""
 
 
 ORACLE["metric_bundle"] = with_(LINE_SAMPLES, SAMPLES, TRIPLES,
-                                "tri as (select sample_id as k, * from triples)") + "," + _bundle("tri")
+                                "tri as (select row_number() over () as k, * from triples)") + "," + _bundle("tri")
 
 DOC_LINES = """
 doc_lines as (
   select row_number() over () as k, lang, line from (
     select d.lang, string_split(d.text, chr(10))[i + 1] as line
-    from documents d, unnest(range(0, len(string_split(d.text, chr(10))))) as r(i)) t
-  where length(trim(line)) >= 5)"""
+    from documents d, unnest(range(0, len(string_split(d.text, chr(10))))) as r(i)) t)"""
 
 ORACLE["metric_bundle_by_lang"] = with_(DOC_LINES) + f""",
 lang_rows as (select k, lang, line as toxic, {reference('line')} as neutral1,
                      {strip(mask_lex('line'))} as model_output from doc_lines),""" + _bundle("lang_rows", "lang")
 
-ORACLE["eval_summary"] = with_(ROLLOUTS) + """
-select epoch, cast(count(*) as bigint) as samples, round(avg(tox), 6) as toxicity_mean,
-       round(stddev_pop(tox), 6) as toxicity_std, round(avg(sim), 6) as similarity_mean,
-       round(avg(reward_raw), 6) as reward_mean, round(stddev_pop(reward_raw), 6) as reward_std
-from rollouts group by epoch"""
-
 ORACLE["logits_softmax_argmax"] = """
 select vec_id, cast(list_position(embedding, list_max(embedding)) - 1 as integer) as top,
        round(list_max(sm), 6) as p_top, round(list_sum(sm), 6) as p_sum
@@ -335,116 +329,83 @@ def _clip(x: str, lo: float, hi: float) -> str:
 CAND_BOW = with_(LINE_SAMPLES, SAMPLES, CANDS, bow_ctes("cands", _KEYS, "source", "text"))
 
 ORACLE["reward_base"] = CAND_BOW + f"""
-select c.sample_id, cast(c.model_idx as integer) as model_idx, cast(c.candidate_rank as integer) as candidate_rank,
+select c.doc_id, c.line_no, cast(c.model_idx as integer) as model_idx, cast(c.candidate_rank as integer) as candidate_rank,
        cast(triv as integer) as trivial,
        round({_clip("(0.7e0 * (1e0 - (1e0 - exp(-2e0 * cast(hits as double)))) + 0.3e0 * " + _clip('w.sim', -1.0, 1.0) + ") - (case when triv then 0.2e0 else 0e0 end)", -1.0, 1.0)}, 6) as reward
 from (select *, {lex_hits('text')} as hits,
              (len({split_ws('text')}) < 3 or {strip('text')} = {strip('source')}) as triv from cands) c
-     join w_cos w using (sample_id, model_idx, candidate_rank)"""
+     join w_cos w using (doc_id, line_no, model_idx, candidate_rank)"""
 
 ORACLE["mini_metrics"] = with_(LINE_SAMPLES, SAMPLES, CANDS, bow_ctes("cands", _KEYS, "source", "text"),
                                bleu_stats_ctes("cands", _KEYS, "coalesce(text, '')", "coalesce(reference, '')")) + f""",
 mm as (
-  select c.sample_id, c.model_idx, c.candidate_rank,
+  select c.doc_id, c.line_no, c.model_idx, c.candidate_rank,
          {_clip("1e0 - " + _tox('c.text'), 0.0, 1.0)} as sta,
          {_clip("1e0 / (1e0 + exp(-" + _fl_logit('c.text') + "))", 0.0, 1.0)} as fl,
          0.5e0 * ({_clip('w.sim', -1.0, 1.0)} + 1e0) as sim,
          {_clip(bleu_expr('b.') + " / 100e0", 0.0, 1.0)} as bleu
-  from cands c join w_cos w using (sample_id, model_idx, candidate_rank)
-               join b_stats b using (sample_id, model_idx, candidate_rank))
-select sample_id, cast(model_idx as integer) as model_idx, cast(candidate_rank as integer) as candidate_rank,
+  from cands c join w_cos w using (doc_id, line_no, model_idx, candidate_rank)
+               join b_stats b using (doc_id, line_no, model_idx, candidate_rank))
+select doc_id, line_no, cast(model_idx as integer) as model_idx, cast(candidate_rank as integer) as candidate_rank,
        round(sta, 6) as sta, round(sim, 6) as sim, round(fl, 6) as fl, round(bleu, 6) as bleu,
        round({_clip('sta * sim * fl', 0.0, 1.0)}, 6) as j
 from mm"""
 
-RO_Z = f"""
-ro_j as (select *, (1e0 - tox) * sim * fl as j_raw from rollouts),
-ro_z as (select *,
-   {_clip("(j_raw - avg(j_raw) over (partition by batch_id)) / (stddev_pop(j_raw) over (partition by batch_id) + 1e-6)", -2.5, 2.5)} as z_j,
-   {_clip("(fl - avg(fl) over (partition by batch_id)) / (stddev_pop(fl) over (partition by batch_id) + 1e-6)", -2.5, 2.5)} as z_bleu
-   from ro_j),
-ro_w as (select *,
-   (0e0 + 0.8e0) + (case when step % 2 = 0 then 0.4e0 else 0e0 end) as tw,
-   (0e0 + 0.8e0 * z_j) + (case when step % 2 = 0 then 0.4e0 * z_bleu else 0e0 end) as contrib from ro_z),
-ro_r as (select *, case when tw > 0 then reward_raw * greatest(0e0, 1e0 - tw) + contrib else reward_raw end as reward
-         from ro_w),
-ro_a as (select *, ((reward - value_est) - avg(reward - value_est) over (partition by step))
-                   / (stddev_samp(reward - value_est) over (partition by step) + 1e-6) as adv from ro_r),
-pol as (select step,
-   -avg(least(adv * exp(policy_logprob - ref_logprob),
-              adv * {_clip('exp(policy_logprob - ref_logprob)', 1 - 0.15, 1 + 0.15)})) as policy_loss,
-   avg(pow(value_est - reward, 2)) as value_loss, avg(ref_logprob - policy_logprob) as kl_div,
-   avg(reward) as reward_mean
-   from ro_a group by step)"""
-
-ORACLE["reward_zscore"] = with_(ROLLOUTS, RO_Z) + """
-select sample_id, batch_id, round(z_j, 6) as z_j from ro_z"""
-
-ORACLE["reward_blend"] = with_(ROLLOUTS, RO_Z) + """
-select sample_id, step, round(reward, 6) as reward from ro_r"""
-
-ORACLE["reward_batch_stats"] = with_(ROLLOUTS, RO_Z) + """
-select step, round(avg(z_j), 6) as metric_reward_mean, round(stddev_samp(z_j), 6) as metric_reward_std,
-       round(avg(j_raw), 6) as metric_j_mean,
+# candidate rows with mini metrics and base reward, in steps of 16 successive lines
+REWARDED = ORACLE["mini_metrics"].rsplit("select doc_id", 1)[0] + f""",
+rew as (
+  select c.*, m.sta, m.sim, m.fl, m.bleu,
+         {_clip('m.sta * m.sim * m.fl', 0.0, 1.0)} as j, (c.line_no // 16 + 1)::bigint as step,
+         {_clip("(0.7e0 * (1e0 - (1e0 - exp(-2e0 * cast(hits as double)))) + 0.3e0 * " + _clip('w.sim', -1.0, 1.0) + ") - (case when triv then 0.2e0 else 0e0 end)", -1.0, 1.0)} as reward_raw
+  from (select *, {lex_hits('text')} as hits,
+               (len({split_ws('text')}) < 3 or {strip('text')} = {strip('source')}) as triv from cands) c
+       join w_cos w using (doc_id, line_no, model_idx, candidate_rank)
+       join mm m using (doc_id, line_no, model_idx, candidate_rank))"""
+
+_BATCH = "over (partition by doc_id, step)"
+BLENDED = REWARDED + f""",
+rz as (select *,
+   {_clip(f"(j - avg(j) {_BATCH}) / (stddev_pop(j) {_BATCH} + 1e-6)", -2.5, 2.5)} as z_j,
+   {_clip(f"(bleu - avg(bleu) {_BATCH}) / (stddev_pop(bleu) {_BATCH} + 1e-6)", -2.5, 2.5)} as z_bleu from rew),
+rw as (select *, 0.8e0 + (case when step % 2 = 0 then 0.4e0 else 0e0 end) as tw,
+   0.8e0 * z_j + (case when step % 2 = 0 then 0.4e0 * z_bleu else 0e0 end) as contrib from rz),
+rr as (select *, reward_raw * greatest(0e0, 1e0 - tw) + contrib as reward from rw)"""
+
+_IDS = """doc_id, line_no, cast(model_idx as integer) as model_idx, cast(candidate_rank as integer) as candidate_rank"""
+
+ORACLE["reward_zscore"] = BLENDED + f"""
+select {_IDS}, step, round(z_j, 6) as z_j from rz"""
+
+ORACLE["reward_blend"] = BLENDED + f"""
+select {_IDS}, step, round(reward, 6) as reward from rr"""
+
+ORACLE["reward_batch_stats"] = BLENDED + """
+select doc_id, step, round(avg(z_j), 6) as metric_reward_mean, round(stddev_samp(z_j), 6) as metric_reward_std,
+       round(avg(sta), 6) as metric_sta_mean, round(avg(sim), 6) as metric_sim_mean,
+       round(avg(fl), 6) as metric_fl_mean, round(avg(j), 6) as metric_j_mean,
        round(avg(case when step % 2 = 0 then z_bleu end), 6) as bleu_reward_mean,
        round(stddev_samp(case when step % 2 = 0 then z_bleu end), 6) as bleu_reward_std,
-       round(avg(case when step % 2 = 0 then fl end), 6) as metric_bleu_mean,
+       round(avg(case when step % 2 = 0 then bleu end), 6) as metric_bleu_mean,
        round(avg(reward), 6) as reward_mean
-from ro_r group by step"""
-
-ORACLE["advantage_norm"] = with_(ROLLOUTS, RO_Z) + """
-select sample_id, step, round(adv, 6) as adv from ro_a"""
-
-ORACLE["policy_diagnostics"] = with_(ROLLOUTS, RO_Z) + """
-select step, round(policy_loss, 6) as policy_loss, round(value_loss, 6) as value_loss,
-       round(kl_div, 6) as kl_div, round(reward_mean, 6) as reward_mean from pol"""
-
-_T = 0.08
-ORACLE["kl_fold"] = "with recursive " + with_(ROLLOUTS, RO_Z)[5:] + f""",
-k(step, coef) as (
-  select 0::bigint, 0.2e0
-  union all
-  select k.step + 1,
-         case when abs(p.kl_div) > {_T * 1.5!r} then least(1e0, k.coef * {1.0 + 0.1!r})
-              when abs(p.kl_div) < {_T * 0.5!r} then greatest(0.02e0, k.coef * {1.0 - 0.1!r})
-              else k.coef end
-  from k join pol p on p.step = k.step + 1)
-select p.step, round(k.coef, 6) as kl_coef,
-       round(p.policy_loss + 0.5e0 * p.value_loss + k.coef * abs(p.kl_div), 6) as loss
-from pol p join k on k.step = p.step"""
-
-ORACLE["seq_logprob"] = with_(LINE_SAMPLES, SAMPLES, CANDS) + f"""
-select sample_id, cast(model_idx as integer) as model_idx, cast(candidate_rank as integer) as candidate_rank,
-       round(coalesce(list_sum(list_transform(list_filter(tk, lambda t: t <> '***'),
-                                              lambda t: -ln(1e0 + cast(length(t) as double)))), 0e0), 6) as seq_logprob,
-       round(coalesce(list_sum(list_transform(list_filter(tk, lambda t: t <> '***'),
-                                              lambda t: 1e0 / (1e0 + cast(length(t) as double)))), 0e0)
-             / cast(greatest(len(list_filter(tk, lambda t: t <> '***')), 1) as double), 6) as value_mean
-from (select *, {split_ws('text')} as tk from cands) c"""
-
-STEP_EPOCH = """
-step_epoch as (select step, max(epoch) as epoch from rollouts group by step)"""
-
-ORACLE["forward_fill"] = with_(ROLLOUTS, STEP_EPOCH) + """
-select step * 2 + 1 as line_no, step, epoch from step_epoch"""
-
-ORACLE["epoch_history"] = with_(ROLLOUTS, RO_Z, STEP_EPOCH) + """
-select e.epoch, cast(count(*) as bigint) as steps, round(avg(p.reward_mean), 6) as reward_mean,
-       round(avg(p.policy_loss + 0.5e0 * p.value_loss), 6) as loss_mean, round(avg(p.kl_div), 6) as kl_mean,
-       cast(max(p.step) as bigint) as last_step
-from pol p join step_epoch e using (step) group by e.epoch"""
-
-ORACLE["best_checkpoint"] = with_(ROLLOUTS) + """
-select cast(arg_min(step, (eval_loss, step)) as bigint) as best_step, round(min(eval_loss), 6) as best_metric,
-       cast(max(step) as bigint) as last_step
-from (select epoch, max(step) as step, avg(pow(value_est - reward_raw, 2)) as eval_loss
-      from rollouts group by epoch) e"""
-
-ORACLE["eval_preview"] = with_(ROLLOUTS) + """
-select epoch, sample_id, round(tox, 6) as toxicity, round(sim, 6) as similarity, round(reward_raw, 6) as reward
-from (select *, row_number() over (partition by epoch order by sample_id) as rn from rollouts) r
+from rr group by doc_id, step"""
+
+ORACLE["eval_summary"] = REWARDED + """
+select model, cast(count(*) as bigint) as samples, round(avg(1e0 - sta), 6) as toxicity_mean,
+       round(stddev_pop(1e0 - sta), 6) as toxicity_std, round(avg(sim), 6) as similarity_mean,
+       round(avg(reward_raw), 6) as reward_mean, round(stddev_pop(reward_raw), 6) as reward_std
+from rew group by model"""
+
+ORACLE["eval_preview"] = REWARDED + """
+select model, doc_id, line_no, cast(candidate_rank as integer) as candidate_rank, source as prompt, reference,
+       text as prediction, round(1e0 - sta, 6) as toxicity, round(sim, 6) as similarity, round(reward_raw, 6) as reward
+from (select *, row_number() over (partition by model order by doc_id, line_no, candidate_rank) as rn from rew) r
 where rn <= 5"""
 
+ORACLE["forward_fill"] = """
+select conv_id, turn, last_value(case when role = 'user' then turn end ignore nulls)
+       over (partition by conv_id order by turn rows unbounded preceding) as last_user_turn
+from conversations"""
+
 RUN_ROWS = """
 run_rows as (
   select model || '-' || variant as Model, 100e0 * STA * FL as BLEU, STA,
@@ -458,7 +419,9 @@ select Model, round(BLEU, 4) as BLEU, round(STA, 4) as STA, round(SIM, 4) as SIM
 from run_rows"""
 
 ORACLE["run_matrix"] = with_(RUNS) + """
-select m.model, v.variant, coalesce(printf('%.4f', r.STA), 'N/A') as STA, coalesce(printf('%.4f', r.FL), 'N/A') as FL
+select m.model, v.variant, case when r.STA < 1 then printf('%.4f', r.STA) else 'N/A' end as STA,
+       case when r.STA < 1 then printf('%.4f', r.FL) else 'N/A' end as FL,
+       case when r.STA < 1 then 'ok' when r.STA = 1 then 'ValueError: no toxic rows among ' || r.n else 'missing' end as status
 from (select distinct model from runs) m cross join (values ('de'), ('en'), ('es'), ('fr')) v(variant)
 left join runs r on r.model = m.model and r.variant = v.variant"""
 
@@ -476,30 +439,23 @@ from runs group by model"""
 ORACLE["ablation_delta"] = with_(RUNS) + """
 select o.model, o.variant, round(o.STA - b.STA, 6) as delta_STA, round(o.FL - b.FL, 6) as delta_FL
 from runs o join runs b on b.model = o.model and b.variant = 'en'
-where o.variant <> 'en'"""
+where o.variant <> 'en' and o.model in (
+  select model from runs where variant in ('de', 'en', 'es', 'fr') group by model having count(distinct variant) = 4)"""
 
 ORACLE["registry_entries"] = """
 with fams as (
-  select distinct 'sft' as family, source as model, 16 as batch_size from documents where lang = 'en'
-  union all select distinct 'rl', source, 8 from documents where lang in ('de', 'fr')
-  union all select distinct 'baseline', source, 16 from documents where lang = 'es'),
-hints as (select source as model, case when avg(n_chars) > 2500 then 4 else 32 end as batch_hint
+  select distinct 'sft' as family, source as model, 16 as own, '{}' as generation from documents where lang = 'en'
+  union all select distinct 'rl', source, 8, '{"do_sample": true, "early_stopping": false}' from documents where lang in ('de', 'fr')
+  union all select distinct 'baseline', source, null, '{}' from documents where lang = 'es'),
+hints as (select source as model, case when avg(n_chars) > 2500 then 4 when avg(n_chars) > 1500 then 32 end as hint
           from documents group by source),
 labelled as (select distinct d.source as model from labels l join documents d on d.doc_id = l.doc_id)
-select f.family, f.model, cast(least(f.batch_size, coalesce(h.batch_hint, f.batch_size)) as integer) as batch_size
-from fams f left join hints h on h.model = f.model
+select f.family, f.model, f.model || '-' || f.family as name, 'models/' || f.family || '/' || f.model as path, f.generation,
+       cast(case when f.own is null then h.hint when h.hint is null then f.own when h.hint < f.own then h.hint else f.own end as integer) as batch_size
+from fams f join hints h on h.model = f.model
 where f.model in (select model from labelled)"""
 
 
-# Rollout statistics average short decimals (values with 2 decimals over
-# batches of 16): their exact results have <= 9 decimals, so they are compared
-# at 9 decimals, where no rounding tie can occur.
-NINE = ("eval_summary", "reward_blend", "reward_batch_stats", "advantage_norm", "policy_diagnostics",
-        "kl_fold", "epoch_history", "reward_zscore")
-for _k in NINE:
-    ORACLE[_k] = ORACLE[_k].replace(", 6)", ", 9)")
-
-
 def _no_negative_zero(sql: str) -> str:
     """Wrap every ``round(...)`` as ``(round(...) + 0e0)``: IEEE -0.0 + 0.0 is
     +0.0, and Spark's decimal-based round never yields -0.0."""
@@ -531,4 +487,4 @@ for _k in list(ORACLE):
 
 
 ORACLE["toxicity_udf"] = _no_negative_zero(with_(LINE_SAMPLES) + f"""
-select sample_id, round({_tox('source')}, 6) as p_toxic from line_samples""")
+select doc_id, line_no, round({_tox('source')}, 6) as p_toxic from line_samples""")

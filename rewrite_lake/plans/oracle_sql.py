@@ -12,7 +12,7 @@ LEX_RE = r"\b(" + LEXICON_ALT + r")\b"
 
 PAIRS_WIDE = """
 pairs_wide as (
-  select conv_id * 1000 + turn as pair_row, conv_id, text as toxic, n1 as neutral1,
+  select conv_id, turn, text as toxic, n1 as neutral1,
          case when pair_no % 3 <> 0 then n2 end as neutral2, n3 as neutral3
   from (select conv_id, turn, role, text, conv_id + turn as pair_no,
                lead(text,1) over w as n1, lead(text,3) over w as n2, lead(text,5) over w as n3
@@ -21,27 +21,8 @@ pairs_wide as (
 
 LINE_SAMPLES = """
 line_samples as (
-  select doc_id * 100000 + line_no as sample_id, doc_id, line_no, toxic, quality, line as source
-  from (select d.doc_id, l.toxic, l.quality,
-               cast(i as integer) as line_no, string_split(d.text, chr(10))[i + 1] as line
-        from documents d join labels l on d.doc_id = l.doc_id,
-             unnest(range(0, len(string_split(d.text, chr(10))))) as r(i)
-        where d.lang = 'en') t
-  where length(trim(line)) >= 5)"""
-
-ROLLOUTS = """
-rollouts as (
-  select event_id as sample_id, cast(floor(event_id / 16) as bigint) as batch_id,
-         cast(floor(event_id / 16) as bigint) + 1 as step,
-         cast(floor(event_id / 800) as bigint) + 1 as epoch,
-         value / 100e0 as reward_raw,
-         cast(event_id % 97 as double) / 97e0 as tox,
-         cast(event_id % 89 as double) / 89e0 as sim,
-         cast(event_id % 83 as double) / 83e0 as fl,
-         cast(-(1 + event_id % 7) as double) / 10e0 as policy_logprob,
-         cast(-(1 + event_id % 5) as double) / 10e0 as ref_logprob,
-         cast(event_id % 11 as double) / 11e0 as value_est
-  from events)"""
+  select d.doc_id, cast(i as integer) as line_no, string_split(d.text, chr(10))[i + 1] as source
+  from documents d, unnest(range(0, len(string_split(d.text, chr(10))))) as r(i))"""
 
 RUNS = """
 runs as (

@@ -8,6 +8,7 @@ call :func:`get_session`.  On a cluster the session already exists and carries
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -28,6 +29,8 @@ LOCAL_DEFAULTS = {
     # spread over the cores instead of coalescing them into one task.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m",
+    # The small test tables are one row group each (see spread()).
+    "rewrite_lake.scan.partitions": "8",
 }
 
 
@@ -36,7 +39,6 @@ def get_session(master: str | None = None, app_name: str = "rewrite_lake",
     """Return the active session, or build a local one with sane defaults."""
     active = SparkSession.getActiveSession()
     if active is not None:
-        ensure_checkpoint_dir(active)
         return active
     builder = SparkSession.builder.appName(app_name)
     builder = builder.master(master or os.environ.get("SPARK_MASTER", "local[8]"))
@@ -49,10 +51,10 @@ def get_session(master: str | None = None, app_name: str = "rewrite_lake",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Make sure reliable checkpoints have a home.
+    """The folder of reliable checkpoints: ``spark.checkpoint.dir`` of the session.
 
-    Reads ``spark.checkpoint.dir`` from the session.  Only when it is unset (a
-    local test session) is a fresh scratch folder created and registered.
+    Unset, a ``local[...]`` session (tests, bench) gets a scratch folder.  On a
+    cluster that is an error: executors would checkpoint to their own disks.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
@@ -60,30 +62,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current.get()
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir is not set; name a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="rewrite-lake-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     sc.setCheckpointDir(conf_dir)
     return conf_dir
 
 
-def spread(df, min_partitions: int | None = None):
-    """Round-robin repartition only when the plan has fewer partitions than cores.
-
-    A single-row-group parquet file scans as one partition, which would run
-    CPU-heavy text expressions on one core.  At scale a scan has thousands of
-    splits and this is a no-op (the check is a planning call, not a job).
-    """
-    spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+#: Session setting: partitions to deal a plain scan over (unset: as scanned).
+SCAN_PARTITIONS = "rewrite_lake.scan.partitions"
 
 
-def broadcast_if_small(df, max_rows: int = 100_000):
-    """Broadcast ``df`` only after checking its row count (one small aggregate
-    job); otherwise leave the join to the planner (sort-merge + AQE skew
-    handling)."""
-    from pyspark.sql import functions as F
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+def spread(scan, partitions: int | None = None):
+    """A plain table scan dealt over ``partitions`` (the session's setting when
+    not given, unchanged when neither is).  A file of one row group scans as one
+    task, which is too few for CPU-heavy text work on a small table; a large
+    table has splits enough and needs no setting."""
+    partitions = partitions or scan.sparkSession.conf.get(SCAN_PARTITIONS, None)
+    return scan.repartition(int(partitions)) if partitions else scan

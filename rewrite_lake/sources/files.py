@@ -40,31 +40,48 @@ def require_columns(df: DataFrame, required: Sequence[str], optional: Sequence[s
     """Fail fast on a missing required column; return missing optional ones (SRC-07)."""
     missing = [c for c in required if c not in df.columns]
     if missing:
-        raise ValueError(f"Missing required column(s) {missing}; available: {df.columns}")
+        raise ValueError(f"the table has no {', '.join(map(repr, missing))}; it has {', '.join(df.columns)}")
     return [c for c in optional if c not in df.columns]
 
 
+def _numbered_lines(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Text files -> (file, line_no, line), 0-based numbers in file order.
+
+    Files are split like any text input, so a large one is many tasks and never
+    one row.  A file's splits are read in order inside increasing partitions and
+    rows, so the reading order ranks the lines of each file
+    (:func:`~rewrite_lake.operators.sampling.dense_ids`); the file's own first
+    rank is taken off.
+    """
+    from ..operators.sampling import line_ids
+    raw = spark.read.options(**options).text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("line"))
+    ranked = line_ids(raw, "rank")
+    # splits are packed into partitions by size, not by place: order them by their start
+    blocks = ranked.groupBy("file", "start").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("file", "start", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
+    joined = ranked.join(blocks, ["file", "start"])
+    return joined.select("file", (F.col("rank") - F.col("first") + F.col("off")).cast("int").alias("line_no"),
+                         F.regexp_replace("line", r"\r\z", "").alias("line"))
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text file -> (line_no, text): each line stripped, blank lines dropped,
-    original order kept in ``line_no`` (SRC-02).  ``wholetext`` keeps one file
-    per row so line numbers are exact; for many files each is its own row."""
-    # text()'s own wholetext argument overrides .option(), so pass it here
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = raw.select("file", F.posexplode(F.split(F.col("value"), "\r?\n", -1)).alias("line_no", "text"))
-    lines = lines.select("file", "line_no", ustrip(F.col("text")).alias("text"))
+    """Text files -> (file, line_no, text): each line stripped, blank lines
+    dropped, original order kept in ``line_no`` (SRC-02)."""
+    lines = _numbered_lines(spark, path).select("file", "line_no", ustrip(F.col("line")).alias("text"))
     return lines.where(F.col("text") != "")
 
 
 def read_metrics_tree(spark: SparkSession, root: str, file_name: str = "metrics.txt") -> DataFrame:
-    """Every ``metrics.txt`` below ``root`` -> (run, line_no, line) (SRC-03).
+    """Every ``metrics.txt`` below ``root`` -> (path, run, line_no, line) (SRC-03).
 
-    The run name is the parent directory's basename (PRJ-20).
+    The run is named after the file's folder (PRJ-20); ``path`` tells runs of
+    one name apart.
     """
-    raw = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", file_name)
-           .text(root, wholetext=True)
-           .select(F.col("_metadata.file_path").alias("path"), "value"))
-    run = F.element_at(F.split(F.col("path"), "/"), -2)
-    return raw.select(run.alias("run"), F.posexplode(F.split(F.col("value"), "\r?\n", -1)).alias("line_no", "line"))
+    lines = _numbered_lines(spark, root, recursiveFileLookup="true", pathGlobFilter=file_name)
+    run = F.element_at(F.split(F.col("file"), "/"), -2)
+    return lines.select(F.col("file").alias("path"), run.alias("run"), "line_no", "line")
 
 
 TRAINER_STATE_SCHEMA = T.StructType([
@@ -97,8 +114,7 @@ def read_trainer_state(spark: SparkSession, path: str) -> DataFrame:
 
 def read_step_logs(spark: SparkSession, path: str) -> DataFrame:
     """Run logs -> (file, line_no, line), ready for ``runs.parse_log_lines`` (SRC-05)."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return raw.select("file", F.posexplode(F.split(F.col("value"), "\r?\n", -1)).alias("line_no", "line"))
+    return _numbered_lines(spark, path)
 
 
 def read_run_config(path: str, override: str | dict | None = None) -> dict:
@@ -118,7 +134,7 @@ def config_models(spark: SparkSession, cfg: dict) -> DataFrame:
     """The config's ``models`` list as rows, in config order (``model_idx``)."""
     models = cfg.get("models") or []
     if not models:
-        raise ValueError("At least one model must be specified for candidate generation.")
+        raise ValueError("the config lists no models")
     rows = [(i, m.get("name") or m["path"].rstrip("/").split("/")[-1], m.get("path"), m.get("batch_size"),
              json.dumps(m.get("generation") or {})) for i, m in enumerate(models)]
     return spark.createDataFrame(rows, "model_idx int, name string, path string, batch_size int, generation string")
@@ -165,11 +181,6 @@ def config_frame(spark: SparkSession, cfg: dict) -> DataFrame:
     return spark.createDataFrame([(json.dumps(cfg, sort_keys=True),)], "config string")
 
 
-def numbered(df: DataFrame, order: str) -> DataFrame:
-    """Row numbers within a file (line order) -- a window per file, a bounded unit."""
-    return df.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy(order)))
-
-
 def write_bucketed(df: DataFrame, table_name: str, key: str, buckets: int, sort: bool = True,
                    mode: str = "overwrite") -> None:
     """Persist a table bucketed (and sorted) by ``key``.

@@ -4,10 +4,9 @@ The reference ships neither its pair dataset nor its models, so the tables its
 operators consume are derived from the driver tables:
 
 * ``pairs_wide``   -- (toxic, neutral1..3) pairs from user turns and later turns
-* ``line_samples`` -- English labelled document lines, the rerank samples
+* ``line_samples`` -- every line of every document, the rerank samples
 * rule samples     -- line samples with a synthetic reference (candidates
                       are generated by ``operators.candidates``)
-* ``rollouts``     -- rollout-shaped numbers from ``events``
 * ``runs``         -- (model, variant) metric rows from documents x labels
 * ``vec_pairs``    -- consecutive embedding pairs
 
@@ -20,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import split_ws
+from ..session import spread
 from .tables import table
 
 # The ten-word English lexicon used by the rule rewriters and the
@@ -32,35 +32,32 @@ LEXICON_RE = r"(?i)\b(" + "|".join(LEXICON) + r")\b"
 def pairs_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turn as ``toxic``; the turns 1, 3 and 5 later as neutral1..3.
 
-    ``neutral2`` is blanked for every third pair so absent targets occur.
-    The view is defined with ``lead()`` over each conversation; it is
-    computed with :func:`~rewrite_lake.operators.sampling.lead_by_rank`
-    (global ranks + equi-joins), so one huge conversation is not one task.
+    ``neutral2`` is blanked for every third pair so absent targets occur.  Rows
+    are keyed by (conv_id, turn).  The view is defined with ``lead()`` over each
+    conversation; :func:`~rewrite_lake.operators.sampling.lead_in_blocks` computes
+    it in one shuffle, in which a huge conversation is many tasks.
     """
-    from ..operators.sampling import lead_by_rank
+    from ..operators.sampling import lead_in_blocks
     conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    t = lead_by_rank(conv, "conv_id", "turn", "text", {1: "n1", 3: "n2", 5: "n3"})
+    t = lead_in_blocks(conv, "conv_id", "turn", "text", {1: "n1", 3: "n2", 5: "n3"})
     t = t.withColumn("pair_no", F.col("conv_id") + F.col("turn"))
     return t.where(F.col("role") == "user").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("pair_row"),
-        "conv_id",
+        "conv_id", "turn",
         F.col("text").alias("toxic"),
         F.col("n1").alias("neutral1"),
         F.when(F.col("pair_no") % 3 != 0, F.col("n2")).alias("neutral2"),
         F.col("n3").alias("neutral3"))
 
 
+#: Key of a document line.
+LINE_KEYS = ("doc_id", "line_no")
+
+
 def line_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English labelled documents split into lines of >= 5 trimmed characters."""
-    docs = table(spark, sf_dir, "documents").where(F.col("lang") == "en").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic", "quality")
-    exploded = docs.join(labels, "doc_id").select(
-        "doc_id", "toxic", "quality",
-        F.posexplode(F.split(F.col("text"), "\n", -1)).alias("line_no", "line"))
-    return exploded.where(F.char_length(F.trim(F.col("line"))) >= 5).select(
-        (F.col("doc_id") * 100000 + F.col("line_no")).alias("sample_id"),
-        "doc_id", F.col("line_no").cast("int").alias("line_no"), "toxic", "quality",
-        F.col("line").alias("source"))
+    """Every line of every document, keyed by (doc_id, line_no): blank lines,
+    short ones and all languages too."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.posexplode(F.split(F.col("text"), "\n", -1)).alias("line_no", "source"))
 
 
 def drop_lexicon(col) -> F.Column:
@@ -79,10 +76,9 @@ def synthetic_reference(col) -> F.Column:
 
 
 def rule_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``line_samples`` as evaluation samples: (sample_id, source, reference)."""
+    """``line_samples`` as evaluation samples: (doc_id, line_no, source, reference)."""
     ls = line_samples(spark, sf_dir)
-    return ls.select("sample_id", "doc_id", "source",
-                     synthetic_reference(F.col("source")).alias("reference"))
+    return ls.select(*LINE_KEYS, "source", synthetic_reference(F.col("source")).alias("reference"))
 
 
 def half_split(col):
@@ -95,25 +91,6 @@ def half_split(col):
     return head, tail
 
 
-def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rollout-shaped rows: batches of 16 events, one batch per step."""
-    ev = table(spark, sf_dir, "events").select("event_id", "value")
-    eid = F.col("event_id")
-    batch = F.floor(eid / F.lit(16)).cast("bigint")
-    return ev.select(
-        eid.alias("sample_id"),
-        batch.alias("batch_id"),
-        (batch + 1).alias("step"),
-        (F.floor(eid / F.lit(800)).cast("bigint") + 1).alias("epoch"),
-        (F.col("value") / F.lit(100.0)).alias("reward_raw"),
-        ((eid % 97).cast("double") / F.lit(97.0)).alias("tox"),
-        ((eid % 89).cast("double") / F.lit(89.0)).alias("sim"),
-        ((eid % 83).cast("double") / F.lit(83.0)).alias("fl"),
-        ((-(F.lit(1) + eid % 7)).cast("double") / F.lit(10.0)).alias("policy_logprob"),
-        ((-(F.lit(1) + eid % 5)).cast("double") / F.lit(10.0)).alias("ref_logprob"),
-        ((eid % 11).cast("double") / F.lit(11.0)).alias("value_est"))
-
-
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(model, variant) metric rows: source x language of labelled documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
