@@ -97,7 +97,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 
     def odds(key):
         u = (F.conv(F.substring(key, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
-        return (u / (1 - u)) / (F.col("p_") / (1 - F.col("p_")))
+        return F.when(F.col("p_") > 0, (u / (1 - u)) / (F.col("p_") / (1 - F.col("p_"))))
 
     rates = plan.select(F.col("source").alias("s"), "rate")
     ranked = expected(with_source(slim, rates, "source", "key"), "rel")
@@ -118,7 +118,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     last = chosen.where(F.col("upto") - F.col("size") / 2 <= F.col("rest")).groupBy(F.col("source").alias("s")).agg(
         F.max(F.struct("q", "key")).alias("last"))
     rules = plan.join(last, F.col("source").eqNullSafe(F.col("s")), "left").select(
-        "s", F.col("source_size").alias("source_size_"), F.col("target").alias("target_"), F.col("rate"), "last")
+        F.col("source").alias("s"), F.col("source_size").alias("source_size_"), F.col("target").alias("target_"), F.col("rate"), "last")
     out = expected(with_source(full, rules, src_c, key_c), rel_c)
     one_more = (F.col("p_") > 0) & F.coalesce(F.struct(odds(F.col(key_c)).alias("q"), F.col(key_c).alias("key")) <= F.col("last"), F.lit(False))
     n = (F.col("whole_") + one_more.cast("long")).cast("long")
