@@ -35,8 +35,9 @@ from .suffix_array import neighbour_lcp, suffix_array
 
 #: Bytes of a repeated string, of an anchor, and starts handled at once.
 WINDOW, ANCHOR, PIECE = 200, 32, 1 << 19
-#: Contexts of one anchor that one task sorts.
-SORT_MOST = 256
+#: Contexts of one anchor that one task sorts (6 MB of bytes, of which little is
+#: left once each is cut to what another can match).
+SORT_MOST = 16_384
 _POSITION = np.uint64((1 << 24) - 1)
 
 
@@ -192,15 +193,22 @@ def _sort_contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _all_strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Contexts -> one row per start: (s1, s2), a 128-bit hash of its string, and where it is."""
     for pdf in batches:
-        for k1, k2, at, n, raw in zip(*[pdf[c].tolist() for c in ("k1", "k2", "at", "n", "bytes")], strict=True):
-            data = np.frombuffer(bytes(raw), dtype=np.uint8)
-            m = len(data) - WINDOW + 1
-            sums, down = prefix_hash(data)
-            one = mix((sums[WINDOW:] - sums[:-WINDOW]) * down[:m])
-            sums, down = prefix_hash(data ^ np.uint8(0x5A))
-            two = mix((sums[WINDOW:] - sums[:-WINDOW]) * down[:m] + np.uint64(1))
-            yield pd.DataFrame({"k1": k1, "k2": k2, "n": n, "start": np.arange(m) + (at >> 16),
-                                "s1": one.view(np.int64), "s2": two.view(np.int64)})
+        for at in range(0, len(pdf), 1000):
+            part = pdf.iloc[at:at + 1000]
+            raw = [bytes(x) for x in part["bytes"]]
+            data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+            lengths = np.array([len(x) for x in raw])
+            begin = np.cumsum(lengths) - lengths
+            m = lengths - WINDOW + 1
+            row = np.repeat(np.arange(len(raw)), m)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m)  # of the start in its context
+            first = begin[row] + place
+            both = []
+            for flip, salt in ((0, 0), (0x5A, 1)):
+                sums, down = prefix_hash(data ^ np.uint8(flip))
+                both.append(mix((sums[first + WINDOW] - sums[first]) * down[first] + np.uint64(salt)).view(np.int64))
+            yield pd.DataFrame({"k1": part["k1"].to_numpy()[row], "k2": part["k2"].to_numpy()[row], "n": part["n"].to_numpy()[row],
+                                "start": (part["at"].to_numpy()[row] >> 16) + place, "s1": both[0], "s2": both[1]})
 
 
 def _keys(text: Column) -> list[Column]:
@@ -212,14 +220,15 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     keyed = docs.where(F.octet_length(text) >= WINDOW).select(*_keys(text), text.alias("text"))
     runs = materialize(keyed.mapInPandas(_all_runs, "k1 long, k2 long, at long, anchor long, context long"), "runs")
-    again = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # written first, so that the join's sides are plain shuffles whose hot anchors can be split
+    again = materialize(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "again")
     shared = materialize(runs.join(again, "anchor"), "shared")
     contexts = materialize(shared.groupBy("anchor", "context").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "at")).alias("one")), "contexts")
     equal = contexts.where("n > 1").select("anchor", "context")
     whole = shared.join(equal, ["anchor", "context"]).select(
         "k1", "k2", F.shiftright("at", 16).alias("start"), F.shiftright("at", 8).bitwiseAND(F.lit(255)).alias("count")).distinct()
-    several = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    several = materialize(contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "several")
     wanted = contexts.join(several, "anchor").select("anchor", "n", "m", "one.k1", "one.k2", "one.at")
     # one of equal texts is enough, and any is as good: the key is of the bytes
     start, count = F.shiftright("at", 16), F.shiftright("at", 8).bitwiseAND(F.lit(255))
@@ -229,8 +238,8 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text") -> DataFrame:
     few = fetched.where(F.col("m") <= SORT_MOST).repartition("anchor").sortWithinPartitions("anchor")
     sorted_ = few.select("anchor", "k1", "k2", "at", "n", "bytes").mapInPandas(
         _sort_contexts, "k1 long, k2 long, start long, count long")
-    strings = fetched.where(F.col("m") > SORT_MOST).mapInPandas(
-        _all_strings, "k1 long, k2 long, n long, start long, s1 long, s2 long")
+    strings = materialize(fetched.where(F.col("m") > SORT_MOST).mapInPandas(
+        _all_strings, "k1 long, k2 long, n long, start long, s1 long, s2 long"), "strings")
     twice = strings.groupBy("s1", "s2").agg(F.sum("n").alias("t")).where("t > 1").select("s1", "s2")
     counted = strings.where("n = 1").join(twice, ["s1", "s2"]).select("k1", "k2", "start", F.lit(1).cast("long").alias("count"))
     return materialize(whole.union(sorted_).union(counted), "ranges")
