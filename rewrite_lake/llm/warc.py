@@ -87,11 +87,15 @@ def render(planned: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
 
 
 def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
-               min_revisit: int = MIN_REVISIT, date: str = DATE, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Write ``pages`` as WARC files under ``path`` (any store Spark writes to)."""
+               min_revisit: int = MIN_REVISIT, date: str = DATE, records_per_file: int = RECORDS_PER_FILE,
+               compression: str = "none") -> None:
+    """Write ``pages`` as WARC files under ``path`` (any store Spark writes to).
+
+    ``compression="gzip"`` takes a third of the space; the reader then inflates
+    past the payloads nobody wants, where it seeks over them otherwise."""
     slim = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(payload_col).alias("html"))
     render(plan_records(slim, min_revisit=min_revisit), date=date).write.option("lineSep", _EOL * 2).option(
-        "maxRecordsPerFile", records_per_file).text(path)
+        "maxRecordsPerFile", records_per_file).text(path, compression=compression)
 
 
 # --- reading ------------------------------------------------------------------
@@ -141,8 +145,14 @@ class _Stream:
 
     def skip(self, n: int) -> None:
         have = len(self.buffer) - self.at
-        if n <= have or not self.can_seek:
-            self.take(n)
+        if n <= have:
+            self.at += n
+            return
+        if not self.can_seek:
+            while n > 0:
+                part = min(n, 1 << 20)
+                self.take(part)
+                n -= part
             return
         self.base += self.at + n
         self.raw.seek(self.base)
@@ -317,7 +327,7 @@ def read_warc(spark: SparkSession, path: str, *, payload: bool = True) -> DataFr
 
 def op5_warc(spark, sf_dir):
     path = f"{shared_dir(spark)}/llm-warc-{uuid.uuid4().hex}"
-    write_warc(read(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    write_warc(read(spark, sf_dir, "pages").select("page_id", "url", "html"), path, compression="gzip")
     page = lambda c: F.nullif(F.substring_index(c, ":", -1), F.lit("")).cast("long")
     full = read_warc(spark, path).where("type = 'response'").select(
         page("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"),

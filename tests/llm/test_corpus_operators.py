@@ -26,10 +26,11 @@ def pages(spark):
     return spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("payload_digest", F.lit(0)), rows
 
 
-def test_warc_round_trip(spark):
+@pytest.mark.parametrize("compression", ["none", "gzip"])
+def test_warc_round_trip(spark, compression):
     df, rows = pages(spark)
     path = os.path.join(tempfile.mkdtemp(), "out")
-    warc.write_warc(df, path, records_per_file=3)
+    warc.write_warc(df, path, records_per_file=3, compression=compression)
     got = warc.read_warc(spark, path).collect()
     assert len(got) == len(rows) and len({r["file"] for r in got}) > 1
     payload = {r["record_id"]: r for r in got}
