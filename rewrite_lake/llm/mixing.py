@@ -5,8 +5,9 @@ Every source gets a word target: its weight's share of all words, capped at
 source is above its cap.  A document's expected copies are the source's target
 over the source's words; their whole part is taken for certain, and the rest by
 Pareto order sampling: documents are ranked by random odds over inclusion odds,
-``(u / (1 - u)) / (p / (1 - p))``, and taken in that order until the words still
-wanted are nearest.  ``p`` differs from source to source, and inside one when
+``(u / (1 - u)) / (p / (1 - p))``, and taken in that order while their words fit
+in what is still wanted; the gap left is filled, in the same order, by documents
+that fit in it, and closed by one that comes nearest.  ``p`` differs from source to source, and inside one when
 ``weight_col`` names a column.
 
 No source is ranked in one task: the rank key is cut into buckets, bucket sums
@@ -67,14 +68,38 @@ def with_source(rows: DataFrame, plan: DataFrame, source: str, salt: str) -> Dat
     return rows.join(dealt, (F.col("_salt") == F.col("salt_")) & F.col(source).eqNullSafe(F.col("s"))).drop("s", "_salt", "salt_")
 
 
+def _behind(last: str, q: str = "q", key: str = "key", size: str = "size"):
+    """Whether a row comes after a source's last chosen one (null: none was)."""
+    return F.coalesce(F.struct(F.col(q).alias("q"), F.col(key).alias("key"), F.col(size).alias("size")) > F.col(last), F.lit(True))
+
+
+def _in_order(rows: DataFrame, wanted: DataFrame, name: str, nearest: bool = False) -> DataFrame:
+    """(s, last, gap) per row of ``wanted`` (s, rest): the last row of a source in
+    the order (q, key, size) up to which the words fit in ``rest``, or come
+    nearest to it, and what is left of ``rest`` then."""
+    sums = rows.groupBy("source", "bucket").agg(F.sum("words").alias("b_size"))
+    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("*", F.coalesce(F.sum("b_size").over(before), F.lit(0)).alias("before"))
+    edge = sums.join(wanted, F.col("source").eqNullSafe(F.col("s"))).where("before <= rest").select(
+        "s", F.col("bucket").alias("b"), "before", "rest")
+    inside = Window.partitionBy("source", "bucket").orderBy("q", "key", "size").rowsBetween(Window.unboundedPreceding, 0)
+    chosen = rows.join(edge, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    chosen = chosen.select("source", "q", "key", "size", "words", "rest", (F.col("before") + F.sum("words").over(inside)).alias("upto"))
+    fits = F.col("upto") - F.col("words") / 2 <= F.col("rest") if nearest else F.col("upto") <= F.col("rest")
+    last = chosen.where(fits).groupBy(F.col("source").alias("t")).agg(
+        F.max(F.struct("q", "key", "size")).alias("last"), F.max("upto").alias("got"))
+    out = wanted.join(last, F.col("s").eqNullSafe(F.col("t")), "left")
+    return materialize(out.select("s", "last", (F.col("rest") - F.coalesce("got", F.lit(0))).alias("gap")), name)
+
+
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weight_col: str | None = None, weights=WEIGHTS, cap: int = CAP, seed: str = SEED,
         buckets: int = BUCKETS) -> DataFrame:
     """``docs`` with size, source_size, target, copies and taken (copies x size).
 
     A null text has size 0; a null source is a source of its own, ordered last;
-    a null id draws by its text.  Rows equal in id (and, where that is null, in
-    text) share one draw and are taken together.  An empty table gives no rows.  Added columns whose names clash with those of ``docs`` get underscores.
+    a null id draws by its text.  Rows equal in id (or, where that is null, in
+    text) share one draw; equal in size too, they are taken together.  An empty table gives no rows.  Added columns whose names clash with those of ``docs`` get underscores.
     ``weight_col`` scales expected copies (null or negative: 0; never above ``cap``).
     """
     size, src_size, target, copies, taken = fresh(docs, "size", "source_size", "target", "copies", "taken")
@@ -106,21 +131,25 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
         "s", (F.col("target") - F.col("certain")).alias("rest"))
     drawn_rows = ranked.where("p_ > 0 and size > 0").withColumn("q", odds(F.col("key"))).withColumn(
         "bucket", F.floor(F.col("q") / (1 + F.col("q")) * buckets).cast("int"))
-    drawn_rows = drawn_rows.groupBy("source", "bucket", "q", "key").agg(F.sum("size").alias("size"))
-    sums = drawn_rows.groupBy("source", "bucket").agg(F.sum("size").alias("b_size"))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("*", F.coalesce(F.sum("b_size").over(before), F.lit(0)).alias("before"))
-    edge = sums.join(wanted, F.col("source").eqNullSafe(F.col("s"))).where("before <= rest").select(
-        "s", F.col("bucket").alias("b"), "before", "rest")
-    inside = Window.partitionBy("source", "bucket").orderBy("q", "key").rowsBetween(Window.unboundedPreceding, 0)
-    chosen = drawn_rows.join(edge, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    chosen = chosen.select("source", "q", "key", "size", "rest", (F.col("before") + F.sum("size").over(inside)).alias("upto"))
-    last = chosen.where(F.col("upto") - F.col("size") / 2 <= F.col("rest")).groupBy(F.col("source").alias("s")).agg(
-        F.max(F.struct("q", "key")).alias("last"))
-    rules = plan.join(last, F.col("source").eqNullSafe(F.col("s")), "left").select(
-        F.col("source").alias("s"), F.col("source_size").alias("source_size_"), F.col("target").alias("target_"), F.col("rate"), "last")
+    drawn_rows = materialize(drawn_rows.groupBy("source", "bucket", "q", "key", "size").agg(F.sum("size").alias("words")), "mix-drawn")
+    # in Pareto order while the words fit; then, in the same order, what fits in the gap; then what comes nearest
+    one = _in_order(drawn_rows, wanted, "mix-1")
+    rest = with_source(drawn_rows, one.withColumnRenamed("last", "last1"), "source", "key").where(_behind("last1") & (F.col("size") <= F.col("gap")))
+    two = _in_order(rest.select(*drawn_rows.columns), one.select("s", F.col("gap").alias("rest")), "mix-2")
+    both = one.select("s", F.col("last").alias("last1"), F.col("gap").alias("gap1")).join(
+        two.select(F.col("s").alias("t"), F.col("last").alias("last2"), F.col("gap").alias("gap2")), F.col("s").eqNullSafe(F.col("t"))).drop("t")
+    rest = with_source(drawn_rows, both, "source", "key").where(
+        _behind("last1") & ~((F.col("size") <= F.col("gap1")) & ~_behind("last2")) & (F.col("size") <= 2 * F.col("gap2")))
+    three = _in_order(rest.select(*drawn_rows.columns), both.select("s", F.col("gap2").alias("rest")), "mix-3", nearest=True)
+    both = both.join(three.select(F.col("s").alias("t"), F.col("last").alias("last3")), F.col("s").eqNullSafe(F.col("t"))).drop("t")
+    rules = plan.join(both, F.col("source").eqNullSafe(F.col("s")), "left").select(
+        F.col("source").alias("s"), F.col("source_size").alias("source_size_"), F.col("target").alias("target_"), F.col("rate"),
+        "last1", "last2", "last3", "gap1", "gap2")
     out = expected(with_source(full, rules, src_c, key_c), rel_c)
-    one_more = (F.col("p_") > 0) & F.coalesce(F.struct(odds(F.col(key_c)).alias("q"), F.col(key_c).alias("key")) <= F.col("last"), F.lit(False))
+    out = out.withColumn("q_", odds(F.col(key_c)))
+    upto = lambda name: ~_behind(name, "q_", key_c, size)
+    one_more = (F.col("p_") > 0) & (F.col(size) > 0) & (
+        upto("last1") | (upto("last2") & (F.col(size) <= F.col("gap1"))) | (upto("last3") & (F.col(size) <= 2 * F.col("gap2"))))
     n = (F.col("whole_") + one_more.cast("long")).cast("long")
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(size), F.col("source_size_").alias(src_size),
                       F.col("target_").alias(target), n.alias(copies), (n * F.col(size)).alias(taken))
@@ -160,13 +189,30 @@ parts as (
   from rated),
 odds as (select *, case when p > 0 then (u / (1 - u)) / (p / (1 - p)) end as q from parts),
 ties as (
-  select source, q, key, sum(size) as tsize, any_value(rest) as rest from odds where p > 0 and size > 0 group by source, q, key),
-cum as (
-  select *, sum(tsize) over (partition by source order by q, key rows unbounded preceding) as upto from ties),
-last as (
-  select source, arg_max(q, upto) as lq, arg_max(key, upto) as lk from cum where upto - tsize / 2.0 <= rest group by source)
+  select source, q, key, size, sum(size) as tsize, any_value(rest) as rest from odds where p > 0 and size > 0 group by source, q, key, size),
+one as (
+  select *, sum(tsize) over (partition by source order by q, key, size rows unbounded preceding) as upto from ties),
+one_ as (
+  select source, any_value(rest) - coalesce(max(upto) filter (upto <= rest), 0) as gap1,
+         coalesce(max(upto) filter (upto <= rest), 0) as got1 from one group by source),
+two as (
+  select o.*, g.gap1, o.upto <= g.got1 as in1,
+         sum(case when o.upto > g.got1 and o.size <= g.gap1 then o.tsize else 0 end)
+         over (partition by o.source order by o.q, o.key, o.size rows unbounded preceding) as upto2
+  from one o join one_ g on o.source is not distinct from g.source),
+two_ as (
+  select *, not in1 and size <= gap1 and upto2 <= gap1 as in2 from two),
+gaps as (
+  select source, any_value(gap1) - coalesce(sum(tsize) filter (in2), 0) as gap2 from two_ group by source),
+three as (
+  select t.*, g.gap2, sum(case when not in1 and not in2 and size <= 2 * gap2 then tsize else 0 end)
+         over (partition by t.source order by t.q, t.key, t.size rows unbounded preceding) as upto3
+  from two_ t join gaps g on t.source is not distinct from g.source),
+picked as (
+  select source, q, key, size from three
+  where in1 or in2 or (not in1 and not in2 and size <= 2 * gap2 and upto3 - tsize / 2.0 <= gap2))
 select o.doc_id, o.size, o.source_size, o.target,
-       (o.whole + case when o.p > 0 and (o.q < l.lq or (o.q = l.lq and o.key <= l.lk)) then 1 else 0 end)::bigint as copies,
-       ((o.whole + case when o.p > 0 and (o.q < l.lq or (o.q = l.lq and o.key <= l.lk)) then 1 else 0 end) * o.size)::bigint as taken
-from odds o left join last l on o.source is not distinct from l.source
+       (o.whole + case when p.key is not null then 1 else 0 end)::bigint as copies,
+       ((o.whole + case when p.key is not null then 1 else 0 end) * o.size)::bigint as taken
+from odds o left join picked p on o.source is not distinct from p.source and o.q = p.q and o.key = p.key and o.size = p.size
 """}

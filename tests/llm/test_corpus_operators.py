@@ -228,8 +228,8 @@ def test_mix_targets_copies_and_words(spark):
         s["most"] = max(s["most"], r["size_"])
         assert r["taken"] == r["copies"] * r["size_"] and 0 <= r["copies"] <= 3
     assert sum(s["target"] for s in by.values()) == pytest.approx(total)
-    for s in by.values():
-        assert s["target"] <= 3 * s["size"] + 1e-9 and abs(s["taken"] - s["target"]) <= s["most"]
+    for name, s in by.items():
+        assert s["target"] <= 3 * s["size"] + 1e-9 and abs(s["taken"] - s["target"]) <= (2 if name in list("abcd") else s["most"])
     again = sorted((str(r["doc_id"]), r["copies"]) for r in mixing.mix(docs.repartition(5)).collect())
     assert again == sorted((str(r["doc_id"]), r["copies"]) for r in got)
     assert mixing.mix(docs.limit(0)).count() == 0
