@@ -182,8 +182,9 @@ def near_corpus():
     return texts + texts[9:14]
 
 
-@pytest.mark.parametrize("small, rows", [(200, 256), (3, 4)])
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, small, rows):
+@pytest.mark.parametrize("small, rows, meet", [(200, 256, 64), (3, 4, 64), (3, 4, 1)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, small, rows, meet):
+    monkeypatch.setattr(minhash_join, "MEET", meet)
     monkeypatch.setattr(minhash_join, "SMALL", small)
     monkeypatch.setattr(minhash_join, "BLOCK_ROWS", rows)
     texts = near_corpus()
