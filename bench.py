@@ -33,7 +33,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     from rewrite_lake.session import get_session
-    spark = get_session(master=f"local[{cpus}]", extra={"rewrite_lake.scan.partitions": cpus})
+    spark = get_session(master=f"local[{cpus}]", extra={"spark.rewriteLake.scanPartitions": cpus})
     from rewrite_lake.plans.catalog import QUERIES
 
     QUERIES["prepare_audit"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm-up

@@ -30,7 +30,7 @@ LOCAL_DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m",
     # The small test tables are one row group each (see spread()).
-    "rewrite_lake.scan.partitions": "8",
+    "spark.rewriteLake.scanPartitions": "8",
 }
 
 
@@ -71,7 +71,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 #: Session setting: partitions to deal a plain scan over (unset: as scanned).
-SCAN_PARTITIONS = "rewrite_lake.scan.partitions"
+SCAN_PARTITIONS = "spark.rewriteLake.scanPartitions"
 
 
 def spread(scan, partitions: int | None = None):
