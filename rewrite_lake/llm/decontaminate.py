@@ -10,7 +10,8 @@ index, so an item's copy lies whole in one of them.
 Bounds first: the block maxima of a passage's distinct terms are added up per
 block of items for a whole batch at once; only passages with a block that may
 reach 1 go through WAND, and what it returns is verified on word shingles of
-the passage, for question and answer.
+the passage.  Where items have an answer of their own, question and answer are
+verified too; of an item in one text they are measured only.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from .common import fresh, read
 K1, B = 1.2, 0.75
 #: Words of a shingle, and the share of an item's shingles that a passage must hold.
 SHINGLE, OVERLAP = 5, 0.8
-#: Least overlap of question and answer, each by itself.
+#: Least overlap of question and answer, each by itself, where items have an answer column.
 PART = 0.5
 #: Items of a block, and items of one broadcast index; more items make more indexes.
 BLOCK, INDEX_ITEMS = 8, 20_000
@@ -46,9 +47,11 @@ def shingles(words: list[bytes], k: int = SHINGLE) -> set:
 
 
 class Index:
-    """BM25 postings of the items with block maxima.  ``items``: (id, question, answer) words."""
+    """BM25 postings of the items with block maxima.  ``items``: (id, question, answer)
+    words; ``parts``: a hit needs a part of question and answer each as well."""
 
-    def __init__(self, items: list[tuple[int, list[bytes], list[bytes]]]):
+    def __init__(self, items: list[tuple[int, list[bytes], list[bytes]]], parts: bool = False):
+        self.parts = parts
         self.ids = [i for i, _, _ in items]
         # short parts, where one changed word breaks most shingles, go by their single words
         self.question, self.answer = ([shingles(x, SHINGLE if len(x) >= 3 * SHINGLE else 1) for x in part]
@@ -176,7 +179,7 @@ class Index:
                 if overlap + 1e-9 < OVERLAP:
                     continue
                 q, w = share(self.question[i]), share(self.answer[i])
-                if min(q, w) + 1e-9 < PART:
+                if self.parts and min(q, w) + 1e-9 < PART:
                     continue
                 old = out[d].get(self.ids[i])
                 if old is None or (overlap, -a) > (old[1], -old[4]):
@@ -200,7 +203,8 @@ def build_indexes(items: DataFrame, *, id_col: str = "item_id", question_col: st
                   index_items: int = INDEX_ITEMS) -> list[Index]:
     """Indexes of all items, by length, each of at most ``index_items``.
 
-    Blank items are left out.  Equal ids are items of their own; a null id is -1.
+    With ``answer_col`` a hit needs its question and answer too; else the whole
+    item's overlap decides.  Blank items are left out.  Equal ids are items of their own; a null id is -1.
     """
     cols = [F.coalesce(F.col(id_col), F.lit(-1)).cast("long").alias("i"), F.col(question_col).cast("binary").alias("q")]
     cols.append((F.col(answer_col) if answer_col else F.lit(None)).cast("binary").alias("a"))
@@ -212,7 +216,7 @@ def build_indexes(items: DataFrame, *, id_col: str = "item_id", question_col: st
     out = []
     for _, group in sorted(groups.items()):
         group.sort()
-        out += [Index(group[k:k + index_items]) for k in range(0, len(group), index_items)]
+        out += [Index(group[k:k + index_items], parts=answer_col is not None) for k in range(0, len(group), index_items)]
     return out
 
 

@@ -190,6 +190,21 @@ def test_decontamination_equals_brute_force(spark):
     assert DC.clean(docs, bench.limit(0)).count() == len(texts) and DC.find(docs.limit(0), bench).count() == 0
 
 
+def test_damaged_copies_of_items_in_one_text_are_hits(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    items = [f"{long}. for.", f"{long}. v1 v2 v3."]
+    copies = [items[0] + "&&&", "&&&" + items[0], f"{long}. ", items[1] + "&&&", f"x {long}. v1"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    found = {r["doc_id"]: {h["item"]: h for h in r["hits"]} for r in DC.find(table(spark, copies), bench).collect()}
+    assert all(set(found[i]) == {0, 1} for i in range(len(copies)))
+    assert found[0][0]["answer"] == 0 and found[0][0]["overlap"] > 0.9
+    assert DC.clean(table(spark, copies), bench).count() == 0
+    # an answer column is another matter: a question without its answer is no hit
+    bench = spark.createDataFrame([(0, long, "for"), (1, long, "w3")], "item_id bigint, text string, answer string")
+    got = {h["item"] for r in DC.find(table(spark, [long]), bench, answer_col="answer").collect() for h in r["hits"]}
+    assert got == {1}
+
+
 # --- personal data -----------------------------------------------------------------
 
 PII = ["mail a.b+c@x-y.example.com, now", "@@ a@b a@b.c@d.e x@y.z.", "10.0.0.1 and 999.1.1.1 1.2.3.4.5.6.7.8", "card 4785 3805 9239 1139 or 4785380592391138",
