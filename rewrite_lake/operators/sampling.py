@@ -28,6 +28,11 @@ def _cols(ids) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in ([ids] if isinstance(ids, (str, Column)) else ids)]
 
 
+def _order(ids) -> list[Column]:
+    """Ascending sort order of ids, nulls last (as in the SQL)."""
+    return [c.asc_nulls_last() for c in _cols(ids)]
+
+
 def random_key(seed: int, ids) -> Column:
     """``md5(seed|id1|id2...)``: a uniform, reproducible sort key."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in _cols(ids)]))
@@ -35,7 +40,9 @@ def random_key(seed: int, ids) -> Column:
 
 def head(df: DataFrame, n: int, order) -> DataFrame:
     """First ``n`` rows by ``order`` (SMP-01); a per-partition top-n heap."""
-    return df.orderBy(*_cols(order)).limit(int(n))
+    by = [F.col(c).asc_nulls_last() if isinstance(c, str) else c
+          for c in ([order] if isinstance(order, (str, Column)) else order)]
+    return df.orderBy(*by).limit(int(n))
 
 
 def sample_capped(df: DataFrame, n: int, seed: int, ids) -> DataFrame:
@@ -45,7 +52,7 @@ def sample_capped(df: DataFrame, n: int, seed: int, ids) -> DataFrame:
     an n-row heap, so the cost is one scan and n x tasks rows to the driver.
     """
     key = random_key(seed, ids)
-    return df.withColumn("__key", key).orderBy("__key", *_cols(ids)).limit(int(n)).drop("__key")
+    return df.withColumn("__key", key).orderBy("__key", *_order(ids)).limit(int(n)).drop("__key")
 
 
 def sample_exact(df: DataFrame, n: int, seed: int, ids) -> DataFrame:
@@ -104,7 +111,7 @@ def split_exact(df: DataFrame, seed: int, ids, test_frac: float = 0.2, val_of_te
     Rows ordered by the seeded key: the first ``n_train`` are train, the next
     ``n_val`` validation, the rest test.  Per *pair*, not per source (T17).
     """
-    ranked = global_rank(df, random_key(seed, ids), tie=_cols(ids), buckets=buckets)
+    ranked = global_rank(df, random_key(seed, ids), tie=_order(ids), buckets=buckets)
     n = F.col("total").cast("double")
     n_temp = F.ceil(F.lit(test_frac) * n)
     n_test = F.ceil(F.lit(val_of_temp) * n_temp)
@@ -125,7 +132,7 @@ def split_hash(df: DataFrame, seed: int, ids, fractions=(0.8, 0.1, 0.1)) -> Data
 
 def batch_assign(df: DataFrame, batch_size: int, seed: int, ids, buckets: int | None = None) -> DataFrame:
     """Shuffled batches of ``batch_size`` (SMP-05): ``batch_id``, ``batch_pos``."""
-    ranked = global_rank(df, random_key(seed, ids), tie=_cols(ids), buckets=buckets, total_col="n_rows")
+    ranked = global_rank(df, random_key(seed, ids), tie=_order(ids), buckets=buckets, total_col="n_rows")
     return ranked.withColumn("batch_id", F.floor(F.col("rank") / F.lit(batch_size)).cast("bigint")) \
                  .withColumn("batch_pos", (F.col("rank") % F.lit(batch_size)).cast("int"))
 
@@ -147,7 +154,7 @@ def batch_cycle(df: DataFrame, batch_size: int, seed: int, ids, passes: int | No
         passes = math.ceil(steps / per_pass) if per_pass else 0
     each = df.withColumn("pass_no", F.explode(F.sequence(F.lit(0), F.lit(passes - 1)) if passes else F.array().cast("array<int>")))
     key = F.md5(F.concat_ws("|", (F.lit(seed) + F.col("pass_no")).cast("string"), *[c.cast("string") for c in _cols(ids)]))
-    b = global_rank(each, key, tie=_cols(ids), buckets=buckets, total_col="n_rows", by=["pass_no"])
+    b = global_rank(each, key, tie=_order(ids), buckets=buckets, total_col="n_rows", by=["pass_no"])
     b = b.withColumn("batch_id", F.floor(F.col("rank") / F.lit(batch_size)).cast("bigint")) \
          .withColumn("batch_pos", (F.col("rank") % F.lit(batch_size)).cast("int"))
     n_batches = F.ceil(F.col("n_rows") / F.lit(batch_size)).cast("bigint")
@@ -162,21 +169,25 @@ def dense_ids(df: DataFrame, major: Column, minor: Column, tie: Sequence[Column]
     No window and no action sees all rows: rows are counted per block of one
     ``major`` and ``block`` consecutive ``minor``, block offsets are added up
     inside a run of ``span`` majors, and only the runs' totals (one row for each
-    ``span`` majors) are added up in one task.  Three joins put the offsets back
-    on the rows, which are ranked inside their block.
+    ``span`` majors) are added up in one task.  Joins put the offsets back on the rows,
+    which are ranked inside their block.  Null majors and minors come last; a key
+    in a struct is equal to its like when it is null too.
     """
     tmp = df.withColumn("__a", major.cast("bigint")).withColumn("__m", minor.cast("bigint"))
     tmp = tmp.withColumn("__b", F.floor(F.col("__m") / block)).withColumn("__s", F.floor(F.col("__a") / span))
+    tmp = tmp.withColumn("__k", F.struct("__a", "__b"))
     blocks = tmp.groupBy("__s", "__a", "__b").agg(F.count(F.lit(1)).alias("__n"))
     upto = [Window.unboundedPreceding, -1]
     runs = blocks.groupBy("__s").agg(F.sum("__n").alias("__t")).select(
-        "__s", F.coalesce(F.sum("__t").over(Window.orderBy("__s").rowsBetween(*upto)), F.lit(0)).alias("__base"))
-    inside = Window.partitionBy("__s").orderBy("__a", "__b").rowsBetween(*upto)
+        "__s", F.coalesce(F.sum("__t").over(Window.orderBy(*_order("__s")).rowsBetween(*upto)), F.lit(0)).alias("__base"))
+    inside = Window.partitionBy("__s").orderBy(*_order(["__a", "__b"])).rowsBetween(*upto)
     offsets = blocks.select("__s", "__a", "__b", F.coalesce(F.sum("__n").over(inside), F.lit(0)).alias("__off"))
-    offsets = offsets.join(runs, "__s").select("__a", "__b", (F.col("__base") + F.col("__off")).alias("__off"))
-    rank = F.row_number().over(Window.partitionBy("__a", "__b").orderBy("__m", *tie))
-    out = tmp.withColumn("__r", rank).join(offsets, ["__a", "__b"])
-    return out.withColumn(name, (F.col("__off") + F.col("__r") - 1).cast("bigint")).drop("__a", "__m", "__b", "__s", "__r", "__off")
+    runs = runs.withColumnRenamed("__s", "__run")
+    offsets = offsets.join(runs, F.col("__s").eqNullSafe(F.col("__run"))).select(
+        F.struct("__a", "__b").alias("__k"), (F.col("__base") + F.col("__off")).alias("__off"))
+    rank = F.row_number().over(Window.partitionBy("__k").orderBy("__m", *tie))
+    out = tmp.withColumn("__r", rank).join(offsets, "__k")
+    return out.withColumn(name, (F.col("__off") + F.col("__r") - 1).cast("bigint")).drop("__a", "__m", "__b", "__s", "__k", "__r", "__off")
 
 
 def line_ids(df: DataFrame, name: str = "row_id") -> DataFrame:
@@ -186,19 +197,29 @@ def line_ids(df: DataFrame, name: str = "row_id") -> DataFrame:
 
 
 def lead_in_blocks(df: DataFrame, partition: str, order: str, value: str, offsets: dict[int, str],
-                   block: int = 4096, reach: int = 64) -> DataFrame:
-    """``lead(value, k) over (partition by p order by o)`` for each ``k -> name``, in one shuffle.
-
-    Rows are dealt by (p, floor(o / block)), so a huge ``p`` is many tasks.  The
-    rows of a block's first ``reach`` orders are dealt to the block before it as
-    well, where they are only looked at, not returned.  ``o`` is a whole number
-    whose gaps are small: ``max(k)`` successive rows lie within ``reach`` orders
-    (turn numbers count up by one).
+                   block: int = 4096, reach: int | None = None) -> DataFrame:
+    """``lead(value, k) over (partition by p order by o nulls last)`` for each ``k -> name``.
+
+    Rows are dealt by (p, floor(o / block)), so a huge ``p`` is many tasks; those
+    without an order come last, dealt by their value.  What a block's last rows
+    miss are the first ``max(k)`` rows of the blocks after it, however far away:
+    a table with one row per block, ordered in one task per ``p`` and joined back.
+    ``o`` is a whole number with gaps of any size; rows of one ``o`` go by value.
+    ``reach`` is not needed any more and has no effect.
     """
-    at = F.floor(F.col(order) / block).cast("bigint")
-    head = F.pmod(F.col(order), F.lit(block)) < reach
-    dealt = df.withColumn("__own", at).withColumn(
-        "__blk", F.explode(F.when(head, F.array(at, at - 1)).otherwise(F.array(at))))
-    w = Window.partitionBy(partition, "__blk").orderBy(order)
-    out = dealt.select("*", *[F.lead(value, k).over(w).alias(name) for k, name in offsets.items()])
-    return out.where(F.col("__blk") == F.col("__own")).drop("__own", "__blk")
+    most = max(offsets)
+    at = F.coalesce(F.floor(F.col(order) / block).cast("bigint"), F.lit(1 << 62) + F.pmod(F.xxhash64(value), F.lit(64)))
+    # a struct of a null is equal to its like, so null partitions are joined without another shuffle
+    dealt = df.withColumn("__p", F.struct(partition)).withColumn("__blk", at)
+    w = Window.partitionBy("__p", "__blk").orderBy(*_order([order, value]))
+    first = dealt.select("__p", "__blk", order, value).withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= most)
+    first = first.groupBy("__p", "__blk").agg(F.sort_array(F.collect_list(F.struct("__rn", F.col(value).alias("v")))).alias("__first"))
+    later = Window.partitionBy("__p").orderBy("__blk").rowsBetween(1, most)  # a block has one row at least
+    after = first.select("__p", "__blk", F.flatten(F.collect_list("__first").over(later)).alias("__after")).where(F.size("__after") > 0)
+    out = dealt.select("*", F.count(F.lit(1)).over(w.rowsBetween(1, most)).alias("__left"),
+                       *[F.lead(value, k).over(w).alias(name) for k, name in offsets.items()])
+    out = out.join(after, ["__p", "__blk"], "left")
+    for k, name in offsets.items():
+        rest = F.get("__after", (F.lit(k - 1) - F.col("__left")).cast("int"))["v"]
+        out = out.withColumn(name, F.when(F.col("__left") >= k, F.col(name)).otherwise(rest))
+    return out.drop("__p", "__blk", "__left", "__after")

@@ -35,7 +35,7 @@ def pairs_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``neutral2`` is blanked for every third pair so absent targets occur.  Rows
     are keyed by (conv_id, turn).  The view is defined with ``lead()`` over each
     conversation; :func:`~rewrite_lake.operators.sampling.lead_in_blocks` computes
-    it in one shuffle, in which a huge conversation is many tasks.
+    it in blocks, so that a huge conversation is many tasks.
     """
     from ..operators.sampling import lead_in_blocks
     conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")

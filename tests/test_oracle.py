@@ -40,6 +40,22 @@ def test_query_matches_oracle(spark, con, name):
     assert rows_of(df.columns, s_rows) == rows_of(d_cols, res.fetchall())
 
 
+@pytest.mark.parametrize("name", ["prepare_pairs", "prepare_audit", "sample_head", "split_exact", "dense_ids"])
+def test_pairs_of_gapped_and_missing_turns_match_oracle(spark, tmpdir_path, name):
+    path = os.path.join(tmpdir_path, "conversations.parquet")
+    c = duckdb.connect()
+    c.execute("create table conversations as select * from (values (1), (2), (null)) a(conv_id), "
+              "(select unnest([0, 13, 4090, 4095, 4170, 4300, 9000, 50000, 50001, null])::bigint as turn) b")
+    c.execute("alter table conversations add column role varchar default 'user'")
+    c.execute("alter table conversations add column text varchar")
+    c.execute("update conversations set text = 'conversation ' || coalesce(conv_id, -1) || ' turn ' || coalesce(turn, -1)")
+    c.execute(f"copy (select conv_id::bigint as conv_id, turn, role, text from conversations) to '{path}' (format parquet)")
+    df = E.queries()[name](spark, tmpdir_path)
+    res = c.execute(E.oracle_sql()[name])
+    d_cols = [d[0] for d in res.description]
+    assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(d_cols, res.fetchall())
+
+
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0

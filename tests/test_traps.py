@@ -209,6 +209,28 @@ def test_lead_in_blocks_equals_window(spark):
     assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_lead_in_blocks_of_any_gaps_and_nulls(spark):
+    from pyspark.sql import Window
+    turns = [*range(0, 9000, 13), 4094, 4095, 50_000, 300_000, -70_000, None]
+    rows = [(c, t, f"{c}-{t}" if t != 4095 else None) for c in (1, None) for t in turns] + [(2, None, "alone"), (3, 5, "one"), (3, None, "two")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, text string")
+    w = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last())
+    names = {1: "n1", 3: "n3", 5: "n5"}
+    want = df.select("*", *[F.lead("text", k).over(w).alias(n) for k, n in names.items()])
+    for block in (4096, 16, 1):
+        got = SM.lead_in_blocks(df, "conv_id", "turn", "text", names, block=block).select(*want.columns)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    several = spark.createDataFrame([(1, None, f"v{i}") for i in range(50)] + [(1, 0, "x")], df.schema)
+    got = SM.lead_in_blocks(several, "conv_id", "turn", "text", {1: "n1"}).collect()
+    assert len(got) == 51 and {r["n1"] for r in got} == {None, *(f"v{i}" for i in range(50))}
+
+
+def test_dense_ids_of_null_keys(spark):
+    rows = [(0, 1), (0, None), (0, 70_000), (7000, 2), (None, 1), (None, None)]
+    got = SM.dense_ids(spark.createDataFrame(rows, "a bigint, b bigint"), F.col("a"), F.col("b")).orderBy("row_id").collect()
+    assert [(r["a"], r["b"], r["row_id"]) for r in got] == [(0, 1, 0), (0, 70_000, 1), (0, None, 2), (7000, 2, 3), (None, 1, 4), (None, None, 5)]
+
+
 def test_dense_ids_across_blocks(spark):
     rows = [(a, b) for a in (0, 1, 5000, 9000) for b in range(0, 40, 3)]
     df = spark.createDataFrame(rows, "a bigint, b bigint")
