@@ -14,7 +14,7 @@ is observed as none, so between units it only adds to the unit's own potential.
 
 Units under a base span are observed; loopy sum-product message passing carries
 their labels to the others.  A unit's own potential is clipped, so shape alone
-never makes a span: an added span needs repeats that agree.
+never makes a span: an added span needs repeats that agree, observed or not.
 
 The model is fitted on label counts of all documents, by shape; the patterns
 are the teachers, and no pattern match is a feature.
@@ -286,7 +286,7 @@ def _decide(model: Model):
             out = []
             for units in batch:
                 units = [dict(zip(_NAMES, (u[c] for c in _NAMES), strict=True)) for u in (units if units is not None else [])]
-                if not units or all(u["label"] for u in units) or not any(u["label"] for u in units):
+                if not units or all(u["label"] for u in units):
                     out.append([])
                     continue
                 p = model.marginals(units)
@@ -307,8 +307,8 @@ def find_pii(docs: DataFrame, *, text_col: str = "text", keep=("doc_id",)) -> Da
     """The columns ``keep``, base (pattern spans) and added (by the field), in code points.
 
     A null or empty text has none; repeated rows get equal spans; an empty table
-    gives no rows; other columns of ``docs`` are ignored.  Without any base span
-    in a document nothing is added to it.
+    gives no rows; other columns of ``docs`` are ignored.  The field decides in
+    every document with units, whether a pattern matched in it or not.
     """
     found = materialize(docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)],
                                     F.pandas_udf(_find, _FOUND)(F.col(text_col)).alias("f")).select(

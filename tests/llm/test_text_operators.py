@@ -243,6 +243,14 @@ def test_skip_chain_adds_consistent_mentions_only(spark):
     assert masked.where("doc_id = 0").first()["masked_"] == "card <CARD> here" and masked.where("doc_id = 34").first()["masked_"] is None
 
 
+def test_unrelated_spans_do_not_switch_the_field(spark):
+    texts = [f"card {n} here" for n in ("4785380592391139", "4041894974608795", "4709559030084884")] * 60
+    repeats = "card 4785380592391138 and " * 12  # a check digit off: no pattern matches
+    found = {r["doc_id"]: [(s["start"], s["k"], s["end"]) for s in r["added"]]
+             for r in pii.find_pii(table(spark, [*texts, repeats, repeats + "mail a.b@x-y.example.com now"])).collect()}
+    assert len(found[180]) == 12 and found[180] == found[181]
+
+
 # --- quality classifier ------------------------------------------------------------
 
 def test_attention_gradient_matches_differences():
