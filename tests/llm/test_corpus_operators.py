@@ -80,6 +80,15 @@ def test_warc_reads_gzip_and_rejects_broken_files(spark):
     assert warc.read_warc(spark, empty).count() == 0
 
 
+def test_registered_query_reads_archives_it_can_seek_in(spark):
+    from rewrite_lake.llm.common import shared_dir
+    before = set(os.listdir(shared_dir(spark)))
+    assert warc.op5_warc(spark, "/root/testdata/sf0.001").count() > 0
+    (made,) = [x for x in set(os.listdir(shared_dir(spark))) - before if x.startswith("llm-warc-")]
+    files = [f for f in os.listdir(os.path.join(shared_dir(spark), made)) if f[0] not in "._"]
+    assert files and not any(f.endswith(".gz") for f in files)
+
+
 # --- repeats -----------------------------------------------------------------------
 
 def test_suffix_array_is_sorted():
