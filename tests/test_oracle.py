@@ -65,3 +65,14 @@ def test_no_cartesian_or_nested_loop_plans(spark):
     from tools.plan_audit import FORBIDDEN, audit
     for name, info in audit(spark, SF).items():
         assert not any(info.get(f) for f in FORBIDDEN), name
+
+
+def test_plan_audit_covers_every_registered_query(spark, monkeypatch):
+    import tools.plan_audit as PA
+    seen = []
+
+    def query(name):
+        return lambda s, d: (seen.append(name), s.range(1))[1]
+    every = {n: query(n) for n in E.queries()}
+    monkeypatch.setattr(E, "queries", lambda: every)
+    assert set(PA.audit(spark, SF)) == set(every) == set(seen) and {"pipeline", "op8_near_duplicates"} <= set(every)
