@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from . import (
-    decontaminate, minhash_join, mixing, pii, quality_mil, quality_rules, repeats, secret_scan, token_counts, warc)
+    decontaminate, minhash_join, mixing, pii, prefix_trie, quality_mil, quality_rules, repeats, secret_scan, token_counts, warc)
 
-MODULES = [token_counts, quality_rules, secret_scan, decontaminate, warc, pii, repeats, minhash_join, quality_mil, mixing]
+MODULES = [token_counts, quality_rules, secret_scan, decontaminate, warc, pii, repeats, minhash_join, quality_mil, mixing, prefix_trie]
 QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
