@@ -35,12 +35,12 @@ from pyspark.sql.datasource import (
     DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In,
     InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, WriterCommitMessage)
 
-from .common import read, shared_dir
+from .common import read, scratch
 
 #: Ids of a frame and of a file, at most (a document is not split over files); level of compression.
 FRAME_IDS, FILE_IDS, LEVEL = 1 << 16, 1 << 25, 3
-#: Words, and chunks between blanks, whose ids a worker remembers at once.
-MEMO = 400_000
+#: Words whose ids a worker remembers at once.
+MEMO = 800_000
 #: Fixed values of the seekable format.
 SKIP, TABLE, FOOT = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 LIST = "_files.json"
@@ -49,22 +49,45 @@ SCHEMA = "doc_id bigint, start bigint, n_tokens bigint, ids binary"
 # --- encoding --------------------------------------------------------------------
 
 
-#: The word pattern of the vocabularies whose texts can be cut at blanks, and what it means in ASCII lower case.
+#: The word pattern of the vocabularies whose texts can be cut at blanks, what it means in lower-case
+#: Latin (code points below 0x180), and the characters that stand for unprintable bytes.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+_LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ſ]+|[0-9²³¹¼-¾]|[^\sa-zªµºß-öø-ſ0-9²³¹¼-¾]+")
+_BYTES = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
 
 
 def _packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+class _Memo:
+    """At most ``MEMO`` entries in two generations: those in use outlive a change of generation."""
+
+    def __init__(self):
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def get(self, key: str) -> bytes | None:
+        ids = self.new.get(key)
+        if ids is None and (ids := self.old.get(key)) is not None:
+            self.put(key, ids)
+        return ids
+
+    def put(self, key: str, ids: bytes) -> bytes:
+        if len(self.new) >= MEMO // 2:
+            self.new, self.old = {}, self.new
+        if len(key) <= 64:
+            self.new[key] = ids
+        return ids
+
+
 class Encoder:
     """Ids of texts, by the library's tokenizer.
 
     Where the tokenizer's own file says that blanks are dropped and words cut by
     ``PATTERN``, a text's ids are those of its chunks between ASCII blanks, joined;
-    chunks repeat, so each different one of a group of texts is looked up once, and
-    each worker remembers words (at most ``MEMO``).  Other tokenizers encode whole texts.
+    chunks repeat, so each different one of a group of texts is cut once, and each
+    worker remembers words (at most ``MEMO``).  Other tokenizers encode whole texts.
     """
 
     def __init__(self, path: str):
@@ -78,36 +101,34 @@ class Encoder:
             and [x["type"] for x in cut.get("pretokenizers", [])] == ["Split", "ByteLevel"]
             and cut["pretokenizers"][0]["pattern"] == {"Regex": PATTERN} and cut["pretokenizers"][0]["invert"])
         self.added = [x["content"] for x in spec["added_tokens"]]
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.words = _Memo()
 
     def whole(self, text: str) -> bytes:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _word(self, word: str) -> bytes:
-        ids = _packed([t.id for t in self.tokenizer.model.tokenize(word)])
-        if len(self.words) >= MEMO:
-            self.words.clear()
-        if len(word) <= 64:
-            self.words[word] = ids
+    def _word(self, word: str, raw: bool) -> bytes:
+        """Ids of one word: as it stands, or already spelt in the vocabulary's characters."""
+        key = word if raw else "\0" + word
+        ids = self.words.get(key)
+        if ids is None:
+            spelt = word if not raw or word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
+            ids = self.words.put(key, _packed([t.id for t in self.tokenizer.model.tokenize(spelt)]))
         return ids
 
     def _chunk(self, chunk: str) -> bytes:
-        if not chunk:
-            return b""
-        if chunk.isascii() and chunk.isprintable():
-            low = chunk.lower()
-            words = (low,) if low.isalpha() else _ASCII.findall(low)
-        else:
-            t = self.tokenizer
-            words = [w for w, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(chunk))]
-        known = self.words.get
-        ids = b"".join([known(w) or self._word(w) for w in words])
-        if len(self.chunks) >= MEMO:
-            self.chunks.clear()
-        if len(chunk) <= 64:
-            self.chunks[chunk] = ids
-        return ids
+        """Ids of a chunk without blanks.  In printable Latin the normal form changes nothing but case."""
+        word, known = chunk, self.words.new.get
+        if chunk.isascii():
+            if chunk.isalpha():
+                word = chunk.lower()
+                return known(word) or self._word(word, True)
+            if chunk[:-1].isalpha() and chunk[-1] in ".,;:!?":
+                word = chunk[:-1].lower()
+                return (known(word) or self._word(word, True)) + self._word(chunk[-1], True)
+        if chunk.isprintable() and (chunk.isascii() or (max(chunk) < "ƀ" and "İ" not in chunk)):
+            return b"".join([known(w) or self._word(w, True) for w in _LATIN.findall(chunk.lower())])
+        t = self.tokenizer
+        return b"".join([self._word(w, False) for w, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(chunk))])
 
     def texts(self, texts: pa.Array, end: list[int]) -> pa.Array:
         """The ids of each text and ``end``, as little-endian 32-bit integers (a binary array)."""
@@ -116,20 +137,23 @@ class Encoder:
             return pa.array([self.whole(t) + _packed(end) for t in texts.to_pylist()], pa.binary())
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
-        met, known = self.chunks.get, []
-        for c in coded.dictionary.to_pylist():
-            ids = met(c)
-            known.append(self._chunk(c) if ids is None else ids)
+        known = [self._chunk(c) if c else b"" for c in coded.dictionary.to_pylist()]
         known.append(_packed(end))
         size = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
         table = np.frombuffer(b"".join(known), dtype="<u4")
         # each text's chunks, then the end's
         ends = np.cumsum(np.asarray(pc.list_value_length(split), dtype=np.int64))
-        codes = np.insert(np.asarray(coded.indices, dtype=np.int64), ends, len(known) - 1)
+        codes = np.insert(np.asarray(coded.indices), ends, len(known) - 1)
         n = size[codes]
         upto = np.cumsum(n)
-        flat = table[np.arange(int(n.sum())) + np.repeat((np.cumsum(size) - size)[codes] - (upto - n), n)]
+        if upto[-1] < 1 << 31:  # half the memory for the places
+            place = np.repeat(((np.cumsum(size) - size)[codes] - (upto - n)).astype(np.int32), n)
+            place += np.arange(len(place), dtype=np.int32)
+        else:
+            place = np.repeat((np.cumsum(size) - size)[codes] - (upto - n), n)
+            place += np.arange(len(place))
         bounds = np.concatenate([[0], upto[ends + np.arange(len(ends))]]) * 4
+        flat = table[place]
         return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(bounds.astype("<i8")), pa.py_buffer(flat)]).cast(pa.binary())
 
 
@@ -466,7 +490,7 @@ def read_ids(spark: SparkSession, path: str, *, ids: bool = True) -> DataFrame:
 
 
 def op11_token_files(spark, sf_dir):
-    path = f"{shared_dir(spark)}/llm-ids-{uuid.uuid4().hex}"
+    path = scratch(spark, "ids")
     write_ids(read(spark, sf_dir, "documents"), path, vocabulary_path(), width=2)
     return read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 

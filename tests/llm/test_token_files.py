@@ -1,10 +1,12 @@
 """Token files: ids against the library, exact round trips, seeking, damage."""
 import json
 import os
+import random
 import tempfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -123,6 +125,18 @@ def test_empty_table(spark):
     assert T.read_ids(spark, path).count() == 0
 
 
+def test_chunks_equal_whole_texts(monkeypatch):
+    """Odd characters, short memory: a text's ids are its chunks' ids joined."""
+    monkeypatch.setattr(T, "MEMO", 50)
+    rng, coder = random.Random(3), T.Encoder(T.vocabulary_path())
+    marks = [chr(i) for i in range(0x260)] + list("ΣςσİıẞΩé中文ǅ̧́\u2000\u3000\u200bﬁ½Ⅷ'st") + ["'s", "'LL", " ", "  ", ". ", ", ", "<|endoftext|>"] * 9
+    texts = ["".join(rng.choices(marks, k=rng.randint(0, 60))) for _ in range(3000)] + ["a. b, c' 'd it's. end!? .", "", " "]
+    assert coder.chunked
+    plain = [t for t in texts if "<|" not in t]
+    assert coder.texts(pa.array(plain, pa.large_string()), [1]).to_pylist() == [coder.whole(t) + b"\1\0\0\0" for t in plain]
+    assert coder.texts(pa.array(texts, pa.large_string()), []).to_pylist() == [coder.whole(t) for t in texts]
+
+
 def test_texts_of_a_vocabulary_that_keeps_blanks(spark):
     import public_tokenizers
     other = str(public_tokenizers.path("byte_bpe_50k.json"))
