@@ -36,7 +36,11 @@ N_FEATURES = _CLASSES * _CLASSES + 4
 
 
 def passages(texts: list[bytes]) -> list[np.ndarray]:
-    """Per text a matrix, one row of features per passage (at least one)."""
+    """Per text a matrix, one row of features per passage (at least one).
+
+    Class pairs and three-word windows lie in one text, so its features are the
+    same in any company.
+    """
     out = []
     for group in chunks(texts):
         data = np.frombuffer(b" ".join(group) + b" ", dtype=np.uint8)
@@ -53,8 +57,9 @@ def passages(texts: list[bytes]) -> list[np.ndarray]:
         where = base[text] + np.clip(number, 0, None) // PASSAGE
         where = np.minimum(where, base[text + 1] - 1)
         total = int(base[-1])
-        pair = np.append(kind[:-1] * _CLASSES + kind[1:], 0)
-        counts = np.bincount(where * (_CLASSES**2) + pair, minlength=total * _CLASSES**2).reshape(total, -1).astype(np.float32)
+        pair = kind[:-1] * _CLASSES + kind[1:]
+        own = text[:-1] == text[1:]  # not the pair of a text's end and the next text's first byte
+        counts = np.bincount((where[:-1] * (_CLASSES**2) + pair)[own], minlength=total * _CLASSES**2).reshape(total, -1).astype(np.float32)
         size = np.maximum(1, counts.sum(axis=1, keepdims=True))
         # words: of which passage, how many, how long, how many distinct, how many three-word windows seen before in the text
         w_text = np.repeat(np.arange(len(group)), n_words)
@@ -64,10 +69,11 @@ def passages(texts: list[bytes]) -> list[np.ndarray]:
         rolled = words.copy()
         for j in (1, 2):
             rolled[:len(words) - j] = rolled[:len(words) - j] * np.uint64(0xD6E8FEB86659FD93) + words[j:]
-        key = rolled ^ (w_text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        again = np.ones(len(words), dtype=bool)
+        inside = np.flatnonzero(np.arange(len(words)) + 2 < first[w_text + 1])  # windows that end in their own text
+        key = rolled[inside] ^ (w_text[inside].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        again = np.ones(len(inside), dtype=bool)
         again[np.unique(key, return_index=True)[1]] = False
-        repeat = np.bincount(w_pass[again], minlength=total)
+        repeat = np.bincount(w_pass[inside[again]], minlength=total)
         extra = np.stack([np.log1p(n) / 5, np.bincount(where, weights=~blank, minlength=total) / n / 10,
                           distinct / n, repeat / n], axis=1).astype(np.float32)
         matrix = np.hstack([counts / size, extra])
@@ -134,8 +140,9 @@ class AttentionModel:
         return self
 
     def score(self, bags: list[np.ndarray]) -> np.ndarray:
+        """Scores in double precision, to nine places: sums differ past those with the size of a batch."""
         bag = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-        return self.forward(np.concatenate(bags), bag, len(bags))["y"].astype(float)
+        return np.round(self.forward(np.concatenate(bags).astype(float), bag, len(bags))["y"], 9)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -170,8 +177,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: AttentionModel | float, *, text_col: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` with a score from 0 to 1.  Null and empty texts are one empty
-    passage; repeated rows score alike; an empty table stays empty; a clashing
+    """``docs`` with a score from 0 to 1, of the text alone.  Null and empty texts
+    are one empty passage; repeated rows score alike, wherever they lie; an empty table stays empty; a clashing
     name gets underscores."""
     (out,) = fresh(docs, out)
     if not isinstance(model, AttentionModel):

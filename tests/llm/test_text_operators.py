@@ -296,3 +296,60 @@ def test_queries_cover_all_ten():
     names = {int(m[1]) for m in (re.match(r"op(\d+)_", q) for q in E.queries()) if m}
     assert names == set(range(1, 11)) and "pipeline" in E.queries()
     assert os.path.exists(os.path.join(os.path.dirname(E.__file__), "corpus_pipeline.py"))
+
+
+# --- quality: features and scores by hand ------------------------------------------
+
+def plain_features(text: bytes):
+    """Features of one text, byte by byte."""
+    Q = quality_mil
+    data = text + b" "
+    kind = [int(Q._CLASS[b]) for b in data]
+    spans = [m.span() for m in re.finditer(rb"[^\x09-\x0d\x20]+", text)]
+    low = [bytes(b + 32 if 65 <= b <= 90 else b for b in text[a:b]) for a, b in spans]
+    n_pass = max(1, -(-len(spans) // Q.PASSAGE))
+    rows = np.zeros((n_pass, Q.N_FEATURES))
+
+    def passage(i):
+        return min(n_pass - 1, max(0, sum(a <= i for a, _ in spans) - 1) // Q.PASSAGE)
+    for i in range(len(text)):
+        rows[passage(i), kind[i] * Q._CLASSES + kind[i + 1]] += 1
+    rows /= np.maximum(1, rows.sum(axis=1, keepdims=True))
+    seen = set()
+    for p in range(n_pass):
+        mine = range(p * Q.PASSAGE, min(len(spans), (p + 1) * Q.PASSAGE))
+        n, again = max(1, len(mine)), 0
+        for w in mine:
+            window = tuple(low[w:w + 3])
+            again += len(window) == 3 and window in seen
+            if len(window) == 3:
+                seen.add(window)
+        # a text's end counts no letter; bytes before the first word belong to the first passage
+        letters = sum(b not in b" \t\n\x0b\x0c\r" and passage(i) == p for i, b in enumerate(text))
+        rows[p, -4:] = np.log1p(n) / 5, letters / n / 10, len({low[w] for w in mine}) / n, again / n
+    return rows
+
+
+def test_quality_features_are_of_the_text_alone(spark):
+    Q = quality_mil
+    rng = random.Random(11)
+    texts = [b"", b" ", b"one", b"a b", b"a b c a b c a b c", "é\n\nÉ x".encode(), b"  lead and trail  ",
+             *(" ".join(rng.choice(["the", "cat", "x1", "Ü.", "a,\nb", "##"]) for _ in range(rng.randint(1, 350))).encode() for _ in range(12))]
+    alone = [Q.passages([t])[0] for t in texts]
+    for t, f in zip(texts, alone, strict=True):
+        assert np.allclose(f, plain_features(t), atol=1e-6), t
+    order = rng.sample(range(len(texts)), len(texts)) * 2
+    for i, f in zip(order, Q.passages([texts[i] for i in order]), strict=True):
+        assert np.array_equal(f, alone[i])
+    model = Q.AttentionModel()
+    one = [float(model.score([f])[0]) for f in alone]
+    assert model.score([alone[i] for i in order]).tolist() == [one[i] for i in order]
+    p, sig = model.p, lambda v: 1 / (1 + np.exp(-v))
+    for f, got in zip(alone, one, strict=True):  # the score, written out
+        h = np.tanh(f.astype(float) @ p["E"] + p["e"])
+        a = np.exp((np.tanh(h @ p["V"]) * sig(h @ p["U"])) @ p["w"])
+        assert abs(sig((a / a.sum()) @ h @ p["c"] + p["b"])[0] - got) < 1e-6
+    df = spark.createDataFrame([(i, texts[i].decode()) for i in order] + [(99, None)], "doc_id int, text string")
+    for parts in (1, 3, 7):
+        for r in Q.score(df.repartition(parts), model).collect():
+            assert r["score"] == one[r["doc_id"] if r["doc_id"] != 99 else 0]
