@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 BLANK = r"[\x20\x09-\x0D]+"
 #: A word: a maximal run of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
+_SCRATCH: list[str] = []
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,15 +38,33 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which :func:`release` removes."""
+    path = f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, so
     a lost executor costs a re-read, and an input used twice is computed once."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete what this driver's operators wrote to the shared folder so far; how many paths.
+
+    Call it once results are stored: DataFrames that still read those paths fail."""
+    n = 0
+    while _SCRATCH:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        n += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """``names``, each with underscores added until no column of ``df`` clashes
     (Spark resolves names without regard to case)."""

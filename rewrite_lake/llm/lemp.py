@@ -17,7 +17,6 @@ rows per task, which are merged by anchor.  Nothing is paired by a join.
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, read, shared_dir
+from .common import materialize, read, scratch
 
 #: Rows of a bucket, buckets of a task, focus coordinates, bytes of an anchor block, scores held at once.
 BUCKET, BUCKETS_A_TASK, FOCUS, BLOCK_BYTES, CELLS = 4096, 4, 3, 16 << 20, 1 << 22
@@ -316,7 +315,7 @@ def mine(rows: DataFrame, anchors: DataFrame, *, positives: int = 5, negatives:
     spark = rows.sparkSession
     index = buckets(rows, size=size, tasks=tasks)
     blocks = anchor_blocks(anchors, block_bytes=block_bytes)
-    path = f"{shared_dir(spark)}/llm-lemp-{uuid.uuid4().hex}"
+    path = scratch(spark, "lemp")
     schema = "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint"
     spark.createDataFrame([], schema).write.parquet(path)
     for r in blocks.select("run", "no").collect():  # a few numbers per block

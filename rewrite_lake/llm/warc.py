@@ -6,14 +6,15 @@ to any store Spark writes to, and a lost task leaves nothing half-written.
 
 The reader plans whole files, packed to ``partitionBytes``, evaluates pushed
 predicates on the record type and header fields as soon as a record's headers are
-parsed, and seeks over the payloads nobody wants.
+parsed, and seeks over the payloads nobody wants.  It opens what Arrow's file
+systems open (a plain path, ``file:``, ``hdfs:``, ``s3:``, ``gs:``); of Spark's other
+schemes the archives can be written but not read here.
 """
 
 from __future__ import annotations
 
 import base64
 import io
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -24,12 +25,14 @@ from pyspark.sql.datasource import (
     DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition,
     IsNotNull, IsNull, LessThan, LessThanOrEqual, Not, StringContains, StringEndsWith, StringStartsWith)
 
-from .common import fresh, read, shared_dir
+from .common import fresh, materialize, read, scratch
 
 #: Payloads of at least so many bytes are stored once.
 MIN_REVISIT = 1000
 #: Records of one file, so that a file stays one task's work.
 RECORDS_PER_FILE = 2000
+#: Rows and bits of a row of the bitmap of digests met twice (Spark's bitmap functions fix the bits): 8 MB at most.
+BITMAP_ROWS, BITMAP_BITS = 2048, 32768
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _EOL = "\r\n"
@@ -46,22 +49,41 @@ _FIELDS = {"type": "warc-type", "record_id": "warc-record-id", "target_uri": "wa
 
 # --- writing ------------------------------------------------------------------
 
+def _bit_set(bitmap: Column, bit: Column) -> Column:
+    """Whether bit ``bit`` of a bitmap is set (of none: no)."""
+    byte = F.conv(F.hex(F.substring(bitmap, F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))
+
+
 def plan_records(pages: DataFrame, *, id_col: str = "page_id", payload_col: str = "html",
-                 min_revisit: int = MIN_REVISIT) -> DataFrame:
+                 min_revisit: int = MIN_REVISIT, bitmap_rows: int = BITMAP_ROWS) -> DataFrame:
     """``pages`` with payload_digest (SHA-1 hex), payload_length and refers_to.
 
     Of the rows with one payload of at least ``min_revisit`` bytes, those that
     carry the largest id are responses, the others refer to that id.  A null
     payload is empty; null ids come last and refer to nothing when all are null.
+
+    Payloads stay where they are: digests are counted without them, those met
+    twice are folded into a bitmap of ``bitmap_rows`` x 32,768 bits, and only rows
+    whose digest hits it are joined with the largest ids.  A fuller bitmap sends
+    more rows through the join; it changes no result.
     """
     digest, length, refers = fresh(pages, "payload_digest", "payload_length", "refers_to")
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     sized = pages.select("*", F.sha1(payload).alias(digest), F.octet_length(payload).cast("long").alias(length))
     winners = sized.where(F.col(length) >= min_revisit).groupBy(F.col(digest).alias("d_")).agg(
         F.max(id_col).alias("winner_"), F.count(F.lit(1)).alias("n_")).where("n_ > 1").drop("n_")
-    joined = sized.join(winners, F.col(digest) == F.col("d_"), "left")
+    winners = materialize(winners, "warc-winners")
+    place = lambda d: F.pmod(F.xxhash64(d), F.lit(bitmap_rows * BITMAP_BITS))
+    bitmap = winners.groupBy(F.floor(place(F.col("d_")) / BITMAP_BITS).alias("row_")).agg(
+        F.bitmap_construct_agg((place(F.col("d_")) % BITMAP_BITS)).alias("bits_"))
+    # at most bitmap_rows rows of 4 KB
+    seen = sized.join(F.broadcast(bitmap), F.floor(place(F.col(digest)) / BITMAP_BITS) == F.col("row_"), "left")
+    hit = _bit_set(F.col("bits_"), place(F.col(digest)) % BITMAP_BITS) & (F.col(length) >= min_revisit)
+    alone = seen.where(~hit).drop("row_", "bits_").withColumn(refers, F.lit(None).cast(pages.schema[id_col].dataType))
+    joined = seen.where(hit).drop("row_", "bits_").join(winners, F.col(digest) == F.col("d_"), "left")
     refer = F.when(~F.col(id_col).eqNullSafe(F.col("winner_")), F.col("winner_"))
-    return joined.withColumn(refers, refer).drop("d_", "winner_")
+    return alone.union(joined.withColumn(refers, refer).drop("d_", "winner_"))
 
 
 def render(planned: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = DATE) -> DataFrame:
@@ -326,7 +348,7 @@ def read_warc(spark: SparkSession, path: str, *, payload: bool = True) -> DataFr
 
 
 def op5_warc(spark, sf_dir):
-    path = f"{shared_dir(spark)}/llm-warc-{uuid.uuid4().hex}"
+    path = scratch(spark, "warc")
     write_warc(read(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
     page = lambda c: F.nullif(F.substring_index(c, ":", -1), F.lit("")).cast("long")
     full = read_warc(spark, path).where("type = 'response'").select(

@@ -278,3 +278,24 @@ def test_pipeline_equals_brute_force(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "benchmark_leaks", "secret_scan", "source_mix"]
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, folder).columns == docs.columns, name
+
+
+@pytest.mark.parametrize("bitmap_rows", [1, 2048])
+def test_warc_payloads_are_joined_only_where_digests_repeat(spark, bitmap_rows, monkeypatch):
+    """Every digest in few bits, or few digests in many: the same records."""
+    if bitmap_rows == 1:
+        monkeypatch.setattr(warc, "BITMAP_BITS", 8)
+    rows = [(i, "u", f"{i % 40:04d}" * 300 if i % 3 else f"{i:05d}" * 300) for i in range(200)]
+    got = warc.plan_records(spark.createDataFrame(rows, "page_id bigint, url string, html string"), bitmap_rows=bitmap_rows).collect()
+    last = {}
+    for i, _, t in rows:
+        last[t] = max(i, last.get(t, i))
+    assert {r["page_id"]: r["refers_to"] for r in got} == {i: last[t] if last[t] != i else None for i, _, t in rows}
+
+
+def test_released_paths_are_gone(spark):
+    common._SCRATCH.clear()
+    df = common.materialize(spark.range(3), "gone")
+    path = common._SCRATCH[0].removeprefix("file:")
+    assert df.count() == 3 and os.path.isdir(path)
+    assert common.release(spark) == 1 and not os.path.exists(path) and common.release(spark) == 0
