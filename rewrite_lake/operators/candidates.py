@@ -12,13 +12,13 @@ from the sample row in one ``inline`` of an array of structs, so
   generation order for tie-breaking (T10).
 
 Rule models are Column expressions (deterministic, codegen'd).  Python models
-(e.g. seq2seq generators) use :func:`python_candidates`, a ``mapInPandas``
+(e.g. seq2seq generators) use :func:`python_candidates`, a pandas UDF
 backend that loads the model once per worker and batches rows via Arrow.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,37 +72,37 @@ def candidates(samples: DataFrame, models: Sequence[str] = DEFAULT_MODELS,
 
 
 def python_candidates(samples: DataFrame, generator_factory, model_idx: int, model: str,
-                      num_return: int, source: str = "source", key: str = "sample_id",
+                      num_return: int, source: str = "source", key: str | Sequence[str] = "sample_id",
                       params: dict | None = None) -> DataFrame:
-    """Candidates from a Python generator backend via ``mapInPandas``.
+    """Candidates from a Python generator backend as an Arrow-batched UDF.
 
     ``generator_factory()`` returns an object with ``generate(list[str]) ->
     list[list[str]]`` (``num_return`` rewrites per prompt); with ``params`` it is
     called as ``generator_factory(params)``, the effective generation settings.
-    It is built once per Python worker; rows arrive in Arrow batches.  A NULL
-    source is prompted as ''.  A generator that answers for fewer prompts, or
+    It is built once per Python worker; rows arrive in Arrow batches.  ``key`` is
+    one column or several, of any types; the keys go past the generator in the JVM.
+    A NULL source is prompted as ''.  A generator that answers for fewer prompts, or
     with another number of rewrites than promised, is an error: no sample and no
     rewrite is dropped.
     """
     import pandas as pd
-
-    schema = (f"{key} bigint, model_idx int, model string, candidate_rank int, text string")
+    keys = [key] if isinstance(key, str) else list(key)
 
     def run(batches):
         gen = generator_factory(params) if params is not None else generator_factory()
-        for pdf in batches:
-            prompts = ["" if s is None else s for s in pdf[source].tolist()]
+        for prompts in batches:
+            prompts = prompts.tolist()
             outs = list(gen.generate(prompts))
             if len(outs) != len(prompts):
                 raise ValueError(f"{model}: {len(outs)} answers for {len(prompts)} prompts")
-            rows = []
-            for sid, texts in zip(pdf[key].tolist(), outs, strict=True):
+            for prompt, texts in zip(prompts, outs, strict=True):
                 if len(texts) != num_return:
-                    raise ValueError(f"{model}: {len(texts)} rewrites of {key} {sid}, not {num_return}")
-                for rank, text in enumerate(texts):
-                    rows.append((sid, model_idx, model, rank, (text or "").strip()))
-            yield pd.DataFrame(rows, columns=[key, "model_idx", "model", "candidate_rank", "text"])
-
-    return samples.select(key, source).mapInPandas(run, schema)
-
-
+                    raise ValueError(f"{model}: {len(texts)} rewrites of {prompt[:40]!r}, not {num_return}")
+            yield pd.Series([[(t or "").strip() for t in texts] for texts in outs])
+
+    # each prompt is asked once: a generator that samples must not be run twice for one row
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    answer = F.pandas_udf(run, "array<string>").asNondeterministic()
+    asked = samples.select(*keys, answer(F.coalesce(F.col(source).cast("string"), F.lit(""))).alias("__texts"))
+    return asked.select(*keys, F.lit(model_idx).alias("model_idx"), F.lit(model).alias("model"),
+                        F.posexplode("__texts").alias("candidate_rank", "text"))

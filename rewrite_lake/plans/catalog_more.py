@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scorers as S
 from ..functions import text as T
 from ..functions import vectors as V
+from ..operators import alignment as AL
 from ..operators import candidates as C
 from ..operators import metrics as M
 from ..operators import prepare as P
@@ -292,6 +293,26 @@ def eval_preview(spark, sf_dir):
                     r6(F.col("sim")).alias("similarity"), r6(reward).alias("reward"))
 
 
+# --- learnt generator ------------------------------------------------------------------------
+
+def _word_options(spark, sf_dir) -> DataFrame:
+    return AL.word_options(AL.align_words(_pairs(spark, sf_dir), ids=PAIR_IDS))
+
+
+@query
+def word_options(spark, sf_dir):
+    """Likely target words of every source word, learnt from all pairs in three rounds (UDF-05)."""
+    o = _word_options(spark, sf_dir).select("s", F.inline("options"))
+    return o.select("s", F.col("rank").cast("int").alias("rank"), "cost", "target")
+
+
+@query
+def aligned_rewrites(spark, sf_dir):
+    """The three best rewrites of every document line by the learnt words (UDF-05)."""
+    c = AL.rewrites(FX.line_samples(spark, sf_dir), _word_options(spark, sf_dir), k=3, keys=LINE_KEYS)
+    return c.select(*LINE_KEYS, F.col("candidate_rank").cast("int").alias("candidate_rank"), "text")
+
+
 # --- fill and backends ---------------------------------------------------------------------
 
 @query

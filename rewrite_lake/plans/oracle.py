@@ -488,3 +488,50 @@ for _k in list(ORACLE):
 
 ORACLE["toxicity_udf"] = _no_negative_zero(with_(LINE_SAMPLES) + f"""
 select doc_id, line_no, round({_tox('source')}, 6) as p_toxic from line_samples""")
+
+
+# --- learnt generator --------------------------------------------------------------
+
+def _em_round(n: int) -> str:
+    """One round of expectation maximisation over ``em_both``, from the table of the round before."""
+    seen = "(select *, 1e0 as p from em_both)" if n == 1 else f"(select b.*, x.p from em_both b join em_{n - 1} x using (s, t))"
+    return f"""
+em_e{n} as (
+  select s, t, sum(ct * (cs * p) / den) as e
+  from (select *, sum(cs * p) over (partition by conv_id, turn, target_no, t) as den from {seen}) w group by s, t),
+em_{n} as (select s, t, e / sum(e) over (partition by s) as p from em_e{n})"""
+
+
+WORD_OPTIONS = f"""
+em_src as (
+  select conv_id, turn, target_no, s, count(*) as cs
+  from (select conv_id, turn, target_no, unnest(list_concat([''], {split_ws('input')})) as s from pairs_long) w group by all),
+em_tgt as (
+  select conv_id, turn, target_no, t, count(*) as ct
+  from (select conv_id, turn, target_no, unnest({split_ws('target')}) as t from pairs_long) w group by all),
+em_both as (select * from em_src join em_tgt using (conv_id, turn, target_no)),""" + ",".join(map(_em_round, (1, 2, 3))) + """,
+opts as (
+  select s, cast(row_number() over (partition by s order by p desc, t) - 1 as integer) as rank,
+         cast(round(-ln(p) * 1000000) as bigint) as cost, t as target
+  from (select s, t, round(p, 9) as p from em_3) w where s <> '' and p >= 0.05 qualify rank < 4)"""
+
+ORACLE["word_options"] = with_(PAIRS_WIDE, PAIRS_LONG, WORD_OPTIONS) + """
+select s, rank, cost, target from opts"""
+
+ORACLE["aligned_rewrites"] = with_(PAIRS_WIDE, PAIRS_LONG, WORD_OPTIONS, LINE_SAMPLES) + f""",
+toks as (
+  select doc_id, line_no, u.i as pos, tk[u.i] as tok
+  from (select doc_id, line_no, {split_ws('source')} as tk from line_samples) l, unnest(range(1, len(tk) + 1)) as u(i)),
+words as (
+  select w.doc_id, w.line_no, w.pos, coalesce(o.target, w.tok) as word, w.tok, o.cost
+  from toks w left join opts o on o.s = w.tok and o.rank = 0),
+devs as (
+  select doc_id, line_no, pos, target, n from (
+    select w.doc_id, w.line_no, w.pos, o.target,
+           row_number() over (partition by w.doc_id, w.line_no order by o.cost - w.cost, w.pos, o.rank) as n
+    from words w join opts o on o.s = w.tok and o.rank between 1 and 2) d where n <= 2)
+select l.doc_id, l.line_no, 0 as candidate_rank, coalesce(string_agg(w.word, ' ' order by w.pos), '') as text
+from line_samples l left join words w on w.doc_id = l.doc_id and w.line_no = l.line_no group by l.doc_id, l.line_no
+union all
+select d.doc_id, d.line_no, cast(d.n as integer), string_agg(case when w.pos = d.pos then d.target else w.word end, ' ' order by w.pos)
+from devs d join words w on w.doc_id = d.doc_id and w.line_no = d.line_no group by d.doc_id, d.line_no, d.n"""
