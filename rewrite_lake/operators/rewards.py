@@ -6,7 +6,7 @@ partitioned by batch (a bounded unit: ``batch_size`` rows).
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +15,8 @@ from ..functions import bleu as B
 from ..functions import scorers as S
 from ..functions.text import clip, empty_if_null, token_count, ustrip
 from ..functions.vectors import cosine_to_unit
+from . import rerank as RR
+from .candidates import DEFAULT_MODELS, candidate_array
 
 # Fixed values, needed for equal results: the z-score epsilon (added to the
 # std) and clip, the weights and penalty of the base reward, and the tokens
@@ -56,6 +58,34 @@ def with_mini_metrics(df: DataFrame, source: str, reference: str, output: str, c
     return df.withColumn("j", clip(F.col("sta") * F.col("sim") * F.col("fl"), 0.0, 1.0))
 
 
+def score_candidates(samples: DataFrame, keys: Sequence[str], models: Sequence[str] = DEFAULT_MODELS,
+                     source: str = "source", reference: str = "reference") -> DataFrame:
+    """The mini metrics and the base reward of every rule candidate (RWD-01, RWD-02).
+
+    A sample's reference and source are tokenised once, its equal candidate texts
+    scored once; the candidates are told apart again at the end.  Nothing is
+    shuffled.  Output: ``*keys, model_idx, model, candidate_rank, source,
+    reference, text, sta, sim, fl, bleu, j, cos, trivial, reward_raw``.
+    """
+    keys = list(keys)
+    samples = samples.select(*keys, source, empty_if_null(reference).alias(reference))
+    prepared = RR.prepare_samples(samples, source, reference)
+    keep = [*keys, source, reference, RR.REF, RR.SRC_BOW]
+    c = RR.distinct_texts(prepared.select(*keep, candidate_array(models, source).alias("__cands")), keep, "__cands")
+    out = F.col("text")
+    c = S.with_bow_cosine(c, out, RR.SRC_BOW, out="cos", b_runs=True, b_text=F.col(source))
+    c = B.with_bleu_stats(c, out, RR.REF, out="__stats", ref_prepared=True, ref_text=F.col(reference))
+    c = c.select("*", clip(F.lit(1.0) - S.toxicity_prob(out), 0.0, 1.0).alias("sta"), clip(S.fluency_prob(out), 0.0, 1.0).alias("fl"),
+                 cosine_to_unit(F.col("cos")).alias("sim"),
+                 clip(B.bleu_score(F.col("__stats"), effective_order=True) / F.lit(100.0), 0.0, 1.0).alias("bleu"),
+                 trivial_output(F.col(source), out).alias("trivial"))
+    c = c.withColumn("j", clip(F.col("sta") * F.col("sim") * F.col("fl"), 0.0, 1.0))
+    # the second toxicity scorer is the same backend with another slope
+    c = c.withColumn("reward_raw", base_reward(S.toxicity_prob(out, k=2.0), clip(F.col("cos"), -1.0, 1.0), F.col("trivial")))
+    metrics = ["sta", "sim", "fl", "bleu", "j", "cos", "trivial", "reward_raw"]
+    return c.select("*", F.inline("__members")).select(*keys, "model_idx", "model", "candidate_rank", source, reference, "text", *metrics)
+
+
 # --- batch statistics ------------------------------------------------------------
 
 def zscore(x, batch, clip_at: float = Z_CLIP) -> Column:

@@ -45,14 +45,29 @@ def head(df: DataFrame, n: int, order) -> DataFrame:
     return df.orderBy(*by).limit(int(n))
 
 
-def sample_capped(df: DataFrame, n: int, seed: int, ids) -> DataFrame:
-    """``min(n, rows)`` rows without replacement, reproducible (SMP-03).
+#: Buckets of keys that a sample is chosen by.
+SAMPLE_BUCKETS = 1 << 16
 
-    ``orderBy(key).limit(n)`` plans as TakeOrderedAndProject: each task keeps
-    an n-row heap, so the cost is one scan and n x tasks rows to the driver.
+
+def sample_capped(df: DataFrame, n: int, seed: int, ids, buckets: int = SAMPLE_BUCKETS) -> DataFrame:
+    """``min(n, rows)`` rows without replacement, reproducible (SMP-03): those with the least keys.
+
+    No task sees the sample: rows are counted in ``buckets`` ranges of the key, the
+    ranges' running counts say which are taken whole and which one is parted, and
+    only the rows of that one are ranked.  Rows with equal keys (repeated ids) go by id.
     """
     key = random_key(seed, ids)
-    return df.withColumn("__key", key).orderBy("__key", *_order(ids)).limit(int(n)).drop("__key")
+    prefix = F.conv(F.substring(F.col("__key"), 1, HEX_DIGITS), 16, 10).cast("bigint")
+    tmp = df.withColumn("__key", key).withColumn("__b", F.floor(prefix * F.lit(buckets) / F.lit(float(16 ** HEX_DIGITS))).cast("int"))
+    counts = tmp.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
+    upto = F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    taken = counts.select("__b", "__n", upto.alias("__upto")).where(F.col("__upto") - F.col("__n") < int(n))
+    rows = tmp.join(F.broadcast(taken), "__b")  # at most ``buckets`` rows
+    whole = rows.where(F.col("__upto") <= int(n))
+    place = F.row_number().over(Window.partitionBy("__b").orderBy("__key", *_order(ids)))
+    parted = rows.where(F.col("__upto") > int(n)).withColumn("__at", place)
+    parted = parted.where(F.col("__at") <= F.lit(int(n)) - (F.col("__upto") - F.col("__n"))).drop("__at")
+    return whole.unionByName(parted).drop("__key", "__b", "__n", "__upto")
 
 
 def sample_exact(df: DataFrame, n: int, seed: int, ids) -> DataFrame:
@@ -197,18 +212,20 @@ def line_ids(df: DataFrame, name: str = "row_id") -> DataFrame:
 
 
 def lead_in_blocks(df: DataFrame, partition: str, order: str, value: str, offsets: dict[int, str],
-                   block: int = 4096, reach: int | None = None) -> DataFrame:
+                   block: int = 4096) -> DataFrame:
     """``lead(value, k) over (partition by p order by o nulls last)`` for each ``k -> name``.
 
     Rows are dealt by (p, floor(o / block)), so a huge ``p`` is many tasks; those
-    without an order come last, dealt by their value.  What a block's last rows
+    without an order come last, in blocks of values that begin with the same two
+    bytes.  What a block's last rows
     miss are the first ``max(k)`` rows of the blocks after it, however far away:
     a table with one row per block, ordered in one task per ``p`` and joined back.
-    ``o`` is a whole number with gaps of any size; rows of one ``o`` go by value.
-    ``reach`` is not needed any more and has no effect.
+    ``o`` is a whole number with gaps of any size; rows of one ``o``, and those
+    without, go by value (null last).
     """
     most = max(offsets)
-    at = F.coalesce(F.floor(F.col(order) / block).cast("bigint"), F.lit(1 << 62) + F.pmod(F.xxhash64(value), F.lit(64)))
+    head = F.conv(F.rpad(F.hex(F.substring(F.col(value).cast("binary"), 1, 2)), 4, "0"), 16, 10).cast("bigint")
+    at = F.coalesce(F.floor(F.col(order) / block).cast("bigint"), F.lit(1 << 62) + F.coalesce(head, F.lit(1 << 16)))
     # a struct of a null is equal to its like, so null partitions are joined without another shuffle
     dealt = df.withColumn("__p", F.struct(partition)).withColumn("__blk", at)
     w = Window.partitionBy("__p", "__blk").orderBy(*_order([order, value]))

@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scorers as S
+from ..functions import subwords as SW
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import alignment as AL
 from ..operators import candidates as C
+from ..operators import embeddings as EM
+from ..operators import language_model as LM
 from ..operators import metrics as M
 from ..operators import prepare as P
 from ..operators import rewards as RW
@@ -61,6 +64,15 @@ def truncate_tokens(spark, sf_dir):
                        F.md5(T.truncate_tokens(F.col("text"), 128)).alias("truncated_md5"))
 
 
+@query
+def truncate_subwords(spark, sf_dir):
+    """Every document cut after 128 sub-word tokens (PRJ-17)."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    t = SW.truncate_subwords(docs, SW.default_vocabulary())
+    return t.select("doc_id", F.col("truncated.n_tokens").cast("bigint").alias("n_tokens"),
+                    T.char_len(F.col("truncated.text")).cast("bigint").alias("n_chars"), F.md5("truncated.text").alias("truncated_md5"))
+
+
 @query
 def eval_dropna(spark, sf_dir):
     pw = FX.pairs_wide(spark, sf_dir)
@@ -222,16 +234,17 @@ def reward_base(spark, sf_dir):
 
 @query
 def mini_metrics(spark, sf_dir):
-    c = RW.with_mini_metrics(_cand_text(spark, sf_dir), "source", "reference", "text")
+    c = RW.score_candidates(_samples(spark, sf_dir), LINE_KEYS)
     return c.select(*CAND_KEYS, *[r6(F.col(k)).alias(k) for k in ("sta", "sim", "fl", "bleu", "j")])
 
 
 def _rewarded(spark, sf_dir) -> DataFrame:
     """Candidate rows with mini metrics and base reward, in steps of ``BATCH``
-    successive lines of a document (a batch is those lines' candidates)."""
-    c, reward = _base_reward(RW.with_mini_metrics(_cand_text(spark, sf_dir), "source", "reference", "text", "cos"))
-    return c.select(*CAND_KEYS, "model", "source", "reference", "text", "sta", "sim", "fl", "bleu", "j", reward.alias("reward_raw"),
-                    (F.floor(F.col("line_no") / BATCH) + 1).cast("bigint").alias("step"))
+    successive lines of a document (a batch is those lines' candidates).  Lines are
+    dealt by step, so the batch statistics need no other shuffle."""
+    step = (F.floor(F.col("line_no") / BATCH) + 1).cast("bigint")
+    samples = _samples(spark, sf_dir).withColumn("step", step).repartition(*BATCH_KEYS)
+    return RW.score_candidates(samples, [*LINE_KEYS, "step"])
 
 
 PARTS = {"metric": ("z_j", 0.8, 1), "bleu": ("z_bleu", 0.4, 2)}
@@ -313,6 +326,32 @@ def aligned_rewrites(spark, sf_dir):
     return c.select(*LINE_KEYS, F.col("candidate_rank").cast("int").alias("candidate_rank"), "text")
 
 
+# --- language model -----------------------------------------------------------------------
+
+def _language_model(spark, sf_dir) -> LM.KneserNey:
+    """Fitted on the good documents with an even id; those with an odd one are held out."""
+    good = table(spark, sf_dir, "labels").where("quality = 1 and doc_id % 2 = 0").select("doc_id").distinct()
+    return LM.fit(table(spark, sf_dir, "documents").select("doc_id", "text").join(good, "doc_id", "left_semi"))
+
+
+@query
+def acceptability_lm(spark, sf_dir):
+    """Mean log-probability of every whole document by a modified Kneser-Ney model (UDF-02)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    s = LM.score(_language_model(spark, sf_dir), docs)
+    return s.select("doc_id", F.col("n_tokens").cast("bigint").alias("n_tokens"), r6(F.col("logp")).alias("logp"))
+
+
+# --- learnt similarity ------------------------------------------------------------------------
+
+@query
+def embedding_similarity(spark, sf_dir):
+    """Similarity of every pair's texts by word vectors learnt from all documents (UDF-03)."""
+    model = EM.fit(table(spark, sf_dir, "documents").select("text"))
+    s = EM.similarity(model, _pairs(spark, sf_dir), "input", "target", PAIR_IDS)
+    return s.select(*PAIR_IDS, r6(F.col("sim")).alias("sim"))
+
+
 # --- fill and backends ---------------------------------------------------------------------
 
 @query
@@ -361,7 +400,7 @@ def hashed_similarity(spark, sf_dir):
 
 
 #: Queries over fitted or hashed vectors: pytest compares them, SQL can't.
-NO_SQL = ("toxicity_fitted", "acceptability_fitted", "hashed_similarity")
+NO_SQL = ("truncate_subwords", "embedding_similarity", "toxicity_fitted", "acceptability_fitted", "hashed_similarity")
 
 
 # --- run reports ----------------------------------------------------------------------------

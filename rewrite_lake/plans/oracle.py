@@ -535,3 +535,45 @@ from line_samples l left join words w on w.doc_id = l.doc_id and w.line_no = l.l
 union all
 select d.doc_id, d.line_no, cast(d.n as integer), string_agg(case when w.pos = d.pos then d.target else w.word end, ' ' order by w.pos)
 from devs d join words w on w.doc_id = d.doc_id and w.line_no = d.line_no group by d.doc_id, d.line_no, d.n"""
+
+
+# --- language model ----------------------------------------------------------------
+
+def _grams(name: str, src: str) -> str:
+    """Trigrams of the padded texts of ``src``."""
+    return f"""
+{name} as (
+  select doc_id, w[u.i] as a, w[u.i + 1] as b, w[u.i + 2] as c
+  from (select doc_id, list_concat([' <', ' <'], {split_ws("lower(coalesce(text, ''))")}, [' >']) as w from {src}) x,
+       unnest(range(1, len(w) - 1)) as u(i))"""
+
+
+def _kn(name: str, counts: str, context: str) -> str:
+    """Discounted shares ``{name}_p`` and left-over mass ``{name}_g`` of one order."""
+    cols = f"{context}," if context else ""
+    on = f"using ({context})" if context else "on true"
+    cut = []
+    for i in (1, 2, 3):
+        value = f"greatest(0e0, least({i}e0, {i}e0 - {i + 1} * (n1 / (n1 + 2 * n2)) * n{i + 1} / n{i}))"
+        cut.append(f"case when n1 > 0 and n{i} > 0 and n{i + 1} > 0 then {value} else 0.75e0 end as d{i}")
+    met = ", ".join(f"cast(count(case when n = {i} then 1 end) as double) as n{i}" for i in (1, 2, 3, 4))
+    return f"""
+{name}_d as (select {', '.join(cut)} from (select {met} from {counts}) m),
+{name}_c as (select x.*, least(cast(n as double), case when n = 1 then d1 when n = 2 then d2 else d3 end) as cut from {counts} x, {name}_d),
+{name}_g as (select {cols} cast(sum(n) as double) as total, sum(cut) / sum(n) as gamma from {name}_c {'group by ' + context if context else ''}),
+{name}_p as (select x.*, (n - cut) / total as p from {name}_c x join {name}_g g {on})"""
+
+
+ORACLE["acceptability_lm"] = with_(
+    """
+good as (select * from documents where doc_id in (select doc_id from labels where quality = 1 and doc_id % 2 = 0))""",
+    _grams("train_g", "good"), _grams("all_g", "documents"), """
+tri as (select a, b, c, count(*) as n from train_g group by a, b, c),
+bi as (select b, c, count(*) as n from tri group by b, c),
+uni as (select c, count(*) as n from bi group by c)""", _kn("kt", "tri", "a, b"), _kn("kb", "bi", "b"), _kn("ku", "uni", ""), """
+rest as (select gamma / (select count(*) + 1 from uni) as rest from ku_g)""") + """
+select g.doc_id, cast(count(*) - 1 as bigint) as n_tokens,
+       round(sum(ln(coalesce(t.p, 0) + coalesce(tg.gamma, 1) * (coalesce(b.p, 0) + coalesce(bg.gamma, 1) * (coalesce(u.p, 0) + rest)))) / count(*), 6) as logp
+from all_g g left join kt_p t using (a, b, c) left join kt_g tg using (a, b) left join kb_p b on b.b = g.b and b.c = g.c
+  left join kb_g bg on bg.b = g.b left join ku_p u on u.c = g.c, rest
+group by g.doc_id"""

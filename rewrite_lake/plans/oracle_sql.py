@@ -16,7 +16,7 @@ pairs_wide as (
          case when pair_no % 3 <> 0 then n2 end as neutral2, n3 as neutral3
   from (select conv_id, turn, role, text, conv_id + turn as pair_no,
                lead(text,1) over w as n1, lead(text,3) over w as n2, lead(text,5) over w as n3
-        from conversations window w as (partition by conv_id order by turn)) t
+        from conversations window w as (partition by conv_id order by turn, text)) t
   where role = 'user')"""
 
 LINE_SAMPLES = """

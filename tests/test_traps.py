@@ -202,7 +202,7 @@ def test_lead_in_blocks_equals_window(spark):
     from pyspark.sql import Window
     rows = [(0, t, f"a{t}") for t in range(0, 300, 3)] + [(1, t, f"b{t}") for t in (0, 5, 6)] + [(2, 0, "c0")]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, text string")
-    got = SM.lead_in_blocks(df, "conv_id", "turn", "text", {1: "n1", 3: "n3"}, block=16, reach=12)
+    got = SM.lead_in_blocks(df, "conv_id", "turn", "text", {1: "n1", 3: "n3"}, block=16)
     w = Window.partitionBy("conv_id").orderBy("turn")
     want = df.select("conv_id", "turn", "text", F.lead("text", 1).over(w).alias("n1"),
                      F.lead("text", 3).over(w).alias("n3"))
