@@ -21,7 +21,7 @@ from ..session import ensure_checkpoint_dir
 
 #: Padding before a text and after it; no whitespace token equals them.
 START, END = " <", " >"
-#: Stands for a discount whose counts of counts are missing (tiny corpora).
+#: Stands for a discount whose counts of counts are missing, or that would not be positive (tiny corpora).
 PLAIN_DISCOUNT = 0.75
 
 
@@ -57,7 +57,7 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
             out.append(PLAIN_DISCOUNT)
             continue
         value = i - (i + 1) * (met[0] / (met[0] + 2 * met[1])) * met[i] / met[i - 1]
-        out.append(min(float(i), max(0.0, value)))
+        out.append(min(float(i), value) if value > 0 else PLAIN_DISCOUNT)  # some mass is always left over
     return out
 
 

@@ -554,8 +554,8 @@ def _kn(name: str, counts: str, context: str) -> str:
     on = f"using ({context})" if context else "on true"
     cut = []
     for i in (1, 2, 3):
-        value = f"greatest(0e0, least({i}e0, {i}e0 - {i + 1} * (n1 / (n1 + 2 * n2)) * n{i + 1} / n{i}))"
-        cut.append(f"case when n1 > 0 and n{i} > 0 and n{i + 1} > 0 then {value} else 0.75e0 end as d{i}")
+        value = f"({i}e0 - {i + 1} * (n1 / (n1 + 2 * n2)) * n{i + 1} / n{i})"
+        cut.append(f"case when n1 > 0 and n{i} > 0 and n{i + 1} > 0 and {value} > 0 then least({i}e0, {value}) else 0.75e0 end as d{i}")
     met = ", ".join(f"cast(count(case when n = {i} then 1 end) as double) as n{i}" for i in (1, 2, 3, 4))
     return f"""
 {name}_d as (select {', '.join(cut)} from (select {met} from {counts}) m),
