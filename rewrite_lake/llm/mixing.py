@@ -26,8 +26,10 @@ from .common import fresh, materialize, n_words, read
 WEIGHTS = (5, 2, 1)
 CAP = 3
 SEED = "mix-1"
-#: Buckets of the rank key; a bucket holds this share of a source's documents.
+#: Buckets of the rank key; a bucket holds about this share of a source's documents.
 BUCKETS = 4096
+#: With weights, the quantiles of a source's odds that cut its buckets.
+QUANTILES = 512
 #: A source's rows are dealt over so many tasks where they meet its plan.
 SALTS = 64
 
@@ -120,8 +122,11 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
         e = F.least(F.col("rate") * F.col(rel_name), F.lit(float(cap)))
         return frame.withColumn("whole_", F.floor(e)).withColumn("p_", e - F.floor(e))
 
+    def uniform(key):
+        return (F.conv(F.substring(key, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
+
     def odds(key):
-        u = (F.conv(F.substring(key, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
+        u = uniform(key)
         return F.when(F.col("p_") > 0, (u / (1 - u)) / (F.col("p_") / (1 - F.col("p_"))))
 
     rates = plan.select(F.col("source").alias("s"), "rate")
@@ -129,8 +134,15 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     certain = ranked.groupBy(F.col("source").alias("s")).agg(F.sum(F.col("whole_") * F.col("size")).alias("certain"))
     wanted = plan.join(certain, F.col("source").eqNullSafe(F.col("s"))).select(
         "s", (F.col("target") - F.col("certain")).alias("rest"))
-    drawn_rows = ranked.where("p_ > 0 and size > 0").withColumn("q", odds(F.col("key"))).withColumn(
-        "bucket", F.floor(F.col("q") / (1 + F.col("q")) * buckets).cast("int"))
+    drawn_rows = ranked.where("p_ > 0 and size > 0").withColumn("q", odds(F.col("key")))
+    if weight_col is None:  # one probability per source: the odds go with the draw, which is uniform
+        drawn_rows = drawn_rows.withColumn("bucket", F.floor(uniform(F.col("key")) * buckets).cast("int"))
+    else:
+        points = min(buckets, QUANTILES)
+        cuts = drawn_rows.groupBy(F.col("source").alias("s")).agg(
+            F.percentile_approx("q", [i / points for i in range(1, points)] or [0.5], 20 * points).alias("cuts_"))
+        drawn_rows = with_source(drawn_rows, materialize(cuts, "mix-cuts"), "source", "key").withColumn(
+            "bucket", F.size(F.filter("cuts_", lambda c: c < F.col("q")))).drop("cuts_")
     drawn_rows = materialize(drawn_rows.groupBy("source", "bucket", "q", "key", "size").agg(F.sum("size").alias("words")), "mix-drawn")
     # in Pareto order while the words fit; then, in the same order, what fits in the gap; then what comes nearest
     one = _in_order(drawn_rows, wanted, "mix-1")

@@ -299,3 +299,21 @@ def test_released_paths_are_gone(spark):
     path = common._SCRATCH[0].removeprefix("file:")
     assert df.count() == 3 and os.path.isdir(path)
     assert common.release(spark) == 1 and not os.path.exists(path) and common.release(spark) == 0
+
+
+@pytest.mark.parametrize("weights", [None, "w"])
+@pytest.mark.parametrize("small", [True, False])
+def test_rank_buckets_stay_small(spark, weights, small, monkeypatch):
+    """A large source with a tiny target, or one just below its whole: no bucket of the rank holds many of its rows."""
+    n = 40_000
+    rows = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("one two").alias("text"), F.lit("big").alias("source"), (F.col("id") % 7 + 1.0).alias("w"))
+    other = spark.createDataFrame([(10**9, "x " * (30 if small else 79_900), "other", 1.0)], "doc_id bigint, text string, source string, w double")
+    seen = {}
+    keep = mixing.materialize
+    monkeypatch.setattr(mixing, "materialize", lambda df, name: seen.setdefault(name, keep(df, name)))
+    got = mixing.mix(rows.union(other), weight_col=weights, weights=(1, 10**4) if small else (1, 1))
+    taken = {r["source"]: (r["t"], r["target"]) for r in got.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("target")).collect()}
+    assert abs(taken["big"][0] - taken["big"][1]) <= 4
+    drawn = seen["mix-drawn"].where("source = 'big'")
+    most = max((r["count"] for r in drawn.groupBy("bucket").count().collect()), default=0)
+    assert most <= max(60, drawn.count() / 100)
