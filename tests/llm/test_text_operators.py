@@ -353,3 +353,24 @@ def test_quality_features_are_of_the_text_alone(spark):
     for parts in (1, 3, 7):
         for r in Q.score(df.repartition(parts), model).collect():
             assert r["score"] == one[r["doc_id"] if r["doc_id"] != 99 else 0]
+
+
+@pytest.mark.parametrize("unit", ["eyJ", "eyJabcdefghij.", "token ", "AKIA", "ghp_", "-----BEGIN PRIVATE KEY-----", "0a", "-----BEGIN A ", "token=eyJ"])
+def test_secret_patterns_read_long_texts_in_linear_time(spark, unit):
+    """Texts of a megabyte that begin a match everywhere."""
+    import time
+    took = []
+    for n in (125_000, 1_000_000):
+        df = spark.createDataFrame([(1, unit * (n // len(unit)))], "doc_id int, text string")
+        start = time.time()
+        df.select(F.size(secret_scan.find_spans(F.col("text")))).collect()
+        took.append(time.time() - start)
+    assert took[1] < 20 and took[1] < 16 * took[0] + 4
+
+
+def test_tokens_glued_to_a_run_are_not_entered():
+    jwt = next(p for k, p, *_ in secret_scan.KINDS if k == "jwt")
+    part = "eyJ" + "a" * 12
+    token = f"{part}.{'b' * 12}.{'c' * 12}"
+    for text, found in ((f"x={token}", True), (token, True), (f"({token})", True), (f"abc{token}", False), (f"{part}.{token}", True)):
+        assert bool(re.search(jwt, text)) == found
