@@ -47,11 +47,17 @@ def checked_align(inputs: DataFrame, predictions: DataFrame, keys: Sequence[str]
     return joined.drop("matched")
 
 
+def _read_once(spark: SparkSession, tsv_path: str) -> DataFrame:
+    """A TSV with ``row_id``, written to the checkpoint folder: records are put
+    together once, whatever number of outputs a job has."""
+    ensure_checkpoint_dir(spark)
+    return IO.read_tsv(spark, tsv_path, row_id="row_id").checkpoint()
+
+
 def prepare_job(spark: SparkSession, tsv_path: str, seed: int = 42, min_len: int = 5):
     """Prepare + split with counts (RPT-08): returns ``(pairs_with_split, audit)``."""
-    wide = IO.read_tsv(spark, tsv_path)
+    wide = _read_once(spark, tsv_path)
     IO.require_columns(wide, ["toxic", "neutral1"])
-    wide = SM.line_ids(wide)
     pairs = P.prepare_pairs(wide, keep=["row_id"], min_len=min_len)
     return SM.split_exact(pairs, seed, ["row_id", "target_no"]), P.prepare_audit(wide, min_len=min_len)
 
@@ -95,7 +101,7 @@ def rerank_job(spark: SparkSession, cfg: dict, samples: DataFrame | None = None,
     if unknown:
         raise ValueError(f"model {unknown[0]!r} is neither a rule model nor given a generator")
     if samples is None:
-        raw = SM.line_ids(IO.read_tsv(spark, cfg.get("dataset_path")))
+        raw = _read_once(spark, cfg.get("dataset_path"))
         samples = select_samples(raw, cfg.get("source_column", "toxic"), cfg.get("reference_column", "neutral1"),
                                  cfg.get("max_samples"), cfg.get("sample_strategy", "head"), cfg.get("sample_seed"))
     options = {"weights": scoring.get("objective_weights"), "threshold": float(scoring.get("toxicity_threshold", 0.5))}

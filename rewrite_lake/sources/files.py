@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,19 +21,114 @@ _CSV_IO = {"sep": "\t", "header": "true", "quote": '"', "escape": '"',
            "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
+#: A field of a tab-separated line, and whether a line that begins outside (0) or
+#: inside (1) a quoted field ends outside.  Quotes open only at a field's start, a
+#: doubled quote is a character, and what follows a closing quote runs to the tab.
+_FIELD = r'(?:"(?:[^"]++|"")*+"[^\t]*+|[^"\t][^\t]*+|)'
+_ENDS_OUTSIDE = (rf'\A{_FIELD}(?:\t{_FIELD})*+\z', rf'\A(?:[^"]++|"")*+"[^\t]*+(?:\t{_FIELD})*+\z')
+#: Lines of a file that one task looks at together, and the most lines of one record.
+LINE_BLOCK, RECORD_LINES = 4096, 100_000
+
+
+def _state_before(df: DataFrame, by: list[str], order: str, settles: Column, value: Column, swaps: Column):
+    """The quote state before every row, composed of all rows before it in ``by``.
+
+    A row either settles the state (``value``, whatever it was), swaps it or keeps
+    it.  So the state before a row is the last settled one, swapped as often as rows
+    since then say.  Returns the table with ``__s`` (swaps before) and ``__c`` (last
+    settled value and the swaps before it, or null), and the state as a function of
+    the one ``by`` began with.
+    """
+    before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("__s", F.coalesce(F.sum(swaps.cast("int")).over(before), F.lit(0)))
+    settled = F.when(settles, F.struct(value.alias("v"), F.col("__s").alias("s")))
+    df = df.withColumn("__c", F.last(settled, ignorenulls=True).over(before))
+    return df, lambda start: F.pmod(F.coalesce(F.col("__c.v"), start) + F.col("__s") - F.coalesce(F.col("__c.s"), F.lit(0)), F.lit(2))
+
+
+def tsv_records(spark: SparkSession, path: str, block: int = LINE_BLOCK, record_lines: int = RECORD_LINES) -> DataFrame:
+    """Files -> (file, line_no, record): quoted records put together from a split read.
+
+    Files are split like any text input.  Whether a line begins inside quotes hangs on
+    all lines before it; each line is a function of two states, so functions are
+    composed inside blocks of ``block`` lines, and then over the blocks of a file (one
+    small row per block).  Only lines of records with several lines are shuffled to
+    their record, whose ``line_no`` is that of its first line.
+
+    Empty lines between records are left out, those inside quotes stay.  An unclosed
+    quote runs to the end of its file.  A record of more than ``record_lines`` lines
+    is an error that names the place: it would be gathered in one task, and is an
+    unclosed quote as a rule.  Lines end in ``\\n`` or ``\\r\\n``; in a record that
+    ends in the latter, those inside quotes become ``\\n`` too.
+    """
+    lines = _ranked_lines(spark, path, lineSep="\n")
+    line = F.when(F.col("line_no") == 0, F.regexp_replace("line", "\\A\ufeff", "")).otherwise(F.col("line"))
+    end = [(~F.rlike(line, F.lit(rule))).cast("int") for rule in _ENDS_OUTSIDE]
+    lines = lines.select("file", "line_no", line.alias("line"), end[0].alias("e0"), end[1].alias("e1"),
+                         F.floor(F.col("line_no") / block).alias("blk"))
+    e0, e1 = F.col("e0"), F.col("e1")
+    lines, state = _state_before(lines, ["file", "blk"], "line_no", e0 == e1, e0, e0 > e1)
+
+    first = [F.max(F.when(state(F.lit(x)) == 0, F.col("line_no"))).alias(f"r{x}") for x in (0, 1)]
+    blocks = lines.groupBy("file", "blk").agg(
+        F.sum((e0 > e1).cast("int")).alias("n"),
+        F.max(F.when(e0 == e1, F.struct("line_no", e0.alias("v"), F.col("__s").alias("s")))).alias("c"), *first)
+    out = F.pmod(F.col("c.v") + F.col("n") - F.col("c.s"), F.lit(2))
+    blocks, block_state = _state_before(blocks, ["file"], "blk", F.col("c").isNotNull(), out,
+                                        F.col("c").isNull() & (F.col("n") % 2 == 1))
+    blocks = blocks.withColumn("begins", block_state(F.lit(0)))
+    before = Window.partitionBy("file").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.when(F.col("begins") == 0, F.col("r0")).otherwise(F.col("r1"))
+    blocks = blocks.select("file", "blk", "begins", F.last(start, ignorenulls=True).over(before).alias("carried"))
+
+    lines = lines.join(blocks, ["file", "blk"]).withColumn("state", state(F.col("begins")))
+    ends = F.when(F.col("state") == 0, e0).otherwise(e1)
+    upto = Window.partitionBy("file", "blk").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    begun = F.coalesce(F.last(F.when(F.col("state") == 0, F.col("line_no")), ignorenulls=True).over(upto), F.col("carried"))
+    lines = lines.select("file", "line_no", "line", begun.alias("first"), (F.col("state") + ends == 0).alias("single"))
+    single = lines.where("single").select("file", "line_no", F.col("line").alias("record"))
+    place = F.concat(F.lit("a record of more than "), F.lit(str(record_lines)), F.lit(" lines (an unclosed quote?) begins at line "),
+                     F.col("first").cast("string"), F.lit(" of "), F.col("file"))
+    part = F.when(F.col("line_no") - F.col("first") >= record_lines, F.raise_error(place)).otherwise(F.col("line"))
+    parts = lines.where("not single").groupBy("file", F.col("first").alias("line_no")).agg(
+        F.array_sort(F.collect_list(F.struct("line_no", part.alias("line")))).alias("parts"))
+    several = parts.select("file", "line_no", F.array_join("parts.line", "\n").alias("record"))
+    record = F.when(F.col("record").endswith("\r"), F.regexp_replace("record", r"\r(\n|\z)", "$1")).otherwise(F.col("record"))
+    records = single.unionByName(several).withColumn("record", record)
+    return records.where(F.col("record") != "")
+
+
 def read_tsv(spark: SparkSession, path: str, columns: Sequence[str] | None = None,
-             na_tokens: Sequence[str] = PANDAS_NA_TOKENS, multiline: bool = True) -> DataFrame:
+             na_tokens: Sequence[str] = PANDAS_NA_TOKENS, multiline: bool = True, row_id: str | None = None) -> DataFrame:
     """Header TSV with quoted fields; pandas' NA words and empty fields -> NULL (SRC-01, T6).
 
     All columns are read as strings (no schema inference pass over the data);
-    ``columns`` selects and orders them.  ``multiline`` honours quoted
-    newlines like pandas but makes each file one split; for large single
-    files without embedded newlines pass ``multiline=False`` to split them.
+    ``columns`` selects and orders them.  ``multiline`` honours quoted newlines like
+    pandas; the file is split all the same (:func:`tsv_records`).  Records are not
+    in file order then: ``row_id`` names a column of their places, 0..n-1 over the
+    files by name.  Without quoted newlines, ``multiline=False`` saves the shuffles.
+    Each file begins with the header; columns go by place, and missing fields are null.
     """
-    opts = dict(_CSV_IO, multiLine=str(multiline).lower(), inferSchema="false")
-    df = spark.read.options(**opts).csv(path)
-    cols = list(columns) if columns else df.columns
-    return df.select(*[na_to_null(F.col(c), na_tokens).alias(c) for c in cols])
+    from ..operators.sampling import dense_ids, line_ids
+    opts = dict(_CSV_IO, multiLine="true", inferSchema="false")
+    names = spark.read.options(**opts).csv(path).columns  # reads the first record
+    cols = list(columns) if columns else names
+    if not multiline:
+        df = spark.read.options(**dict(opts, multiLine="false")).csv(path)
+        df = line_ids(df, row_id) if row_id else df
+    else:
+        rows = tsv_records(spark, path)
+        header = rows.groupBy("file").agg(F.min("line_no").alias("__head"))
+        rows = rows.join(header, "file").where(F.col("line_no") > F.col("__head"))
+        if row_id:
+            files = header.select("file", F.row_number().over(Window.orderBy("file")).alias("__f"))
+            rows = dense_ids(rows.join(files, "file"), F.col("__f"), F.col("line_no"), name="__row")
+        schema = ", ".join("`" + n.replace("`", "``") + "` string" for n in names)
+        parsed = F.from_csv("record", schema, dict(opts, header="false"))
+        keep = [F.col("__row").alias(row_id)] if row_id else []
+        df = rows.select(*keep, parsed.alias("__r")).select(*([row_id] if row_id else []), "__r.*")
+    kept = [F.col(row_id)] if row_id else []
+    return df.select(*kept, *[na_to_null(F.col(f"`{c}`"), na_tokens).alias(c) for c in cols])
 
 
 def require_columns(df: DataFrame, required: Sequence[str], optional: Sequence[str] = ()) -> list[str]:
@@ -44,8 +139,8 @@ def require_columns(df: DataFrame, required: Sequence[str], optional: Sequence[s
     return [c for c in optional if c not in df.columns]
 
 
-def _numbered_lines(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Text files -> (file, line_no, line), 0-based numbers in file order.
+def _ranked_lines(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Text files -> (file, line_no, line), 0-based numbers in file order, lines as read.
 
     Files are split like any text input, so a large one is many tasks and never
     one row.  A file's splits are read in order inside increasing partitions and
@@ -62,8 +157,13 @@ def _numbered_lines(spark: SparkSession, path: str, **options) -> DataFrame:
     before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("file", "start", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
     joined = ranked.join(blocks, ["file", "start"])
-    return joined.select("file", (F.col("rank") - F.col("first") + F.col("off")).cast("int").alias("line_no"),
-                         F.regexp_replace("line", r"\r\z", "").alias("line"))
+    return joined.select("file", (F.col("rank") - F.col("first") + F.col("off")).alias("line_no"), "line")
+
+
+def _numbered_lines(spark: SparkSession, path: str, **options) -> DataFrame:
+    """:func:`_ranked_lines` without carriage returns at line ends."""
+    return _ranked_lines(spark, path, **options).select(
+        "file", F.col("line_no").cast("int").alias("line_no"), F.regexp_replace("line", r"\r\z", "").alias("line"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
