@@ -21,6 +21,7 @@ from ..operators import prepare as P
 from ..operators import rewards as RW
 from ..operators import runs as RU
 from ..operators import sampling as SM
+from ..operators import style_transfer as ST
 from ..session import spread
 from ..sources import fixtures as FX
 from ..sources.tables import table
@@ -326,6 +327,16 @@ def aligned_rewrites(spark, sf_dir):
     return c.select(*LINE_KEYS, F.col("candidate_rank").cast("int").alias("candidate_rank"), "text")
 
 
+@query
+def retrieved_rewrites(spark, sf_dir):
+    """Every line of a toxic document by delete and retrieve, from the lines of clean ones (UDF-06)."""
+    style = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("style"))
+    lines = FX.line_samples(spark, sf_dir).withColumnRenamed("source", "text").join(style, "doc_id")
+    r = ST.rewrite(lines, LINE_KEYS)
+    return r.select(*LINE_KEYS, "n_deleted", "content", F.col("near.doc_id").alias("near_doc_id"), F.col("near.line_no").alias("near_line_no"),
+                    F.col("shared").cast("bigint").alias("shared"), F.col("either").cast("bigint").alias("either"), "text")
+
+
 # --- language model -----------------------------------------------------------------------
 
 def _language_model(spark, sf_dir) -> LM.KneserNey:

@@ -537,6 +537,48 @@ select d.doc_id, d.line_no, cast(d.n as integer), string_agg(case when w.pos = d
 from devs d join words w on w.doc_id = d.doc_id and w.line_no = d.line_no group by d.doc_id, d.line_no, d.n"""
 
 
+ORACLE["retrieved_rewrites"] = with_(LINE_SAMPLES) + f""",
+styled as (
+  select s.doc_id, s.line_no, s.source as text, l.style, {split_ws("lower(coalesce(s.source, ''))")} as w
+  from line_samples s join (select doc_id, max(toxic) as style from labels group by doc_id) l on l.doc_id = s.doc_id
+  where l.style in (0, 1)),
+grams as (
+  select doc_id, line_no, style, u.i as pos, 1 as n, w[u.i] as gram from styled, unnest(range(1, len(w) + 1)) as u(i)
+  union all
+  select doc_id, line_no, style, u.i, 2, w[u.i] || ' ' || w[u.i + 1] from styled, unnest(range(1, len(w))) as u(i)),
+totals as (select count(case when style = 0 then 1 end) as l0, count(case when style = 1 then 1 end) as l1 from styled),
+marks as (
+  select gram, case when n0 >= 3 and (n0 + 1) * l1 >= 5 * (n1 + 1) * l0 then 0 else 1 end as style
+  from (select gram, count(case when style = 0 then 1 end) as n0, count(case when style = 1 then 1 end) as n1 from grams group by gram) g, totals
+  where l0 > 0 and l1 > 0 and ((n0 >= 3 and (n0 + 1) * l1 >= 5 * (n1 + 1) * l0) or (n1 >= 3 and (n1 + 1) * l0 >= 5 * (n0 + 1) * l1))),
+gone as (
+  select distinct doc_id, line_no, pos + d as pos from grams join marks using (gram, style), unnest(range(0, n)) as r(d)),
+kept as (
+  select g.doc_id, g.line_no, g.style, g.pos, g.gram as word from grams g
+  where g.n = 1 and not exists (select 1 from gone x where x.doc_id = g.doc_id and x.line_no = g.line_no and x.pos = g.pos)),
+words as (select distinct doc_id, line_no, style, word from kept),
+sizes as (select doc_id, line_no, count(*) as n from words group by doc_id, line_no),
+shares as (
+  select a.doc_id, a.line_no, b.doc_id as near_doc_id, b.line_no as near_line_no, count(*) as shared
+  from words a join words b on a.word = b.word and a.style = 1 and b.style = 0 group by all),
+best as (
+  select s.doc_id, s.line_no, near_doc_id, near_line_no, shared, x.n + y.n - shared as either
+  from shares s join sizes x on x.doc_id = s.doc_id and x.line_no = s.line_no
+       join sizes y on y.doc_id = near_doc_id and y.line_no = near_line_no
+  where 2 * shared >= x.n + y.n - shared
+  qualify row_number() over (partition by s.doc_id, s.line_no
+                             order by cast(shared as double) / (x.n + y.n - shared) desc, near_doc_id, near_line_no) = 1),
+contents as (
+  select l.doc_id, l.line_no, cast(len(l.w) - count(k.word) as integer) as n_deleted,
+         coalesce(string_agg(k.word, ' ' order by k.pos), '') as content
+  from styled l left join kept k on k.doc_id = l.doc_id and k.line_no = l.line_no where l.style = 1
+  group by l.doc_id, l.line_no, len(l.w))
+select c.doc_id, c.line_no, c.n_deleted, c.content, b.near_doc_id, b.near_line_no, b.shared, b.either,
+       case when b.near_doc_id is null then c.content else t.text end as text
+from contents c left join best b on b.doc_id = c.doc_id and b.line_no = c.line_no
+     left join styled t on t.doc_id = b.near_doc_id and t.line_no = b.near_line_no"""
+
+
 # --- language model ----------------------------------------------------------------
 
 def _grams(name: str, src: str) -> str:
