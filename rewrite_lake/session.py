@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -70,6 +71,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return conf_dir
 
 
+def stored(df):
+    """``df`` written as Parquet below the shared checkpoint folder, and read back.
+
+    Cuts lineage like a checkpoint, with columns compressed; a lost executor costs
+    nothing of it.  Files stay until the folder is cleaned.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Session setting: partitions to deal a plain scan over (unset: as scanned).
 SCAN_PARTITIONS = "spark.rewriteLake.scanPartitions"
 
