@@ -15,6 +15,7 @@ from ..functions import vectors as V
 from ..operators import alignment as AL
 from ..operators import candidates as C
 from ..operators import embeddings as EM
+from ..operators import eval_store as ES
 from ..operators import language_model as LM
 from ..operators import metrics as M
 from ..operators import prepare as P
@@ -22,7 +23,7 @@ from ..operators import rewards as RW
 from ..operators import runs as RU
 from ..operators import sampling as SM
 from ..operators import style_transfer as ST
-from ..session import spread
+from ..session import scratch, spread
 from ..sources import fixtures as FX
 from ..sources.tables import table
 from .catalog import LINE_KEYS, PAIR_KEYS, _pairs, _samples, query, r6
@@ -172,6 +173,45 @@ def metric_bundle_by_lang(spark, sf_dir):
     return M.evaluate_pairs(lines, by=["lang"]).select("lang", *_bundle_cols())
 
 
+@query
+def metric_bundle_updated(spark, sf_dir):
+    """Metrics per target of all pairs, kept up to date (AGG-06, RPT-01): the first
+    change takes every part (conversations dealt into 64) with the source as output;
+    the second replaces the even parts, whose outputs are the first halves."""
+    pairs = _pairs(spark, sf_dir).select(
+        F.pmod(F.col("conv_id"), F.lit(64)).alias("part"), "target_no", F.col("input").alias("toxic"),
+        F.col("target").alias("neutral1"), F.col("input").alias("model_output"))
+    store = ES.EvalStore(spark, scratch(spark, "eval"), by=["target_no"])
+    store.change(0, pairs)
+    store.change(1, pairs.where(F.col("part") % 2 == 0).withColumn("model_output", FX.half_split(F.col("toxic"))[0]))
+    store.compact(2)
+    return store.metrics().select("target_no", *_bundle_cols())
+
+
+@query
+def late_rerank(spark, sf_dir):
+    """Best target of every pair as a stream (STR-01, SET-02): a pair's targets are its
+    candidates and arrive in three runs, dealt by hash; state is kept between the runs."""
+    from ..streaming import late_candidates as LC
+    own = Window.partitionBy(*PAIR_KEYS)
+    rows = _pairs(spark, sf_dir).select(
+        *PAIR_KEYS, F.col("input").alias("source"), F.col("input").alias("reference"), F.lit(0).alias("model_idx"),
+        F.lit("target").alias("model"), (F.col("target_no") - 1).alias("candidate_rank"), F.col("target").alias("text"),
+        F.count(F.lit(1)).over(own).alias("n_expected"), F.timestamp_seconds("target_no").alias("event_time"),
+        F.pmod(F.xxhash64(*PAIR_KEYS, "target_no"), F.lit(3)).alias("run"))
+    home = scratch(spark, "late")
+    rows.write.partitionBy("run").parquet(f"{home}/dealt")
+    dealt = spark.read.parquet(f"{home}/dealt")
+    arriving = rows.drop("run").schema
+    for run in range(3):
+        dealt.where(F.col("run") == run).drop("run").write.mode("append").parquet(f"{home}/arrived")
+        stream = spark.readStream.schema(arriving).parquet(f"{home}/arrived")
+        LC.start(stream, f"{home}/best", f"{home}/checkpoint", key=PAIR_KEYS, lateness="1 minute").awaitTermination()
+    best = spark.read.parquet(f"{home}/best")
+    return best.select(*PAIR_KEYS, "candidate_rank", "text", r6(F.col("objective")).alias("objective"),
+                       F.col("n_seen").cast("bigint").alias("n_seen"), "complete")
+
+
 # --- vectors ---------------------------------------------------------------------------------
 
 @query

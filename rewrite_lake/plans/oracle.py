@@ -295,6 +295,25 @@ ORACLE["metric_bundle_by_lang"] = with_(DOC_LINES) + f""",
 lang_rows as (select k, lang, line as toxic, {reference('line')} as neutral1,
                      {strip(mask_lex('line'))} as model_output from doc_lines),""" + _bundle("lang_rows", "lang")
 
+ORACLE["metric_bundle_updated"] = with_(PAIRS_WIDE, PAIRS_LONG) + f""",
+held as (select concat_ws('|', conv_id, turn, target_no) as k, cast(target_no as integer) as target_no, input as toxic,
+                target as neutral1,
+                case when conv_id % 64 % 2 = 0 then array_to_string(toks[1:cast(ceil(len(toks) / 2e0) as bigint)], ' ')
+                     else input end as model_output
+         from (select *, {split_ws('input')} as toks from pairs_long) p),""" + _bundle("held", "target_no")
+
+ORACLE["late_rerank"] = with_(PAIRS_WIDE, PAIRS_LONG, bow_ctes("pairs_long", "conv_id, turn, target_no", "input", "target", p="e")) + f"""
+select conv_id, turn, candidate_rank, text, round(objective, 6) as objective, n_seen, true as complete
+from (select p.conv_id, p.turn, cast(p.target_no - 1 as integer) as candidate_rank, p.target as text, s.objective,
+             cast(count(*) over (partition by p.conv_id, p.turn) as bigint) as n_seen,
+             row_number() over (partition by p.conv_id, p.turn order by s.objective desc, p.target_no) as place
+      from pairs_long p join (
+        select x.conv_id, x.turn, x.target_no,
+               (1e0 - {_tox('x.target')}) * w.sim * (1e0 / (1e0 + exp(-{_fl_logit('x.target')}))) as objective
+        from pairs_long x join e_cos w on w.conv_id = x.conv_id and w.turn = x.turn and w.target_no = x.target_no) s
+        on s.conv_id = p.conv_id and s.turn = p.turn and s.target_no = p.target_no) r
+where place = 1"""
+
 ORACLE["logits_softmax_argmax"] = """
 select vec_id, cast(list_position(embedding, list_max(embedding)) - 1 as integer) as top,
        round(list_max(sm), 6) as p_top, round(list_sum(sm), 6) as p_sum

@@ -71,13 +71,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return conf_dir
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name below the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df):
     """``df`` written as Parquet below the shared checkpoint folder, and read back.
 
     Cuts lineage like a checkpoint, with columns compressed; a lost executor costs
     nothing of it.  Files stay until the folder is cleaned.
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, "stored")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
