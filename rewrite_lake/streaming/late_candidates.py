@@ -32,6 +32,7 @@ from ..operators import rerank as RR
 
 _BEST = "bad int, neg double, model_idx int, candidate_rank int, model string, text string, objective double"
 _STATE = _BEST + ", seen array<bigint>, expected bigint, latest bigint, done boolean"
+_READ = ("bad", "neg", "model_idx", "candidate_rank", "model", "text", "objective", "n_expected", "moment")
 _EMITTED = ("model_idx int, model string, candidate_rank int, text string, objective double, "
             "n_seen int, n_expected bigint, complete boolean")
 
@@ -47,7 +48,7 @@ def _chooser(names: Sequence[str], patience_ms: int):
         _, _, model_idx, rank, model, text, objective = best
         values = [*map(_plain, key), model_idx, model, rank, text, objective, len(seen), expected, complete]
         columns = [*names, "model_idx", "model", "candidate_rank", "text", "objective", "n_seen", "n_expected", "complete"]
-        return pd.DataFrame({c: pd.Series([v], dtype=object) for c, v in zip(columns, values)})
+        return pd.DataFrame([values], columns=columns, dtype=object)
 
     def choose(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -61,16 +62,16 @@ def _chooser(names: Sequence[str], patience_ms: int):
             *best, numbers, expected, latest, done = state.get
             seen = set(numbers)
         for frame in frames:
-            for r in frame.itertuples(index=False):
-                moment = int(r.moment)
+            # plain lists: a group is a few rows, and building row objects costs more than reading them
+            for bad, neg, model_idx, rank, model, text, objective, wanted, moment in zip(*[frame[c].tolist() for c in _READ]):
+                moment = int(moment)
                 latest = moment if latest is None else max(latest, moment)
                 if done:
                     continue
-                one = [int(r.bad), float(r.neg), int(r.model_idx), int(r.candidate_rank), _plain(r.model),
-                       _plain(r.text), _plain(r.objective)]
+                one = [int(bad), float(neg), int(model_idx), int(rank), _plain(model), _plain(text), _plain(objective)]
                 seen.add((one[2] << 32) | one[3])
                 best = one if best is None or one[:4] < list(best[:4]) else best
-                wanted = _plain(r.n_expected)
+                wanted = _plain(wanted)
                 if wanted is not None:
                     expected = max(expected or 0, int(wanted))
         if not done and expected is not None and len(seen) >= expected:
