@@ -10,20 +10,29 @@ Spark Column expressions (BLEU-01..05).
 * ``corpus_bleu``: sum the statistics (a partial + final aggregate, so it merges
   across partitions and groups) and score once.
 
-Scale: n-gram matching is a native set intersection, or O(L log L) per row via
-sorted run-length encodings (see ``multiset``) where both sides repeat, so whole
-documents are fine and nothing is shuffled.
+Scale: the statistics of a row are counted in Arrow batches inside the tasks, one
+hash pass per order; consecutive rows with one reference (the candidates of a
+sample) count its n-grams once.  Nothing is shuffled and no state outlives a batch
+but the last reference.
 """
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from collections.abc import Iterator
+from itertools import chain
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .multiset import with_matched_counts, with_run_counts
-from .text import WS_RUN, urstrip
+from .text import split_ws, urstrip
 
 MAX_ORDER = 4
+#: Words whose tokens a task keeps at most.
+WORDS_KEPT = 1 << 16
 
 # Fixed values of the 13a tokenizer (must equal the mteval-v13a rules):
 # entity unescapes, in this order, then the four regex rewrites, in this order.
@@ -57,107 +66,114 @@ def tokenize_13a(col) -> Column:
     s = F.concat(F.lit(" "), s, F.lit(" "))
     for pattern, repl in _REWRITES:
         s = F.regexp_replace(s, pattern, repl)
-    return F.filter(F.split(s, WS_RUN), lambda t: t != F.lit(""))
+    return split_ws(s)
 
 
-def ngram_lists(tokens: Column, max_order: int = MAX_ORDER) -> Column:
-    """The n-grams of orders 1..max_order: a struct ``g1..gN`` of ``array<string>``.
+_PY_REWRITES = [(re.compile(pattern), repl.replace("$", "\\")) for pattern, repl in _REWRITES]
 
-    Tokens contain no whitespace, so an n-gram is its tokens joined by single
-    spaces.  Orders >= 2 come from one native regex pass each over the
-    space-joined tokens: a zero-width match at every token start whose lookahead
-    captures the next n tokens (overlapping matches, no per-position lambda).
-    """
-    joined = F.array_join(tokens, " ")
-    parts = [tokens.alias("g1")]
-    for n in range(2, max_order + 1):
-        pattern = r"(?<![^ ])(?=(\S+(?: \S+){%d}))" % (n - 1)
-        parts.append(F.regexp_extract_all(joined, F.lit(pattern), 1).alias(f"g{n}"))
-    return F.struct(*parts)
 
+class _Words(dict):
+    """The 13a tokens of a whitespace-separated word, kept for the words met lately."""
 
-def gram_order(gram: Column) -> Column:
-    """Order of an n-gram string: 1 + number of spaces."""
-    return F.length(gram) - F.length(F.replace(gram, F.lit(" "), F.lit(""))) + 1
+    def __missing__(self, word: str) -> tuple[str, ...]:
+        text = word
+        for search, repl in _UNESCAPES:
+            text = text.replace(search, repl)
+        text = f" {text} "
+        for pattern, repl in _PY_REWRITES:
+            text = pattern.sub(repl, text)
+        if len(self) >= WORDS_KEPT:
+            self.clear()
+        self[word] = found = tuple(text.split())
+        return found
 
 
-def _all_differ(grams: Column) -> Column:
-    return F.size(F.array_distinct(grams)) == F.size(grams)
+def tokens_13a(text: str, words: _Words | None = None) -> list[str]:
+    """:func:`tokenize_13a` of one Python string.  No rule looks past the whitespace
+    around a word but the one of hyphens at line ends, which goes first."""
+    words = _Words() if words is None else words
+    text = text.rstrip().replace("<skipped>", "").replace("-\n", "")
+    return list(chain.from_iterable(map(words.__getitem__, text.split())))
 
 
-def with_ref_prepared(df: DataFrame, ref, out: str, max_order: int = MAX_ORDER) -> DataFrame:
-    """Add ``out``: a reference prepared once: its n-grams by order, whether an
-    order's are all different, and its length.
+def _grams(tokens: list[str], n: int) -> Iterator:
+    return iter(tokens) if n == 1 else zip(*(tokens[i:] for i in range(n)), strict=False)
 
-    When one reference serves many candidates (rerank), preparing it on the
-    sample row before the candidates are exploded tokenizes it once.
-    """
-    rt, rg = f"{out}__rt", f"{out}__rg"
-    df = df.withColumn(rt, tokenize_13a(ref))
-    df = df.withColumn(rg, ngram_lists(F.col(rt), max_order))
-    grams = [F.col(rg)[f"g{n}"].alias(f"g{n}") for n in range(1, max_order + 1)]
-    differ = [_all_differ(F.col(rg)[f"g{n}"]).alias(f"d{n}") for n in range(1, max_order + 1)]
-    return df.withColumn(out, F.struct(*grams, *differ, F.size(F.col(rt)).alias("len"))).drop(rt, rg)
-
-
-def with_bleu_stats(df: DataFrame, hyp, ref, out: str = "bleu_stats",
-                    ref_prepared: bool = False, max_order: int = MAX_ORDER,
-                    ref_text=None) -> DataFrame:
-    """Add ``out``: the 10 sufficient statistics of BLEU per row (a struct).
-
-    ``hyp`` and ``ref`` are string columns (13a-tokenized here); with
-    ``ref_prepared=True`` ``ref`` names a column made by ``with_ref_prepared``
-    and ``ref_text`` may give the reference string.
-
-    The clipped matches of an order are ``sum(min(count, count))``.  Where either
-    side's n-grams are all different every minimum is 0 or 1, so they are the
-    size of ``array_intersect``, one native hash pass; that is the rule for
-    orders 2 to 4.  Orders with repeats on both sides go through sorted run
-    lengths, all such orders of a row in one merge.  A hypothesis equal to the
-    reference string matches in full and skips both.
+
+class _Reference:
+    """A text's tokens and, by order, its different n-grams, made when first asked for."""
+
+    def __init__(self, tokens: list[str]):
+        self.tokens, self._different = tokens, {}
+
+    def different(self, n: int) -> set:
+        if n not in self._different:
+            self._different[n] = set(_grams(self.tokens, n))
+        return self._different[n]
+
+
+def _matches(hyp: list[str], ref: _Reference, n: int) -> int:
+    """``sum(min(count, count))`` of the n-grams; where either side has no repeats every minimum is 0 or 1."""
+    mine, theirs = set(_grams(hyp, n)), ref.different(n)
+    shared = mine & theirs
+    if len(mine) == len(hyp) - n + 1 or len(theirs) == len(ref.tokens) - n + 1 or not shared:
+        return len(shared)
+    counts = (Counter(g for g in _grams(t, n) if g in shared) for t in (hyp, ref.tokens))
+    return (next(counts) & next(counts)).total()
+
+
+def _sentence_score(c: list, t: list, hyp_len, ref_len) -> float:
+    """:func:`bleu_score` with effective order, of plain numbers."""
+    if c[0] is None or not any(c):
+        return 0.0
+    logs, zeros, order = 0.0, 0, 0
+    for matched, total in zip(c, t, strict=True):
+        if total > 0:
+            order += 1
+            zeros += matched == 0
+            logs += math.log(100.0 * matched / total if matched else 100.0 / (2.0 ** zeros * total))
+    return (1.0 if hyp_len >= ref_len else math.exp(1.0 - ref_len / hyp_len)) * math.exp(logs / order)
+
+
+_STATS_TYPE = "struct<" + ",".join(f"{f}:bigint" for f in STATS_FIELDS) + ",score:double>"
+
+
+def _stats(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    words, last, kept = _Words(), None, _Reference([])
+
+    def row(hyp, ref):
+        nonlocal last, kept
+        if ref is not None and ref != last:
+            last, kept = ref, _Reference(tokens_13a(ref, words))
+        tokens = [] if hyp is None else kept.tokens if hyp == ref else tokens_13a(hyp, words)
+        size = len(tokens)
+        totals = [max(size - n, 0) for n in range(MAX_ORDER)]
+        hyp_len, ref_len = (None if hyp is None else size), (None if ref is None else len(kept.tokens))
+        if hyp == ref:
+            return (*totals, *totals, hyp_len, ref_len)
+        if hyp is None or ref is None:
+            return (*[None] * MAX_ORDER, *totals, hyp_len, ref_len)
+        correct = []
+        for n in range(1, MAX_ORDER + 1):  # an n-gram that matches holds a shorter one that does
+            correct.append(_matches(tokens, kept, n) if n == 1 or correct[-1] else 0)
+        return (*correct, *totals, hyp_len, ref_len)
+
+    for hyps, refs in batches:
+        rows = [row(h, r) for h, r in zip(hyps.tolist(), refs.tolist(), strict=True)]
+        out = pd.DataFrame(rows, columns=STATS_FIELDS).astype("Int64")
+        out["score"] = pd.Series([_sentence_score(r[:4], r[4:8], r[8], r[9]) for r in rows], dtype="float64")
+        yield out
+
+
+def with_bleu_stats(df: DataFrame, hyp, ref, out: str = "bleu_stats") -> DataFrame:
+    """Add ``out``: the 10 sufficient statistics of BLEU per row, and the sentence's
+    ``score`` (BLEU-04, effective order), as a struct.
+
+    ``hyp`` and ``ref`` are string columns (13a-tokenized here).  The clipped matches
+    of an order are ``sum(min(count, count))``; a hypothesis equal to the reference
+    matches in full.  Without a hypothesis or a reference the matches are NULL.
     """
-    orders = range(1, max_order + 1)
-    ht, hg, fast, hb, rb, hr, rr, m, rp = (f"{out}__{x}" for x in ("ht", "hg", "fast", "hb", "rb", "hr", "rr", "m", "rp"))
-    hyp_c = F.col(hyp) if isinstance(hyp, str) else hyp
-    if not ref_prepared:
-        ref_text = F.col(ref) if isinstance(ref, str) else ref
-    same_col = f"{out}__same"
-    df = df.withColumn(same_col, hyp_c.eqNullSafe(ref_text) if ref_text is not None else F.lit(False))
-    same = F.col(same_col)
-    if not ref_prepared:
-        df = with_ref_prepared(df, F.when(same, F.lit("")).otherwise(ref_text), rp, max_order)
-        ref = rp
-    refc = F.col(ref) if isinstance(ref, str) else ref
-    empty = F.array().cast("array<string>")
-    df = df.withColumn(ht, tokenize_13a(hyp_c))
-    df = df.withColumn(hg, F.when(same, F.struct(*[empty.alias(f"g{n}") for n in orders])).otherwise(
-        ngram_lists(F.col(ht), max_order)))
-    g = {n: F.col(hg)[f"g{n}"] for n in orders}
-    df = df.withColumn(fast, F.struct(*[(same | refc[f"d{n}"] | _all_differ(g[n])).alias(f"f{n}") for n in orders]))
-    quick = {n: F.col(fast)[f"f{n}"] for n in orders}
-    df = df.withColumn(hb, F.concat(*[F.when(quick[n], empty).otherwise(g[n]) for n in orders]))
-    df = df.withColumn(rb, F.concat(*[F.when(quick[n], empty).otherwise(refc[f"g{n}"]) for n in orders]))
-    df = with_run_counts(with_run_counts(df, hb, hr, side=0), rb, rr, side=1)
-    df = with_matched_counts(df, hr, rr, m)
-    hyp_len = F.size(F.col(ht))
-    ref_len = F.when(same, hyp_len).otherwise(refc["len"])
-    zero = F.lit(0).cast("bigint")
-    init = F.struct(*[zero.alias(f"c{n}") for n in orders])
-
-    def add(acc, x):
-        k = gram_order(x["v"])
-        clip_ = F.least(x["ca"], x["cb"]).cast("bigint")
-        return F.struct(*[(acc[f"c{n}"] + F.when(k == F.lit(n), clip_).otherwise(zero)).alias(f"c{n}") for n in orders])
-
-    df = df.withColumn(f"{out}__c", F.aggregate(F.col(m), init, add))
-    totals = {n: F.greatest(hyp_len - n + 1, F.lit(0)).cast("bigint") for n in orders}
-    fields = [F.when(same, totals[n]).when(quick[n], F.size(F.array_intersect(g[n], refc[f"g{n}"])).cast("bigint"))
-              .otherwise(F.col(f"{out}__c")[f"c{n}"]).alias(f"c{n}") for n in orders]
-    fields += [totals[n].alias(f"t{n}") for n in orders]
-    fields.append(hyp_len.cast("bigint").alias("hyp_len"))
-    fields.append(ref_len.cast("bigint").alias("ref_len"))
-    df = df.withColumn(out, F.struct(*fields)).drop(ht, hg, fast, hb, rb, hr, rr, m, f"{out}__c", same_col)
-    return df.drop(rp) if rp in df.columns else df
+    return df.withColumn(out, F.pandas_udf(_stats, _STATS_TYPE)(_c(hyp).cast("string"), _c(ref).cast("string")))
 
 
 def bleu_score(stats: Column, effective_order: bool) -> Column:
@@ -195,12 +211,11 @@ def bleu_score(stats: Column, effective_order: bool) -> Column:
     return F.when(any_match & complete, bp * F.exp(log_sum / order)).otherwise(F.lit(0.0))
 
 
-def with_sentence_bleu(df: DataFrame, hyp, ref, out: str = "bleu",
-                       ref_prepared: bool = False) -> DataFrame:
+def with_sentence_bleu(df: DataFrame, hyp, ref, out: str = "bleu") -> DataFrame:
     """Add sentence BLEU with effective order (0-100), BLEU-04."""
     tmp = f"{out}__stats"
-    df = with_bleu_stats(df, hyp, ref, out=tmp, ref_prepared=ref_prepared)
-    return df.withColumn(out, bleu_score(F.col(tmp), effective_order=True)).drop(tmp)
+    df = with_bleu_stats(df, hyp, ref, out=tmp)
+    return df.withColumn(out, F.col(tmp)["score"]).drop(tmp)
 
 
 def sum_stats(stats: Column) -> list[Column]:

@@ -3,7 +3,7 @@
 The reference scores text with neural classifiers that are not available
 offline.  These defaults keep the same *interfaces* -- a toxicity probability,
 an acceptability probability with its argmax label, a similarity in [-1, 1] --
-and run entirely as JVM expressions:
+and run inside the tasks, whose words are counted in Arrow batches:
 
 * toxicity: ``p_toxic = 1 - exp(-k * lexicon_hits)``;
 * fluency: a logistic of surface features (share of word-like tokens, length);
@@ -14,17 +14,24 @@ Neural or fitted backends plug in through ``operators.backends``.
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.fixtures import LEXICON_RE
-from .multiset import sum_of, with_matched_counts, with_run_counts
 from .text import split_ws
 
 # Own parameters of the offline default scorers (not reference values).
 TOX_K = 1.0
 # A "word-like" token: letters, optionally followed by closing punctuation.
-WORD_RE = r"^[A-Za-z]+[.,!?;:'\"]*$"
+WORD_RE = r"[A-Za-z]+[.,!?;:'\"]*"
+#: Tokens that a task remembers at most.
+WORDS_KEPT = 1 << 16
 FL_SLOPE, FL_BIAS, FL_SHORT_PENALTY, FL_SHORT_TOKENS = 8.0, -4.0, 2.0, 3
 
 
@@ -42,15 +49,41 @@ def toxicity_prob(col, k: float = TOX_K) -> Column:
     return F.lit(1.0) - F.exp(F.lit(-float(k)) * lexicon_hits(col).cast("double"))
 
 
+def _word_counts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """Tokens and word-like tokens of texts; NULL for NULL."""
+    word_like = re.compile(WORD_RE).fullmatch
+
+    class Known(dict):
+        def __missing__(self, token):
+            if len(self) >= WORDS_KEPT:
+                self.clear()
+            self[token] = found = word_like(token) is not None
+            return found
+
+    known = Known()
+    for texts in batches:
+        rows = []
+        for text in texts.tolist():
+            tokens = None if text is None else text.split()
+            rows.append((None, None) if tokens is None else (len(tokens), sum(map(known.__getitem__, tokens))))
+        yield pd.DataFrame(rows, columns=["n", "words"]).astype("Int32")
+
+
 def fluency_logit(col) -> Column:
-    toks = split_ws(_c(col))
-    n = F.size(toks)
-    words = F.size(F.filter(toks, lambda t: t.rlike(WORD_RE)))
+    counts = F.pandas_udf(_word_counts, "struct<n:int,words:int>")(_c(col).cast("string"))
+    n, words = counts["n"], counts["words"]
     share = F.when(n > 0, words.cast("double") / n.cast("double")).otherwise(F.lit(0.0))
     short = F.when(n < FL_SHORT_TOKENS, F.lit(FL_SHORT_PENALTY)).otherwise(F.lit(0.0))
     return F.lit(FL_SLOPE) * share + F.lit(FL_BIAS) - short
 
 
+def with_fluency(df: DataFrame, col, prob: str, label: str) -> DataFrame:
+    """Add :func:`fluency_prob` and :func:`fluency_label`, the tokens counted once."""
+    tmp = f"{prob}__logit"
+    df = df.withColumn(tmp, fluency_logit(col))
+    return df.withColumns({prob: F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col(tmp))), label: (F.col(tmp) > 0).cast("int")}).drop(tmp)
+
+
 def fluency_prob(col) -> Column:
     """Acceptability probability (class 1 of a two-class softmax)."""
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-fluency_logit(col)))
@@ -66,38 +99,29 @@ def bow_tokens(col) -> Column:
     return split_ws(F.lower(_c(col)))
 
 
-def with_bow_runs(df: DataFrame, col, out: str, side: int = 1) -> DataFrame:
-    """Add ``out``: the token-count "embedding" (sorted (token, count) runs).
+def _cosine(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Cosine of the word counts of two lower-cased texts; the last ``b`` is counted once."""
+    last, bag, square = None, Counter(), 0
 
-    Computed on a sample row once and reused by every candidate of the sample.
-    """
-    tmp = f"{out}__t"
-    return with_run_counts(df.withColumn(tmp, bow_tokens(col)), tmp, out, side=side).drop(tmp)
+    def one(a, b):
+        nonlocal last, bag, square
+        if b != last:
+            last, bag = b, Counter(b.split())
+            square = sum(n * n for n in bag.values())
+        mine = bag if a == b else Counter(a.split())
+        size = sum(n * n for n in mine.values()) * square
+        dot = square if a == b else sum(n * bag[w] for w, n in mine.items() if w in bag)
+        return dot / math.sqrt(size) if size else 0.0
+
+    for left, right in batches:
+        yield pd.Series([one(a, b) for a, b in zip(left.tolist(), right.tolist(), strict=True)], dtype="float64")
 
 
-def with_bow_cosine(df: DataFrame, a, b, out: str = "sim", b_runs: bool = False, b_text=None) -> DataFrame:
-    """Add ``out``: cosine of the token-count vectors of columns ``a`` and ``b``.
+def with_bow_cosine(df: DataFrame, a, b, out: str = "sim") -> DataFrame:
+    """Add ``out``: cosine of the token-count vectors of the texts ``a`` and ``b``.
 
-    Exact bag-of-words cosine with O(n log n) sorted-run matching; 0 when a
-    side has no tokens.  ``b_runs=True``: ``b`` already holds runs, and
-    ``b_text`` may give its string.  Identity fast path: equal strings have
-    cosine 1 (0 without tokens) and skip the run matching.
+    Exact, one hash pass a text; 0 when a side is NULL or has no tokens.  Where
+    consecutive rows share ``b`` (the candidates of a sample) it is counted once.
     """
-    ra, rb, m, same_col = f"{out}__ra", f"{out}__rb", f"{out}__m", f"{out}__same"
-    a_c = F.col(a) if isinstance(a, str) else a
-    other = b_text if b_runs else (F.col(b) if isinstance(b, str) else b)
-    df = df.withColumn(same_col, a_c.eqNullSafe(other) if other is not None else F.lit(False))
-    same = F.col(same_col)
-    df = with_bow_runs(df, F.when(same, F.lit("")).otherwise(a_c), ra, side=0)
-    if b_runs:
-        runs_t = "array<struct<v:string,side:int,c:int>>"
-        df = df.withColumn(rb, F.when(same, F.array().cast(runs_t)).otherwise(F.col(b) if isinstance(b, str) else b))
-    else:
-        df = with_bow_runs(df, F.when(same, F.lit("")).otherwise(other), rb, side=1)
-    df = with_matched_counts(df, ra, rb, m)
-    dotp = sum_of(F.col(m), lambda x: x["ca"].cast("bigint") * x["cb"]).cast("double")
-    na = sum_of(F.col(ra), lambda x: x["c"].cast("bigint") * x["c"]).cast("double")
-    nb = sum_of(F.col(rb), lambda x: x["c"].cast("bigint") * x["c"]).cast("double")
-    cos = F.when((na > 0) & (nb > 0), dotp / F.sqrt(na * nb)).otherwise(F.lit(0.0))
-    ident = F.when(F.size(bow_tokens(a_c)) > 0, F.lit(1.0)).otherwise(F.lit(0.0))
-    return df.withColumn(out, F.when(same, ident).otherwise(cos)).drop(ra, rb, m, same_col)
+    texts = [F.coalesce(F.lower(_c(x).cast("string")), F.lit("")) for x in (a, b)]
+    return df.withColumn(out, F.pandas_udf(_cosine, "double")(*texts))

@@ -42,7 +42,7 @@ def char_len(col) -> Column:
 
 def split_ws(col) -> Column:
     """``str.split()``: whitespace tokens, empty strings removed (T9)."""
-    return F.filter(F.split(_c(col), WS_RUN), lambda t: t != F.lit(""))
+    return F.array_remove(F.split(_c(col), WS_RUN), "")
 
 
 def token_count(col) -> Column:

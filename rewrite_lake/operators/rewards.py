@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bleu as B
 from ..functions import scorers as S
-from ..functions.text import clip, empty_if_null, token_count, ustrip
+from ..functions.text import WS_CLASS, clip, empty_if_null, ustrip
 from ..functions.vectors import cosine_to_unit
 from . import rerank as RR
 from .candidates import DEFAULT_MODELS, candidate_array
@@ -35,7 +35,8 @@ def _c(col) -> Column:
 
 def trivial_output(prompt, output, min_len: int = TRIVIAL_TOKENS) -> Column:
     """Too short (< ``min_len`` tokens) OR a copy of the prompt after strip (FLT-06)."""
-    return (token_count(output) < min_len) | (ustrip(output) == ustrip(prompt))
+    long_enough = _c(output).rlike(rf"(?U)(?:[^\s\x{{1c}}-\x{{1f}}]++{WS_CLASS}*+){{{int(min_len)}}}")
+    return ~long_enough | (ustrip(output) == ustrip(prompt))
 
 
 def base_reward(tox, sim, trivial, alpha: float = REWARD_ALPHA, beta: float = REWARD_BETA) -> Column:
@@ -73,11 +74,12 @@ def score_candidates(samples: DataFrame, keys: Sequence[str], models: Sequence[s
     keep = [*keys, source, reference, RR.REF, RR.SRC_BOW]
     c = RR.distinct_texts(prepared.select(*keep, candidate_array(models, source).alias("__cands")), keep, "__cands")
     out = F.col("text")
-    c = S.with_bow_cosine(c, out, RR.SRC_BOW, out="cos", b_runs=True, b_text=F.col(source))
-    c = B.with_bleu_stats(c, out, RR.REF, out="__stats", ref_prepared=True, ref_text=F.col(reference))
-    c = c.select("*", clip(F.lit(1.0) - S.toxicity_prob(out), 0.0, 1.0).alias("sta"), clip(S.fluency_prob(out), 0.0, 1.0).alias("fl"),
+    c = S.with_bow_cosine(c, out, RR.SRC_BOW, out="cos")
+    c = B.with_bleu_stats(c, out, RR.REF, out="__stats")
+    c = S.with_fluency(c, out, "__fl", "__label")
+    c = c.select("*", clip(F.lit(1.0) - S.toxicity_prob(out), 0.0, 1.0).alias("sta"), clip("__fl", 0.0, 1.0).alias("fl"),
                  cosine_to_unit(F.col("cos")).alias("sim"),
-                 clip(B.bleu_score(F.col("__stats"), effective_order=True) / F.lit(100.0), 0.0, 1.0).alias("bleu"),
+                 clip(F.col("__stats")["score"] / F.lit(100.0), 0.0, 1.0).alias("bleu"),
                  trivial_output(F.col(source), out).alias("trivial"))
     c = c.withColumn("j", clip(F.col("sta") * F.col("sim") * F.col("fl"), 0.0, 1.0))
     # the second toxicity scorer is the same backend with another slope

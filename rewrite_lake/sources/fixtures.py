@@ -83,12 +83,12 @@ def rule_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def half_split(col):
     """First and second half of the whitespace tokens (first half rounds up)."""
-    toks = split_ws(col)
-    n = F.size(toks)
-    first = F.ceil(n / F.lit(2)).cast("int")
-    head = F.array_join(F.slice(toks, 1, first), " ")
-    tail = F.array_join(F.slice(toks, first + 1, n - first), " ")
-    return head, tail
+    def halves(toks):
+        n = F.size(toks)
+        first = F.ceil(n / F.lit(2)).cast("int")
+        return F.array(F.array_join(F.slice(toks, 1, first), " "), F.array_join(F.slice(toks, first + 1, n - first), " "))
+    both = F.transform(F.array(split_ws(col)), halves)[0]  # the text is split once for a half
+    return both[0], both[1]
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
