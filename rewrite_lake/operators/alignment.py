@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import empty_if_null, split_ws
-from ..session import ensure_checkpoint_dir
+from ..session import stored
 
 #: Costs are whole millionths of a nat, so sums are exact and ties are ties.
 COST_SCALE = 1_000_000
@@ -40,21 +40,26 @@ def align_words(pairs: DataFrame, source: str = "input", target: str = "target",
     Words are whitespace tokens; the empty word ``''`` stands beside every source
     for targets without an origin.  ``ids`` is a unique key of one or several
     columns, nulls included.  Null texts have no words; a pair without target words
-    adds nothing.  Each round is checkpointed, so its plan does not grow.
+    adds nothing.  Each round is stored, so its plan does not grow.
     """
-    ensure_checkpoint_dir(pairs.sparkSession)
     keyed = pairs.withColumn("__k", F.struct(*ids))
     none = F.array(F.lit(""))
     src = _bag(keyed, F.concat(none, split_ws(empty_if_null(source))), "s", "cs")
-    both = src.join(_bag(keyed, split_ws(empty_if_null(target)), "t", "ct"), "__k").checkpoint()
+    size = src.groupBy("__k").agg(F.sum("cs").cast("double").alias("size"))
+    src = src.join(size, "__k")
+    both = stored(src.join(_bag(keyed, split_ws(empty_if_null(target)), "t", "ct"), "__k"))
     trans = None
     for _ in range(rounds):
-        seen = both.withColumn("p", F.lit(1.0)) if trans is None else both.join(trans, ["s", "t"])
-        mass = F.col("cs") * F.col("p")  # of one target word, over the words of its source
-        share = mass / F.sum(mass).over(Window.partitionBy("__k", "t"))
+        if trans is None:  # all ways are alike: no pair needs its words together
+            seen, share = both, F.col("cs") / F.col("size")
+        else:
+            seen = both.join(trans, ["s", "t"])
+            mass = F.col("cs") * F.col("p")  # of one target word, over the words of its source
+            share = mass / F.sum(mass).over(Window.partitionBy("__k", "t"))
         counts = seen.withColumn("e", F.col("ct") * share).groupBy("s", "t").agg(F.sum("e").alias("e"))
         totals = counts.groupBy("s").agg(F.sum("e").alias("total"))
-        trans = counts.join(totals, "s").select("s", "t", (F.col("e") / F.col("total")).alias("p")).checkpoint()
+        trans = counts.join(totals, "s").select("s", "t", (F.col("e") / F.col("total")).alias("p"))
+        trans = stored(trans)
     return trans
 
 
