@@ -2,10 +2,10 @@
 
 Trigram counts of the training texts give continuation counts of bigrams and
 words; the counts of counts of each order give its three discounts; the model is
-a handful of tables.  Texts are scored by their distinct trigrams: each is looked
-up once however often it occurs, a text's trigrams are counted before they are
-joined, and the joins are equi-joins that adaptive execution splits where an
-n-gram is in very many texts.
+a handful of tables, kept as compressed files.  Texts are scored by their distinct
+trigrams: each is looked up once however often it occurs; the trigrams of a text
+are shuffled once, to their scores, by an equi-join that adaptive execution splits
+where an n-gram is in very many texts.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import empty_if_null, split_ws
-from ..session import ensure_checkpoint_dir
+from ..session import stored
 
 #: Padding before a text and after it; no whitespace token equals them.
 START, END = " <", " >"
@@ -69,15 +69,14 @@ def _order(counts: DataFrame, context: Sequence[str]) -> tuple[DataFrame, DataFr
     part = counts.withColumn("cut", F.least(F.col("n").cast("double"), cut))
     total = part.groupBy(*context).agg(F.sum("n").cast("double").alias("total"), F.sum("cut").alias("left"))
     share = part.join(total, list(context)).select(*counts.columns, ((F.col("n") - F.col("cut")) / F.col("total")).alias("p"))
-    return share.drop("n").checkpoint(), total.select(*context, (F.col("left") / F.col("total")).alias("gamma")).checkpoint()
+    return stored(share.drop("n")), stored(total.select(*context, (F.col("left") / F.col("total")).alias("gamma")))
 
 
 def fit(texts: DataFrame, text: str = "text") -> KneserNey:
     """The model of ``texts``.  NULL and empty texts are an empty sentence (the end mark alone)."""
-    ensure_checkpoint_dir(texts.sparkSession)
-    tri = trigrams(texts, text).groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("n")).checkpoint()
-    bi = tri.groupBy("b", "c").agg(F.count(F.lit(1)).alias("n")).checkpoint()
-    uni = bi.groupBy("c").agg(F.count(F.lit(1)).alias("n")).withColumn("one", F.lit(0)).checkpoint()
+    tri = stored(trigrams(texts, text).groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("n")))
+    bi = stored(tri.groupBy("b", "c").agg(F.count(F.lit(1)).alias("n")))
+    uni = stored(bi.groupBy("c").agg(F.count(F.lit(1)).alias("n")).withColumn("one", F.lit(0)))
     tri_p, pair = _order(tri, ["a", "b"])
     bi_p, one = _order(bi, ["b"])
     uni_p, last = _order(uni, ["one"])  # the empty context
@@ -105,9 +104,7 @@ def score(model: KneserNey, texts: DataFrame, text: str = "text", keys: Sequence
 
     ``keys`` is a unique key.  NULL and empty texts score as the end mark alone.
     """
-    counted = trigrams(texts.select(F.struct(*keys).alias("__k"), text), text, ["__k"])
-    counted = counted.groupBy("__k", "a", "b", "c").agg(F.count(F.lit(1)).alias("n"))
-    known = log_probs(model, counted.select("a", "b", "c").distinct())
-    total = counted.join(known, ["a", "b", "c"]).groupBy("__k").agg(
-        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("logp")).alias("s"))
+    grams = trigrams(texts.select(F.struct(*keys).alias("__k"), text), text, ["__k"])
+    known = log_probs(model, trigrams(texts, text).distinct())
+    total = grams.join(known, ["a", "b", "c"]).groupBy("__k").agg(F.count(F.lit(1)).alias("n"), F.sum("logp").alias("s"))
     return total.select(*[F.col("__k")[c].alias(c) for c in keys], (F.col("n") - 1).alias("n_tokens"), (F.col("s") / F.col("n")).alias("logp"))
