@@ -14,10 +14,15 @@ dealt over batches can't show in a complete sample.  A candidate is known by
 one row per open sample (its best text and at most ``n_expected`` numbers); an emitted
 sample leaves a row without a text that goes at its time-out, by when the watermark
 turns away repeats of what was seen.
+
+Spark hands every group to Python column by column, which costs more than the work on
+its few rows: a candidate travels as one JSON text, and so does what is emitted but the
+key and the text.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -32,7 +37,7 @@ from ..operators import rerank as RR
 
 _BEST = "bad int, neg double, model_idx int, candidate_rank int, model string, text string, objective double"
 _STATE = _BEST + ", seen array<bigint>, expected bigint, latest bigint, done boolean"
-_READ = ("bad", "neg", "model_idx", "candidate_rank", "model", "text", "objective", "n_expected", "moment")
+_PACKED, _SENT = "__packed", "__sent"
 _EMITTED = ("model_idx int, model string, candidate_rank int, text string, objective double, "
             "n_seen int, n_expected bigint, complete boolean")
 
@@ -43,12 +48,13 @@ def _plain(v):
 
 def _chooser(names: Sequence[str], patience_ms: int):
     """The state function for samples with key columns ``names``."""
+    columns = [*names, "text", _SENT]
 
     def row(key, best, seen, expected, complete) -> pd.DataFrame:
         _, _, model_idx, rank, model, text, objective = best
-        values = [*map(_plain, key), model_idx, model, rank, text, objective, len(seen), expected, complete]
-        columns = [*names, "model_idx", "model", "candidate_rank", "text", "objective", "n_seen", "n_expected", "complete"]
-        return pd.DataFrame([values], columns=columns, dtype=object)
+        sent = json.dumps({"model_idx": model_idx, "model": model, "candidate_rank": rank, "objective": objective,
+                           "n_seen": len(seen), "n_expected": expected, "complete": complete})
+        return pd.DataFrame([[*map(_plain, key), text, sent]], columns=columns, dtype=object)
 
     def choose(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -62,18 +68,17 @@ def _chooser(names: Sequence[str], patience_ms: int):
             *best, numbers, expected, latest, done = state.get
             seen = set(numbers)
         for frame in frames:
-            # plain lists: a group is a few rows, and building row objects costs more than reading them
-            for bad, neg, model_idx, rank, model, text, objective, wanted, moment in zip(*[frame[c].tolist() for c in _READ]):
-                moment = int(moment)
-                latest = moment if latest is None else max(latest, moment)
+            for packed in frame[_PACKED].tolist():
+                one = json.loads(packed)
+                latest = one["moment"] if latest is None else max(latest, one["moment"])
                 if done:
                     continue
-                one = [int(bad), float(neg), int(model_idx), int(rank), _plain(model), _plain(text), _plain(objective)]
+                bad, neg, wanted = one["bad"], float(one["neg"]), one["n_expected"]
+                one = [bad, neg, one["model_idx"], one["candidate_rank"], one["model"], one["text"], None if bad else -neg]
                 seen.add((one[2] << 32) | one[3])
                 best = one if best is None or one[:4] < list(best[:4]) else best
-                wanted = _plain(wanted)
                 if wanted is not None:
-                    expected = max(expected or 0, int(wanted))
+                    expected = max(expected or 0, wanted)
         if not done and expected is not None and len(seen) >= expected:
             yield row(key, best, seen, expected, True)
             best, seen, done = [*best[:4], None, None, None], set(), True
@@ -102,14 +107,17 @@ def best_of_stream(candidates: DataFrame, key: str | Sequence[str] = "sample_id"
     scored = RR.score_candidates(RR.prepare_samples(rows), weights=weights, threshold=threshold)
     obj = F.col("objective")
     bad = obj.isNull() | F.isnan(obj)
-    slim = scored.select(*keys, bad.cast("int").alias("bad"), F.when(bad, F.lit(0.0)).otherwise(-obj).alias("neg"),
-                         F.col("model_idx").cast("int").alias("model_idx"), F.col("candidate_rank").cast("int").alias("candidate_rank"),
-                         "model", "text", obj.alias("objective"), F.col("n_expected").cast("bigint").alias("n_expected"),
-                         F.unix_millis("event_time").alias("moment"), "event_time")
-    out = T.StructType([slim.schema[k] for k in keys] + T.StructType.fromDDL(_EMITTED).fields)
-    return slim.groupBy(*keys).applyInPandasWithState(
+    packed = F.struct(bad.cast("int").alias("bad"), F.when(bad, F.lit(0.0)).otherwise(-obj).alias("neg"),
+                      F.col("model_idx").cast("int").alias("model_idx"), F.col("candidate_rank").cast("int").alias("candidate_rank"),
+                      "model", "text", F.col("n_expected").cast("bigint").alias("n_expected"), F.unix_millis("event_time").alias("moment"))
+    slim = scored.select(*keys, F.to_json(packed, {"ignoreNullFields": "false"}).alias(_PACKED), "event_time")
+    out = T.StructType([slim.schema[k] for k in keys]).add("text", "string").add(_SENT, "string")
+    best = slim.groupBy(*keys).applyInPandasWithState(
         _chooser(keys, intervals.milliseconds(patience)), out, T.StructType.fromDDL(_STATE), "append",
         GroupStateTimeout.EventTimeTimeout)
+    emitted = T.StructType.fromDDL(_EMITTED)
+    sent = F.from_json(_SENT, emitted)
+    return best.select(*keys, *[F.col(c) if c == "text" else sent[c].alias(c) for c in emitted.names])
 
 
 def start(candidates: DataFrame, output_dir: str, checkpoint: str, trigger: dict | None = None, **options) -> StreamingQuery:

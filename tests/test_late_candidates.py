@@ -75,3 +75,25 @@ def test_lengths_of_time():
     assert milliseconds("10 minutes") == 600_000 and milliseconds("1 hour 30 seconds") == 3_630_000
     with pytest.raises(ValueError):
         milliseconds("soon")
+
+
+def test_the_state_function_gets_a_candidate_as_one_column(spark, tmpdir_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmpdir_path}/in")
+    best = LC.best_of_stream(spark.readStream.schema(SCHEMA).parquet(f"{tmpdir_path}/in"), key=KEYS)
+    node = best._jdf.queryExecution().analyzed()
+    while node.nodeName() != "FlatMapGroupsInPandasWithState":
+        node = node.children().head()
+    given = node.children().head().output()
+    assert sorted({given.apply(i).name() for i in range(given.size())}) == sorted([*KEYS, LC._PACKED, "event_time"])
+    assert best.columns == [*KEYS, "model_idx", "model", "candidate_rank", "text", "objective", "n_seen", "n_expected", "complete"]
+
+
+def test_any_text_and_score_comes_back(spark, tmpdir_path):
+    texts = ['"quoted" \\ back', "line\nend\ttab\r", "\u0000   é \U0001f600", "{}", "", None, "NaN", "x" * 70_000]
+    rows = [(i, None, t or "", t, 0, None if i % 2 else 'm"\\', 0, t, None if i == 1 else 1, at(100)) for i, t in enumerate(texts)]
+    rows.append((99, "l", "the end", "the end", 0, "m", 0, "the end", 1, at(9000)))
+    got = stream(spark, tmpdir_path, [rows, [(100, "l", "x", "x", 0, "m", 0, "x", 1, at(9001))]], patience="1 minute")
+    batch = RR.score_candidates(RR.prepare_samples(spark.createDataFrame(rows, SCHEMA))).collect()
+    want = {r["doc"]: (r["model"], r["text"], r["objective"]) for r in batch}
+    assert {r["doc"]: (r["model"], r["text"], r["objective"]) for r in got if r["doc"] != 100} == want
+    assert {r["doc"] for r in got if not r["complete"]} == {1}
