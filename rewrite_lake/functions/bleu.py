@@ -76,16 +76,24 @@ class _Words(dict):
     """The 13a tokens of a whitespace-separated word, kept for the words met lately."""
 
     def __missing__(self, word: str) -> tuple[str, ...]:
+        if len(self) >= WORDS_KEPT:
+            self.clear()
+        self[word] = found = self._tokens(word)
+        return found
+
+    @staticmethod
+    def _tokens(word: str) -> tuple[str, ...]:
+        if word.isalnum():  # no rule looks at letters and digits alone
+            return (word,)
+        if word[-1] in ".," and word[:-1].isalnum():
+            return word[:-1], word[-1]
         text = word
         for search, repl in _UNESCAPES:
             text = text.replace(search, repl)
         text = f" {text} "
         for pattern, repl in _PY_REWRITES:
             text = pattern.sub(repl, text)
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        self[word] = found = tuple(text.split())
-        return found
+        return tuple(text.split())
 
 
 def tokens_13a(text: str, words: _Words | None = None) -> list[str]:
@@ -122,6 +130,11 @@ def _matches(hyp: list[str], ref: _Reference, n: int) -> int:
     return (next(counts) & next(counts)).total()
 
 
+def _run_at_an_end(hyp: list[str], ref: list[str]) -> bool:
+    """Whether the reference begins or ends with the hypothesis: then each of its n-grams is matched in full."""
+    return ref[:len(hyp)] == hyp or ref[-len(hyp):] == hyp
+
+
 def _sentence_score(c: list, t: list, hyp_len, ref_len) -> float:
     """:func:`bleu_score` with effective order, of plain numbers."""
     if c[0] is None or not any(c):
@@ -153,6 +166,8 @@ def _stats(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFr
             return (*totals, *totals, hyp_len, ref_len)
         if hyp is None or ref is None:
             return (*[None] * MAX_ORDER, *totals, hyp_len, ref_len)
+        if size and _run_at_an_end(tokens, kept.tokens):
+            return (*totals, *totals, hyp_len, ref_len)
         correct = []
         for n in range(1, MAX_ORDER + 1):  # an n-gram that matches holds a shorter one that does
             correct.append(_matches(tokens, kept, n) if n == 1 or correct[-1] else 0)
@@ -170,8 +185,8 @@ def with_bleu_stats(df: DataFrame, hyp, ref, out: str = "bleu_stats") -> DataFra
     ``score`` (BLEU-04, effective order), as a struct.
 
     ``hyp`` and ``ref`` are string columns (13a-tokenized here).  The clipped matches
-    of an order are ``sum(min(count, count))``; a hypothesis equal to the reference
-    matches in full.  Without a hypothesis or a reference the matches are NULL.
+    of an order are ``sum(min(count, count))``; a hypothesis that the reference begins
+    or ends with (cut off, or equal) matches in full.  Without a hypothesis or a reference the matches are NULL.
     """
     return df.withColumn(out, F.pandas_udf(_stats, _STATS_TYPE)(_c(hyp).cast("string"), _c(ref).cast("string")))
 

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.fixtures import LEXICON_RE
+from ..sources.fixtures import LEXICON_RE, may_hold_lexicon
 from .text import split_ws
 
 # Own parameters of the offline default scorers (not reference values).
@@ -41,7 +41,7 @@ def _c(col) -> Column:
 
 def lexicon_hits(col) -> Column:
     """Number of lexicon words in the text (case-insensitive, whole words)."""
-    return F.coalesce(F.regexp_count(_c(col), F.lit(LEXICON_RE)), F.lit(0))
+    return F.when(may_hold_lexicon(_c(col)), F.regexp_count(_c(col), F.lit(LEXICON_RE))).otherwise(F.lit(0))
 
 
 def toxicity_prob(col, k: float = TOX_K) -> Column:

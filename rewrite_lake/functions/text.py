@@ -27,7 +27,10 @@ def ustrip(col) -> Column:
     Spark's ``trim`` only removes spaces; tabs and NBSP would survive it.
     NULL stays NULL (callers decide what a null means, see T5).
     """
-    return F.regexp_replace(_c(col).cast("string"), _STRIP_BOTH, "")
+    text = _c(col).cast("string")
+    # most texts have nothing to strip, which their ends tell
+    ends = F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1))
+    return F.when(ends.rlike(WS_RUN), F.regexp_replace(text, _STRIP_BOTH, "")).otherwise(text)
 
 
 def urstrip(col) -> Column:

@@ -15,6 +15,9 @@ All are plain DataFrame plans: their work grows with the tables.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,14 +63,24 @@ def line_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split(F.col("text"), "\n", -1)).alias("line_no", "source"))
 
 
+def may_hold_lexicon(col) -> F.Column:
+    """Whether the letters of a lexicon word are in the text, whole word or not: a plain
+    search, which spares most texts the pattern.  NULL for NULL."""
+    return F.exists(F.array(F.lower(col)), lambda t: reduce(or_, [t.contains(w) for w in LEXICON]))
+
+
+def _replace_lexicon(col, by: str) -> F.Column:
+    return F.when(may_hold_lexicon(col), F.regexp_replace(col, LEXICON_RE, by)).otherwise(col)
+
+
 def drop_lexicon(col) -> F.Column:
     """Rule rewrite: delete lexicon words."""
-    return F.regexp_replace(col, LEXICON_RE, "")
+    return _replace_lexicon(col, "")
 
 
 def mask_lexicon(col) -> F.Column:
     """Rule rewrite: replace lexicon words by ``***``."""
-    return F.regexp_replace(col, LEXICON_RE, "***")
+    return _replace_lexicon(col, "***")
 
 
 def synthetic_reference(col) -> F.Column:
