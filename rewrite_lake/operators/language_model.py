@@ -30,17 +30,19 @@ from ..session import stored
 START, END = " <", " >"
 #: Stands for a discount whose counts of counts are missing, or that would not be positive (tiny corpora).
 PLAIN_DISCOUNT = 0.75
-#: Characters of text in a block about, and packed together.  Blocks at least (each can be one task).
-BLOCK_CHARS, CHUNK_CHARS, BLOCKS = 1 << 27, 1 << 24, 8
+#: Characters of text to score and to train on in a block about, and packed together.  Blocks at least (each can be one task).
+BLOCK_CHARS, FIT_CHARS, CHUNK_CHARS, BLOCKS = 1 << 25, 1 << 23, 1 << 23, 8
 #: Words whose hashes a task keeps at most.
 WORDS_KEPT = 1 << 18
 
 
 @dataclass
 class KneserNey:
-    """The training texts, discounts of their trigrams and bigrams, and the words' hashes in order
-    with their shares (one number a word); ``rest`` is that of a new word."""
+    """The training texts and their packed trigrams by block, discounts of trigrams and bigrams, and the
+    words' hashes in order with their shares (one number a word); ``rest`` is that of a new word."""
     texts: DataFrame
+    home: RDD
+    blocks: int
     d3: list[float]
     d2: list[float]
     words: np.ndarray
@@ -70,15 +72,18 @@ class _Hashes(dict):
         return found
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Numbers below 2**31, their bytes by place (which compress better), and 64-bit ones as they are."""
-    parts = [x if x.dtype == np.int64 else x.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes() for x in arrays]
-    return zlib.compress(pickle.dumps(parts), 1)
+def _planes(x: np.ndarray) -> bytes:
+    return x.view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes()
+
+
+def _pack(words: np.ndarray, *counts: np.ndarray) -> bytes:
+    """Sorted hashes, as steps, and numbers below 2**31: their bytes by place, which compress better."""
+    return zlib.compress(pickle.dumps([_planes(np.diff(words, prepend=0).astype("<i8")), *[_planes(x.astype("<i4")) for x in counts]]), 1)
 
 
 def _unpack(piece: bytes) -> list[np.ndarray]:
-    return [x if isinstance(x, np.ndarray) else np.frombuffer(x, np.uint8).reshape(4, -1).T.copy().view("<i4").ravel().astype(np.int64)
-            for x in pickle.loads(zlib.decompress(piece))]
+    words, *counts = [np.frombuffer(x, np.uint8) for x in pickle.loads(zlib.decompress(piece))]
+    return [np.cumsum(words.reshape(8, -1).T.copy().view("<i8").ravel()), *[x.reshape(4, -1).T.copy().view("<i4").ravel().astype(np.int64) for x in counts]]
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -103,10 +108,11 @@ def _trigrams(known: _Hashes, texts: list[str]) -> tuple[np.ndarray, ...]:
         flat.append(end)
         sizes.append(len(flat) - before)
     words, at = np.unique(np.array(flat, dtype=np.int64), return_inverse=True)
-    sizes = np.array(sizes)
-    text = np.repeat(np.arange(len(sizes)), sizes)
+    del flat
+    at, sizes = at.astype(np.int32), np.array(sizes)
+    text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     ends = np.cumsum(sizes)
-    first = np.ones(len(flat), dtype=bool)
+    first = np.ones(len(at), dtype=bool)
     first[ends - 1] = first[ends - 2] = False
     i = np.flatnonzero(first)
     return words, text[i], at[i], at[i + 1], at[i + 2]
@@ -126,7 +132,7 @@ def _own_words(words, *ids) -> tuple[np.ndarray, ...]:
     used = np.zeros(len(words), dtype=bool)
     for x in ids:
         used[x] = True
-    place = np.cumsum(used) - 1
+    place = np.cumsum(used, dtype=np.int32) - 1
     return words[used], *[place[x] for x in ids]
 
 
@@ -160,9 +166,14 @@ def _deal(blocks: int, keyed: bool):
     return deal
 
 
+def _home(block: int) -> int:
+    return block
+
+
 def _dealt(texts: DataFrame, blocks: int, keyed: bool) -> RDD:
+    """(block, (keyed, piece)), shuffled once however often it is read."""
     pieces = texts.mapInArrow(_deal(blocks, keyed), "block int, piece binary")
-    return pieces.rdd.map(lambda r: (r["block"], (keyed, bytes(r["piece"]))))
+    return pieces.rdd.map(lambda r: (r["block"], (keyed, bytes(r["piece"])))).partitionBy(blocks, _home)
 
 
 def _prepared(texts: DataFrame, text: str, *keep) -> DataFrame:
@@ -230,15 +241,15 @@ def _met(n: np.ndarray) -> list[int]:
     return [int((n == i).sum()) for i in (1, 2, 3, 4)]
 
 
-def _blocks(texts: DataFrame) -> int:
-    return max(BLOCKS, -(-(texts.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS))
+def _blocks(texts: DataFrame, chars: int) -> int:
+    return max(BLOCKS, -(-(texts.agg(F.sum(F.length("text"))).first()[0] or 0) // chars))
 
 
 def fit(texts: DataFrame, text: str = "text") -> KneserNey:
     """The model of ``texts``, which are written once.  NULL and empty texts are an empty sentence (the end mark alone)."""
     spark, texts = texts.sparkSession, stored(_prepared(texts, text))
-    blocks = _blocks(texts)
-    home = _dealt(texts, blocks, False).partitionBy(blocks, lambda block: block)
+    blocks = _blocks(texts, FIT_CHARS)
+    home = _dealt(texts, blocks, False)
     mine = spark.createDataFrame(home.map(lambda x: (x[1][1],)), "piece binary")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +268,7 @@ def fit(texts: DataFrame, text: str = "text") -> KneserNey:
     # the empty context; one word more: those never met
     p, left = _shares(n, np.zeros(len(n), dtype=np.int64), 1, discounts(*_met(n)))
     rest = float(left[0]) / (len(n) + 1) if len(n) else 1.0
-    return KneserNey(texts, d3, d2, word, p + rest, rest)
+    return KneserNey(texts, home, blocks, d3, d2, word, p + rest, rest)
 
 
 def score(model: KneserNey, texts: DataFrame, text: str = "text", keys: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -268,8 +279,14 @@ def score(model: KneserNey, texts: DataFrame, text: str = "text", keys: Sequence
     packed, and the words' shares (16 bytes a word) pass the driver to every task.
     """
     spark, texts = texts.sparkSession, _prepared(texts, text, F.struct(*keys).alias("key"))
-    blocks = max(_blocks(texts), _blocks(model.texts))
-    home = _dealt(model.texts, blocks, False).union(_dealt(texts, blocks, True)).partitionBy(blocks, lambda block: block)
+    blocks, trained = _blocks(texts, BLOCK_CHARS), model.home
+    if blocks > 2 * model.blocks:  # more to hold than the model was dealt for
+        trained = _dealt(model.texts, blocks, False)
+    else:
+        blocks = model.blocks
+    home = trained.union(_dealt(texts, blocks, True))
+    if home.getNumPartitions() != trained.getNumPartitions():
+        raise RuntimeError("blocks of the model and of the texts were dealt apart")
     d3, d2, rest = model.d3, model.d2, model.rest
     shares = spark.sparkContext.broadcast((model.words, model.shares))
 
