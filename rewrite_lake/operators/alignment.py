@@ -272,18 +272,30 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(mine), pa.int64()), pa.array(list(mine), pa.string())], names=["chunk", "s"])
 
 
+def _in_chunks(samples: DataFrame) -> DataFrame:
+    return stored(samples.withColumn("chunk", F.shiftright(F.monotonically_increasing_id(), CHUNK)))
+
+
 def rewrites(samples: DataFrame, options: DataFrame, k: int = 3, source: str = "source", keys: Sequence[str] = ("sample_id",),
              model: str = "aligned", model_idx: int = 0) -> DataFrame:
     """(keys, model_idx, model, candidate_rank, text): the ``k`` best rewrites of every sample.
 
-    ``keys`` is a key of any types, nulls included; samples of one key are each
-    rewritten.  A word without options stays; a sample has fewer rewrites when it has
+    ``keys`` is a key of any types, nulls included; samples with words of one key are
+    one, their words by place.  A word without options stays; a sample has fewer rewrites when it has
     fewer ways; one without words is rewritten to ''.  A chunk of samples asks once for
     the options of each of its words; samples are written once and shuffled once, whole.
     """
     keys = list(keys)
     base = samples.select(F.struct(*keys).alias("key"), F.array_join(split_ws(empty_if_null(source)), " ").alias("text"))
-    base = stored(base.withColumn("chunk", F.shiftright(F.monotonically_increasing_id(), CHUNK)))
+    base = _in_chunks(base)
+    some = base.where("text <> ''")
+    twice = stored(some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
+    if not twice.isEmpty():
+        placed = F.transform(F.split("text", " "), lambda w, i: F.struct(i.alias("pos"), w.alias("s")))
+        same = some.join(twice, "key").groupBy("key").agg(F.sort_array(F.flatten(F.collect_list(placed))).alias("words"))
+        same = same.select("key", F.array_join("words.s", " ").alias("text"))
+        alone = some.join(twice, "key", "left_anti").unionByName(base.where("text = ''"))
+        base = _in_chunks(alone.select("key", "text").unionByName(same))
     asked = base.select("chunk", "text").mapInArrow(_asked, "chunk bigint, s string").where("s <> ''")
     told = asked.join(options, "s").select("chunk", "s", F.col("options.cost").alias("costs"), F.col("options.target").alias("targets"))
     both = told.unionByName(base, allowMissingColumns=True).select("chunk", "s", "costs", "targets", "key", "text")

@@ -79,8 +79,9 @@ def test_cheapest_ways_need_few_places():
 def test_rewrites_of_repeated_keys_and_chunks(spark, monkeypatch):
     monkeypatch.setattr(AL, "CHUNK", 1)
     options = spark.createDataFrame([("bad", [(0, 5, "good"), (1, 7, "fine")])], "s string, options array<struct<rank:int,cost:bigint,target:string>>")
-    rows = [(i, f"bad w{i}") for i in range(9)] + [(3, "bad bad")]
+    rows = [(i, f"bad w{i}") for i in range(9)] + [(3, "bad bad"), (3, None), (4, " ")]
     out = AL.rewrites(spark.createDataFrame(rows, "sample_id int, source string"), options, k=2).collect()
     got = sorted((r["sample_id"], r["candidate_rank"], r["text"]) for r in out)
-    want = [(i, r, f"{w} w{i}") for i in range(9) for r, w in enumerate(("good", "fine"))] + [(3, 0, "good good"), (3, 1, "fine good")]
+    want = [(i, r, f"{w} w{i}") for i in range(9) if i != 3 for r, w in enumerate(("good", "fine"))]
+    want += [(3, 0, "good good good w3"), (3, 1, "fine good good w3"), (3, 0, ""), (4, 0, "")]
     assert got == sorted(want)
